@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquilt.llm import bpe, decontaminate, licenses, partenum
+from pixelquilt.llm import bpe, decontaminate, licenses, lm_score, partenum
 from pixelquilt.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.link(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = licenses.scan(docs, detections=False)
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
         "op6_partenum": op6_partenum,
+        "op7_lm_score": op7_lm_score,
         "op8_licenses": op8_licenses,
     }
 
