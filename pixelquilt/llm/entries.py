@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquilt.llm import bpe, decontaminate, licenses, lm_score, partenum
+from pixelquilt.llm import bpe, decontaminate, licenses, lm_score, partenum, warc
 from pixelquilt.llm.common import read_table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(read_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark"))
@@ -39,6 +44,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_index": op1_warc_index,
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
         "op6_partenum": op6_partenum,
@@ -48,7 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
+    return {"op1_warc_index": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
 
 
 OP4_SQL = r"""
@@ -101,3 +107,26 @@ r AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) c USING (doc_id)
 """
+
+OP1_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h,
+         lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host
+  FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top,
+         array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), '') AS d
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to,
+       CASE WHEN instr(coalesce(url, ''), '://') > 0
+            THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+                 lower(regexp_replace(regexp_extract(url, '://[^/?#]*([^#]*)', 1), '/$', ''))
+            ELSE '' END AS url_key,
+       strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM q
+"""
