@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquilt.llm import bpe, decontaminate, licenses, lm_score, partenum, warc
+from pixelquilt.llm import bpe, decontaminate, licenses, lm_score, partenum, quality_rules, warc
 from pixelquilt.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark"))
@@ -45,6 +49,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": op1_warc_index,
+        "op2_quality_rules": op2_quality_rules,
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
         "op6_partenum": op6_partenum,
@@ -54,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
+    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
 
 
 OP4_SQL = r"""
@@ -130,3 +135,60 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, d A
        strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM q
 """
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT x) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS x FROM twice) GROUP BY rid),
+base AS (
+  SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (rid)
+), m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         word_chars * 100 // greatest(n_words, 1) AS word_length, n_symbols * 10000 // greatest(n_words, 1) AS symbol_rate,
+         n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_rate, n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_rate
+  FROM base
+), v AS (
+  SELECT lang, source, metric, v, greatest(length(bin(v)) - 6, 0) AS s FROM (
+    SELECT lang, source, 'word_length' AS metric, word_length AS v FROM m WHERE NOT base_failed UNION ALL
+    SELECT lang, source, 'symbol_rate', symbol_rate FROM m WHERE NOT base_failed UNION ALL
+    SELECT lang, source, 'dup_line_rate', dup_line_rate FROM m WHERE NOT base_failed UNION ALL
+    SELECT lang, source, 'repeat_rate', repeat_rate FROM m WHERE NOT base_failed)
+), k AS (SELECT lang, source, metric, (v >> CAST(s AS BIGINT)) << CAST(s AS BIGINT) AS bucket FROM v),
+lv AS (
+  SELECT 2 AS level, lang, source, metric, bucket FROM k UNION ALL
+  SELECT 1, lang, NULL, metric, bucket FROM k UNION ALL SELECT 0, NULL, NULL, metric, bucket FROM k
+), q AS (
+  SELECT level, lang, source, metric, count(*) AS docs,
+         quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75
+  FROM lv GROUP BY level, lang, source, metric
+), lim AS (
+  SELECT keys.lang, keys.source, x.metric,
+         CASE WHEN f.docs >= 200 THEN f.q25 WHEN n.docs >= 200 THEN n.q25 ELSE x.q25 END AS q25,
+         CASE WHEN f.docs >= 200 THEN f.q75 WHEN n.docs >= 200 THEN n.q75 ELSE x.q75 END AS q75
+  FROM (SELECT DISTINCT lang, source FROM m) keys CROSS JOIN (SELECT * FROM q WHERE level = 0) x
+  LEFT JOIN q f ON f.level = 2 AND f.lang = keys.lang AND f.source = keys.source AND f.metric = x.metric
+  LEFT JOIN q n ON n.level = 1 AND n.lang = keys.lang AND n.metric = x.metric
+), wide AS (
+  SELECT lang, source,
+         max(q75 + 3 * (q75 - q25) + 150) FILTER (metric = 'word_length') AS wl_hi,
+         max(q25 - 3 * (q75 - q25) - 150) FILTER (metric = 'word_length') AS wl_lo,
+         max(q75 + 3 * (q75 - q25) + 1000) FILTER (metric = 'symbol_rate') AS sy_hi,
+         max(q75 + 3 * (q75 - q25) + 2000) FILTER (metric = 'dup_line_rate') AS du_hi,
+         max(q75 + 3 * (q75 - q25) + 1000) FILTER (metric = 'repeat_rate') AS re_hi
+  FROM lim GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(word_length BETWEEN wl_lo AND wl_hi AND symbol_rate <= sy_hi AND dup_line_rate <= du_hi AND repeat_rate <= re_hi, true) AS kept
+FROM m LEFT JOIN wide USING (lang, source)
+"""
