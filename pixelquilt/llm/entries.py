@@ -184,8 +184,8 @@ lv AS (
          max(q75 + 3 * (q75 - q25) + 150) FILTER (metric = 'word_length') AS wl_hi,
          max(q25 - 3 * (q75 - q25) - 150) FILTER (metric = 'word_length') AS wl_lo,
          max(q75 + 3 * (q75 - q25) + 1000) FILTER (metric = 'symbol_rate') AS sy_hi,
-         max(q75 + 3 * (q75 - q25) + 2000) FILTER (metric = 'dup_line_rate') AS du_hi,
-         max(q75 + 3 * (q75 - q25) + 1000) FILTER (metric = 'repeat_rate') AS re_hi
+         max(q75 + 3 * (q75 - q25) + 5000) FILTER (metric = 'dup_line_rate') AS du_hi,
+         max(q75 + 3 * (q75 - q25) + 4000) FILTER (metric = 'repeat_rate') AS re_hi
   FROM lim GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -35,8 +35,8 @@ class Metric:
 METRICS = (
     Metric("word_length", "word_chars * 100 div greatest(n_words, 1)", 150, low=True),
     Metric("symbol_rate", "n_symbols * 10000 div greatest(n_words, 1)", 1000),
-    Metric("dup_line_rate", "n_dup_lines * 10000 div greatest(n_lines, 1)", 2000),
-    Metric("repeat_rate", "n_repeat_words * 10000 div greatest(n_words, 1)", 1000),
+    Metric("dup_line_rate", "n_dup_lines * 10000 div greatest(n_lines, 1)", 5000),
+    Metric("repeat_rate", "n_repeat_words * 10000 div greatest(n_words, 1)", 4000),
 )
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
