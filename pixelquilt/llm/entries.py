@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelquilt.llm import bpe, decontaminate, licenses, lm_score, partenum, quality_rules, warc
+from pixelquilt.llm import bpe, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, warc
 from pixelquilt.llm.common import read_table
 
 
@@ -20,6 +21,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup(docs)
+    gone = F.array_join(F.col("gone").cast("array<string>"), ",")
+    return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), gone.alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark"))
@@ -50,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": op1_warc_index,
         "op2_quality_rules": op2_quality_rules,
+        "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
         "op6_partenum": op6_partenum,
@@ -59,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
+    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
 
 
 OP4_SQL = r"""
@@ -89,6 +98,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(lower(ls[i]), '[^\x20\x09-\x0D]+'))) AS ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+), k AS (SELECT ws, len(ws) AS n, min((doc_id, line)) AS first, row_number() OVER () AS id FROM l WHERE len(ws) >= 3 GROUP BY ws),
+w AS (SELECT id, n, first, unnest(ws) AS word FROM k),
+f AS (SELECT word, count(*) AS c FROM w GROUP BY word),
+o AS (SELECT id, n, first, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS pos FROM w JOIN f USING (word)),
+p AS (SELECT * FROM o WHERE pos <= n - (n * 9 + 9) // 10 + 1),
+c AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.word = b.word AND b.first < a.first
+  AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 9
+), s AS (
+  SELECT DISTINCT a AS id FROM (
+    SELECT a, len(list_intersect(x.ws, y.ws)) AS shared, x.n + y.n AS total FROM c JOIN k x ON x.id = a JOIN k y ON y.id = b)
+  WHERE 10 * shared >= 9 * (total - shared)
+), g AS (
+  SELECT doc_id, line FROM l JOIN k USING (ws) LEFT JOIN s USING (id)
+  WHERE (doc_id, line) <> first OR s.id IS NOT NULL
+), x AS (SELECT doc_id, list(line ORDER BY line) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       coalesce(array_to_string(gone, ','), '') AS removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT coalesce(list_contains(gone, i - 1), false)), lambda i: ls[i]), chr(10))) AS text_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,52 +1,67 @@
 """Line dedup by an exact set-similarity join of lines.
 
-A line is the set of its distinct words (A-Z lower-cased).  Equal sets are one class, known by
-two hashes of its words, and first seen at its smallest place (document, line).  A class's words
-are ordered by rarity; two classes with Jaccard similarity num/den or more share a word among
-the first few of both (prefix filter), which lie early enough (positional filter), and have
-close sizes (length filter).  A line goes if its class was seen before, or if a similar class
-was seen before its own; all of this whether or not the earlier line stays itself.
-
-Rarity is counted over all lines, by hash bucket: a table of bounded size that orders words as
-well as their own counts would, and any one order gives the same result.  Candidates are looked
-for by (word, size band).  A class is first compared with the earliest class under each of its
-words; only classes without a match by then are paired with the others, so near copies of one
-line cost one comparison each.
+A line is the set of its distinct words, in lower case.  Equal sets are one class, known by two
+hashes, and first seen at its smallest place (document, line).  A class's words are ordered by
+rarity; of two classes with Jaccard similarity num/den or more
+
+* the sizes are close (length filter),
+* the first shared word is among the first few of both (prefix filter), and
+* the words from there on are enough for the overlap they need (positional filter).
+
+A line goes if its class was seen before, or if a similar class was seen before its own; all of
+this whether or not the earlier line stays itself.
+
+A word's rarity is read from a table of ``BUCKETS`` counts over all texts: its size is fixed, and
+any one order of words gives the same result.  Candidates are looked for by (word, size band).  A
+class is first compared with the earliest class under each of its words; only classes without a
+match by then are paired with the others, so near copies of one line cost one comparison each.
+Under a word with more than ``HOT`` classes the pairs must agree in the second shared word too,
+which is among the first few and one more of both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import NOT_SPACE, SPACE, lower_ascii, materialize, release
+from pixelquilt.llm.common import NOT_SPACE, SPACE, materialize, release
 
-#: Buckets of the rarity table, which is sent to all tasks: 64 Ki numbers, whatever the input.
-BUCKETS = 1 << 16
+#: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
+BUCKETS = 1 << 14
 #: Lines with fewer distinct words say too little by themselves and always stay.
 LEAST_WORDS = 3
+#: Classes under one word from which on the second shared word is asked for.
+HOT = 200
 
 
-def _words(line: Column) -> Column:
-    """Sorted hashes of a line's distinct words."""
-    words = F.array_remove(F.split(lower_ascii(line), SPACE), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def _split(s: Column) -> Column:
+    return F.array_remove(F.split(F.lower(s), SPACE), "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, line, words): the lines with enough words, at their places."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
-    return rows.select("doc_id", "h", "line", _words(F.col("s")).alias("words")).where(F.size("words") >= LEAST_WORDS)
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """For each bucket of word hashes a level from 0 that grows with the words' count over all texts."""
+    words = docs.select(F.explode(_split(F.coalesce("text", F.lit("")))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    out = [0] * BUCKETS
+    for b, n in counts.collect():  # BUCKETS rows at most
+        out[b] = int(4 * math.log2(1 + n))
+    return out
 
 
-def _rarity(docs: DataFrame) -> DataFrame:
-    """One row: how many words of all texts fall into each bucket."""
-    words = docs.select(F.explode(F.split(lower_ascii(F.coalesce("text", F.lit(""))), SPACE)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long"))).alias("rarity"))
+def _set(s: Column, levels: list[int]) -> Column:
+    """A line's distinct words, rarest first: numbers made of a word's level and 55 bits of its hash."""
+    table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<int>)")
+
+    def number(h: Column) -> Column:
+        level = F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
+        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_split(s), lambda w: F.xxhash64(w)), number)))
 
 
-class _Similarity:
+class Similarity:
     """SQL for the filters at num/den."""
 
     def __init__(self, num: int, den: int):
@@ -61,99 +76,124 @@ class _Similarity:
         return f"((({n}) + ({m})) * {self.num} + {self.num + self.den - 1}) div {self.num + self.den}"
 
     def prefix(self, n: str) -> str:
-        return f"({n}) - {self.least(n)} + 1"
+        return f"cast(({n}) - {self.least(n)} + 1 as int)"
 
     def band(self, n: str) -> str:
         """Sizes by powers of (den/num)^2: a set's similar smaller ones lie in its band or the next below."""
-        return f"cast(floor(ln({n}) / {2 * __import__('math').log(self.den / self.num)!r}) as int)"
+        return f"cast(floor(ln({n}) / {2 * math.log(self.den / self.num)!r}) as int)"
 
+    def fits(self, n: str, m: str, at: str, to: str) -> str:
+        """Length filter, and positional filter for a first shared word at these positions (from 0)."""
+        return f"least({n}, {m}) >= {self.least(f'greatest({n}, {m})')} and least({n} - {at}, {m} - {to}) >= {self.overlap(n, m)}"
 
-def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
-    """(doc_id, h, gone): per document (id and hash of its text) the numbers of the lines that go."""
-    spark = docs.sparkSession
-    sim = _Similarity(num, den)
-    docs = docs.select("doc_id", "text")
-    rarity = materialize(_rarity(docs), "rarity")
-    lines = _lines(docs)
-    #: Rarest first; the hash breaks ties.  The table is one row of bounded size.
-    ordered = lines.join(F.broadcast(rarity), F.lit(True)).withColumn("by_rarity", F.sort_array(F.transform("words", lambda w: F.struct(F.get("rarity", w.bitwiseAND(BUCKETS - 1).cast("int")).alias("r"), w.alias("w")))))
-    placed = ordered.select(
+
+def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """(place, c1, c2) of every line with enough words; and the classes that can have a similar one:
+    (c1, c2, first, n, words), words being the prefix and one more."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
+    sets = rows.select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    placed = sets.select(
         F.struct("doc_id", "h", "line").alias("place"),
         F.xxhash64("words", F.lit(1)).alias("c1"),
         F.xxhash64(F.lit(2), "words").alias("c2"),
         F.size("words").alias("n"),
-        F.expr(f"transform(slice(by_rarity, 1, cast({sim.prefix('size(words)')} as int)), x -> x.w)").alias("prefix"),
+        F.expr(f"slice(words, 1, {sim.prefix('size(words)')} + 1)").alias("words"),
     )
     placed = materialize(placed, "lines")
     firsts = placed.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(firsts.join(placed.withColumnRenamed("place", "first"), ["first", "c1", "c2"]).dropDuplicates(["c1", "c2"]).select("c1", "c2", "first", "n", "prefix"), "classes")
+    #: A class and its words: those at its first place, the same wherever the class stands.
+    firsts = materialize(firsts, "classes")
+    able = firsts.join(placed.where(f"n * {sim.den} >= (n + 1) * {sim.num}"), (F.col("place") == F.col("first")), "inner")
+    able = able.select(firsts["c1"], firsts["c2"], "first", "n", "words").dropDuplicates(["c1", "c2"])
+    return placed.select("place", "c1", "c2"), firsts, materialize(able, "joinable")
+
+
+def _candidates(able: DataFrame, sim: Similarity) -> DataFrame:
+    """(key, class, at, home, k, e...): the rows of each (word, band) that more than one class has,
+    with their number k and the earliest class e."""
+    own = able.select("c1", "c2", "first", "n", "words", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
+    #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
+    bands = F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")
+    keys = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "c2", "first", "n", "at", F.col("band").eqNullSafe(F.expr(sim.band("n"))).alias("home"), "words")
+    keys = materialize(keys, "keys")
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("homes"), F.min(F.struct("first", "c1", "c2", "n", "at")).alias("e")).where("k > 1 and homes")
+    return materialize(keys.join(groups.select("key", "k", "e"), "key"), "candidates")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, able: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
+    """(c1, c2) of the classes that have a similar earlier one among their pairs (c1, c2, d1, d2)."""
+    asked = pairs.select("c1", "c2").union(pairs.select("d1", "d2")).distinct()
+    wanted = able.select("c1", "c2", "first").join(asked, ["c1", "c2"], "left_semi")
+    by_doc = wanted.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.h").alias("hash")).agg(F.collect_list(F.struct("first.line", "c1", "c2")).alias("asked"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash")))
+    lines = found.select("asked", F.split("text", "\n").alias("lines"))
+    each = lines.select(F.explode(F.transform("asked", lambda x: F.struct(x.c1.alias("c1"), x.c2.alias("c2"), F.get("lines", x.line).alias("s")))).alias("x"))
+    sets = materialize(each.select("x.c1", "x.c2", "x.s").dropDuplicates(["c1", "c2"]), "texts")
+    release(docs.sparkSession)
+    left = sets.select("c1", "c2", F.col("s").alias("left"))
+    right = sets.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("s").alias("right"))
+    both = pairs.join(left, ["c1", "c2"]).join(right, ["d1", "d2"])
+    both = both.select("c1", "c2", _set(F.col("left"), levels).alias("a"), _set(F.col("right"), levels).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
+    return both.where(F.expr(f"{sim.den} * both >= {sim.num} * (size(a) + size(b) - both)")).select("c1", "c2").distinct()
+
+
+def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
+    """(doc_id, h, gone): per document (id and hash of its text) the numbers of the lines that go."""
+    spark = docs.sparkSession
+    sim = Similarity(num, den)
+    docs = docs.select("doc_id", "text")
+    levels = rarity_levels(docs)
+    placed, firsts, able = _classes(docs, levels, sim)
+    release(spark)
+    told = _candidates(able, sim)
     release(spark)
 
-    own = classes.select("c1", "c2", "first", "n", F.posexplode("prefix").alias("at", "w"))
-    #: A class asks for the smaller ones in its own band and in the band below if that has sizes large enough.
-    bands = F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")
-    keys = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "c2", "first", "n", "at", F.expr(f"band = {sim.band('n')}").alias("home"))
-    by_key = Window.partitionBy("key")
-    told = keys.withColumn("k", F.count(F.lit(1)).over(by_key)).withColumn("homes", F.max("home").over(by_key))
-    told = told.withColumn("e", F.min(F.struct("first", "c1", "c2", "n", "at")).over(by_key))
-    told = materialize(told.where("k > 1 and homes").drop("k", "homes"), "keys")
+    names = ["c1", "c2", "d1", "d2"]
+    star = told.select("c1", "c2", "n", "at", "first", F.col("e.c1").alias("d1"), F.col("e.c2").alias("d2"), F.col("e.first").alias("earlier"), F.col("e.n").alias("m"), F.col("e.at").alias("to"))
+    near = star.where((F.col("earlier") < F.col("first")) & F.expr(sim.fits("n", "m", "at", "to"))).select(*names).distinct()
+    near = materialize(near, "pairs")
+    found = materialize(_similar(docs, near, able, levels, sim), "similar")
     release(spark)
 
-    def fits(n: str, m: str, at: str, to: str) -> Column:
-        need = sim.overlap(n, m)
-        return F.expr(f"least({n}, {m}) >= {sim.least(f'greatest({n}, {m})')} and 1 + least({n} - {at}, {m} - {to}) - 1 >= {need}")
-
-    def pair(df: DataFrame) -> DataFrame:
-        return df.select("c1", "c2", F.col("d1"), F.col("d2")).distinct()
-
-    first_try = told.select("c1", "c2", "n", "at", "first", F.col("e.c1").alias("d1"), F.col("e.c2").alias("d2"), F.col("e.first").alias("d_first"), F.col("e.n").alias("m"), F.col("e.at").alias("to"))
-    near = materialize(pair(first_try.where((F.col("d_first") < F.col("first")) & fits("n", "m", "at", "to"))), "pairs")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """(c1, c2) of the classes that have a similar earlier one among their pairs."""
-        asked = pairs.select("c1", "c2").union(pairs.select("d1", "d2")).distinct()
-        places = classes.join(asked, ["c1", "c2"], "left_semi").select("c1", "c2", "first")
-        texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        wanted = places.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "c1", "c2")
-        whole = lines.join(wanted, (lines.doc_id.eqNullSafe(wanted.doc_id)) & (lines.h == wanted.h) & (lines.line == wanted.line)).select("c1", "c2", "words").dropDuplicates(["c1", "c2"])
-        del texts
-        whole = materialize(whole, "sets")
-        both = pairs.join(whole, ["c1", "c2"]).join(whole.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("words").alias("other")), ["d1", "d2"])
-        shared = F.size(F.array_intersect("words", "other"))
-        return both.where(den * shared >= num * (F.size("words") + F.size("other") - shared)).select("c1", "c2").distinct()
-
-    found = materialize(similar(near), "similar")
-    rest = told.drop("e").join(found, ["c1", "c2"], "left_anti")
-    other = told.select("key", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("first").alias("d_first"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"))
-    met = rest.join(other, "key").where((F.col("d_first") < F.col("first")) & (F.col("home") | F.col("there")) & fits("n", "m", "at", "to"))
-    more = materialize(pair(met).join(near, ["c1", "c2", "d1", "d2"], "left_anti"), "pairs")
-    found = found.union(materialize(similar(more), "similar"))
+    plain = told.where(f"k <= {HOT}").select("key", "c1", "c2", "first", "n", "at", "home")
+    second = F.explode(F.expr("slice(words, at + 2, size(words))"))
+    hot = told.where(f"k > {HOT}").select("key", "c1", "c2", "first", "n", "at", "home", second.alias("v")).withColumn("key", F.xxhash64("key", "v")).drop("v")
+    keyed = materialize(plain.union(hot), "keys")
+    rest = keyed.join(found, ["c1", "c2"], "left_anti")
+    other = keyed.select("key", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("first").alias("earlier"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"))
+    met = rest.join(other, "key").where((F.col("earlier") < F.col("first")) & (F.col("home") | F.col("there")) & F.expr(sim.fits("n", "m", "at", "to")))
+    more = materialize(met.select(*names).distinct().join(near, names, "left_anti"), "pairs")
+    found = found.union(materialize(_similar(docs, more, able, levels, sim), "similar"))
     release(spark)
 
-    gone = placed.select("place", "c1", "c2").join(classes.select("c1", "c2", "first"), ["c1", "c2"]).join(found.withColumn("hit", F.lit(True)), ["c1", "c2"], "left")
-    gone = gone.where((F.col("place") != F.col("first")) | F.col("hit"))
-    return gone.groupBy("place.doc_id", "place.h").agg(F.sort_array(F.collect_set("place.line")).alias("gone"))
+    marks = firsts.join(found.withColumn("hit", F.lit(True)), ["c1", "c2"], "left").where("copies > 1 or hit").select("c1", "c2", "first", "hit")
+    gone = placed.join(marks, ["c1", "c2"]).where((F.col("place") != F.col("first")) | F.col("hit"))
+    return gone.select(F.col("place.doc_id").alias("doc_id"), F.col("place.h").alias("h"), "place.line").distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def dedup(docs: DataFrame, num: int = 9, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the later of similar lines taken out of ``text``, and ``n_lines``, ``n_removed``.
+    """``docs`` with the later of similar lines taken out of ``text``, and ``n_lines``, ``gone`` (the
+    numbers of the lines that went, from 0).
 
     Places are ordered by (doc_id, hash of the text, line), null ids first; rows that agree in both
-    are one document and come out alike.  A null text stays null, with no lines; an empty one has
-    one line, which stays.  Result columns replace columns of the same name.
+    are one document and come out alike.  A null text stays null and has no lines; an empty one has
+    one line, which stays.  Lines with fewer than three distinct words stay.  Result columns replace
+    columns of the same name; an empty table gives an empty one.
     """
-    base = docs.drop("n_lines", "n_removed")
+    base = docs.drop("n_lines", "gone")
     plan = materialize(removed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), num, den), "removed")
-    ids = plan.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "gone")
+    ids = plan.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     rows = base.join(ids, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")
     lines = F.split(F.col(text), "\n")
-    out = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("gone", F.coalesce("_gone", F.array().cast("array<int>")))
     stays = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    out = out.withColumn(text, F.when(F.col("gone").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text)))
-    return out.select(*[f"`{c}`" for c in base.columns], "n_lines", "n_removed")
+    rows = rows.withColumn(text, F.when(F.size("gone") > 0, F.array_join(stays, "\n")).otherwise(F.col(text)))
+    return rows.select(*[f"`{c}`" for c in base.columns], "n_lines", "gone")
 
 
 def clean(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     """The documents without the lines that go, and without documents that lost their last word by it."""
-    out = dedup(docs, num, den).where((F.col("n_removed") == 0) | F.col("text").rlike(NOT_SPACE))
+    out = dedup(docs, num, den).where((F.size("gone") == 0) | F.col("text").rlike(NOT_SPACE))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
