@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm import bpe, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, warc
+from pixelquilt.llm import bpe, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
 from pixelquilt.llm.common import read_table
 
 
@@ -54,6 +54,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the document it shows, whose labels are the page's."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("page_id", F.expr("try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') as bigint)").alias("doc_id")).where("doc_id is not null")
+    good = read_table(spark, sf_dir, "labels").select("doc_id", F.expr("quality = 1 and toxic = 0").alias("good"))
+    return url_filters.judge(pages, shown.join(good, "doc_id").select("page_id", "good"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": op1_warc_index,
@@ -64,11 +72,65 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_partenum": op6_partenum,
         "op7_lm_score": op7_lm_score,
         "op8_licenses": op8_licenses,
+        "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL}
+    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL, "op10_url_filters": _op10_sql()}
+
+
+def _op10_sql() -> str:
+    """The template tree level by level, then the merging level by level."""
+    u = url_filters
+    own = [
+        r"""u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, good
+  FROM pages LEFT JOIN (
+    SELECT page_id AS pid, bool_and(quality = 1 AND toxic = 0) AS good
+    FROM pages JOIN labels ON TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) = doc_id GROUP BY page_id) ON pid = page_id
+), r0 AS (SELECT row_number() OVER () AS rid, page_id, host, path, good, string_split(substr(path, 2), '/') AS segs, '' AS t FROM u)"""
+    ]
+    for i in range(1, u.DEPTH + 1):
+        own.append(
+            rf"""s{i} AS (SELECT *, segs[{i}] AS seg, CASE WHEN segs[{i}] IS NULL THEN NULL WHEN regexp_matches(segs[{i}], '^[0-9]+$') THEN '<n>'
+  WHEN regexp_matches(segs[{i}], '^[0-9]+[.][A-Za-z0-9]+$') THEN '<n.>' WHEN regexp_matches(segs[{i}], '[0-9]') THEN '<mixed>' ELSE '<word>' END AS shape FROM r{i - 1}),
+v{i} AS (SELECT host, t FROM s{i} WHERE seg IS NOT NULL AND shape NOT IN ('<n>', '<n.>') GROUP BY host, t
+  HAVING count(DISTINCT seg) > {u.MANY} OR count(DISTINCT seg) >= {u.SOME} AND 4 * count(DISTINCT seg) > count(*)),
+r{i} AS (SELECT rid, page_id, host, path, good, segs, s.t || CASE WHEN seg IS NULL THEN '' WHEN shape IN ('<n>', '<n.>') OR v.t IS NOT NULL THEN '/' || shape ELSE '/' || seg END AS t
+  FROM s{i} s LEFT JOIN v{i} v USING (host, t))"""
+        )
+    n = u.DEPTH
+    own.append(
+        f"""r AS (SELECT rid, page_id, host, path, good, t || CASE WHEN len(segs) > {n} THEN '/<deep>' ELSE '' END AS template FROM r{n}),
+m{n + 1} AS (SELECT host, template, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, string_split(substr(template, 2), '/') AS t FROM r GROUP BY host, template)"""
+    )
+    for d in range(n, 0, -1):
+        own.append(
+            f"""b{d} AS (SELECT *, array_to_string(t[1:{d - 1}], '/') AS prefix, CASE WHEN t[{d}] NOT LIKE '<%' THEN t[{d}] END AS b,
+  CASE WHEN len(t) > {d} THEN array_to_string(t[{d + 1}:], '/') ELSE chr(1) END AS child FROM m{d + 1}),
+g{d} AS (SELECT host, prefix, b, sum(n) AS nb, CASE WHEN sum(good) + sum(bad) = 0 THEN 'none' WHEN sum(good) >= sum(bad) THEN 'good' ELSE 'bad' END AS lean
+  FROM b{d} WHERE b IS NOT NULL GROUP BY host, prefix, b),
+p{d} AS (SELECT host, prefix, lean, sum(nb) AS pool FROM g{d} GROUP BY ALL HAVING count(*) > 1),
+l{d} AS (SELECT host, prefix, b, lean, child, nb, sum(n) AS nc FROM b{d} JOIN g{d} USING (host, prefix, b) GROUP BY ALL),
+c{d} AS (SELECT host, prefix, lean, child, sum(nc) AS pc FROM l{d} GROUP BY ALL),
+a{d} AS (SELECT host, prefix, b, true AS alike FROM l{d} JOIN c{d} USING (host, prefix, lean, child) JOIN p{d} USING (host, prefix, lean)
+  GROUP BY host, prefix, b HAVING sum(greatest(0.0, CAST(nc AS DOUBLE) / nb - CAST(pc AS DOUBLE) / pool)) <= {u.TOLERANCE} + 1 / sqrt(any_value(nb))),
+m{d} AS (SELECT host, template, n, good, bad, CASE WHEN alike THEN list_concat(t[1:{d - 1}], ['{u.ANY}'], t[{d + 1}:]) ELSE t END AS t FROM b{d} LEFT JOIN a{d} USING (host, prefix, b))"""
+        )
+    cases = [(f"host = '{r.host}' OR host LIKE '%.{r.host}'", r) for r in sorted(u.RULES, key=lambda r: (-len(r.name), r.name))]
+    when = lambda x: "CASE " + " ".join(f"WHEN ({fits}) AND starts_with(path, '{r.path}') THEN '{x(r)}'" for fits, r in cases) + " END"
+    own.append(
+        f"""f AS (SELECT *, '/' || array_to_string(t, '/') AS into_ FROM m1),
+tot AS (SELECT coalesce(sum(good), 0) AS ag, coalesce(sum(bad), 0) AS ab FROM f),
+z AS (SELECT host, into_, CAST(sum(good) AS BIGINT) AS n_good, CAST(sum(bad) AS BIGINT) AS n_bad FROM f GROUP BY ALL),
+w AS (SELECT *, (1000 * n_good + {u.PRIOR_WEIGHT} * CASE WHEN ag + ab = 0 THEN 1000 ELSE 1000 * ag // (ag + ab) END) // (n_good + n_bad + {u.PRIOR_WEIGHT}) AS purity FROM z, tot)
+SELECT page_id, host, path, {when(lambda r: r.name)} AS rule,
+       coalesce({when(lambda r: r.verdict)}, CASE WHEN purity < {u.LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, into_ AS template, n_good, n_bad
+FROM r JOIN f USING (host, template) JOIN w USING (host, into_)"""
+    )
+    return "WITH " + ",\n".join(own)
 
 
 OP4_SQL = r"""
