@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm import bpe, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
-from pixelquilt.llm.common import read_table
+from pixelquilt.llm import bpe, chats, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
+from pixelquilt.llm.common import materialize, read_table
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation; for kept ones the rendering's characters, and a digest of its parts' digests."""
+    turns = read_table(spark, sf_dir, "conversations")
+    classes = materialize(chats.collapse(turns), "conversations")
+    parts = chats.render(turns, classes.where("kept")).select("conv_id", "part", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha"))
+    digest = F.sha2(F.array_join(F.expr("transform(sort_array(collect_list(struct(part, sha))), x -> x.sha)"), ""), 256)
+    whole = parts.groupBy("conv_id").agg(F.sum("chars").alias("n_chars"), digest.alias("parts_sha256"))
+    return classes.join(whole, "conv_id", "left").select("conv_id", "n_turns", "kept", "covered_by", "n_chars", "parts_sha256")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number in a page's path is the document it shows, whose labels are the page's."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -72,12 +82,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_partenum": op6_partenum,
         "op7_lm_score": op7_lm_score,
         "op8_licenses": op8_licenses,
+        "op9_chats": op9_chats,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL, "op10_url_filters": _op10_sql()}
+    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL, "op9_chats": OP9_SQL, "op10_url_filters": _op10_sql()}
 
 
 def _op10_sql() -> str:
@@ -187,6 +198,25 @@ SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(le
 FROM d LEFT JOIN x USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(role || chr(0) || text ORDER BY turn) AS ts, count(*) AS n FROM t GROUP BY conv_id),
+p AS (
+  SELECT k, key, max((n, -conv_id)) AS x
+  FROM (SELECT conv_id, n, k, array_to_string(ts[1:k], chr(1)) AS key FROM (SELECT *, unnest(range(1, n)) AS k FROM c)) GROUP BY k, key
+), e AS (SELECT *, array_to_string(ts, chr(1)) AS key, min(conv_id) OVER (PARTITION BY ts) AS least FROM c),
+b AS (
+  SELECT e.conv_id, e.n, coalesce(-p.x[2], CASE WHEN least < conv_id THEN least END) AS covered_by
+  FROM e LEFT JOIN p ON p.k = e.n AND p.key = e.key
+), r AS (
+  SELECT conv_id, part, string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS s
+  FROM (SELECT *, CAST(floor(turn / 1024) AS BIGINT) AS part FROM t) GROUP BY conv_id, part
+), w AS (SELECT conv_id, CAST(sum(length(s)) AS BIGINT) AS n_chars, sha256(string_agg(sha256(s), '' ORDER BY part)) AS parts_sha256 FROM r GROUP BY conv_id)
+SELECT b.conv_id, b.n AS n_turns, covered_by IS NULL AS kept, covered_by,
+       CASE WHEN covered_by IS NULL THEN n_chars END AS n_chars, CASE WHEN covered_by IS NULL THEN parts_sha256 END AS parts_sha256
+FROM b JOIN w USING (conv_id)
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
