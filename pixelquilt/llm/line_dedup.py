@@ -37,7 +37,9 @@ HOT = 200
 
 
 def _split(s: Column) -> Column:
-    return F.array_remove(F.split(F.lower(s), SPACE), "")
+    """Words in lower case; one empty word where there is none.  Plain blanks are split without a pattern."""
+    odd = s.rlike(r"[\x09-\x0D]|  |^ | $")
+    return F.split(F.lower(F.when(odd, F.trim(F.regexp_replace(s, SPACE, " "))).otherwise(s)), " ")
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
@@ -88,8 +90,8 @@ class Similarity:
 
 
 def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(place, c1, c2) of every line with enough words; and the classes that can have a similar one:
-    (c1, c2, first, n, words), words being the prefix and one more."""
+    """(place, c1, c2) of every line with enough words; and the classes (c1, c2, first, n, words, copies),
+    words being the prefix and one more."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
     sets = rows.select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words")).where(F.size("words") >= LEAST_WORDS)
     placed = sets.select(
@@ -100,24 +102,26 @@ def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataF
         F.expr(f"slice(words, 1, {sim.prefix('size(words)')} + 1)").alias("words"),
     )
     placed = materialize(placed, "lines")
-    firsts = placed.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
-    #: A class and its words: those at its first place, the same wherever the class stands.
-    firsts = materialize(firsts, "classes")
-    able = firsts.join(placed.where(f"n * {sim.den} >= (n + 1) * {sim.num}"), (F.col("place") == F.col("first")), "inner")
-    able = able.select(firsts["c1"], firsts["c2"], "first", "n", "words").dropDuplicates(["c1", "c2"])
-    return placed.select("place", "c1", "c2"), firsts, materialize(able, "joinable")
+    firsts = placed.groupBy("c1", "c2").agg(F.min(F.struct("place", "n", "words")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    firsts = firsts.select("c1", "c2", F.col("x.place").alias("first"), "x.n", "x.words", "copies")
+    return placed.select("place", "c1", "c2"), materialize(firsts, "classes")
 
 
 def _candidates(able: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, class, at, home, k, e...): the rows of each (word, band) that more than one class has,
+    """(key, class, at, home, first, k, e): the rows of each (word, band) that more than one class has,
     with their number k and the earliest class e."""
-    own = able.select("c1", "c2", "first", "n", "words", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
+    own = able.select("c1", "c2", "n", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
     bands = F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")
-    keys = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "c2", "first", "n", "at", F.col("band").eqNullSafe(F.expr(sim.band("n"))).alias("home"), "words")
-    keys = materialize(keys, "keys")
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("homes"), F.min(F.struct("first", "c1", "c2", "n", "at")).alias("e")).where("k > 1 and homes")
-    return materialize(keys.join(groups.select("key", "k", "e"), "key"), "candidates")
+    rows = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "c2", "n", "at", F.expr(f"band = {sim.band('n')}").alias("home"))
+    shared = rows.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("home").alias("homes")).where("lo < hi and homes").select("key")
+    shared = materialize(shared, "shared-words")
+    release(able.sparkSession)
+    told = materialize(rows.join(shared, "key", "left_semi"), "candidates")
+    release(able.sparkSession)
+    told = told.join(able.select("c1", "c2", "first"), ["c1", "c2"])
+    groups = told.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("first", "c1", "c2", "n", "at")).alias("e"))
+    return materialize(told.join(groups, "key"), "candidates")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, able: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
@@ -144,7 +148,9 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     sim = Similarity(num, den)
     docs = docs.select("doc_id", "text")
     levels = rarity_levels(docs)
-    placed, firsts, able = _classes(docs, levels, sim)
+    placed, firsts = _classes(docs, levels, sim)
+    #: Smaller classes have no other set that is similar.
+    able = firsts.where(f"n * {den} >= (n + 1) * {num}").drop("copies")
     release(spark)
     told = _candidates(able, sim)
     release(spark)
@@ -158,7 +164,7 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
 
     plain = told.where(f"k <= {HOT}").select("key", "c1", "c2", "first", "n", "at", "home")
     second = F.explode(F.expr("slice(words, at + 2, size(words))"))
-    hot = told.where(f"k > {HOT}").select("key", "c1", "c2", "first", "n", "at", "home", second.alias("v")).withColumn("key", F.xxhash64("key", "v")).drop("v")
+    hot = told.where(f"k > {HOT}").join(able.select("c1", "c2", "words"), ["c1", "c2"]).select("key", "c1", "c2", "first", "n", "at", "home", second.alias("v")).withColumn("key", F.xxhash64("key", "v")).drop("v")
     keyed = materialize(plain.union(hot), "keys")
     rest = keyed.join(found, ["c1", "c2"], "left_anti")
     other = keyed.select("key", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("first").alias("earlier"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"))
