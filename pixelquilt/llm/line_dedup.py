@@ -93,7 +93,7 @@ def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataF
     """(place, c1, c2) of every line with enough words; and the classes (c1, c2, first, n, words, copies),
     words being the prefix and one more."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
-    sets = rows.select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    sets = rows.select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words"))
     placed = sets.select(
         F.struct("doc_id", "h", "line").alias("place"),
         F.xxhash64("words", F.lit(1)).alias("c1"),
@@ -101,45 +101,42 @@ def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataF
         F.size("words").alias("n"),
         F.expr(f"slice(words, 1, {sim.prefix('size(words)')} + 1)").alias("words"),
     )
-    placed = materialize(placed, "lines")
+    #: Filtered when read again: a filter on the sets before would have them made twice.
+    placed = materialize(placed, "lines").where(f"n >= {LEAST_WORDS}")
     firsts = placed.groupBy("c1", "c2").agg(F.min(F.struct("place", "n", "words")).alias("x"), F.count(F.lit(1)).alias("copies"))
     firsts = firsts.select("c1", "c2", F.col("x.place").alias("first"), "x.n", "x.words", "copies")
     return placed.select("place", "c1", "c2"), materialize(firsts, "classes")
 
 
 def _candidates(able: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, class, at, home, first, k, e): the rows of each (word, band) that more than one class has,
-    with their number k and the earliest class e."""
-    own = able.select("c1", "c2", "n", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
+    """(key, c1, n, at, home, o): the rows of each (word, band) that more than one class has; o is the
+    number of a class's first document."""
+    order = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("o")
+    own = able.select("c1", "n", order, F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
     bands = F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")
-    rows = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "c2", "n", "at", F.expr(f"band = {sim.band('n')}").alias("home"))
+    rows = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.expr(f"band = {sim.band('n')}").alias("home"), "o")
     shared = rows.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("home").alias("homes")).where("lo < hi and homes").select("key")
     shared = materialize(shared, "shared-words")
     release(able.sparkSession)
-    told = materialize(rows.join(shared, "key", "left_semi"), "candidates")
-    release(able.sparkSession)
-    told = told.join(able.select("c1", "c2", "first"), ["c1", "c2"])
-    groups = told.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("first", "c1", "c2", "n", "at")).alias("e"))
-    return materialize(told.join(groups, "key"), "candidates")
+    return materialize(rows.join(shared, "key", "left_semi"), "candidates")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, able: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
-    """(c1, c2) of the classes that have a similar earlier one among their pairs (c1, c2, d1, d2)."""
-    asked = pairs.select("c1", "c2").union(pairs.select("d1", "d2")).distinct()
-    wanted = able.select("c1", "c2", "first").join(asked, ["c1", "c2"], "left_semi")
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.h").alias("hash")).agg(F.collect_list(F.struct("first.line", "c1", "c2")).alias("asked"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash")))
-    lines = found.select("asked", F.split("text", "\n").alias("lines"))
-    each = lines.select(F.explode(F.transform("asked", lambda x: F.struct(x.c1.alias("c1"), x.c2.alias("c2"), F.get("lines", x.line).alias("s")))).alias("x"))
-    sets = materialize(each.select("x.c1", "x.c2", "x.s").dropDuplicates(["c1", "c2"]), "texts")
+    """(c1, c2) of the classes that have a similar earlier one among their pairs (c1, d1)."""
+    asked = pairs.select("c1").union(pairs.select("d1")).distinct()
+    wanted = able.select("c1", "c2", "first").join(asked, "c1", "left_semi")
+    by_doc = wanted.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.h").alias("hash")).agg(F.collect_list(F.struct("c1", "c2", "first")).alias("asked"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash")))
+    lines = texts.select("asked", F.split("text", "\n").alias("lines"))
+    each = lines.select(F.explode(F.transform("asked", lambda x: F.struct(x.c1.alias("c1"), x.c2.alias("c2"), x.first.alias("first"), F.get("lines", x.first.line).alias("s")))).alias("x"))
+    sets = materialize(each.select("x.c1", "x.c2", "x.first", "x.s"), "texts")
     release(docs.sparkSession)
-    left = sets.select("c1", "c2", F.col("s").alias("left"))
-    right = sets.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("s").alias("right"))
-    both = pairs.join(left, ["c1", "c2"]).join(right, ["d1", "d2"])
-    both = both.select("c1", "c2", _set(F.col("left"), levels).alias("a"), _set(F.col("right"), levels).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
-    return both.where(F.expr(f"{sim.den} * both >= {sim.num} * (size(a) + size(b) - both)")).select("c1", "c2").distinct()
+    other = sets.select(F.col("c1").alias("d1"), F.col("first").alias("earlier"), F.col("s").alias("t"))
+    both = pairs.join(sets, "c1").join(other, "d1").where(F.col("earlier") < F.col("first"))
+    both = both.select("c1", "c2", _set(F.col("s"), levels).alias("a"), _set(F.col("t"), levels).alias("b"))
+    tested = both.select("c1", "c2", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return materialize(tested, "tested").where(f"{sim.den} * both >= {sim.num} * (total - both)").select("c1", "c2").distinct()
 
 
 def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
@@ -153,24 +150,25 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     able = firsts.where(f"n * {den} >= (n + 1) * {num}").drop("copies")
     release(spark)
     told = _candidates(able, sim)
+    groups = told.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("o", "c1", "n", "at")).alias("e"))
+    groups = materialize(groups, "words")
+    star = told.join(groups, "key").select("c1", "n", "at", F.col("e.c1").alias("d1"), F.col("e.n").alias("m"), F.col("e.at").alias("to"))
+    near = materialize(star.where((F.col("c1") != F.col("d1")) & F.expr(sim.fits("n", "m", "at", "to"))).select("c1", "d1").distinct(), "pairs")
     release(spark)
-
-    names = ["c1", "c2", "d1", "d2"]
-    star = told.select("c1", "c2", "n", "at", "first", F.col("e.c1").alias("d1"), F.col("e.c2").alias("d2"), F.col("e.first").alias("earlier"), F.col("e.n").alias("m"), F.col("e.at").alias("to"))
-    near = star.where((F.col("earlier") < F.col("first")) & F.expr(sim.fits("n", "m", "at", "to"))).select(*names).distinct()
-    near = materialize(near, "pairs")
     found = materialize(_similar(docs, near, able, levels, sim), "similar")
     release(spark)
 
-    plain = told.where(f"k <= {HOT}").select("key", "c1", "c2", "first", "n", "at", "home")
+    often = groups.where(f"k > {HOT}").select("key")
+    plain = told.join(often, "key", "left_anti")
     second = F.explode(F.expr("slice(words, at + 2, size(words))"))
-    hot = told.where(f"k > {HOT}").join(able.select("c1", "c2", "words"), ["c1", "c2"]).select("key", "c1", "c2", "first", "n", "at", "home", second.alias("v")).withColumn("key", F.xxhash64("key", "v")).drop("v")
-    keyed = materialize(plain.union(hot), "keys")
-    rest = keyed.join(found, ["c1", "c2"], "left_anti")
-    other = keyed.select("key", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("first").alias("earlier"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"))
-    met = rest.join(other, "key").where((F.col("earlier") < F.col("first")) & (F.col("home") | F.col("there")) & F.expr(sim.fits("n", "m", "at", "to")))
-    more = materialize(met.select(*names).distinct().join(near, names, "left_anti"), "pairs")
-    found = found.union(materialize(_similar(docs, more, able, levels, sim), "similar"))
+    hot = told.join(often, "key", "left_semi").join(able.select("c1", "words"), "c1").select("key", "c1", "n", "at", "home", "o", second.alias("v"))
+    keyed = materialize(plain.select("key", "c1", "n", "at", "home", "o").union(hot.select(F.xxhash64("key", "v"), "c1", "n", "at", "home", "o")), "keys")
+    rest = keyed.join(found.select("c1"), "c1", "left_anti")
+    other = keyed.select("key", F.col("c1").alias("d1"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"), F.col("o").alias("p"))
+    met = rest.join(other, "key").where(F.expr("c1 <> d1 and p <= o and (home or there)") & F.expr(sim.fits("n", "m", "at", "to")))
+    more = materialize(met.select("c1", "d1").distinct().join(near, ["c1", "d1"], "left_anti"), "pairs")
+    release(spark)
+    found = found.union(materialize(_similar(docs, more, able, levels, sim), "similar")).distinct()
     release(spark)
 
     marks = firsts.join(found.withColumn("hit", F.lit(True)), ["c1", "c2"], "left").where("copies > 1 or hit").select("c1", "c2", "first", "hit")
