@@ -66,5 +66,5 @@ def as_shot(r: Raster) -> tuple[float, float]:
         for _ in range(32):
             tint = (low + high) / 2
             gr, gb = gains()
-            low, high = (tint, high) if gr + gb < red + blue else (low, tint)
+            low, high = (low, tint) if gr + gb < red + blue else (tint, high)
     return kelvin, tint

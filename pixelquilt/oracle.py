@@ -30,9 +30,9 @@ def half(v: str) -> str:
 def near(name: str, source: str, k: int | str, columns: tuple[str, ...], more: str = "") -> str:
     """CTE: each pixel with its neighbours' columns at (dx, dy), edge values beyond the image."""
     offsets = f"(SELECT dx, dy FROM range(-{k}, {k} + 1) a(dx), range(-{k}, {k} + 1) b(dy))"
-    return f"""{name} AS (SELECT p.image_id, p.x, p.y, dx, dy, {', '.join(f'q.{c} AS {c}' for c in columns)}{more}
-  FROM {source} p CROSS JOIN {offsets} o JOIN {source} q ON q.image_id = p.image_id
-  AND q.x = greatest(0, least(p.w - 1, p.x + dx)) AND q.y = greatest(0, least(p.h - 1, p.y + dy)))"""
+    return f"""{name}_at AS MATERIALIZED (SELECT p.*, dx, dy, greatest(0, least(w - 1, x + dx)) AS qx, greatest(0, least(h - 1, y + dy)) AS qy FROM {source} p CROSS JOIN {offsets} o),
+{name} AS (SELECT p.image_id, p.x, p.y, dx, dy, {', '.join(f'q.{c} AS {c}' for c in columns)}{more}
+  FROM {name}_at p JOIN {source} q ON q.image_id = p.image_id AND q.x = qx AND q.y = qy)"""
 
 
 def inside(name: str, source: str, k: int, value: str) -> str:
@@ -217,9 +217,9 @@ t AS (SELECT image_id, x, y, {', '.join(RGB)} FROM k UNION ALL SELECT image_id,
     h2 = (0.301) ** 2
     q["nonlocal_means"] = out(
         f"""{VECTORS}, {near('sr', 'px', 2, ('c0',), ', p.c0 AS m, p.w, p.h')}, pt AS (SELECT px_, py_ FROM range(-1, 2) a(px_), range(-1, 2) b(py_)),
-d AS (SELECT s.image_id, s.x, s.y, dx, dy, s.c0, s.m, avg(pow(a.c0 - b.c0, 2)) AS d FROM sr s CROSS JOIN pt
-  JOIN px a ON a.image_id = s.image_id AND a.x = greatest(0, least(s.w - 1, s.x + px_)) AND a.y = greatest(0, least(s.h - 1, s.y + py_))
-  JOIN px b ON b.image_id = s.image_id AND b.x = greatest(0, least(s.w - 1, s.x + dx + px_)) AND b.y = greatest(0, least(s.h - 1, s.y + dy + py_)) GROUP BY ALL),
+pa AS MATERIALIZED (SELECT s.*, greatest(0, least(w - 1, x + px_)) AS ax, greatest(0, least(h - 1, y + py_)) AS ay, greatest(0, least(w - 1, x + dx + px_)) AS bx, greatest(0, least(h - 1, y + dy + py_)) AS by_ FROM sr s CROSS JOIN pt),
+d AS (SELECT s.image_id, s.x, s.y, dx, dy, s.c0, s.m, avg(pow(a.c0 - b.c0, 2)) AS d FROM pa s
+  JOIN px a ON a.image_id = s.image_id AND a.x = ax AND a.y = ay JOIN px b ON b.image_id = s.image_id AND b.x = bx AND b.y = by_ GROUP BY ALL),
 k AS (SELECT *, CASE WHEN pow(c0 - m, 2) <= 9 * {h2!r} THEN exp(-d / {h2!r}) ELSE 0 END AS g FROM d)""",
         {"c0": "sum(g * c0) / greatest(sum(g), 1e-8)"}, "k GROUP BY image_id, x, y",
     )
