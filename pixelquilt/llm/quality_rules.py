@@ -5,9 +5,12 @@ value's six leading bits, so a bucket is at most 1/32 of its value wide.  Sketch
 adding counts, over tasks and over groups: a (language, source) with too few documents takes
 the thresholds of its language, that of all documents where even these are few.
 
-An upper fence is q75 + SPREAD * (q75 - q25) plus a slack, and a lower one likewise.  Fixed
-base rules (too few words, too much repetition) come first; documents they reject don't enter
-the sketches.
+An upper fence is q75 + SPREAD * (q75 - q25) plus a slack, and a lower one likewise.  Most
+documents repeat nothing, so both quartiles of the repetition rates are 0; their fence is a
+quantile from the tail and a share of it instead.  One repetition is no pattern: a document is
+held against these fences without its only repeated line, or one repeated phrase of three words,
+while the sketches count everything.  Fixed base rules (too few words, too much repetition) come
+first; documents they reject don't enter the sketches.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pixelquilt.llm.common import NOT_SPACE, SPACE, materialize
 #: Documents that a group must have for thresholds of its own; groups small enough to send to all workers.
 LEAST_DOCS, MOST_GROUPS = 200, 200_000
 SPREAD = 3
+#: A tail fence lies by this part of the quantile above it.
+MARGIN = 8
 
 
 @dataclass(frozen=True)
@@ -30,19 +35,22 @@ class Metric:
     value: str  # SQL over the base columns, a whole number
     slack: int
     low: bool = False  # has a lower fence too
+    tail: int = 0  # percentile that the upper fence is taken from, in place of quartiles
+    tested: str = ""  # what is held against the fences, if not the value
 
 
 METRICS = (
     Metric("word_length", "word_chars * 100 div greatest(n_words, 1)", 150, low=True),
     Metric("symbol_rate", "n_symbols * 10000 div greatest(n_words, 1)", 1000),
-    Metric("dup_line_rate", "n_dup_lines * 10000 div greatest(n_lines, 1)", 5000),
-    Metric("repeat_rate", "n_repeat_words * 10000 div greatest(n_words, 1)", 4000),
+    Metric("dup_line_rate", "n_dup_lines * 10000 div greatest(n_lines, 1)", 500, tail=98, tested="if(n_dup_lines = 1, 0, n_dup_lines) * 10000 div greatest(n_lines, 1)"),
+    Metric("repeat_rate", "n_repeat_words * 10000 div greatest(n_words, 1)", 500, tail=95, tested="greatest(n_repeat_words - greatest(2 * echo_words, 6), 0) * 10000 div greatest(n_words, 1)"),
 )
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with BASE, ``n_lines`` (lines with a word) and ``base_failed``."""
+    """``docs`` with BASE, ``n_lines`` (lines with a word), ``echo_words`` (words of the
+    only repeated line, 0 without or with more) and ``base_failed``."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_words", F.array_remove(F.split(body, SPACE), ""))
     out = out.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE)))
@@ -64,6 +72,10 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", marked)
     )
+    ordered = F.array_sort("_lines")
+    echo = F.get(F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1)), F.lit(0))
+    echo = F.size(F.array_remove(F.split(echo, SPACE), "")).cast("long")
+    out = out.withColumn("echo_words", F.when(F.col("n_dup_lines") == 1, echo).otherwise(F.lit(0)))
     out = out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     return out.drop("_words", "_lines", "_h", "_s", "_p")
 
@@ -88,14 +100,15 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, metric, docs, q25, q75) of each sketch."""
+    """(level, lang, source, metric, docs, q25, q75, tail) of each sketch."""
     from pyspark.sql import Window
 
     own = Window.partitionBy("level", "lang", "source", "metric")
     up_to = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumn("below", F.sum("n").over(up_to)).withColumn("docs", F.sum("n").over(own))
     at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("docs") * q, F.col("bucket")))
-    return ranked.groupBy("level", "lang", "source", "metric").agg(F.first("docs").alias("docs"), at(25).alias("q25"), at(75).alias("q75"))
+    tail = F.expr("case metric " + " ".join(f"when '{m.name}' then {m.tail}" for m in METRICS) + " end")
+    return ranked.groupBy("level", "lang", "source", "metric").agg(F.first("docs").alias("docs"), at(25).alias("q25"), at(75).alias("q75"), at(tail).alias("tail"))
 
 
 def thresholds(measured: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -106,7 +119,7 @@ def thresholds(measured: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
         cols = []
         for m in METRICS:
             mine = F.col("metric") == m.name
-            cols += [F.max(F.when(mine, F.col("q25"))).alias(f"{tag}{m.name}_q25"), F.max(F.when(mine, F.col("q75"))).alias(f"{tag}{m.name}_q75")]
+            cols += [F.max(F.when(mine, F.col("q25"))).alias(f"{tag}{m.name}_q25"), F.max(F.when(mine, F.col("q75"))).alias(f"{tag}{m.name}_q75"), F.max(F.when(mine, F.col("tail"))).alias(f"{tag}{m.name}_tail")]
         return got.where(F.col("level") == level).groupBy("lang", "source").agg(F.max("docs").alias(f"{tag}docs"), *cols)
 
     fine, mid, top = wide(2, "f_"), wide(1, "m_").drop("source"), wide(0, "t_").drop("lang", "source")
@@ -117,7 +130,9 @@ def thresholds(measured: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     out = []
     for m in METRICS:
         low, high = pick(f"{m.name}_q25"), pick(f"{m.name}_q75")
-        out.append((high + SPREAD * (high - low) + m.slack).alias(f"{m.name}_hi"))
+        tail = pick(f"{m.name}_tail")
+        upper = F.floor(tail + tail / MARGIN) if m.tail else high + SPREAD * (high - low)
+        out.append((upper + m.slack).alias(f"{m.name}_hi"))
         if m.low:
             out.append((low - SPREAD * (high - low) - m.slack).alias(f"{m.name}_lo"))
     return rows.select("lang", "source", *out)
@@ -137,7 +152,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     limits = materialize(thresholds(measured, least), "thresholds")
     if limits.count() <= MOST_GROUPS:
         limits = F.broadcast(limits)
-    tests = [F.expr(f"{m.value} <= {m.name}_hi" + f" and {m.value} >= {m.name}_lo" * m.low) for m in METRICS]
+    tests = [F.expr(f"{m.tested or m.value} <= {m.name}_hi" + f" and {m.tested or m.value} >= {m.name}_lo" * m.low) for m in METRICS]
     passed = tests[0]
     for t in tests[1:]:
         passed = passed & t

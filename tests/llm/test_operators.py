@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelquilt.llm import bpe, chats, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
+from pixelquilt.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -223,6 +224,26 @@ def test_quality_thresholds_reject_what_stands_out(spark):
     assert not got.pop(999) and not got.pop(1000) and all(got.values())
 
 
+def test_quality_repetition_fences_follow_the_group(spark):
+    rnd = random.Random(8)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    body = lambda n: [line(12) for _ in range(n)]
+    rows = []
+    for i in range(300):
+        clean, songs = body(10), body(12)
+        rows += [(i, "\n".join(clean), "en", "clean", 1), (1000 + i, "\n".join([*songs, *songs[:2]]) if i % 10 == 0 else "\n".join(songs), "en", "songs", 1)]
+    one, two, three = body(4), body(10), body(10)
+    rows += [(5000, "\n".join([*one, one[0]]), "en", "clean", 1), (5001, "\n".join([*two, *two[:2]]), "en", "clean", 1), (5002, "\n".join([*three, *three[:3]]), "en", "songs", 1)]
+    phrase = line(6)
+    rows += [(5003, line(60) + " ".join([" "] + [phrase + " " + line(6)] * 2), "en", "clean", 1), (5004, line(60) + " w1 w2 w3 " + line(3) + " w1 w2 w3", "en", "clean", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {5001, 5002, 5003}
+    limits = {r.source: (r.dup_line_rate_hi, r.repeat_rate_hi) for r in quality_rules.thresholds(materialize(quality_rules.base_metrics(docs), "measured")).collect()}
+    assert limits["clean"] == (500, 500) and all(a > b for a, b in zip(limits["songs"], limits["clean"]))
+
+
 def test_warc_round_trip_and_order(spark):
     rows = [(1, "http://A.example.com/b?q=1", "x"), (2, "http://a.example.com/b?q=1", "x"), (3, None, None), (4, "no scheme", ""), (5, "http://b.example.com/\r\nInjected: 1", "é" * 1000), (None, "http://c.example.com", "n"), (6, "http://a.example.com/a", "x")]
     out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
