@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join of lines.
 
 A line is the set of its distinct words, in lower case.  Equal sets are one class, known by two
-hashes, and first seen at its smallest place (document, line).  A class's words are ordered by
+hashes, and first seen at its smallest place (document, line); lines without a word are left out.  A class's words are ordered by
 rarity; of two classes with Jaccard similarity num/den or more
 
 * the sizes are close (length filter),
@@ -30,8 +30,6 @@ from pixelquilt.llm.common import NOT_SPACE, SPACE, materialize, release
 
 #: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
 BUCKETS = 1 << 14
-#: Lines with fewer distinct words say too little by themselves and always stay.
-LEAST_WORDS = 3
 #: Classes under one word from which on the second shared word is asked for.
 HOT = 200
 
@@ -90,10 +88,10 @@ class Similarity:
 
 
 def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(place, c1, c2) of every line with enough words; and the classes (c1, c2, first, n, words, copies),
+    """(place, c1, c2) of every line with a word; and the classes (c1, c2, first, n, words, copies),
     words being the prefix and one more."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
-    sets = rows.select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words"))
+    sets = rows.where(F.col("s").rlike(NOT_SPACE)).select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words"))
     placed = sets.select(
         F.struct("doc_id", "h", "line").alias("place"),
         F.xxhash64("words", F.lit(1)).alias("c1"),
@@ -101,8 +99,7 @@ def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataF
         F.size("words").alias("n"),
         F.expr(f"slice(words, 1, {sim.prefix('size(words)')} + 1)").alias("words"),
     )
-    #: Filtered when read again: a filter on the sets before would have them made twice.
-    placed = materialize(placed, "lines").where(f"n >= {LEAST_WORDS}")
+    placed = materialize(placed, "lines")
     firsts = placed.groupBy("c1", "c2").agg(F.min(F.struct("place", "n", "words")).alias("x"), F.count(F.lit(1)).alias("copies"))
     firsts = firsts.select("c1", "c2", F.col("x.place").alias("first"), "x.n", "x.words", "copies")
     return placed.select("place", "c1", "c2"), materialize(firsts, "classes")
@@ -182,8 +179,8 @@ def dedup(docs: DataFrame, num: int = 9, den: int = 10, doc_id: str = "doc_id",
 
     Places are ordered by (doc_id, hash of the text, line), null ids first; rows that agree in both
     are one document and come out alike.  A null text stays null and has no lines; an empty one has
-    one line, which stays.  Lines with fewer than three distinct words stay.  Result columns replace
-    columns of the same name; an empty table gives an empty one.
+    one line, which stays.  Lines without a word stay.  Result columns replace columns of the same name;
+    an empty table gives an empty one.
     """
     base = docs.drop("n_lines", "gone")
     plan = materialize(removed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), num, den), "removed")

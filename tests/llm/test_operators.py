@@ -123,6 +123,20 @@ def test_line_dedup_asks_for_the_second_word_under_hot_words(spark, monkeypatch)
     assert got == want and len(want) >= 8
 
 
+def test_line_dedup_takes_repeats_of_short_lines(spark):
+    lines = ["Read more", "", "---", "buy", " ", "read  MORE read", "buy buy", "---", "", "a " * 9000, "Read", "more read", "A a", "--- x", "\t"]
+    rows = [(0, "\n".join(lines)), (1, "buy"), (2, ""), (3, "sell\n\n\nsell")]
+    seen, gone = [], {}
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            s = set(WORD.findall(line.lower()))
+            if s and s in seen:
+                gone.setdefault(i, []).append(k)
+            seen.append(s)
+    got = {r.doc_id: r.gone for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: g for i, g in got.items() if g} == gone == {0: [5, 6, 7, 11, 12], 1: [0], 3: [3]}
+
+
 def test_decontamination_and_its_parts(spark, docs, none):
     bench = spark.createDataFrame([(1, texts()[10][:600]), (2, "ONE two; three"), (3, None), (4, ""), (10, "one two three"), (None, "x")], "item_id long, text string")
     for most in (500_000, 7):
