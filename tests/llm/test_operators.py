@@ -214,6 +214,20 @@ def test_licenses(spark, none):
     assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] and a[2] > b[2] for a in spans for b in spans)
 
 
+def test_license_keywords_let_every_match_through():
+    scanner = licenses.Scanner()
+    rows = ["distributed under the gnu gpl.", "released under cc0", "all rights\n * reserved", "all  rights  reserved", "the public\n// domain", "creative  commons zero", "boost software\n# license", "gnu free  documentation license 1.2", "do what the fuck you want to public license", "\u201cmpl-2.0\u201d", "all\u00a0rights\u00a0reserved", "the gnu lgpl", "gnu agpl", "xspdx-license-identifier: mit", "the gnu lesser general\n *  public license, version 2.1", "nothing of the kind", ""]
+    for t in rows:
+        every = {scanner.ordered[i].label for i, c in enumerate(scanner.compiled) if c.search(t)}
+        found = scanner.detect(t)
+        assert bool(every) == bool(found) and {d.rule.label for d in found} <= every, t
+        free = licenses.Scanner()
+        free.names, free.strings = {b"": list(range(len(free.ordered)))}, {}
+        assert found == free.detect(t), t
+    assert {d.rule.label for d in scanner.detect(rows[0])} == {"gpl"} and {d.rule.label for d in scanner.detect(rows[1])} == {"cc0"}
+    assert {d.rule.label for d in scanner.detect(rows[2])} == {"all-rights-reserved"} and not scanner.detect(rows[-2])
+
+
 def test_quality_rules(docs, none):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     for i, t in enumerate(texts()):
