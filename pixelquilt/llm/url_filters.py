@@ -1,6 +1,6 @@
 """URL filters: listed rules first, then the purity of a URL's path template.
 
-Per host, paths form a tree of segments.  Number segments, and all segments of a node that has
+Per host, paths form a tree of segments, as deep as the longest path.  Number segments, and all segments of a node that has
 too many different ones, become wildcards.  Then branches of one node whose children are spread
 alike (within sampling error of what the branches like it have together), and whose labels lean
 the same way, are merged.  A template's purity is its share of good labels, smoothed with the
@@ -14,13 +14,14 @@ Spark splits.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquilt.llm.common import lower_ascii, materialize
 
-#: Levels of the tree; what lies deeper is one more wildcard.
+#: Levels that the SQL expands; the tree itself has no limit.
 DEPTH = 4
 #: A node with MANY different segments, or with SOME that hold more than a quarter of its URLs, is variable.
 MANY, SOME = 64, 8
@@ -78,28 +79,49 @@ def _shape(s: str) -> str:
     return f"case when {s} rlike '^[0-9]+$' then '<n>' when {s} rlike '^[0-9]+[.][A-Za-z0-9]+$' then '<n.>' when {s} rlike '[0-9]' then '<mixed>' else '<word>' end"
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(row columns, template): ``urls`` has host and path; segments are generalised level by level."""
-    rows = urls.withColumn("segs", F.split(F.expr("substring(path, 2)"), "/")).withColumn("t", F.lit(""))
-    for i in range(1, depth + 1):
+def _part(s: str) -> str:
+    return f"case when {_shape(s)} in ('<n>', '<n.>') then concat('/', {_shape(s)}) else concat('/', {s}) end"
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """(columns, template): ``paths`` has host, path and n, a row each; segments are generalised level by level.
+
+    A node of fewer than SOME paths has no variable one below, so their rest needs no more
+    levels; the others go on until none is left.
+    """
+    rows = paths.withColumn("segs", F.split(F.expr("substring(path, 2)"), "/")).withColumn("t", F.lit(""))
+    ended, i = [], 0
+    while True:
+        i += 1
         seg = f"get(segs, {i - 1})"
-        rows = rows.withColumn("seg", F.expr(seg)).withColumn("shape", F.expr(f"case when {seg} is not null then {_shape(seg)} end"))
-        rows = materialize(rows, "url-level")
-        named = rows.where("seg is not null and shape not in ('<n>', '<n.>')")
-        each = named.groupBy("host", "t", "seg").agg(F.count(F.lit(1)).alias("c"))
-        nodes = each.groupBy("host", "t").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
-        nodes = nodes.where(f"v > {MANY} or v >= {SOME} and 4 * v > c").select("host", "t", F.lit(True).alias("variable"))
-        rows = rows.join(nodes, ["host", "t"], "left")
-        part = F.expr("case when seg is null then '' when shape in ('<n>', '<n.>') or variable then concat('/', shape) else concat('/', seg) end")
-        rows = rows.withColumn("t", F.concat("t", part)).drop("variable", "seg", "shape")
-    deeper = F.when(F.size("segs") > depth, F.lit("/<deep>")).otherwise(F.lit(""))
-    return materialize(rows.withColumn("template", F.concat("t", deeper)).drop("segs", "t"), "url-templates")
-
-
-def merged(stats: DataFrame, depth: int = DEPTH) -> DataFrame:
+        rows = rows.withColumn("seg", F.expr(seg)).withColumn("shape", F.expr(_shape("seg")))
+        rows = rows.withColumn("name", F.expr("case when shape not in ('<n>', '<n.>') then seg end"))
+        each = rows.groupBy("host", "t", "name").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("p"))
+        nodes = each.groupBy("host", "t").agg(F.sum(F.expr("case when name is not null then c end")).alias("c"), F.count("name").alias("v"), F.sum("p").alias("p"))
+        nodes = nodes.select("host", "t", F.expr(f"v > {MANY} or v >= {SOME} and 4 * v > c").alias("variable"), F.expr(f"p < {SOME}").alias("few"))
+        rows = rows.join(nodes, ["host", "t"])
+        part = F.expr("case when name is null or variable then concat('/', shape) else concat('/', seg) end")
+        rest = F.expr(f"case when few then array_join(transform(slice(segs, {i + 1}, size(segs)), s -> {_part('s')}), '') else '' end")
+        rows = rows.withColumn("t", F.concat("t", part, rest)).withColumn("over", F.expr(f"few or size(segs) <= {i}"))
+        rows = materialize(rows.drop("variable", "few", "seg", "shape", "name"), "url-level")
+        ended.append(rows.where("over").drop("over", "segs").withColumnRenamed("t", "template"))
+        rows = rows.where("not over").drop("over")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.union, ended)
+
+
+def _branching(stats: DataFrame) -> list[int]:
+    """The levels, deepest first, at which a node has more than one branch; numbers up to the depth."""
+    named = stats.withColumn("t", F.split(F.expr("substring(template, 2)"), "/")).select("host", "t", F.posexplode("t").alias("at", "b")).where("b not like '<%'")
+    node = named.groupBy("at", "host", F.expr("xxhash64(slice(t, 1, at))").alias("prefix")).agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    return sorted((r.at + 1 for r in node.where("lo < hi").select("at").distinct().collect()), reverse=True)
+
+
+def merged(stats: DataFrame) -> DataFrame:
     """(host, template, into): stats (host, template, n, good, bad) with similar branches merged."""
     rows = stats.withColumn("t", F.split(F.expr("substring(template, 2)"), "/"))
-    for d in range(depth, 0, -1):
+    for d in _branching(stats):
         seg = f"get(t, {d - 1})"
         rows = rows.withColumn("prefix", F.expr(f"array_join(slice(t, 1, {d - 1}), '/')")).withColumn("b", F.expr(f"case when {seg} not like '<%' then {seg} end"))
         rows = materialize(rows.withColumn("child", F.expr(f"case when size(t) > {d} then array_join(slice(t, {d + 1}, size(t)), '/') end")), "url-branches")
@@ -133,9 +155,11 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[Rule,
     else:
         own = labels.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
         rows = rows.join(own, "page_id", "left")
-    rows = templates(rows)
+    rows = materialize(rows, "url-rows")
     count = lambda c: F.count(F.when(c, 1))
-    stats = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), count(F.col("good")).alias("good"), count(~F.col("good")).alias("bad"))
+    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), count(F.col("good")).alias("good"), count(~F.col("good")).alias("bad"))
+    paths = templates(paths)
+    stats = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
     tree = materialize(merged(materialize(stats, "url-stats")), "url-tree")
     total = tree.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("all_good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"))
     sums = tree.groupBy("host", "into").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
@@ -143,6 +167,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[Rule,
     sums = sums.join(F.broadcast(total), F.lit(True)).withColumn("prior", F.expr("case when all_good + all_bad = 0 then 1000 else 1000 * all_good div (all_good + all_bad) end"))
     sums = sums.withColumn("purity", F.expr(f"(1000 * n_good + {PRIOR_WEIGHT} * prior) div (n_good + n_bad + {PRIOR_WEIGHT})"))
     named = tree.select("host", "template", "into").join(sums, ["host", "into"]).select("host", "template", "into", "n_good", "n_bad", "purity")
-    out = with_rule(rows, rules).join(named, ["host", "template"], "left")
+    named = paths.select("host", "path", "template").join(named, ["host", "template"]).drop("template")
+    out = with_rule(rows, rules).join(named, ["host", "path"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("into").alias("template"), "n_good", "n_bad")

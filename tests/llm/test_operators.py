@@ -319,6 +319,19 @@ def test_url_rules_and_purity(spark):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_url_templates_go_to_the_last_segment(spark):
+    deep = [(i, f"http://h.org/blog/2024/05/12/{'spam-offer' if i % 2 else 'report'}/{'a/' * (i % 5)}{i}") for i in range(120)]
+    deep += [(1000 + i, f"http://k.org/x/y/z/u/v/w/item-{'abcdefghijkl'[i]}") for i in range(12)] + [(2000, "http://l.org/p/q/r/s/5/t/u/6.html")]
+    deep += [(3000 + i, f"http://g.org/1/2/3/4/5/{'ab'[i % 2]}/{'cd'[i // 2 % 2]}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(120)], "page_id long, good boolean")
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(deep, "page_id long, url string"), labels).collect()}
+    assert len(got) == len(deep)
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(120))
+    assert got[0].template == "/blog/<n>/<n>/<n>/report/<n>" and got[1].template == "/blog/<n>/<n>/<n>/spam-offer/a/<n>"
+    assert {got[1000 + i].template for i in range(12)} == {"/x/y/z/u/v/w/<word>"} and got[2000].template == "/p/q/r/s/<n>/t/u/<n.>"
+    assert {got[3000 + i].template for i in range(80)} == {"/<n>/<n>/<n>/<n>/<n>/{*}/{*}"}
+
+
 def test_the_pipeline_on_its_own_documents(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from tokenizers import Tokenizer
