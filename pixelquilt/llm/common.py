@@ -7,6 +7,7 @@ every executor can reach, so a lost executor costs a re-read and never the job.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,13 +25,15 @@ _local_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of our own, in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
-        _local_scratch[app] = "file://" + tempfile.mkdtemp(prefix="pixelquilt-")
+        _local_scratch[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _local_scratch[app]
 
 
@@ -43,6 +46,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Scratch:
+    """The scratch tables of one call: each is deleted after its last reader, ``drop()`` deletes those that are left."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{scratch_root(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = out, path
+        release(self.spark)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Not to be deleted: what the caller's result reads."""
+        self.paths.pop(id(df), None)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all that are left."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for key in [id(t) for t in tables] or list(self.paths):
+            if key in self.paths:
+                at = jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[1])
+                at.getFileSystem(conf).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that nothing refers to any more."""
     gc.collect()
@@ -64,7 +97,7 @@ _U = np.uint64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads every input bit over all 64 output bits."""
+    """Finaliser that spreads every input bit over all 64 output bits; its multipliers are fixed values."""
     x = x ^ (x >> _U(30))
     x = x * _U(0xBF58476D1CE4E5B9)
     x = x ^ (x >> _U(27))

@@ -176,7 +176,7 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 l AS (
   SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(lower(ls[i]), '[^\x20\x09-\x0D]+'))) AS ws
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
-), k AS (SELECT ws, len(ws) AS n, min((doc_id, line)) AS first, row_number() OVER () AS id FROM l WHERE len(ws) >= 3 GROUP BY ws),
+), k AS (SELECT ws, len(ws) AS n, min((doc_id, line)) AS first, row_number() OVER () AS id FROM l WHERE len(ws) >= 1 GROUP BY ws),
 w AS (SELECT id, n, first, unnest(ws) AS word FROM k),
 f AS (SELECT word, count(*) AS c FROM w GROUP BY word),
 o AS (SELECT id, n, first, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS pos FROM w JOIN f USING (word)),

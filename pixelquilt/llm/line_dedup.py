@@ -1,22 +1,26 @@
 """Line dedup by an exact set-similarity join of lines.
 
 A line is the set of its distinct words, in lower case.  Equal sets are one class, known by two
-hashes, and first seen at its smallest place (document, line); lines without a word are left out.  A class's words are ordered by
-rarity; of two classes with Jaccard similarity num/den or more
+hashes, and first seen at its smallest place (document, line); lines without a word are left out.
+A class's words are ordered by rarity; of two classes with Jaccard similarity num/den or more
 
 * the sizes are close (length filter),
-* the first shared word is among the first few of both (prefix filter), and
-* the words from there on are enough for the overlap they need (positional filter).
+* the first shared word is among the first few of both (prefix filter),
+* the words from there on are enough for the overlap they need (positional filter), and
+* the parities of their words' hash bits differ in no more places than the sets do.
 
 A line goes if its class was seen before, or if a similar class was seen before its own; all of
 this whether or not the earlier line stays itself.
 
-A word's rarity is read from a table of ``BUCKETS`` counts over all texts: its size is fixed, and
-any one order of words gives the same result.  Candidates are looked for by (word, size band).  A
-class is first compared with the earliest class under each of its words; only classes without a
-match by then are paired with the others, so near copies of one line cost one comparison each.
-Under a word with more than ``HOT`` classes the pairs must agree in the second shared word too,
-which is among the first few and one more of both.
+Words are hashed once, into a scratch table that also serves verification, so texts are never
+shuffled to compare lines.  A word's rarity is read from a table of ``BUCKETS`` counts over all
+lines: its size is fixed, and any one order of words gives the same result.
+
+Candidates are looked for by (word, size band).  Where more than ``FEW`` classes share a key they
+are first compared with two of them, the earliest and the one with most copies; only those
+without a match by then are paired with the others, so near copies of one line cost two
+comparisons each.  A key that more than ``HOT`` classes share is split by the next shared word,
+up to ``WORDS`` words: the k-th shared word is among the first few and k - 1 more of both.
 """
 
 from __future__ import annotations
@@ -26,39 +30,45 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import NOT_SPACE, SPACE, materialize, release
+from pixelquilt.llm.common import NOT_SPACE, Scratch
 
 #: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
 BUCKETS = 1 << 14
-#: Classes under one word from which on the second shared word is asked for.
-HOT = 200
-
-
-def _split(s: Column) -> Column:
-    """Words in lower case; one empty word where there is none.  Plain blanks are split without a pattern."""
-    odd = s.rlike(r"[\x09-\x0D]|  |^ | $")
-    return F.split(F.lower(F.when(odd, F.trim(F.regexp_replace(s, SPACE, " "))).otherwise(s)), " ")
-
-
-def rarity_levels(docs: DataFrame) -> list[int]:
-    """For each bucket of word hashes a level from 0 that grows with the words' count over all texts."""
-    words = docs.select(F.explode(_split(F.coalesce("text", F.lit("")))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+#: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
+FEW, HOT = 8, 64
+#: Words that a key may be made of.
+WORDS = 4
+#: Rows of lines to be verified that may go to all tasks (some 60 bytes each); more are joined by shuffle.
+ASKED = 200_000
+
+
+def _word_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, line, c1, c2, words) of every line with a word: h is a hash of the text, words the
+    sorted 55-bit hashes of the line's words, c1 and c2 two hashes of these."""
+    body = F.coalesce("text", F.lit(""))
+    body = F.lower(F.when(body.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(body, r"[\x09\x0B-\x0D]", " ")).otherwise(body))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(body, "\n")).alias("line", "s"))
+    hashed = F.transform(F.split("s", " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 9))
+    sets = F.array_remove(F.array_distinct(hashed), F.shiftrightunsigned(F.xxhash64(F.lit("")), 9))
+    rows = lines.select("doc_id", "h", "line", F.sort_array(sets).alias("words")).where(F.size("words") > 0)
+    return rows.select("doc_id", "h", "line", F.xxhash64("words", F.lit(1)).alias("c1"), F.xxhash64(F.lit(2), "words").alias("c2"), "words")
+
+
+def rarity_levels(lines: DataFrame) -> list[int]:
+    """For each bucket of word hashes a level from 0 that grows with the words' count over all lines."""
+    words = lines.select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
     for b, n in counts.collect():  # BUCKETS rows at most
         out[b] = int(4 * math.log2(1 + n))
     return out
 
 
-def _set(s: Column, levels: list[int]) -> Column:
-    """A line's distinct words, rarest first: numbers made of a word's level and 55 bits of its hash."""
-    table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<int>)")
-
-    def number(h: Column) -> Column:
-        level = F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
-
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_split(s), lambda w: F.xxhash64(w)), number)))
+def _by_rarity(words: str, levels: list[int]) -> Column:
+    """Words, rarest first: numbers made of a word's level and its hash."""
+    table = F.expr(f"cast(split('{','.join(str(x << 55) for x in levels)}', ',') as array<bigint>)")
+    number = F.transform(words, lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")) + w)
+    return F.sort_array(number)
 
 
 class Similarity:
@@ -66,6 +76,8 @@ class Similarity:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        #: Similar sets that aren't equal share this many words at least, so keys may have as many.
+        self.shared = max(1, num // (den - num)) if num < den else 1
 
     def least(self, n: str) -> str:
         """The smallest size of a set similar to one of size n."""
@@ -82,95 +94,111 @@ class Similarity:
         """Sizes by powers of (den/num)^2: a set's similar smaller ones lie in its band or the next below."""
         return f"cast(floor(ln({n}) / {2 * math.log(self.den / self.num)!r}) as int)"
 
-    def fits(self, n: str, m: str, at: str, to: str) -> str:
-        """Length filter, and positional filter for a first shared word at these positions (from 0)."""
-        return f"least({n}, {m}) >= {self.least(f'greatest({n}, {m})')} and least({n} - {at}, {m} - {to}) >= {self.overlap(n, m)}"
-
-
-def _classes(docs: DataFrame, levels: list[int], sim: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(place, c1, c2) of every line with a word; and the classes (c1, c2, first, n, words, copies),
-    words being the prefix and one more."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
-    sets = rows.where(F.col("s").rlike(NOT_SPACE)).select("doc_id", "h", "line", _set(F.col("s"), levels).alias("words"))
-    placed = sets.select(
-        F.struct("doc_id", "h", "line").alias("place"),
-        F.xxhash64("words", F.lit(1)).alias("c1"),
-        F.xxhash64(F.lit(2), "words").alias("c2"),
-        F.size("words").alias("n"),
-        F.expr(f"slice(words, 1, {sim.prefix('size(words)')} + 1)").alias("words"),
-    )
-    placed = materialize(placed, "lines")
-    firsts = placed.groupBy("c1", "c2").agg(F.min(F.struct("place", "n", "words")).alias("x"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.select("c1", "c2", F.col("x.place").alias("first"), "x.n", "x.words", "copies")
-    return placed.select("place", "c1", "c2"), materialize(firsts, "classes")
-
-
-def _candidates(able: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, c1, n, at, home, o): the rows of each (word, band) that more than one class has; o is the
-    number of a class's first document."""
+    def fits(self) -> str:
+        """Length filter, positional filter for a last shared word of the key at these positions (from 0;
+        at is the ``depth``-th shared word), and the filter by parities."""
+        bound = self.overlap("n", "m")
+        return f"least(n, m) >= {self.least('greatest(n, m)')} and least(n - at, m - to) + depth - 1 >= {bound} and bit_count(sig ^ tag) <= n + m - 2 * ({bound})"
+
+
+def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
+    """(c1, c2, first, n, copies, sig, words): words being the prefix and WORDS - 1 more."""
+    one = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+    rows = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), one.alias("sig"), _by_rarity("words", levels).alias("words"))
+    rows = rows.withColumn("words", F.expr(f"slice(words, 1, {sim.prefix('n')} + {WORDS - 1})"))
+    #: Rows of one class differ in their place alone.
+    return rows.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "words")])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of keys that more than one class has, one of them in its own band; k: how many."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("homes")).where("k > 1 and homes").select("key", "k")
+    return rows.join(sizes, "key")
+
+
+def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
+    """(key, c1, n, at, depth, home, o, copies, sig): a row for each (word of the prefix, band); o is
+    the number of a class's first document."""
     order = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("o")
-    own = able.select("c1", "n", order, F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
+    own = able.select("c1", "n", order, "copies", "sig", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
-    bands = F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")
-    rows = own.select("*", F.explode(bands).alias("band")).select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.expr(f"band = {sim.band('n')}").alias("home"), "o")
-    shared = rows.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("home").alias("homes")).where("lo < hi and homes").select("key")
-    shared = materialize(shared, "shared-words")
-    release(able.sparkSession)
-    return materialize(rows.join(shared, "key", "left_semi"), "candidates")
+    rows = own.select("*", F.explode(F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")).alias("band"))
+    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')}").alias("home"), "o", "copies", "sig")
+
+
+def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
+    """The rows again under keys of one word more."""
+    rows = hot.drop("k").join(able.select("c1", "words"), "c1")
+    later = F.posexplode(F.expr(f"slice(words, at + 2, greatest({sim.prefix('n')} + depth - at - 1, 0))")).alias("j", "v")
+    rows = rows.select("*", later)
+    return rows.select(F.xxhash64("key", "v").alias("key"), "c1", "n", (F.col("at") + 1 + F.col("j")).alias("at"), (F.col("depth") + 1).alias("depth"), "home", "o", "copies", "sig")
+
 
+def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity) -> DataFrame:
+    """(c1, d1): classes under one key that pass all filters, d1 not in a later document."""
+    other = told.select("key", F.col("c1").alias("d1"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"), F.col("o").alias("p"), F.col("sig").alias("tag"))
+    return asking.join(other, "key").where(F.expr("c1 <> d1 and p <= o and (home or there)") & F.expr(sim.fits())).select("c1", "d1")
 
-def _similar(docs: DataFrame, pairs: DataFrame, able: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
+
+def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
+    """(c1, d1): each class with the earliest under its key, and with the one that has most copies."""
+    own = ["c1", "n", "at", "sig", "o"]
+    anchors = told.groupBy("key").agg(F.min(F.struct("o", "c1", "n", "at", "sig")).alias("e"), F.max(F.struct("copies", *own)).alias("f"))
+    anchors = anchors.select("key", F.explode(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own]) for x in ("e", "f")])).alias("x"))
+    anchors = anchors.select("key", *[F.col(f"x.{c}").alias(c) for c in own], F.lit(True).alias("home"))
+    return _pairs(told, anchors, sim)
+
+
+def _similar(pairs: DataFrame, able: DataFrame, lines: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """(c1, c2) of the classes that have a similar earlier one among their pairs (c1, d1)."""
-    asked = pairs.select("c1").union(pairs.select("d1")).distinct()
-    wanted = able.select("c1", "c2", "first").join(asked, "c1", "left_semi")
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.h").alias("hash")).agg(F.collect_list(F.struct("c1", "c2", "first")).alias("asked"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash")))
-    lines = texts.select("asked", F.split("text", "\n").alias("lines"))
-    each = lines.select(F.explode(F.transform("asked", lambda x: F.struct(x.c1.alias("c1"), x.c2.alias("c2"), x.first.alias("first"), F.get("lines", x.first.line).alias("s")))).alias("x"))
-    sets = materialize(each.select("x.c1", "x.c2", "x.first", "x.s"), "texts")
-    release(docs.sparkSession)
-    other = sets.select(F.col("c1").alias("d1"), F.col("first").alias("earlier"), F.col("s").alias("t"))
+    asked = pairs.select("c1").union(pairs.select(F.col("d1").alias("c1"))).distinct()
+    asked = scratch.write(able.select("c1", "c2", "first").join(asked, "c1", "left_semi"), "asked")
+    wanted = F.broadcast(asked) if asked.count() <= ASKED else asked
+    wanted = wanted.select("c1", "c2", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.h").alias("at_h"), F.col("first.line").alias("at_line"))
+    here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")) & (F.col("line") == F.col("at_line"))
+    #: Rows that repeat an id and a text are there as often.
+    sets = lines.select("doc_id", "h", "line", "words").join(wanted, here).select("c1", "c2", "first", "words")
+    sets = scratch.write(sets, "sets")
+    other = sets.select(F.col("c1").alias("d1"), F.col("first").alias("earlier"), F.col("words").alias("others"))
     both = pairs.join(sets, "c1").join(other, "d1").where(F.col("earlier") < F.col("first"))
-    both = both.select("c1", "c2", _set(F.col("s"), levels).alias("a"), _set(F.col("t"), levels).alias("b"))
-    tested = both.select("c1", "c2", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return materialize(tested, "tested").where(f"{sim.den} * both >= {sim.num} * (total - both)").select("c1", "c2").distinct()
+    tested = both.select("c1", "c2", (F.size("words") + F.size("others")).alias("total"), F.size(F.array_intersect("words", "others")).alias("both"))
+    found = scratch.write(tested.where(f"{sim.den} * both >= {sim.num} * (total - both)").select("c1", "c2").distinct(), "similar")
+    scratch.drop(asked, sets)
+    return found
 
 
 def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     """(doc_id, h, gone): per document (id and hash of its text) the numbers of the lines that go."""
-    spark = docs.sparkSession
-    sim = Similarity(num, den)
-    docs = docs.select("doc_id", "text")
-    levels = rarity_levels(docs)
-    placed, firsts = _classes(docs, levels, sim)
+    scratch, sim = Scratch(docs.sparkSession, "lines"), Similarity(num, den)
+    lines = scratch.write(_word_sets(docs.select("doc_id", "text")), "words")
+    classes = scratch.write(_classes(lines, rarity_levels(lines), sim), "classes")
     #: Smaller classes have no other set that is similar.
-    able = firsts.where(f"n * {den} >= (n + 1) * {num}").drop("copies")
-    release(spark)
-    told = _candidates(able, sim)
-    groups = told.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("o", "c1", "n", "at")).alias("e"))
-    groups = materialize(groups, "words")
-    star = told.join(groups, "key").select("c1", "n", "at", F.col("e.c1").alias("d1"), F.col("e.n").alias("m"), F.col("e.at").alias("to"))
-    near = materialize(star.where((F.col("c1") != F.col("d1")) & F.expr(sim.fits("n", "m", "at", "to"))).select("c1", "d1").distinct(), "pairs")
-    release(spark)
-    found = materialize(_similar(docs, near, able, levels, sim), "similar")
-    release(spark)
-
-    often = groups.where(f"k > {HOT}").select("key")
-    plain = told.join(often, "key", "left_anti")
-    second = F.explode(F.expr("slice(words, at + 2, size(words))"))
-    hot = told.join(often, "key", "left_semi").join(able.select("c1", "words"), "c1").select("key", "c1", "n", "at", "home", "o", second.alias("v"))
-    keyed = materialize(plain.select("key", "c1", "n", "at", "home", "o").union(hot.select(F.xxhash64("key", "v"), "c1", "n", "at", "home", "o")), "keys")
-    rest = keyed.join(found.select("c1"), "c1", "left_anti")
-    other = keyed.select("key", F.col("c1").alias("d1"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"), F.col("o").alias("p"))
-    met = rest.join(other, "key").where(F.expr("c1 <> d1 and p <= o and (home or there)") & F.expr(sim.fits("n", "m", "at", "to")))
-    more = materialize(met.select("c1", "d1").distinct().join(near, ["c1", "d1"], "left_anti"), "pairs")
-    release(spark)
-    found = found.union(materialize(_similar(docs, more, able, levels, sim), "similar")).distinct()
-    release(spark)
-
-    marks = firsts.join(found.withColumn("hit", F.lit(True)), ["c1", "c2"], "left").where("copies > 1 or hit").select("c1", "c2", "first", "hit")
+    able = classes.where(f"n * {den} >= (n + 1) * {num}")
+    told = scratch.write(_shared(_keyed(able, sim)), "keys")
+
+    few, many = told.where(f"k <= {FEW}"), told.where(f"k > {FEW}")
+    near = scratch.write(_pairs(few, few, sim).union(_to_anchors(many, sim)).distinct(), "pairs")
+    found = _similar(near, able, lines, sim, scratch)
+    parts, rows = [], many
+    for _ in range(1, min(WORDS, sim.shared)):
+        hot = rows.where(f"k > {HOT}")
+        if hot.isEmpty():
+            break
+        parts.append(rows.where(f"k <= {HOT}"))
+        rows = scratch.write(_shared(_split(hot, able, sim)), "keys")
+    for p in parts:
+        rows = rows.union(p)
+    more = _pairs(rows.join(found.select("c1"), "c1", "left_anti"), rows, sim)
+    more = scratch.write(more.distinct().join(near, ["c1", "d1"], "left_anti"), "pairs")
+    found = found.union(_similar(more, able, lines, sim, scratch)).distinct()
+
+    marks = classes.select("c1", "c2", "first", "copies").join(found.withColumn("hit", F.lit(True)), ["c1", "c2"], "left").where("copies > 1 or hit").select("c1", "c2", "first", "hit")
+    placed = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"))
     gone = placed.join(marks, ["c1", "c2"]).where((F.col("place") != F.col("first")) | F.col("hit"))
-    return gone.select(F.col("place.doc_id").alias("doc_id"), F.col("place.h").alias("h"), "place.line").distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    gone = gone.select(F.col("place.doc_id").alias("doc_id"), F.col("place.h").alias("h"), "place.line").distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    gone = scratch.keep(scratch.write(gone, "gone"))
+    scratch.drop()
+    return gone
 
 
 def dedup(docs: DataFrame, num: int = 9, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,22 +207,27 @@ def dedup(docs: DataFrame, num: int = 9, den: int = 10, doc_id: str = "doc_id",
 
     Places are ordered by (doc_id, hash of the text, line), null ids first; rows that agree in both
     are one document and come out alike.  A null text stays null and has no lines; an empty one has
-    one line, which stays.  Lines without a word stay.  Result columns replace columns of the same name;
-    an empty table gives an empty one.
+    one line, which stays.  Lines without a word stay.  Texts and lines of any length are taken
+    whole.  Result columns replace columns of the same name; other columns may have any name; an
+    empty table gives an empty one.
     """
-    base = docs.drop("n_lines", "gone")
-    plan = materialize(removed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), num, den), "removed")
-    ids = plan.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    rows = base.join(ids, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")
-    lines = F.split(F.col(text), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    keep = [c for c in docs.columns if c not in ("n_lines", "gone")]
+    gone = removed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), num, den)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)], F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_h"))
+    rows = rows.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left")
+    body = F.col(f"in_{keep.index(text)}")
+    lines = F.split(body, "\n")
+    n_lines = F.coalesce(F.when(body.isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     stays = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    rows = rows.withColumn(text, F.when(F.size("gone") > 0, F.array_join(stays, "\n")).otherwise(F.col(text)))
-    return rows.select(*[f"`{c}`" for c in base.columns], "n_lines", "gone")
+    left = F.when(F.col("gone").isNotNull(), F.array_join(stays, "\n")).otherwise(body)
+    own = [(left if c == text else F.col(f"in_{i}")).alias(c) for i, c in enumerate(keep)]
+    return rows.select(*own, n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def clean(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
-    """The documents without the lines that go, and without documents that lost their last word by it."""
+    """The documents without the lines that go, and without documents that lost their last word by it.
+
+    ``n_chars`` follows the text; all else is as in ``dedup``.
+    """
     out = dedup(docs, num, den).where((F.size("gone") == 0) | F.col("text").rlike(NOT_SPACE))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])

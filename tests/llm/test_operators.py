@@ -96,7 +96,7 @@ def test_line_dedup_against_all_pairs(docs, none):
     for i, t in enumerate(texts()):
         for k, line in enumerate((t or "").split("\n")):
             s = set(WORD.findall(line.lower()))
-            if len(s) >= 3:
+            if s:
                 if any(10 * len(s & o) >= 9 * len(s | o) for o in seen):
                     gone.setdefault(i, []).append(k)
                 seen.append(s)
@@ -109,18 +109,38 @@ def test_line_dedup_against_all_pairs(docs, none):
 
 
 def test_line_dedup_asks_for_the_second_word_under_hot_words(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 3)
     rnd = random.Random(2)
     rows = []
-    for i in range(40):
-        w = ["rare"] + [f"v{rnd.randint(0, 60)}" for _ in range(24)]
+    for i in range(60):
+        w = ["rare", "seldom"] + [f"v{rnd.randint(0, 60)}" for _ in range(24)]
         if i % 4 == 3:
             w = [*rows[-1][1].split()[:-1], "other"]
         rows.append((i, " ".join(w)))
     sets = [set(t.split()) for _, t in rows]
-    want = {i for i in range(40) if any(10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]) for j in range(i))}
-    got = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("size(gone) > 0").collect()}
-    assert got == want and len(want) >= 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, den, few, hot, asked in ((9, 10, 1, 2, 0), (8, 10, 8, 64, 200_000), (1, 2, 1, 2, 200_000)):
+        want = {i for i in range(60) if any(den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) for j in range(i))}
+        for name, value in (("FEW", few), ("HOT", hot), ("ASKED", asked)):
+            monkeypatch.setattr(line_dedup, name, value)
+        got = {r.doc_id for r in line_dedup.dedup(docs, num, den).where("size(gone) > 0").collect()}
+        assert got == want and len(want) >= 8, (num, few, hot)
+
+
+def test_line_dedup_of_many_near_copies_of_one_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    rnd = random.Random(7)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for k in rnd.sample(range(40), rnd.choice([1, 2, 3, 4])):
+            w[k] = f"n{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base)) for i in range(5)]
+    sets = [set(t.split()) for _, t in rows]
+    want = {i for k, (i, _) in enumerate(rows) if any(10 * len(sets[k] & s) >= 9 * len(sets[k] | s) for s in sets[:k])}
+    got = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("size(gone) > 0").collect()}
+    assert got == want and 5 < len(want) < 85
 
 
 def test_line_dedup_takes_repeats_of_short_lines(spark):
