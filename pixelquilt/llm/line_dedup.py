@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from pixelquilt.llm.common import NOT_SPACE, Scratch
 
 #: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+#: Bits of a word's hash; a level stands above them.
+BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
 FEW, HOT = 8, 64
 #: Words that a key may be made of.
@@ -44,13 +46,14 @@ ASKED = 200_000
 
 def _word_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line, c1, c2, words) of every line with a word: h is a hash of the text, words the
-    sorted 55-bit hashes of the line's words, c1 and c2 two hashes of these."""
+    sorted hashes of the line's words, c1 and c2 two hashes of these."""
     body = F.coalesce("text", F.lit(""))
-    body = F.lower(F.when(body.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(body, r"[\x09\x0B-\x0D]", " ")).otherwise(body))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(body, "\n")).alias("line", "s"))
-    hashed = F.transform(F.split("s", " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 9))
-    sets = F.array_remove(F.array_distinct(hashed), F.shiftrightunsigned(F.xxhash64(F.lit("")), 9))
-    rows = lines.select("doc_id", "h", "line", F.sort_array(sets).alias("words")).where(F.size("words") > 0)
+    other = body.contains("\t") | body.contains("\x0b") | body.contains("\x0c") | body.contains("\r")
+    body = F.lower(F.when(other, F.regexp_replace(body, r"[\x09\x0B-\x0D&&[^\x0A]]", " ")).otherwise(body))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(body, "\n")).alias("line", "s")).where(F.trim("s") != "")
+    hashed = F.transform(F.split("s", " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
+    sets = F.array_remove(F.array_distinct(hashed), F.shiftrightunsigned(F.xxhash64(F.lit("")), 64 - BITS))
+    rows = lines.select("doc_id", "h", "line", F.sort_array(sets).alias("words"))
     return rows.select("doc_id", "h", "line", F.xxhash64("words", F.lit(1)).alias("c1"), F.xxhash64(F.lit(2), "words").alias("c2"), "words")
 
 
@@ -66,8 +69,8 @@ def rarity_levels(lines: DataFrame) -> list[int]:
 
 def _by_rarity(words: str, levels: list[int]) -> Column:
     """Words, rarest first: numbers made of a word's level and its hash."""
-    table = F.expr(f"cast(split('{','.join(str(x << 55) for x in levels)}', ',') as array<bigint>)")
-    number = F.transform(words, lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")) + w)
+    table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<bigint>)")
+    number = F.transform(words, lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")) * (1 << BITS) + w)
     return F.sort_array(number)
 
 
@@ -91,8 +94,8 @@ class Similarity:
         return f"cast(({n}) - {self.least(n)} + 1 as int)"
 
     def band(self, n: str) -> str:
-        """Sizes by powers of (den/num)^2: a set's similar smaller ones lie in its band or the next below."""
-        return f"cast(floor(ln({n}) / {2 * math.log(self.den / self.num)!r}) as int)"
+        """Sizes by powers of (den/num)^4: a set's similar smaller ones lie in its band or the next below."""
+        return f"cast(floor(ln({n}) / {4 * math.log(self.den / self.num)!r}) as int)"
 
     def fits(self) -> str:
         """Length filter, positional filter for a last shared word of the key at these positions (from 0;
@@ -136,8 +139,10 @@ def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
 
 def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity) -> DataFrame:
     """(c1, d1): classes under one key that pass all filters, d1 not in a later document."""
-    other = told.select("key", F.col("c1").alias("d1"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("home").alias("there"), F.col("o").alias("p"), F.col("sig").alias("tag"))
-    return asking.join(other, "key").where(F.expr("c1 <> d1 and p <= o and (home or there)") & F.expr(sim.fits())).select("c1", "d1")
+    asking = asking.select("key", "c1", "n", "at", "depth", "home", "o", "sig")
+    #: As many columns on either side, so that a table joined with itself is shuffled once.
+    other = told.select("key", F.col("c1").alias("d1"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("depth").alias("deep"), F.col("home").alias("there"), F.col("o").alias("p"), F.col("sig").alias("tag"))
+    return asking.join(other, "key").where(F.expr("c1 <> d1 and p <= o and depth = deep and (home or there)") & F.expr(sim.fits())).select("c1", "d1")
 
 
 def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
@@ -145,7 +150,7 @@ def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
     own = ["c1", "n", "at", "sig", "o"]
     anchors = told.groupBy("key").agg(F.min(F.struct("o", "c1", "n", "at", "sig")).alias("e"), F.max(F.struct("copies", *own)).alias("f"))
     anchors = anchors.select("key", F.explode(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own]) for x in ("e", "f")])).alias("x"))
-    anchors = anchors.select("key", *[F.col(f"x.{c}").alias(c) for c in own], F.lit(True).alias("home"))
+    anchors = anchors.select("key", *[F.col(f"x.{c}").alias(c) for c in own], F.lit(1).alias("depth"), F.lit(True).alias("home"))
     return _pairs(told, anchors, sim)
 
 
