@@ -53,11 +53,11 @@ class Scratch:
         self.spark, self.name = spark, name
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, form: str = "parquet") -> DataFrame:
         path = f"{scratch_root(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex}"
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
+        df.write.format(form).option("compression", "zstd").save(path)
+        out = self.spark.read.format(form).schema(schema).load(path)
         self.paths[id(out)] = out, path
         release(self.spark)
         return out

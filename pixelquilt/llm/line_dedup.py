@@ -12,8 +12,8 @@ A class's words are ordered by rarity; of two classes with Jaccard similarity nu
 A line goes if its class was seen before, or if a similar class was seen before its own; all of
 this whether or not the earlier line stays itself.
 
-Words are hashed once, into a scratch table that also serves verification, so texts are never
-shuffled to compare lines.  A word's rarity is read from a table of ``BUCKETS`` counts over all
+Words are hashed once, into a scratch table that serves counts and classes and is dropped then;
+verification hashes the words of asked lines again.  A word's rarity is read from a table of ``BUCKETS`` counts over all
 lines: its size is fixed, and any one order of words gives the same result.
 
 Candidates are looked for by (word, size band).  Where more than ``FEW`` classes share a key they
@@ -40,20 +40,28 @@ BITS = 48
 FEW, HOT = 8, 64
 #: Words that a key may be made of.
 WORDS = 4
-#: Rows of lines to be verified that may go to all tasks (some 60 bytes each); more are joined by shuffle.
+#: Lines to be verified that may be named to all tasks (some 60 bytes each); more are joined by shuffle.
 ASKED = 200_000
 
 
+def _lines(text: str) -> Column:
+    """A text's lines in lower case, with blanks for other white space."""
+    body = F.coalesce(text, F.lit(""))
+    other = body.contains("\t") | body.contains("\x0b") | body.contains("\x0c") | body.contains("\r")
+    return F.split(F.lower(F.when(other, F.regexp_replace(body, r"[\x09\x0B-\x0D]", " ")).otherwise(body)), "\n")
+
+
+def _hashes(line: Column) -> Column:
+    """Hashes of a line's distinct words."""
+    hashed = F.transform(F.split(line, " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
+    return F.array_remove(F.array_distinct(hashed), F.shiftrightunsigned(F.xxhash64(F.lit("")), 64 - BITS))
+
+
 def _word_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line, c1, c2, words) of every line with a word: h is a hash of the text, words the
     sorted hashes of the line's words, c1 and c2 two hashes of these."""
-    body = F.coalesce("text", F.lit(""))
-    other = body.contains("\t") | body.contains("\x0b") | body.contains("\x0c") | body.contains("\r")
-    body = F.lower(F.when(other, F.regexp_replace(body, r"[\x09\x0B-\x0D&&[^\x0A]]", " ")).otherwise(body))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(body, "\n")).alias("line", "s")).where(F.trim("s") != "")
-    hashed = F.transform(F.split("s", " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
-    sets = F.array_remove(F.array_distinct(hashed), F.shiftrightunsigned(F.xxhash64(F.lit("")), 64 - BITS))
-    rows = lines.select("doc_id", "h", "line", F.sort_array(sets).alias("words"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(_lines("text")).alias("line", "s")).where(F.trim("s") != "")
+    rows = lines.select("doc_id", "h", "line", F.sort_array(_hashes(F.col("s"))).alias("words"))
     return rows.select("doc_id", "h", "line", F.xxhash64("words", F.lit(1)).alias("c1"), F.xxhash64(F.lit(2), "words").alias("c2"), "words")
 
 
@@ -116,7 +124,7 @@ def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows of keys that more than one class has, one of them in its own band; k: how many."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("homes")).where("k > 1 and homes").select("key", "k")
-    return rows.join(sizes, "key")
+    return rows.join(sizes.hint("shuffle_hash"), "key")
 
 
 def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
@@ -154,16 +162,17 @@ def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
     return _pairs(told, anchors, sim)
 
 
-def _similar(pairs: DataFrame, able: DataFrame, lines: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+def _similar(pairs: DataFrame, able: DataFrame, docs: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """(c1, c2) of the classes that have a similar earlier one among their pairs (c1, d1)."""
     asked = pairs.select("c1").union(pairs.select(F.col("d1").alias("c1"))).distinct()
     asked = scratch.write(able.select("c1", "c2", "first").join(asked, "c1", "left_semi"), "asked")
-    wanted = F.broadcast(asked) if asked.count() <= ASKED else asked
-    wanted = wanted.select("c1", "c2", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.h").alias("at_h"), F.col("first.line").alias("at_line"))
-    here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")) & (F.col("line") == F.col("at_line"))
+    by_doc = asked.groupBy(F.col("first.doc_id").alias("at_doc"), F.col("first.h").alias("at_h")).agg(F.collect_list(F.struct("c1", "c2", "first")).alias("asked"))
+    by_doc = F.broadcast(by_doc) if asked.count() <= ASKED else by_doc.hint("shuffle_hash")
     #: Rows that repeat an id and a text are there as often.
-    sets = lines.select("doc_id", "h", "line", "words").join(wanted, here).select("c1", "c2", "first", "words")
-    sets = scratch.write(sets, "sets")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")))
+    lines = texts.select("asked", _lines("text").alias("lines")).select("lines", F.explode("asked").alias("x"))
+    sets = lines.select("x.c1", "x.c2", "x.first", _hashes(F.get("lines", F.col("x.first.line"))).alias("words"))
+    sets = scratch.write(sets, "sets", "orc")
     other = sets.select(F.col("c1").alias("d1"), F.col("first").alias("earlier"), F.col("words").alias("others"))
     both = pairs.join(sets, "c1").join(other, "d1").where(F.col("earlier") < F.col("first"))
     tested = both.select("c1", "c2", (F.size("words") + F.size("others")).alias("total"), F.size(F.array_intersect("words", "others")).alias("both"))
@@ -175,15 +184,18 @@ def _similar(pairs: DataFrame, able: DataFrame, lines: DataFrame, sim: Similarit
 def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     """(doc_id, h, gone): per document (id and hash of its text) the numbers of the lines that go."""
     scratch, sim = Scratch(docs.sparkSession, "lines"), Similarity(num, den)
-    lines = scratch.write(_word_sets(docs.select("doc_id", "text")), "words")
+    docs = docs.select("doc_id", "text")
+    lines = scratch.write(_word_sets(docs), "words", "orc")
     classes = scratch.write(_classes(lines, rarity_levels(lines), sim), "classes")
+    placed = scratch.write(lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place")), "places")
+    scratch.drop(lines)
     #: Smaller classes have no other set that is similar.
     able = classes.where(f"n * {den} >= (n + 1) * {num}")
     told = scratch.write(_shared(_keyed(able, sim)), "keys")
 
     few, many = told.where(f"k <= {FEW}"), told.where(f"k > {FEW}")
-    near = scratch.write(_pairs(few, few, sim).union(_to_anchors(many, sim)).distinct(), "pairs")
-    found = _similar(near, able, lines, sim, scratch)
+    near = scratch.write(_pairs(few, few.hint("shuffle_hash"), sim).union(_to_anchors(many, sim)).distinct(), "pairs")
+    found = _similar(near, able, docs, sim, scratch)
     parts, rows = [], many
     for _ in range(1, min(WORDS, sim.shared)):
         hot = rows.where(f"k > {HOT}")
@@ -195,11 +207,10 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
         rows = rows.union(p)
     more = _pairs(rows.join(found.select("c1"), "c1", "left_anti"), rows, sim)
     more = scratch.write(more.distinct().join(near, ["c1", "d1"], "left_anti"), "pairs")
-    found = found.union(_similar(more, able, lines, sim, scratch)).distinct()
+    found = found.union(_similar(more, able, docs, sim, scratch)).distinct()
 
     marks = classes.select("c1", "c2", "first", "copies").join(found.withColumn("hit", F.lit(True)), ["c1", "c2"], "left").where("copies > 1 or hit").select("c1", "c2", "first", "hit")
-    placed = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"))
-    gone = placed.join(marks, ["c1", "c2"]).where((F.col("place") != F.col("first")) | F.col("hit"))
+    gone = placed.join(marks.hint("shuffle_hash"), ["c1", "c2"]).where((F.col("place") != F.col("first")) | F.col("hit"))
     gone = gone.select(F.col("place.doc_id").alias("doc_id"), F.col("place.h").alias("h"), "place.line").distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     gone = scratch.keep(scratch.write(gone, "gone"))
     scratch.drop()
@@ -219,7 +230,7 @@ def dedup(docs: DataFrame, num: int = 9, den: int = 10, doc_id: str = "doc_id",
     keep = [c for c in docs.columns if c not in ("n_lines", "gone")]
     gone = removed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), num, den)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)], F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_h"))
-    rows = rows.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left")
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left")
     body = F.col(f"in_{keep.index(text)}")
     lines = F.split(body, "\n")
     n_lines = F.coalesce(F.when(body.isNotNull(), F.size(lines)), F.lit(0)).cast("long")
