@@ -26,6 +26,7 @@ up to ``WORDS`` words: the k-th shared word is among the first few and k - 1 mor
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ BUCKETS = 1 << 16
 #: Bits of a word's hash; a level stands above them.
 BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
-FEW, HOT = 8, 64
+FEW, HOT = 16, 256
 #: Words that a key may be made of.
 WORDS = 4
 #: Lines to be verified that may be named to all tasks (some 60 bytes each); more are joined by shuffle.
@@ -129,17 +130,18 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
     """(key, c1, n, at, depth, home, o, copies, sig): a row for each (word of the prefix, band); o is
-    the number of a class's first document."""
+    the number of a class's first document.  home: in its own band, and among the few words in which
+    the smaller of two similar sets has the first shared one."""
     order = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("o")
     own = able.select("c1", "n", order, "copies", "sig", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
     rows = own.select("*", F.explode(F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")).alias("band"))
-    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')}").alias("home"), "o", "copies", "sig")
+    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')} and at <= n - {sim.overlap('n', 'n')}").alias("home"), "o", "copies", "sig")
 
 
 def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
     """The rows again under keys of one word more."""
-    rows = hot.drop("k").join(able.select("c1", "words"), "c1")
+    rows = hot.join(able.select("c1", "words"), "c1")
     later = F.posexplode(F.expr(f"slice(words, at + 2, greatest({sim.prefix('n')} + depth - at - 1, 0))")).alias("j", "v")
     rows = rows.select("*", later)
     return rows.select(F.xxhash64("key", "v").alias("key"), "c1", "n", (F.col("at") + 1 + F.col("j")).alias("at"), (F.col("depth") + 1).alias("depth"), "home", "o", "copies", "sig")
@@ -196,16 +198,22 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     few, many = told.where(f"k <= {FEW}"), told.where(f"k > {FEW}")
     near = scratch.write(_pairs(few, few.hint("shuffle_hash"), sim).union(_to_anchors(many, sim)).distinct(), "pairs")
     found = _similar(near, able, docs, sim, scratch)
-    parts, rows = [], many
-    for _ in range(1, min(WORDS, sim.shared)):
-        hot = rows.where(f"k > {HOT}")
+    asking = many.drop("k").join(found.select("c1"), "c1", "left_anti")
+    answering, parts = many, []
+    for depth in range(1, WORDS + 1):
+        #: Keys under which nobody asks any more are done with.
+        asked = asking.groupBy("key").agg(F.count(F.lit(1)).alias("asks"))
+        sizes = answering.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(asked, "key").where("k > 1")
+        sizes = scratch.write(sizes, "sizes")
+        hot = sizes.where(f"k > {HOT} and {depth} < {min(WORDS, sim.shared)}").select("key")
+        plain = sizes.join(hot, "key", "left_anti").select("key")
+        parts.append(_pairs(asking.join(plain, "key", "left_semi"), answering, sim))
         if hot.isEmpty():
             break
-        parts.append(rows.where(f"k <= {HOT}"))
-        rows = scratch.write(_shared(_split(hot, able, sim)), "keys")
-    for p in parts:
-        rows = rows.union(p)
-    more = _pairs(rows.join(found.select("c1"), "c1", "left_anti"), rows, sim)
+        asking = scratch.write(_split(asking.join(hot, "key", "left_semi"), able, sim), "asking")
+        answering = _split(answering.drop("k").join(hot, "key", "left_semi"), able, sim)
+        answering = scratch.write(answering.join(asking.select("key").distinct(), "key", "left_semi"), "answering")
+    more = reduce(DataFrame.union, parts)
     more = scratch.write(more.distinct().join(near, ["c1", "d1"], "left_anti"), "pairs")
     found = found.union(_similar(more, able, docs, sim, scratch)).distinct()
 
