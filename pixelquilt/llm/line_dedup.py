@@ -38,7 +38,7 @@ BUCKETS = 1 << 16
 #: Bits of a word's hash; a level stands above them.
 BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
-FEW, HOT = 16, 256
+FEW, HOT = 32, 2048
 #: Words that a key may be made of.
 WORDS = 4
 #: Lines to be verified that may be named to all tasks (some 60 bytes each); more are joined by shuffle.
@@ -107,10 +107,11 @@ class Similarity:
         return f"cast(floor(ln({n}) / {4 * math.log(self.den / self.num)!r}) as int)"
 
     def fits(self) -> str:
-        """Length filter, positional filter for a last shared word of the key at these positions (from 0;
-        at is the ``depth``-th shared word), and the filter by parities."""
-        bound = self.overlap("n", "m")
-        return f"least(n, m) >= {self.least('greatest(n, m)')} and least(n - at, m - to) + depth - 1 >= {bound} and bit_count(sig ^ tag) <= n + m - 2 * ({bound})"
+        """Of rows a and b: length filter, positional filter for a last shared word of the key at these
+        positions (from 0; it is the ``depth``-th shared word), and the filter by parities."""
+        bound = self.overlap("a.n", "b.n")
+        places = f"least(a.n - a.at, b.n - b.at) + a.depth - 1 >= {bound}"
+        return f"least(a.n, b.n) >= {self.least('greatest(a.n, b.n)')} and {places} and bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * ({bound})"
 
 
 def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
@@ -147,12 +148,14 @@ def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
     return rows.select(F.xxhash64("key", "v").alias("key"), "c1", "n", (F.col("at") + 1 + F.col("j")).alias("at"), (F.col("depth") + 1).alias("depth"), "home", "o", "copies", "sig")
 
 
-def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity) -> DataFrame:
-    """(c1, d1): classes under one key that pass all filters, d1 not in a later document."""
-    asking = asking.select("key", "c1", "n", "at", "depth", "home", "o", "sig")
-    #: As many columns on either side, so that a table joined with itself is shuffled once.
-    other = told.select("key", F.col("c1").alias("d1"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("depth").alias("deep"), F.col("home").alias("there"), F.col("o").alias("p"), F.col("sig").alias("tag"))
-    return asking.join(other, "key").where(F.expr("c1 <> d1 and p <= o and depth = deep and (home or there)") & F.expr(sim.fits())).select("c1", "d1")
+def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity, once: bool = False) -> DataFrame:
+    """(c1, d1): classes under one key that pass all filters, d1 not in a later document; once: where
+    no key has many rows, which needs no sort."""
+    #: The same columns on either side, so that a table joined with itself is shuffled once.
+    own = ["key", "c1", "n", "at", "depth", "home", "o", "sig"]
+    met = asking.select(*own).alias("a").join(told.select(*own).hint("shuffle_hash").alias("b") if once else told.select(*own).alias("b"), F.expr("a.key = b.key"))
+    met = met.where(F.expr("a.c1 <> b.c1 and b.o <= a.o and a.depth <= b.depth and (a.home or b.home)") & F.expr(sim.fits()))
+    return met.select(F.col("a.c1").alias("c1"), F.col("b.c1").alias("d1"))
 
 
 def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
@@ -196,7 +199,7 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     told = scratch.write(_shared(_keyed(able, sim)), "keys")
 
     few, many = told.where(f"k <= {FEW}"), told.where(f"k > {FEW}")
-    near = scratch.write(_pairs(few, few.hint("shuffle_hash"), sim).union(_to_anchors(many, sim)).distinct(), "pairs")
+    near = scratch.write(_pairs(few, few, sim, once=True).union(_to_anchors(many, sim)).distinct(), "pairs")
     found = _similar(near, able, docs, sim, scratch)
     asking = many.drop("k").join(found.select("c1"), "c1", "left_anti")
     answering, parts = many, []
