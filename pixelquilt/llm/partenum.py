@@ -1,38 +1,46 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set is its distinct word shingles.  Sizes fall into bands.  In a band, two sets
-that are similar enough differ in at most k elements; the hashed feature domain is cut into
-more than k parts, so at least one part is the same in both, and the parts (the subsets of
-size one of the enumeration) are the signatures.  Sets near a band's lower end also sign for
-the next band, so every similar pair shares a signature in the band of its larger set.
-
-With ``parts - k`` parts sure to agree, a set may leave out its empty parts if it has fewer of
-them than that.  Candidates are verified on the whole sets.
+that are similar enough differ in at most k elements.  The hashed feature domain is cut in two
+levels: of the first-level parts, more than ``spare`` see at most ``errors`` of the differing
+elements; in each of them the subsets that leave out ``errors`` second-level parts are
+enumerated, and every subset's content is a signature.  So at least one signature of a similar
+pair is the same.  Sets near a band's lower end also sign for the next band, so every similar pair
+shares a signature in the band of its larger set.  A signature without elements is left out if
+no more than ``spare`` first-level parts have one.  Candidates are verified on the whole sets.
 
 Groups of equal sets are one node from the start.  In a signature's group every node is first
 compared with one anchor; nodes that are linked by then need no comparison with each other,
 and only pairs between different components are still enumerated.  So a group of n near
 copies costs n comparisons, not n squared, and no link between components is lost.
+
+Signatures are made anew in each of the two scans that shuffle them, and never stored: one finds
+those that different sets share, the other brings these sets together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import LOWER, WHITE, materialize, mix64, release, text_slices, word_hashes
+from pixelquilt.llm.common import LOWER, WHITE, Scratch, materialize, mix64, text_slices, word_hashes
 from pixelquilt.llm.components import components
 
 _U = np.uint64
-#: Most bits of the filters sent to the workers: 64 MB.  Beyond, they only filter less.
-MOST_BITS = 1 << 29
+#: Elements that a signature should cover on average in the smallest set of a band.
+COVER = 4
 #: Rounds with anchors before pairs between components are enumerated, and how many pairs a row may cost.
 ROUNDS, PAIRS_A_ROW = 6, 8
+#: Ids of candidates up to which they go to all tasks (some 50 bytes each); more are joined by shuffle.
+FEW_IDS = 200_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -57,8 +65,46 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np
             yield np.zeros(0, dtype=np.uint64)
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How the domain is cut: first-level parts, second-level parts in each, and differing elements
+    that one first-level part may hold; more than ``spare`` first-level parts hold no more."""
+
+    first: int
+    second: int
+    errors: int
+    spare: int
+
+    @property
+    def count(self) -> int:
+        return self.first * comb(self.second, self.errors)
+
+    @property
+    def share(self) -> float:
+        """Of the domain, in one signature."""
+        return (self.second - self.errors) / (self.first * self.second)
+
+    @property
+    def subsets(self) -> np.ndarray:
+        """0/1 rows: the second-level parts of each subset."""
+        return np.array([[i in c for i in range(self.second)] for c in combinations(range(self.second), self.second - self.errors)], dtype=np.uint64)
+
+
+@lru_cache(maxsize=4096)
+def plan(k: int, low: int) -> Plan:
+    """The plan with the fewest signatures that cover enough of a set of ``low`` elements, for k differing ones."""
+    found = []
+    for errors in range(min(k, 3) + 1):
+        least = k // (errors + 1) + 1
+        spare = 1 + least // 12 if least > 1 else 0
+        for second in range(errors + 1, errors + 4):
+            found.append(Plan(least + spare, second, errors, spare))
+    enough = [p for p in found if p.share * low >= COVER]
+    return min(enough, key=lambda p: (p.count, -p.share)) if enough else max(found, key=lambda p: (p.share, -p.count))
+
+
 class Bands:
-    """Size bands and their parts for the similarity num/den."""
+    """Size bands for the similarity num/den."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -80,10 +126,14 @@ class Bands:
             self._grow(self.low[out[-1]])
         return out
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(k, parts): the most differing elements of a similar pair, and the parts of the domain."""
-        k = 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
-        return k, k + 1 + (0 if k == 0 else 1 if k < 10 else 2 + k // 20)
+    def differing(self, band: int) -> int:
+        """The most elements in which a similar pair differs whose larger set is in this band."""
+        return 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
+
+    def plan(self, band: int) -> Plan | None:
+        """None where only equal sets are similar enough (those are one node)."""
+        k = self.differing(band)
+        return plan(k, max(1, self.low[band] * self.num // self.den)) if k else None
 
 
 @lru_cache(maxsize=4096)
@@ -92,104 +142,80 @@ def _edges(parts: int) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit signatures of a set; none where only equal sets are similar enough (those are one node)."""
+    """64-bit signatures of a set."""
     if not len(s):
         return s
     sums = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix64(s ^ _U(0xA0761D6478BD642F)), dtype=np.uint64, out=sums[1:])
     out = []
     for band in bands.of(len(s)):
-        k, parts = bands.parts(band)
-        if k == 0:
+        p = bands.plan(band)
+        if p is None:
             continue
-        at = np.concatenate([[0], np.searchsorted(s, _edges(parts)), [len(s)]])
-        sig = sums[at[1:]] - sums[at[:-1]]
-        sig = mix64(sig + mix64(np.arange(parts, dtype=np.uint64) + _U(band << 40)))
-        full = at[1:] > at[:-1]
-        out.append(sig[full] if parts - int(full.sum()) < parts - k else sig)
+        at = np.concatenate([[0], np.searchsorted(s, _edges(p.first * p.second)), [len(s)]])
+        subsets = p.subsets
+        content = (sums[at[1:]] - sums[at[:-1]]).reshape(p.first, p.second)
+        filled = ((at[1:] - at[:-1]).reshape(p.first, p.second).astype(np.uint64) @ subsets.T) > 0
+        sig = content @ subsets.T
+        place = np.arange(p.count, dtype=np.uint64).reshape(p.first, -1)
+        sig = mix64(sig + mix64(place + _U(band << 40)))
+        out.append(sig[filled] if int((~filled).any(axis=1).sum()) <= p.spare else sig.ravel())
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _bit_filter(ids: DataFrame, column: str) -> tuple[int, object]:
-    """(bits, broadcast words) of a one-hash filter over 64-bit hashes; its size is bounded by MOST_BITS."""
-    spark, n = ids.sparkSession, ids.count()
-    bits = 1 << 10
-    while bits < 16 * n and bits < MOST_BITS:
-        bits *= 2
-    at = F.expr(f"`{column}` & {bits - 1}L")
-    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))")).alias("v"))
-    rows = words.toArrow()
-    table = np.zeros(bits // 64, dtype=np.uint64)
-    table[rows["w"].to_numpy()] = rows["v"].to_numpy().view(np.uint64)
-    return bits, spark.sparkContext.broadcast(table)
-
+def _class_hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return mix64(s ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64), mix64(s ^ _U(0x589965CC75374CC3)).sum(dtype=np.uint64)
 
-def _passes(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    at = h & _U(bits - 1)
-    return (table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) != 0
 
-
-def _sign(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, c1, c2, sigs) of each document; c1 and c2 are two hashes of the whole set."""
+def _describe(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, c1, c2) of each document; c1 and c2 are two hashes of the whole set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
             for a, b, data, bounds in text_slices(batch.column(1)):
-                n, c1, c2, sigs = [], [], [], []
+                n, hashes = [], []
                 for s in shingle_sets(data, bounds, size):
                     n.append(len(s))
-                    c1.append(mix64(s ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64))
-                    c2.append(mix64(s ^ _U(0x589965CC75374CC3)).sum(dtype=np.uint64))
-                    sigs.append(signatures(s, bands))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-                flat = pa.array(np.concatenate(sigs).view(np.int64))
-                cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64())]
-                cols += [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (c1, c2)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "c1", "c2", "sigs"])
+                    hashes.append(_class_hashes(s))
+                both = np.array(hashes, dtype=np.uint64).view(np.int64)
+                cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long, sigs array<long>")
+    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, c1): signatures of more than one set, with their sets.  Rows of signatures that only
-    one set has, nearly all, are kept from the second shuffle by a filter of bounded size."""
-    each = signed.select(F.explode("sigs").alias("sig"), "c1")
-    groups = each.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
-    groups = materialize(groups, "shared-signatures")
-    release(signed.sparkSession)
-    bits, shared = _bit_filter(groups, "sig")
+def _sign(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(sig, c1): the signatures of each document that has an id, with the first hash of its set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        bands = Bands(num, den)
         for batch in batches:
-            sigs = batch.column(1)
-            h = sigs.flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(np.arange(len(sigs)), sigs.value_lengths().fill_null(0).to_numpy())
-            keep = _passes(table, bits, h)
-            c1 = batch.column(0).to_numpy()[owner[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c1)], ["sig", "c1"])
+            for _, _, data, bounds in text_slices(batch.column(0)):
+                sigs, own = [], []
+                for s in shingle_sets(data, bounds, size):
+                    sigs.append(signatures(s, bands))
+                    own.append(_class_hashes(s)[0])
+                c1 = np.repeat(np.array(own, dtype=np.uint64), [len(x) for x in sigs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(c1.view(np.int64))], ["sig", "c1"])
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(work, "sig long, c1 long")
 
-    some = signed.select("c1", "sigs").mapInArrow(work, "sig long, c1 long").distinct()
-    return some.join(groups, "sig", "left_semi")
 
+def _named(ids: DataFrame) -> DataFrame:
+    """Few ids go to all tasks; more are the built side of a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("shuffle_hash")
 
-def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(doc_id, own): the whole sets, as bytes, of the documents in ``nodes``."""
-    bits, shared = _bit_filter(nodes.select(F.xxhash64("rep").alias("h")), "h")
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, own): the whole sets, as bytes, of the documents in ``ids`` (doc_id)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            keep = _passes(table, bits, batch.column(2).to_numpy().view(np.uint64))
-            batch = batch.filter(pa.array(keep))
             for a, b, data, bounds in text_slices(batch.column(1)):
                 own = [s.tobytes() for s in shingle_sets(data, bounds, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["doc_id", "own"])
 
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id is not null")
-    sets = hashed.mapInArrow(work, "doc_id long, own binary")
-    return sets.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return docs.join(_named(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(work, "doc_id long, own binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -213,27 +239,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
-    A text without words (or null) has an empty set and is linked with nothing.  Rows that
-    share an id are one node; a row without an id takes no part and has no component.  Repeated
-    rows each get their row.  An empty table gives an empty one.
+    A text without words (or null) has an empty set and is linked with nothing; texts of any
+    length are taken whole.  Rows that share an id are one node; a row without an id takes no part
+    and has no component.  Repeated rows each get their row.  Other columns, whatever their
+    names, are left out.  An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(_sign(docs, size, num, den), "signed")
-    known = signed.where("n > 0 and doc_id is not null")
-    classes = materialize(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    rows = _shared(known).join(classes.select("c1", "rep", "n"), "c1").select("sig", "rep", "n").distinct()
-    rows = materialize(rows, "candidates")
-    release(spark)
+    scratch = Scratch(docs.sparkSession, "partenum")
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    described = scratch.keep(scratch.write(_describe(docs, size), "described"))
+    known = described.where("n > 0 and doc_id is not null")
+    classes = scratch.keep(scratch.write(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes"))
+    each = _sign(docs, size, num, den)
+    #: Summed up before the shuffle, so the copies of one set are one row from each task.
+    shared = each.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
+    shared = scratch.write(shared, "shared")
+    rows = each.join(shared.hint("shuffle_hash"), "sig", "left_semi").distinct()
+    rows = scratch.write(rows.join(classes.select("c1", "rep", "n"), "c1").select("sig", "rep", "n").distinct(), "candidates")
+    scratch.drop(shared)
     close = F.expr(f"least(n, m) * {den} >= greatest(n, m) * {num}")
-    sets = materialize(_sets(docs, rows.select("rep").distinct(), size), "sets")
-    release(spark)
 
     #: Rows that share an id but not their set are one node.
     own = known.join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     split = classes.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"))
     multiple = known.groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("a"))
-    links = materialize(own.join(multiple.union(split).distinct(), "a", "left_semi"), "same-id")
+    links = scratch.write(own.join(multiple.union(split).distinct(), "a", "left_semi"), "same-id")
     tested = None
     names = rows.select("sig", "rep", "n", F.col("rep").alias("component"))
     for turn in range(ROUNDS + 1):
@@ -243,12 +272,12 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
             names = names.select("sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
         #: Groups of one component are done with.
         counts = names.groupBy("sig", "component").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own")).where("m * m > own")
-        counts = materialize(counts, "open-groups")
+        counts = scratch.write(counts, "open-groups")
         cost = counts.agg(F.sum(F.expr("(m * m - own) / 2")).alias("pairs"), F.sum("m").alias("rows")).first()
         if not cost["rows"]:
             break
-        still = materialize(names.join(counts.select("sig"), "sig", "left_semi"), "open-rows")
-        last = turn == ROUNDS or turn > 0 and cost["pairs"] <= PAIRS_A_ROW * cost["rows"]
+        still = scratch.write(names.join(counts.select("sig"), "sig", "left_semi"), "open-rows")
+        last = turn >= ROUNDS or turn > 0 and cost["pairs"] <= PAIRS_A_ROW * cost["rows"]
         if last:
             other = still.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
             pairs = still.join(other, "sig").where(close & F.expr("rep < other and component <> there"))
@@ -259,22 +288,30 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        fresh = materialize(_verify(pairs, sets, num, den), "verified")
-        links = links.union(fresh)
+        pairs = scratch.write(pairs, "pairs")
+        scratch.drop(counts, still)
+        ids = scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+        sets = scratch.write(_sets(docs, ids, size), "sets")
+        links = links.union(scratch.write(_verify(pairs, sets, num, den), "verified"))
+        scratch.drop(ids, sets)
         tested = pairs if tested is None else tested.union(pairs)
-        release(spark)
         if last:
             break
     found = components(links).select(F.col("node").alias("rep"), "component")
-    out = signed.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
+    linked = not links.isEmpty()
+    scratch.drop()
+    out = described.join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
     out = out.withColumn("rep", F.when(F.expr("n > 0 and doc_id is not null"), F.col("rep"))).join(found, "rep", "left")
     named = found.select(F.col("rep").alias("doc_id"), F.col("component").alias("named"))
-    out = out.join(named, "doc_id", "left") if not links.isEmpty() else out.withColumn("named", F.lit(None).cast("long"))
+    out = out.join(named, "doc_id", "left") if linked else out.withColumn("named", F.lit(None).cast("long"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("named", "component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id: one document of each group stays."""
-    grouped = link(docs, **options).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(grouped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for those whose component has a smaller id: one document of each group stays.
+
+    Rows without an id or without words stay; rows that repeat the smallest id all stay.
+    """
+    grouped = materialize(link(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "grouped")
+    key = options.get("doc_id", "doc_id")
+    return docs.join(grouped, docs[f"`{key}`"] == grouped["gone_id"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
