@@ -40,7 +40,7 @@ BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
 FEW, HOT = 32, 2048
 #: Words that a key may be made of.
-WORDS = 4
+WORDS = 3
 #: Lines to be verified that may be named to all tasks (some 60 bytes each); more are joined by shuffle.
 ASKED = 200_000
 
@@ -203,19 +203,17 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     found = _similar(near, able, docs, sim, scratch)
     asking = many.drop("k").join(found.select("c1"), "c1", "left_anti")
     answering, parts = many, []
+    hot = many.where(f"k > {HOT}").select("key").distinct()
     for depth in range(1, WORDS + 1):
-        #: Keys under which nobody asks any more are done with.
-        asked = asking.groupBy("key").agg(F.count(F.lit(1)).alias("asks"))
-        sizes = answering.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(asked, "key").where("k > 1")
-        sizes = scratch.write(sizes, "sizes")
-        hot = sizes.where(f"k > {HOT} and {depth} < {min(WORDS, sim.shared)}").select("key")
-        plain = sizes.join(hot, "key", "left_anti").select("key")
-        parts.append(_pairs(asking.join(plain, "key", "left_semi"), answering, sim))
-        if hot.isEmpty():
+        if depth >= min(WORDS, sim.shared) or hot.isEmpty():
+            parts.append(_pairs(asking, answering, sim))
             break
+        parts.append(_pairs(asking.join(hot, "key", "left_anti"), answering, sim))
         asking = scratch.write(_split(asking.join(hot, "key", "left_semi"), able, sim), "asking")
         answering = _split(answering.drop("k").join(hot, "key", "left_semi"), able, sim)
+        #: Keys under which nobody asks are done with.
         answering = scratch.write(answering.join(asking.select("key").distinct(), "key", "left_semi"), "answering")
+        hot = answering.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(f"k > {HOT}").select("key")
     more = reduce(DataFrame.union, parts)
     more = scratch.write(more.distinct().join(near, ["c1", "d1"], "left_anti"), "pairs")
     found = found.union(_similar(more, able, docs, sim, scratch)).distinct()

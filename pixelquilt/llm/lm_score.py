@@ -69,7 +69,10 @@ def _count(x: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.n
 
 
 def _pack(x: np.ndarray, c: np.ndarray, wide: bool) -> tuple[bytes, bytes]:
-    """Values with count 1 and the others apart, so that most counts need no room."""
+    """Values with count 1 and the others apart, so that most counts need no room.
+
+    A run's counts fit 32 bits, for a task counts a few million tokens at a time; sums have 64.
+    """
     one = c == 1
     x = x if wide else (x & _U(0xFFFFFFFF)).astype(np.uint32)
     return x[one].tobytes(), x[~one].tobytes() + c[~one].astype(np.uint32).tobytes()
@@ -147,7 +150,7 @@ def _blocks(runs: DataFrame, buckets: int) -> DataFrame:
         for (kind, b), got in held.items():
             x, c = _count(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
             if kind == 1:
-                row = (1, b, len(x), x.tobytes(), c.astype(np.uint32).tobytes(), b"")
+                row = (1, b, len(x), x.tobytes(), c.astype(np.int64).tobytes(), b"")
             else:
                 q = _levels(c)
                 size = max(64, -(-int(q.sum()) * BITS_AN_ENTRY // 64) * 64)
@@ -199,7 +202,7 @@ class Block:
         self.low, self.high = low, high
         own = [uni[b] for b in sorted(uni)]
         self.keys = np.frombuffer(b"".join([r["keys"] for r in own]), dtype=np.uint64)
-        self.counts = np.frombuffer(b"".join([r["counts"] for r in own]), dtype=np.uint32)
+        self.counts = np.frombuffer(b"".join([r["counts"] for r in own]), dtype=np.int64)
         empty = b"\0" * 8
         parts = [bits.get(b, empty) for b in range(low, high)]
         self.filter = Filter(low, np.array([8 * len(x) for x in parts]), np.frombuffer(b"".join(parts), dtype=np.uint8))
@@ -248,7 +251,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [int(np.frombuffer(c.as_py(), dtype=np.uint32).sum(dtype=np.int64)) for c in batch.column(1)]
+            sums = [int(np.frombuffer(c.as_py(), dtype=np.int64).sum()) for c in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["n", "tokens"])
 
     facts = blocks.where("kind = 1").select("n", "counts").mapInArrow(total, "n long, tokens long").agg(F.sum("n"), F.sum("tokens")).first()

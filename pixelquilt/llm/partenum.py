@@ -7,7 +7,8 @@ elements; in each of them the subsets that leave out ``errors`` second-level par
 enumerated, and every subset's content is a signature.  So at least one signature of a similar
 pair is the same.  Sets near a band's lower end also sign for the next band, so every similar pair
 shares a signature in the band of its larger set.  A signature without elements is left out if
-no more than ``spare`` first-level parts have one.  Candidates are verified on the whole sets.
+no more than ``spare`` first-level parts have one.  Candidates of one signature whose sizes or
+parities of hashed elements differ too much are no pairs; the others are verified on the whole sets.
 
 Groups of equal sets are one node from the start.  In a signature's group every node is first
 compared with one anchor; nodes that are linked by then need no comparison with each other,
@@ -36,9 +37,11 @@ from pixelquilt.llm.components import components
 
 _U = np.uint64
 #: Elements that a signature should cover on average in the smallest set of a band.
-COVER = 4
+COVER = 3
 #: Rounds with anchors before pairs between components are enumerated, and how many pairs a row may cost.
-ROUNDS, PAIRS_A_ROW = 6, 8
+ROUNDS, PAIRS_A_ROW = 6, 512
+#: 64-bit words of a set's parities: of two sets, no more bits differ than elements.
+PARITIES = 4
 #: Ids of candidates up to which they go to all tasks (some 50 bytes each); more are joined by shuffle.
 FEW_IDS = 200_000
 
@@ -167,21 +170,30 @@ def _class_hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return mix64(s ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64), mix64(s ^ _U(0x589965CC75374CC3)).sum(dtype=np.uint64)
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of elements has i as its place, as 64-bit words."""
+    at = (s & _U(64 * PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, c1, c2) of each document; c1 and c2 are two hashes of the whole set."""
+    """(doc_id, n, c1, c2, p0...) of each document; c1 and c2 are two hashes of the whole set, p0... its parities."""
+    names = [f"p{i}" for i in range(PARITIES)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in text_slices(batch.column(1)):
-                n, hashes = [], []
+                n, hashes, odd = [], [], []
                 for s in shingle_sets(data, bounds, size):
                     n.append(len(s))
                     hashes.append(_class_hashes(s))
+                    odd.append(_parities(s))
                 both = np.array(hashes, dtype=np.uint64).view(np.int64)
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2"])
+                cols += [pa.array(x) for x in np.array(odd).T]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2", *names])
 
-    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long")
+    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{p} long" for p in names))
 
 
 def _sign(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -246,17 +258,20 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
     """
     scratch = Scratch(docs.sparkSession, "partenum")
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    odd = [f"p{i}" for i in range(PARITIES)]
     described = scratch.keep(scratch.write(_describe(docs, size), "described"))
     known = described.where("n > 0 and doc_id is not null")
-    classes = scratch.keep(scratch.write(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes"))
+    classes = scratch.keep(scratch.write(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ["n", *odd]]), "classes"))
     each = _sign(docs, size, num, den)
     #: Summed up before the shuffle, so the copies of one set are one row from each task.
     shared = each.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
     shared = scratch.write(shared, "shared")
     rows = each.join(shared.hint("shuffle_hash"), "sig", "left_semi").distinct()
-    rows = scratch.write(rows.join(classes.select("c1", "rep", "n"), "c1").select("sig", "rep", "n").distinct(), "candidates")
+    rows = scratch.write(rows.join(classes.select("c1", "rep", "n", *odd), "c1").select("sig", "rep", "n", *odd).distinct(), "candidates")
     scratch.drop(shared)
-    close = F.expr(f"least(n, m) * {den} >= greatest(n, m) * {num}")
+    differing = " + ".join(f"bit_count({c} ^ q{i})" for i, c in enumerate(odd))
+    close = F.expr(f"least(n, m) * {den} >= greatest(n, m) * {num} and {differing} <= n + m - 2 * (((n + m) * {num} + {num + den - 1}) div {num + den})")
+    others = [F.col(c).alias(f"q{i}") for i, c in enumerate(odd)]
 
     #: Rows that share an id but not their set are one node.
     own = known.join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -264,12 +279,12 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
     multiple = known.groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("a"))
     links = scratch.write(own.join(multiple.union(split).distinct(), "a", "left_semi"), "same-id")
     tested = None
-    names = rows.select("sig", "rep", "n", F.col("rep").alias("component"))
+    names = rows.withColumn("component", F.col("rep"))
     for turn in range(ROUNDS + 1):
         if turn:
             found = components(links)
             names = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            names = names.select("sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            names = names.withColumn("component", F.coalesce("component", "rep"))
         #: Groups of one component are done with.
         counts = names.groupBy("sig", "component").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own")).where("m * m > own")
         counts = scratch.write(counts, "open-groups")
@@ -279,11 +294,11 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
         still = scratch.write(names.join(counts.select("sig"), "sig", "left_semi"), "open-rows")
         last = turn >= ROUNDS or turn > 0 and cost["pairs"] <= PAIRS_A_ROW * cost["rows"]
         if last:
-            other = still.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
+            other = still.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"), *others)
             pairs = still.join(other, "sig").where(close & F.expr("rep < other and component <> there"))
         else:  # the first round takes the smallest id, later ones another order each
-            order = F.struct(F.lit(0) if not turn else F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
-            anchor = still.groupBy("sig").agg(F.min(order).alias("x")).select("sig", "x.other", "x.m", "x.there")
+            order = F.struct(F.lit(0) if not turn else F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"), *others)
+            anchor = still.groupBy("sig").agg(F.min(order).alias("x")).select("sig", "x.other", "x.m", "x.there", *[f"x.q{i}" for i in range(PARITIES)])
             pairs = still.join(anchor, "sig").where(close & F.expr("rep <> other and component <> there"))
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if tested is not None:
@@ -300,7 +315,7 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
     found = components(links).select(F.col("node").alias("rep"), "component")
     linked = not links.isEmpty()
     scratch.drop()
-    out = described.join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
+    out = described.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
     out = out.withColumn("rep", F.when(F.expr("n > 0 and doc_id is not null"), F.col("rep"))).join(found, "rep", "left")
     named = found.select(F.col("rep").alias("doc_id"), F.col("component").alias("named"))
     out = out.join(named, "doc_id", "left") if linked else out.withColumn("named", F.lit(None).cast("long"))
