@@ -40,8 +40,9 @@ _U = np.uint64
 COVER = 3
 #: Rounds with anchors before pairs between components are enumerated, and how many pairs a row may cost.
 ROUNDS, PAIRS_A_ROW = 6, 512
-#: 64-bit words of a set's parities: of two sets, no more bits differ than elements.
-PARITIES = 4
+#: 64-bit words of a set's parities: of two sets, no more bits differ than elements.  A few of them
+#: serve within groups, the others for pairs.
+PARITIES, MORE_PARITIES = 8, 32
 #: Ids of candidates up to which they go to all tasks (some 50 bytes each); more are joined by shuffle.
 FEW_IDS = 200_000
 
@@ -170,30 +171,31 @@ def _class_hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return mix64(s ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64), mix64(s ^ _U(0x589965CC75374CC3)).sum(dtype=np.uint64)
 
 
-def _parities(s: np.ndarray) -> np.ndarray:
-    """Bit i: whether an odd number of elements has i as its place, as 64-bit words."""
-    at = (s & _U(64 * PARITIES - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64)
+def _parities(s: np.ndarray, words: int) -> np.ndarray:
+    """Bit i: whether an odd number of elements has i as its place, in bytes."""
+    at = (s & _U(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8))
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, c1, c2, p0...) of each document; c1 and c2 are two hashes of the whole set, p0... its parities."""
+    """(doc_id, n, c1, c2, p0..., odd) of each document; c1 and c2 are two hashes of the whole set, p0... and odd its parities."""
     names = [f"p{i}" for i in range(PARITIES)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in text_slices(batch.column(1)):
-                n, hashes, odd = [], [], []
+                n, hashes, odd, more = [], [], [], []
                 for s in shingle_sets(data, bounds, size):
                     n.append(len(s))
                     hashes.append(_class_hashes(s))
-                    odd.append(_parities(s))
+                    odd.append(_parities(s, PARITIES).view(np.int64))
+                    more.append(_parities(s, MORE_PARITIES).tobytes())
                 both = np.array(hashes, dtype=np.uint64).view(np.int64)
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-                cols += [pa.array(x) for x in np.array(odd).T]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2", *names])
+                cols += [*(pa.array(x) for x in np.array(odd).T), pa.array(more, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2", *names, "odd"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{p} long" for p in names))
+    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{p} long" for p in names) + ", odd binary")
 
 
 def _sign(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -230,6 +232,24 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(_named(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(work, "doc_id long, own binary")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose parities don't differ in more bits than similar sets do in elements."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
+                least = -(-(n + m) * num // (num + den))
+                near = np.bitwise_count(x ^ y).sum(axis=1) <= n + m - 2 * least
+                yield batch.select([0, 1]).filter(pa.array(near))
+
+    #: Ids that stand for several sets (rows that share an id) are compared by each of them.
+    own = classes.select(F.col("rep").alias("a"), "n", "odd")
+    other = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("odd").alias("even"))
+    return pairs.join(own, "a").join(other, "b").select("a", "b", "n", "m", "odd", "even").mapInArrow(work, "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * intersection >= num * union."""
 
@@ -261,7 +281,7 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
     odd = [f"p{i}" for i in range(PARITIES)]
     described = scratch.keep(scratch.write(_describe(docs, size), "described"))
     known = described.where("n > 0 and doc_id is not null")
-    classes = scratch.keep(scratch.write(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ["n", *odd]]), "classes"))
+    classes = scratch.keep(scratch.write(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ["n", *odd, "odd"]]), "classes"))
     each = _sign(docs, size, num, den)
     #: Summed up before the shuffle, so the copies of one set are one row from each task.
     shared = each.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
@@ -304,10 +324,11 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
+        near = scratch.write(_near(pairs, classes, num, den), "near")
         scratch.drop(counts, still)
-        ids = scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+        ids = scratch.write(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids")
         sets = scratch.write(_sets(docs, ids, size), "sets")
-        links = links.union(scratch.write(_verify(pairs, sets, num, den), "verified"))
+        links = links.union(scratch.write(_verify(near, sets, num, den), "verified"))
         scratch.drop(ids, sets)
         tested = pairs if tested is None else tested.union(pairs)
         if last:
