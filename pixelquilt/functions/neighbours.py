@@ -1,9 +1,9 @@
 """Neighbourhoods of pixels: windows along rows and columns, and tiles for what windows can't say.
 
-A batch is partitioned by image for both directions at once: Spark takes rows hashed by image_id
-as clustered by (image_id, y) and by (image_id, x), so a separable filter shuffles once.
-Images too large for one task go by tiles: each tile takes the pixels around it along, and is a
-group of bounded size.
+A window's group is one row or one column of one image, so a separable filter is dealt out by
+(image, row) and then by (image, column): two shuffles, and an image of any size is many groups.
+What windows can't say goes by tiles: each tile takes the pixels around it along, and is a group
+of bounded size.
 """
 
 from __future__ import annotations
@@ -21,11 +21,6 @@ TILE = 256
 _AXES = {"x": ("y", "w"), "y": ("x", "h")}
 
 
-def by_image(df: DataFrame) -> DataFrame:
-    """Rows of an image together."""
-    return df.repartition("image_id")
-
-
 def line(axis: str) -> Window:
     return Window.partitionBy("image_id", _AXES[axis][0]).orderBy(axis)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelquilt.functions.neighbours import by_image, tap
+from pixelquilt.functions.neighbours import tap
 from pixelquilt.functions.pixels import TILES, cfa_colour, clamp, half
 from pixelquilt.plans.raster import KEYS, Raster
 from pixelquilt.plans.registry import Param, operator
@@ -14,8 +14,8 @@ def _build(r: Raster, alpha: float, beta: float, gamma: float) -> Raster:
     """Bilinear colours plus the centre's Laplacian with these weights."""
     if r.cfa not in TILES or r.fmt != "R32F":
         cols = r.colours if len(r.colours) == 3 else ["c0"] * 3
-        return r.with_pixels(r.pixels.select(*KEYS, *[half(F.col(c) / r.scale).alias(f"c{i}") for i, c in enumerate(cols)], F.lit(1.0).alias("c3")), "RGBA16F")
-    px = by_image(r.pixels).withColumn("s", clamp((F.col("c0") - r.black) / max(r.white - r.black, 1e-6), 0, 4))
+        return r.with_pixels(r.pixels.select(*KEYS, *[half(F.col(c) / r.scale).alias(f"c{i}") for i, c in enumerate(cols)], half(F.col("c3") / r.scale if len(r.channels) == 4 else F.lit(1.0)).alias("c3")), "RGBA16F")
+    px = r.pixels.withColumn("s", clamp((F.col("c0") - r.black) / max(r.white - r.black, 1e-6), 0, 4))
     wide = bool(alpha or beta or gamma)
     px = px.withColumn("hs", tap("s", "x", -1) + tap("s", "x", 1))
     far = {"h2": tap("s", "x", -2) + tap("s", "x", 2)} if wide else {}

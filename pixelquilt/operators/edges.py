@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelquilt.functions.neighbours import by_image, tap
+from pixelquilt.functions.neighbours import tap
 from pixelquilt.functions.pixels import luma
+from pixelquilt.plans.components import connected
 from pixelquilt.plans.raster import KEYS, Raster
 from pixelquilt.plans.registry import Param, get, operator
 from pixelquilt.plans.scratch import materialize
@@ -16,7 +17,7 @@ HIGH = Param("high", 0.3, 0, 4, 0.01, help="strength of a strong edge pixel")
 
 def _gradients(r: Raster, scale: float):
     """Rows with gx, gy, mag: 3 x 3, the luma going to 1 for full white."""
-    rows = by_image(r.pixels).withColumn("l", luma(r) if r.fmt == "R32F" else luma(r) / 255.0)
+    rows = r.pixels.withColumn("l", luma(r) if r.fmt == "R32F" else luma(r) / 255.0)
     rows = rows.withColumns({"dx": tap("l", "x", 1) - tap("l", "x", -1), "sx": tap("l", "x", -1) + 2 * F.col("l") + tap("l", "x", 1)})
     rows = rows.withColumns({"gx": tap("dx", "y", -1) + 2 * F.col("dx") + tap("dx", "y", 1), "gy": tap("sx", "y", 1) - tap("sx", "y", -1)})
     mag = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * scale
@@ -46,31 +47,24 @@ def _thin(rows):
 def non_max_suppression(gx: Raster, gy: Raster, mag: Raster) -> Raster:
     at = ["image_id", "x", "y"]
     rows = mag.pixels.withColumnRenamed("c0", "mag").join(gx.pixels.select(*at, F.col("c0").alias("gx")), at).join(gy.pixels.select(*at, F.col("c0").alias("gy")), at)
-    return mag.with_pixels(_thin(by_image(rows)))
+    return mag.with_pixels(_thin(rows))
 
 
 @operator("hysteresis", "edge stage", LOW, HIGH)
 def hysteresis(r: Raster, low: float, high: float) -> Raster:
     """1 for strong pixels and for weak ones that 8-neighbours connect with them.
 
-    The frontier of newly reached pixels meets the weak ones again and again; each round is a
-    table in the shared folder, so lineage stays short and only the frontier moves.
+    Weak pixels are labelled by connected component, in rounds that grow with the logarithm of a
+    path's length; components with a strong pixel stay.
     """
     low, high = min(low, high), max(low, high)
-    spark = r.pixels.sparkSession
     at = ["image_id", "x", "y"]
+    place = lambda dx, dy: F.struct("image_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
     weak = materialize(r.pixels.where(F.col("c0") >= low).select(*at, (F.col("c0") >= high).alias("strong")), "weak")
-    frontier = weak.where("strong").select(*at)
-    reached, left = frontier, weak.where("not strong").select(*at)
-    step = spark.range(9).select((F.col("id") % 3 - 1).cast("int").alias("dx"), (F.floor(F.col("id") / 3) - 1).cast("int").alias("dy")).where("dx <> 0 or dy <> 0")
-    while True:
-        near = frontier.join(F.broadcast(step), F.lit(True)).select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")).distinct()
-        frontier = materialize(left.join(near, at, "left_semi"), "frontier")
-        if frontier.isEmpty():
-            break
-        reached = materialize(reached.union(frontier), "reached")
-        left = materialize(left.join(frontier, at, "left_anti"), "weak")
-    hit = reached.withColumn("hit", F.lit(1.0))
+    near = weak.select(place(0, 0).alias("a"), F.explode(F.array(*[place(dx, dy) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])).alias("b"))
+    labels = connected(near.join(weak.select(place(0, 0).alias("b")), "b", "left_semi").select("a", "b"))
+    weak = weak.join(labels.select("node.*", "component"), at, "left").withColumn("component", F.coalesce("component", place(0, 0)))
+    hit = weak.join(weak.where("strong").select("component").distinct(), "component", "left_semi").select(*at, F.lit(1.0).alias("hit"))
     return r.with_pixels(r.pixels.join(hit, at, "left").select(*KEYS, F.coalesce("hit", F.lit(0.0)).alias("c0")))
 
 

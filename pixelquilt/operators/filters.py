@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from pixelquilt.functions.neighbours import box_sums, by_image, line_sum, tap, tiled
+from pixelquilt.functions.neighbours import box_sums, line_sum, tap, tiled
 from pixelquilt.functions.pixels import LUMA_601, luma, pack
 from pixelquilt.operators.threshold import gauss
 from pixelquilt.plans.raster import KEYS, Raster
@@ -24,7 +24,7 @@ def _packed(r: Raster, rows, own: list[str]) -> Raster:
 def box_blur(r: Raster, radius: float) -> Raster:
     """Alpha too."""
     k = int(radius)
-    rows = box_sums(by_image(r.pixels), r.channels, (-k, k), (-k, k))
+    rows = box_sums(r.pixels, r.channels, (-k, k), (-k, k))
     return _packed(r, rows.withColumns({c: F.col(c) / float((2 * k + 1) ** 2) for c in r.channels}), r.channels)
 
 
@@ -32,7 +32,7 @@ def box_blur(r: Raster, radius: float) -> Raster:
 def gaussian_blur(r: Raster, sigma: float) -> Raster:
     """Alpha too."""
     k = min(max(math.ceil(3 * sigma), 1), 64)
-    rows = by_image(r.pixels)
+    rows = r.pixels
     for axis in ("x", "y"):
         rows = rows.withColumns({c: sum((tap(c, axis, i - k) * g for i, g in enumerate(gauss(sigma, k))), F.lit(0.0)) for c in r.channels})
     return _packed(r, rows, r.channels)
@@ -42,7 +42,7 @@ def gaussian_blur(r: Raster, sigma: float) -> Raster:
 def guided_filter(r: Raster, radius: float, eps: float) -> Raster:
     k, e, n = int(radius), (eps * r.scale) ** 2, float((2 * int(radius) + 1) ** 2)
     names = r.colours
-    rows = by_image(r.pixels).withColumns({f"m{c}": F.col(c) for c in names} | {f"q{c}": F.col(c) * F.col(c) for c in names})
+    rows = r.pixels.withColumns({f"m{c}": F.col(c) for c in names} | {f"q{c}": F.col(c) * F.col(c) for c in names})
     rows = box_sums(rows, [f"m{c}" for c in names] + [f"q{c}" for c in names], (-k, k), (-k, k))
     var = {c: F.greatest(F.lit(0.0), F.col(f"q{c}") / n - (F.col(f"m{c}") / n) * (F.col(f"m{c}") / n)) for c in names}
     rows = rows.withColumns({f"a{c}": var[c] / (var[c] + e) for c in names})
@@ -55,7 +55,7 @@ def guided_filter(r: Raster, radius: float, eps: float) -> Raster:
 def kuwahara(r: Raster, radius: float) -> Raster:
     """The mean of the calmest of four squares that meet in the pixel, the first of equal ones."""
     k, n = int(radius), float((int(radius) + 1) ** 2)
-    rows = by_image(r.pixels).withColumns({"l": luma(r), "q": luma(r) * luma(r)})
+    rows = r.pixels.withColumns({"l": luma(r), "q": luma(r) * luma(r)})
     names = [*r.colours, "l", "q"]
     spans = {"a": (-k, 0), "b": (0, k)}
     rows = rows.withColumns({f"{c}_{s}": line_sum(c, "x", *spans[s]) for c in names for s in spans})
@@ -98,7 +98,7 @@ def median_blur(r: Raster, radius: float) -> Raster:
 
 @operator("bilateral", "filter", Param("sigma_space", 3, 0.1, 32, 0.1, help="width of the bell in space"), Param("sigma_range", 0.1, 0.001, 1, 0.005, help="width in colour, 1 being full white"))
 def bilateral(r: Raster, sigma_space: float, sigma_range: float) -> Raster:
-    k, sr = min(max(math.ceil(3 * sigma_space), 1), 32), sigma_range * r.scale
+    k, sr = min(max(math.ceil(2 * sigma_space), 1), 32), sigma_range * r.scale
 
     def fn(a: np.ndarray) -> np.ndarray:
         mid = _shift(a, k, 0, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pixelquilt.functions.pixels import LUMA_709, cfa_colour, clamp, pack, srgb_decode, srgb_encode, whole
+from pixelquilt.functions.pixels import LUMA_709, cfa_colour, clamp, pack, srgb_decode, srgb_encode
 from pixelquilt.functions.white_balance import relative_gains
 from pixelquilt.plans.raster import KEYS, Raster
 from pixelquilt.plans.registry import Param, operator
@@ -13,11 +13,11 @@ from pixelquilt.plans.registry import Param, operator
 
 @operator("grayscale", "color", *[Param(f"{c}_weight", d, 0, 1, 0.01, help=f"weight of {n}") for c, d, n in (("r", 0.299, "red"), ("g", 0.587, "green"), ("b", 0.114, "blue"))])
 def grayscale(r: Raster, r_weight: float, g_weight: float, b_weight: float) -> Raster:
-    """Bytes only; all other formats give zeros."""
-    if r.fmt != "RGBA8":
-        return r.with_pixels(r.pixels.select(*KEYS, *[F.lit(0.0).alias(c) for c in r.channels]))
+    """Of all formats; a single channel stays as it is."""
+    if r.fmt == "R32F":
+        return r
     total = max(1e-4, r_weight + g_weight + b_weight)
-    g = whole((F.col("c0") * r_weight + F.col("c1") * g_weight + F.col("c2") * b_weight) / total)
+    g = pack(r.fmt, (F.col("c0") * r_weight + F.col("c1") * g_weight + F.col("c2") * b_weight) / total)
     return r.with_pixels(r.pixels.select(*KEYS, g.alias("c0"), g.alias("c1"), g.alias("c2"), "c3"))
 
 

@@ -96,17 +96,17 @@ def finish(hist: DataFrame, fraction: float = 0.5) -> DataFrame:
 
 
 def sample_step(w: Column, h: Column) -> Column:
-    """The smallest square step that leaves SAMPLE pixels at most, in whole divisions."""
+    """The smallest step whose successor leaves SAMPLE pixels at most, in whole divisions."""
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.sqrt(w.cast("double") * h / SAMPLE)).cast("int") + 1))
-    fits = F.filter(steps, lambda s: F.floor(w / s) * F.floor(h / s) <= SAMPLE)
+    fits = F.filter(steps, lambda s: F.floor(w / (s + 1)) * F.floor(h / (s + 1)) <= SAMPLE)
     return F.element_at(fits, 1)
 
 
 def image_stats(r: Raster) -> DataFrame:
     """One row an image: count, mean, median and sd of the luma over the subsample, the shares of its end
-    bins, the tallest interior bin over the colours, and whether floats go beyond 1."""
+    bins, the tallest interior bin over the colours, the end of the luma's range, and whether it is a float beyond 1."""
     step = sample_step(F.col("w"), F.col("h"))
-    px = r.pixels.withColumn("step", step).where("x % step = 0 and y % step = 0 and x div step < w div step and y div step < h div step")
+    px = r.pixels.withColumn("step", step).where("x % step = 0 and y % step = 0 and x div step < greatest(1, w div step) and y div step < greatest(1, h div step)")
     part = r.with_pixels(px)
     hist = binned(part)
     ends = hist.groupBy("image_id").agg((F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("clip_low"), (F.sum(F.when(F.col("bin") == 255, F.col("n")).otherwise(0)) / F.sum("n")).alias("clip_high"))
@@ -115,7 +115,7 @@ def image_stats(r: Raster) -> DataFrame:
         own = binned(part, F.col(c)).where("bin between 1 and 254").select("image_id", "n")
         tall = own if tall is None else tall.union(own)
     peak = tall.groupBy("image_id").agg(F.max("n").alias("peak_count"))
-    most = px.groupBy("image_id").agg(F.max(F.greatest(*[F.col(c) for c in r.colours]) if len(r.colours) > 1 else F.col("c0")).alias("max_value"))
+    most = hist.groupBy("image_id").agg(F.max("hi").alias("max_value"))
     out = finish(hist).select("image_id", "count", "mean", "median", "sd").join(ends, "image_id").join(peak, "image_id", "left").join(most, "image_id")
     return out.withColumn("headroom", F.lit(r.fmt != "RGBA8") & (F.col("max_value") > 1.0001))
 

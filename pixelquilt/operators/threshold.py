@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pixelquilt.functions.neighbours import by_image, line, line_sum, tap
+from pixelquilt.functions.neighbours import line, line_sum, tap
 from pixelquilt.functions.pixels import luma
 from pixelquilt.operators import statistics
 from pixelquilt.plans.raster import KEYS, Raster
@@ -47,7 +47,7 @@ _by_histogram("threshold_isodata", statistics.isodata)
 def _moments(r: Raster, window: float):
     """Rows with the mean and sd of the luma in the window, which shrinks at borders."""
     k = _radius(window)
-    rows = by_image(r.pixels).withColumns({"l": luma(r), "ll": luma(r) * luma(r)})
+    rows = r.pixels.withColumns({"l": luma(r), "ll": luma(r) * luma(r)})
     rows = rows.withColumns({c: line_sum(c, "x", -k, k, False) for c in ("l", "ll")})
     rows = rows.withColumns({c: line_sum(c, "y", -k, k, False) for c in ("l", "ll")})
     n = F.expr(f"(least(x + {k}, w - 1) - greatest(x - {k}, 0) + 1) * (least(y + {k}, h - 1) - greatest(y - {k}, 0) + 1)")
@@ -74,7 +74,7 @@ def adaptive_mean(r: Raster, window: float, invert: float, c: float) -> Raster:
 @operator("threshold_bernsen", "threshold", WINDOW, INVERT, Param("contrast_min", 15, 0, 128, 1, help="contrast below which a window is uniform"), Param("uniform_level", 128, 0, 255, 1, help="level for uniform windows"))
 def bernsen(r: Raster, window: float, invert: float, contrast_min: float, uniform_level: float) -> Raster:
     k = _radius(window)
-    rows = by_image(r.pixels).withColumns({"lo": luma(r), "hi": luma(r)})
+    rows = r.pixels.withColumns({"lo": luma(r), "hi": luma(r)})
     for axis in ("x", "y"):
         near = line(axis).rowsBetween(-k, k)
         rows = rows.withColumns({"lo": F.min("lo").over(near), "hi": F.max("hi").over(near)})
@@ -92,7 +92,7 @@ def gauss(sigma: float, radius: int) -> list[float]:
 def adaptive_gaussian(r: Raster, window: float, invert: float, sigma: float, c: float) -> Raster:
     k = _radius(window)
     weights = gauss(sigma, k)
-    rows = by_image(r.pixels).withColumn("m", luma(r))
+    rows = r.pixels.withColumn("m", luma(r))
     for axis in ("x", "y"):
         rows = rows.withColumn("m", sum((tap("m", axis, i - k) * g for i, g in enumerate(weights)), F.lit(0.0)))
     return _mask(r, rows, F.col("m") - c, invert)

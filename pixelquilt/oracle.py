@@ -1,10 +1,7 @@
 """DuckDB SQL for the raster queries, written from the definitions: neighbourhoods are joins with offsets."""
 
 from __future__ import annotations
-
-
-from pixelquilt.operators.filters import sector_weights
-from pixelquilt.operators.threshold import gauss
+import math
 
 EVENTS = """px AS (SELECT CAST(0 AS BIGINT) AS image_id, CAST(event_id % 100 AS INT) AS x, CAST(event_id // 100 AS INT) AS y, 100 AS w,
   CAST((SELECT max(event_id) FROM events) // 100 + 1 AS INT) AS h, CAST(floor(value) % 256 AS DOUBLE) AS c0, CAST(user_id % 256 AS DOUBLE) AS c1,
@@ -86,6 +83,26 @@ hi AS (SELECT image_id, CAST(greatest(0, least(255, floor(({value} - lo) / (hi -
 de AS (SELECT sp.image_id, sp.lo, sp.hi, CAST(b AS INT) AS bin, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM sp CROSS JOIN range(256) r(b) LEFT JOIN hi ON hi.image_id = sp.image_id AND hi.bin = b)"""
 
 
+def gauss(sigma: float, k: int) -> list[float]:
+    """A bell over -k..k that sums to 1."""
+    bell = {i: math.exp(-0.5 * (i / sigma) ** 2) for i in range(-k, k + 1)}
+    return [g / math.fsum(bell.values()) for g in bell.values()]
+
+
+def sector_table(radius: int, sectors: int) -> str:
+    """VALUES rows (sector, dx, dy, weight) of a disc's wedges: a bell in the angle from the wedge's middle, with
+    half a wedge as its width, times one in the distance, with half the radius; each place's weights add up to 1."""
+    rows, wedge = [], 2 * math.pi / sectors
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            if math.hypot(dx, dy) > radius:
+                continue
+            away = [abs(math.remainder(math.atan2(dy, dx) - s * wedge, 2 * math.pi)) if dx or dy else 0.0 for s in range(sectors)]
+            bells = [math.exp(-0.5 * (a / (wedge / 2)) ** 2 - 0.5 * (dx * dx + dy * dy) / (radius / 2) ** 2) for a in away]
+            rows += [f"({s}, {dx}, {dy}, CAST({b / math.fsum(bells)!r} AS DOUBLE))" for s, b in enumerate(bells)]
+    return ", ".join(rows)
+
+
 def _gauss_near(k: int, sigma: float, source: str, column: str) -> str:
     w = gauss(sigma, k)
     table = ", ".join(f"({i - k}, CAST({g!r} AS DOUBLE))" for i, g in enumerate(w))
@@ -179,7 +196,7 @@ SELECT image_id, x, y, CAST(NOT c0 > t AS DOUBLE) AS c0 FROM px JOIN f USING (im
     q["median_blur"] = out(f"{EVENTS}, {near('nb', 'px', 2, RGB)}, s AS (SELECT image_id, x, y, {grouped({c: f'median({c})' for c in RGB})} FROM nb GROUP BY image_id, x, y)", {c: whole(c) for c in RGB} | {"c3": "a3"}, f"s {alpha}")
     wt = f"exp(-{d2} / 2.0) * exp(-(pow(c0 - m0, 2) + pow(c1 - m1, 2) + pow(c2 - m2, 2)) / (2 * pow(0.2010 * 255, 2)))"
     q["bilateral"] = out(
-        f"{EVENTS}, {near('nb', 'px', 3, RGB, ', p.c0 AS m0, p.c1 AS m1, p.c2 AS m2')}, k AS (SELECT *, {wt} AS g FROM nb), s AS (SELECT image_id, x, y, {grouped({c: f'sum(g * {c}) / greatest(sum(g), 1e-8)' for c in RGB})} FROM k GROUP BY image_id, x, y)",
+        f"{EVENTS}, {near('nb', 'px', 2, RGB, ', p.c0 AS m0, p.c1 AS m1, p.c2 AS m2')}, k AS (SELECT *, {wt} AS g FROM nb), s AS (SELECT image_id, x, y, {grouped({c: f'sum(g * {c}) / greatest(sum(g), 1e-8)' for c in RGB})} FROM k GROUP BY image_id, x, y)",
         {c: whole(c) for c in RGB} | {"c3": "a3"}, f"s {alpha}",
     )
     q["guided_filter"] = out(
@@ -200,7 +217,7 @@ e{i} AS (SELECT image_id, x, y, w, h, g{i}.c0 FROM g{i} JOIN px USING (image_id,
   FROM nb JOIN {quad} ON dx BETWEEN xa AND xb AND dy BETWEEN ya AND yb GROUP BY image_id, x, y, i), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY v, i) = 1)""",
         {c: whole(c) for c in RGB} | {"c3": "a3"}, f"b {alpha}",
     )
-    table = ", ".join(f"({s}, {dx - 2}, {dy - 2}, CAST({float(w)!r} AS DOUBLE))" for s, plane in enumerate(sector_weights(2, 8)) for dy, row in enumerate(plane) for dx, w in enumerate(row) if w > 0)
+    table = sector_table(2, 8)
     q["kuwahara_generalized"] = out(
         f"""{VECTORS}, sw AS (SELECT * FROM (VALUES {table}) v(s, dx, dy, g)), {near('nb', 'px', 2, ('c0',))},
 m AS (SELECT image_id, x, y, s, sum(c0 * g) / sum(g) AS m, sum(c0 * c0 * g) / sum(g) AS qq FROM nb JOIN sw USING (dx, dy) GROUP BY image_id, x, y, s),
@@ -240,7 +257,7 @@ SELECT image_id, CAST(sum(n) AS BIGINT) AS count, round(sum(n * v) / sum(n), 6)
     q["image_stats"] = f"""WITH {_hist(VECTORS, 'c0', False)}, v AS (SELECT image_id, bin, n, {value('bin')} AS v, sum(n) {cum} AS up, sum(n) {own} AS al FROM hi)
 SELECT image_id, CAST(sum(n) AS BIGINT) AS count, round(sum(n * v) / sum(n), 6) AS mean, round(min(v) FILTER (up >= 0.5 * al), 6) AS median, round(sqrt(greatest(0, sum(n * v * v) / sum(n) - pow(sum(n * v) / sum(n), 2))), 6) AS sd,
   round(coalesce(sum(n) FILTER (bin = 0), 0) / sum(n), 6) AS clip_low, round(coalesce(sum(n) FILTER (bin = 255), 0) / sum(n), 6) AS clip_high, max(n) FILTER (bin BETWEEN 1 AND 254) AS peak_count,
-  any_value(mv) AS max_value, any_value(mv) > 1.0001 AS headroom FROM v JOIN (SELECT image_id, round(max(c0), 6) AS mv FROM px GROUP BY image_id) USING (image_id) GROUP BY image_id"""
+  round(max(hi), 6) AS max_value, max(hi) > 1.0001 AS headroom FROM v JOIN sp USING (image_id) GROUP BY image_id"""
     b = {c: whole(f"{c} + 0.1 * 255") for c in RGB}
     d = [f"abs({c} - {b[c]})" for c in RGB]
     q["compare"] = f"""WITH {EVENTS}, d AS (SELECT image_id, {', '.join(f'{e} AS d{i}' for i, e in enumerate(d))} FROM px)
@@ -252,6 +269,9 @@ SELECT image_id, round(max(greatest(d0, d1, d2)), 6) AS max_diff, round(sum(d0 +
     q["display_normalise"] = out(f"{VECTORS}, m AS (SELECT image_id, min(c0) AS lo, max(c0) AS hi FROM px GROUP BY image_id)", {c: shade for c in RGB} | {"c3": "255.0"}, "px JOIN m USING (image_id)")
     q["thumbnail"] = f"""WITH {EVENTS}, s AS (SELECT *, CAST(greatest(1, ceil(greatest(w, h) / 32.0)) AS INT) AS st FROM px)
 SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(CAST({c} AS BIGINT)) // count(*) AS BIGINT) AS {c}' for c in RGBA)} FROM s WHERE x // st < w // st AND y // st < h // st GROUP BY image_id, x // st, y // st"""
+    grey = "CAST(floor(greatest(0.0, least(1.0, c0)) * 255) AS BIGINT)"
+    q["thumbnail_float"] = f"""WITH {VECTORS}, s AS (SELECT *, {grey} AS v, CAST(greatest(1, ceil(greatest(w, h) / 4.0)) AS INT) AS st FROM px)
+SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(v) // count(*) AS BIGINT) AS c{i}' for i in range(3))}, CAST(255 AS BIGINT) AS c3 FROM s WHERE x // st < w // st AND y // st < h // st GROUP BY image_id, x // st, y // st"""
     q["region"] = out(EVENTS, {c: c for c in RGBA}, "px WHERE x BETWEEN 0 AND 14 AND y BETWEEN 0 AND 14")
     q["png_round_trip"] = out(f"{VECTORS}, k AS (SELECT *, CAST(c0 > 0 AS INT) AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM k GROUP BY image_id)", {c: "CAST((v - lo) * 255 AS DOUBLE)" for c in RGB} | {"c3": "255.0"}, "k JOIN m USING (image_id)")
     q["latest_control"] = "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back; a folder of our own serves only where the setting is unset (tests)."""
+    """Write ``df`` and read it back; a folder of our own serves only where the setting is unset, in local mode."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="raster-")) if app not in _own else _own[app]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.operators import display, edges, statistics
+from pixelquilt.operators import display, statistics
 from pixelquilt.operators.threshold import threshold
 from pixelquilt.plans import registry
 from pixelquilt.plans.raster import Raster
@@ -18,7 +18,7 @@ from pixelquilt.streaming import controls
 def events(spark: SparkSession, sf_dir: str) -> Raster:
     """One RGBA8 image, 100 pixels wide, a pixel for each event."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
-    h = e.agg(F.max("event_id")).first()[0] // 100 + 1
+    h = (e.agg(F.max("event_id")).first()[0] or 0) // 100 + 1
     at = lambda s: F.expr(s).cast("int")
     byte = lambda s: F.expr(s).cast("double")
     px = e.select(F.lit(0).cast("long").alias("image_id"), at("event_id % 100").alias("x"), at("event_id div 100").alias("y"), F.lit(100).alias("w"), F.lit(int(h)).alias("h"), byte("floor(value) % 256").alias("c0"), byte("user_id % 256").alias("c1"), byte("event_id * 7 % 256").alias("c2"), F.lit(255.0).alias("c3"))
@@ -83,8 +83,9 @@ def _chain(source: Callable, name: str, params: dict) -> Callable[[SparkSession,
 
 def sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three results beside each other."""
-    rows = edges._gradients(events(spark, sf_dir), 1.0)
-    return rounded(rows.select("image_id", "x", "y", "gx", "gy", "mag"))
+    at = ["image_id", "x", "y"]
+    gx, gy, mag = (r.pixels.select(*at, F.col("c0").alias(n)) for n, r in zip(("gx", "gy", "mag"), registry.get("sobel")(events(spark, sf_dir))))
+    return rounded(gx.join(gy, at).join(mag, at))
 
 
 def non_max_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,10 @@ def thumbnail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.thumbnail(events(spark, sf_dir), 32)
 
 
+def thumbnail_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.thumbnail(vectors(spark, sf_dir), 4)
+
+
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(display.region(events(spark, sf_dir), 3, 5))
 
@@ -139,5 +144,5 @@ def latest_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, region, png_round_trip, latest_control]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, latest_control]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}

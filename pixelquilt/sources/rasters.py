@@ -15,7 +15,7 @@ from pixelquilt.plans.raster import Raster
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Extensions of sensor files, which need a vendor's decoder and are told apart only.
-RAW = "3fr arw cr2 cr3 crw dcr dng erf fff iiq kdc mef mos mrw nef nrw orf pef raf raw rw2 rwl sr2 srf srw".split()
+RAW = "3fr arw cr2 cr3 crw dcr dng erf iiq kdc mef mos mrw nef nrw orf pef raf raw rw2 rwl sr2 srf srw x3f".split()
 
 
 def from_arrays(df: DataFrame, key: str, values: str, width: int) -> Raster:
@@ -95,7 +95,10 @@ def decoded(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                px = decode_png(batch.column(1)[i].as_py() or b"")
+                try:
+                    px = decode_png(batch.column(1)[i].as_py() or b"")
+                except (zlib.error, struct.error, ValueError):  # damaged
+                    px = None
                 if px is None:
                     continue
                 h, w = px.shape[:2]

@@ -166,7 +166,15 @@ def test_basic_adjust_moves_what_it_names(spark):
 def test_stats_of_a_clipped_ramp(spark):
     r = image(spark, 800, 600, "case when y < 60 then 0 when y >= 540 then 255 else floor(x * 255 / 799) end")
     row = statistics.image_stats(r).first()
-    assert row["count"] <= statistics.SAMPLE
+    assert row["count"] == 800 * 600
+    steps = spark.createDataFrame([(800, 600), (100, 100), (1024, 1024), (1025, 1025), (5000, 3), (3504, 2336)], "w int, h int")
+    want = []
+    for w, h in ((800, 600), (100, 100), (1024, 1024), (1025, 1025), (5000, 3), (3504, 2336)):
+        s = 1
+        while (w // (s + 1)) * (h // (s + 1)) > statistics.SAMPLE:
+            s += 1
+        want.append(s)
+    assert [r[0] for r in steps.select(statistics.sample_step(F.col("w"), F.col("h"))).collect()] == want
     assert row["clip_low"] == pytest.approx(0.1, abs=0.01) and row["clip_high"] == pytest.approx(0.1, abs=0.01)
 
 
@@ -251,3 +259,41 @@ def test_latest_control_from_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(x.label, x.value) for x in spark.table("latest").collect()} == {("a", 3.0), ("b", 5.0)}
+
+
+def test_damaged_pictures_give_no_pixels(spark):
+    good = rasters.encode_png(np.full((2, 3, 4), 7, np.uint8))
+    files = [(1, good), (2, good[:50]), (3, b"\x89PNG\r\n\x1a\n"), (4, b""), (5, None), (6, good[:41] + b"\xff\xff\xff" + good[44:]), (7, good[:20])]
+    px = rasters.decoded(spark.createDataFrame(files, "image_id long, content binary")).groupBy("image_id").count().collect()
+    assert {r["image_id"]: r["count"] for r in px} == {1: 6}
+    names = spark.createDataFrame([("a.X3F",), ("b.fff",), ("c.nef/d.png",), ("e.CR3",)], "p string")
+    assert [r[0] for r in names.select(rasters.is_raw(F.col("p"))).collect()] == [True, False, False, True]
+
+
+def test_a_large_image_is_many_tasks_and_long_contours_few_rounds(spark):
+    r = image(spark, 300, 200, "(x * 7 + y * 13) % 256")
+    blurred = registry.get("box_blur")(r, radius=2).pixels
+    plan = blurred._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(image_id") >= 2 and "repartition" not in plan.lower()
+    spiral = np.zeros((21, 21))
+    for k in range(0, 10, 2):
+        spiral[k, k:21 - k] = spiral[k:21 - k, 20 - k] = spiral[20 - k, k:21 - k] = 0.5
+        spiral[k + 2:21 - k, k] = 0.5
+    spiral[0, 0] = 1.0
+    px = spark.createDataFrame([(1, x, y, 21, 21, float(spiral[y, x])) for y in range(21) for x in range(21)], "image_id long, x int, y int, w int, h int, c0 double")
+    got = grid(registry.get("hysteresis")(Raster(px, "R32F"), low=0.4, high=0.9), image_id=1)
+    todo, reach = [(0, 0)], {(0, 0)}
+    while todo:
+        y, x = todo.pop()
+        for j in range(max(0, y - 1), min(21, y + 2)):
+            for i in range(max(0, x - 1), min(21, x + 2)):
+                if spiral[j, i] >= 0.4 and (j, i) not in reach:
+                    reach.add((j, i))
+                    todo.append((j, i))
+    assert {tuple(map(int, p)) for p in np.argwhere(got == 1)} == reach and len(reach) > 60
+
+
+def test_thumbnails_of_floats(spark):
+    px = image(spark, 4, 4, "x * 100 + 50").pixels.select("image_id", "x", "y", "w", "h", "c0")
+    got = display.thumbnail(Raster(px, "R32F", black=50.0, white=350.0), 2).orderBy("y", "x").collect()
+    assert [(r.c0, r.c3) for r in got] == [(42, 255), (212, 255)] * 2
