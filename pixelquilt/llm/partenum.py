@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -40,6 +40,8 @@ _U = np.uint64
 COVER = 3
 #: Rounds with anchors before pairs between components are enumerated, and how many pairs a row may cost.
 ROUNDS, PAIRS_A_ROW = 6, 512
+#: Shares of the signatures that are shuffled one after another: each takes as much less of the disk.
+PASSES = 2
 #: 64-bit words of a set's parities: of two sets, no more bits differ than elements.  A few of them
 #: serve within groups, the others for pairs.
 PARITIES, MORE_PARITIES = 8, 32
@@ -100,7 +102,7 @@ def plan(k: int, low: int) -> Plan:
     found = []
     for errors in range(min(k, 3) + 1):
         least = k // (errors + 1) + 1
-        spare = 1 + least // 12 if least > 1 else 0
+        spare = 1 + least // 16 if least > 1 else 0
         for second in range(errors + 1, errors + 4):
             found.append(Plan(least + spare, second, errors, spare))
     enough = [p for p in found if p.share * low >= COVER]
@@ -198,8 +200,8 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{p} long" for p in names) + ", odd binary")
 
 
-def _sign(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(sig, c1): the signatures of each document that has an id, with the first hash of its set."""
+def _sign(docs: DataFrame, size: int, num: int, den: int, turn: int = 0, passes: int = 1) -> DataFrame:
+    """(sig, c1): one share of the signatures of each document that has an id, with the first hash of its set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -207,7 +209,8 @@ def _sign(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             for _, _, data, bounds in text_slices(batch.column(0)):
                 sigs, own = [], []
                 for s in shingle_sets(data, bounds, size):
-                    sigs.append(signatures(s, bands))
+                    x = signatures(s, bands)
+                    sigs.append(x[x % _U(passes) == turn] if passes > 1 else x)
                     own.append(_class_hashes(s)[0])
                 c1 = np.repeat(np.array(own, dtype=np.uint64), [len(x) for x in sigs])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(c1.view(np.int64))], ["sig", "c1"])
@@ -282,13 +285,17 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
     described = scratch.keep(scratch.write(_describe(docs, size), "described"))
     known = described.where("n > 0 and doc_id is not null")
     classes = scratch.keep(scratch.write(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ["n", *odd, "odd"]]), "classes"))
-    each = _sign(docs, size, num, den)
-    #: Summed up before the shuffle, so the copies of one set are one row from each task.
-    shared = each.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
-    shared = scratch.write(shared, "shared")
-    rows = each.join(shared.hint("shuffle_hash"), "sig", "left_semi").distinct()
-    rows = scratch.write(rows.join(classes.select("c1", "rep", "n", *odd), "c1").select("sig", "rep", "n", *odd).distinct(), "candidates")
-    scratch.drop(shared)
+    parts = []
+    for turn in range(PASSES):
+        each = _sign(docs, size, num, den, turn, PASSES)
+        #: Summed up before the shuffle, so the copies of one set are one row from each task.
+        shared = each.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
+        shared = scratch.write(shared, "shared")
+        parts.append(scratch.write(each.join(shared.hint("shuffle_hash"), "sig", "left_semi").distinct(), "members"))
+        scratch.drop(shared)
+    rows = reduce(DataFrame.union, parts).join(classes.select("c1", "rep", "n", *odd), "c1")
+    rows = scratch.write(rows.select("sig", "rep", "n", *odd).distinct(), "candidates")
+    scratch.drop(*parts)
     differing = " + ".join(f"bit_count({c} ^ q{i})" for i, c in enumerate(odd))
     close = F.expr(f"least(n, m) * {den} >= greatest(n, m) * {num} and {differing} <= n + m - 2 * (((n + m) * {num} + {num + den - 1}) div {num + den})")
     others = [F.col(c).alias(f"q{i}") for i, c in enumerate(odd)]

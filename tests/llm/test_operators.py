@@ -91,6 +91,61 @@ def test_ngram_join_of_random_near_sets_at_other_thresholds(spark):
         assert got == want, num
 
 
+def test_partenum_plans_and_signatures_keep_every_similar_pair():
+    import numpy as np
+
+    for num, den in ((85, 100), (80, 100), (50, 100)):
+        bands = partenum.Bands(num, den)
+        rnd = np.random.default_rng(3)
+        for n in (1, 2, 3, 5, 8, 13, 21, 40, 80, 200, 700):
+            for _ in range(20):
+                s = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+                drop, add = rnd.integers(0, n + 1), rnd.integers(0, n // 4 + 2)
+                t = np.union1d(rnd.choice(s, len(s) - drop // 5, replace=False), rnd.integers(0, 2**64, add, dtype=np.uint64))
+                both = len(np.intersect1d(s, t))
+                if not np.array_equal(s, t) and den * both >= num * (len(s) + len(t) - both):
+                    assert np.intersect1d(partenum.signatures(s, bands), partenum.signatures(t, bands)).size, (num, n, len(t))
+    for k in range(1, 300):
+        p = partenum.plan(k, 4 * k)
+        assert p.first > k // (p.errors + 1) + p.spare - (p.spare == 0) or k == 0
+        assert p.first - k // (p.errors + 1) >= 1 + p.spare
+
+
+def test_ngram_join_where_rounds_end_early(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "ROUNDS", 0)
+    monkeypatch.setattr(partenum, "FEW_IDS", 0)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for k in rnd.sample(range(60), rnd.randint(0, 4)):
+            w[k] = f"z{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    own = {i: {tuple(t.split()[k : k + 2]) for k in range(59)} for i, t in rows}
+    want = groups([(a, b) for a, b in combinations(own, 2) if 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])], own)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit(1)).withColumn("c1", F.lit("x")).withColumn("a.b", F.lit(2))
+    assert {r.doc_id: r.component_id for r in partenum.link(docs, size=2).collect()} == want
+    assert partenum.keep_one(docs, size=2).columns == docs.columns
+
+
+def test_line_dedup_with_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b\nc d", 5, "x", 1, 2), (2, "c d\ne f", 6, "y", 1, 2), (2, "c d\ne f", 6, "y", 1, 2)], ["doc_id", "text", "h", "_h", "gone", "a.b"])
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", "h", "_h", "a.b", "n_lines", "gone"]
+    assert sorted((r.doc_id, r.text, r.h, r._h) for r in got.collect()) == [(1, "a b\nc d", 5, "x"), (2, "e f", 6, "y"), (2, "e f", 6, "y")]
+
+
+def test_counts_beyond_32_bits(spark):
+    import numpy as np
+
+    big = (1 << 32) - 1
+    runs = [(1, 0, b"", np.array([7], dtype=np.uint64).tobytes() + np.array([big], dtype=np.uint32).tobytes())] * 3
+    row = lm_score._blocks(spark.createDataFrame(runs, "kind int, bucket int, ones binary, more binary"), 16).first()
+    block = lm_score.Block(0, 16, [row])
+    assert block.count(np.array([7, 8], dtype=np.uint64)).tolist() == [3 * big, 0]
+
+
 def test_line_dedup_against_all_pairs(docs, none):
     seen, gone = [], {}
     for i, t in enumerate(texts()):
