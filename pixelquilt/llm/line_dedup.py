@@ -61,7 +61,9 @@ def _hashes(line: Column) -> Column:
 def _word_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line, c1, c2, words) of every line with a word: h is a hash of the text, words the
     sorted hashes of the line's words, c1 and c2 two hashes of these."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(_lines("text")).alias("line", "s")).where(F.trim("s") != "")
+    #: The text is hashed once and not carried along with each of its lines.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), _lines("text").alias("lines"))
+    lines = texts.select("doc_id", "h", F.posexplode("lines").alias("line", "s")).where(F.trim("s") != "")
     rows = lines.select("doc_id", "h", "line", F.sort_array(_hashes(F.col("s"))).alias("words"))
     return rows.select("doc_id", "h", "line", F.xxhash64("words", F.lit(1)).alias("c1"), F.xxhash64(F.lit(2), "words").alias("c2"), "words")
 
@@ -78,9 +80,9 @@ def rarity_levels(lines: DataFrame) -> list[int]:
 
 def _by_rarity(words: str, levels: list[int]) -> Column:
     """Words, rarest first: numbers made of a word's level and its hash."""
-    table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<bigint>)")
-    number = F.transform(words, lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")) * (1 << BITS) + w)
-    return F.sort_array(number)
+    table = F.expr(f"cast(split('{','.join(str(x << BITS) for x in levels)}', ',') as array<bigint>)")
+    #: Never null, so that the array is sorted as plain numbers.
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(w), F.lit(0).cast("long"))))
 
 
 class Similarity:
@@ -134,7 +136,8 @@ def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
     the number of a class's first document.  home: in its own band, and among the few words in which
     the smaller of two similar sets has the first shared one."""
     order = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("o")
-    own = able.select("c1", "n", order, "copies", "sig", F.posexplode(F.expr(f"slice(words, 1, {sim.prefix('n')})")).alias("at", "w"))
+    own = able.select("c1", "n", order, "copies", "sig", F.expr(f"slice(words, 1, {sim.prefix('n')})").alias("words"))
+    own = own.select("c1", "n", "o", "copies", "sig", F.posexplode("words").alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
     rows = own.select("*", F.explode(F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")).alias("band"))
     return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')} and at <= n - {sim.overlap('n', 'n')}").alias("home"), "o", "copies", "sig")
@@ -175,8 +178,10 @@ def _similar(pairs: DataFrame, able: DataFrame, docs: DataFrame, sim: Similarity
     by_doc = F.broadcast(by_doc) if asked.count() <= ASKED else by_doc.hint("shuffle_hash")
     #: Rows that repeat an id and a text are there as often.
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")))
-    lines = texts.select("asked", _lines("text").alias("lines")).select("lines", F.explode("asked").alias("x"))
-    sets = lines.select("x.c1", "x.c2", "x.first", _hashes(F.get("lines", F.col("x.first.line"))).alias("words"))
+    lines = texts.select("asked", _lines("text").alias("lines"))
+    #: Each asked line goes on with its own words alone.
+    lines = lines.select(F.explode(F.transform("asked", lambda x: F.struct(x["c1"].alias("c1"), x["c2"].alias("c2"), x["first"].alias("first"), F.get("lines", x["first"]["line"]).alias("line")))).alias("x"))
+    sets = lines.select("x.c1", "x.c2", "x.first", _hashes(F.col("x.line")).alias("words"))
     sets = scratch.write(sets, "sets", "orc")
     other = sets.select(F.col("c1").alias("d1"), F.col("first").alias("earlier"), F.col("words").alias("others"))
     both = pairs.join(sets, "c1").join(other, "d1").where(F.col("earlier") < F.col("first"))
