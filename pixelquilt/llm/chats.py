@@ -62,9 +62,11 @@ def collapse(turns: DataFrame) -> DataFrame:
     extended = prefixes.where("k < n_turns").groupBy(F.col("k").alias("n_turns"), "p1", "p2").agg(longest.alias("x"))
     equal = mine.groupBy("n_turns", "p1", "p2").agg(F.min("conv_id").alias("least"))
     own = equal.join(extended, ["n_turns", "p1", "p2"], "left").select("n_turns", "p1", "p2", "least", (-F.col("x.id")).alias("longer"))
-    out = mine.join(own, ["n_turns", "p1", "p2"])
     by = F.coalesce("longer", F.when(F.col("least") < F.col("conv_id"), F.col("least")))
-    return out.select("conv_id", "n_turns", by.isNull().alias("kept"), by.alias("covered_by"))
+    covered = mine.join(own, ["n_turns", "p1", "p2"]).select("conv_id", "n_turns", F.lit(False).alias("kept"), by.alias("covered_by")).where("covered_by is not null")
+    covered = materialize(covered, "covered")
+    maximal = mine.join(covered, "conv_id", "left_anti").select("conv_id", "n_turns", F.lit(True).alias("kept"), F.lit(None).cast("long").alias("covered_by"))
+    return maximal.unionByName(covered)
 
 
 def turn_text(role: Column, text: Column) -> Column:
