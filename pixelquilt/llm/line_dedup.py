@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from pixelquilt.llm.common import NOT_SPACE, Scratch
 
 #: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Bits of a word's hash; a level stands above them.
 BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
-FEW, HOT = 32, 2048
+FEW, HOT = 32, 256
 #: Words that a key may be made of.
 WORDS = 3
 #: Lines to be verified that may be named to all tasks (some 60 bytes each); more are joined by shuffle.
@@ -69,20 +69,21 @@ def _word_sets(docs: DataFrame) -> DataFrame:
 
 
 def rarity_levels(lines: DataFrame) -> list[int]:
-    """For each bucket of word hashes a level from 0 that grows with the words' count over all lines."""
+    """For each bucket of word hashes a level from 0 to 127 that grows with the words' count over all lines."""
     words = lines.select(F.explode("words").alias("w"))
     counts = words.groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
     for b, n in counts.collect():  # BUCKETS rows at most
-        out[b] = int(4 * math.log2(1 + n))
+        out[b] = min(127, int(3 * math.log2(1 + n)))
     return out
 
 
 def _by_rarity(words: str, levels: list[int]) -> Column:
     """Words, rarest first: numbers made of a word's level and its hash."""
-    table = F.expr(f"cast(split('{','.join(str(x << BITS) for x in levels)}', ',') as array<bigint>)")
+    table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)")
     #: Never null, so that the array is sorted as plain numbers.
-    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(w), F.lit(0).cast("long"))))
+    level = lambda w: F.coalesce(F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.shiftleft(level(w), BITS).bitwiseOR(w), F.lit(0).cast("long"))))
 
 
 class Similarity:
