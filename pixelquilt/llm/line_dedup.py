@@ -38,7 +38,9 @@ BUCKETS = 1 << 18
 #: Bits of a word's hash; a level stands above them.
 BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
-FEW, HOT = 32, 256
+FEW, HOT = 32, 2048
+#: Distinct words beyond which a line has parities of four times as many bits; 64 tell such lines apart no longer.
+LONG = 160
 #: Words that a key may be made of.
 WORDS = 3
 #: Lines to be verified that may be named to all tasks (some 60 bytes each); more are joined by shuffle.
@@ -114,16 +116,23 @@ class Similarity:
         positions (from 0; it is the ``depth``-th shared word), and the filter by parities."""
         bound = self.overlap("a.n", "b.n")
         places = f"least(a.n - a.at, b.n - b.at) + a.depth - 1 >= {bound}"
-        return f"least(a.n, b.n) >= {self.least('greatest(a.n, b.n)')} and {places} and bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * ({bound})"
+        differing = f"a.n + b.n - 2 * ({bound})"
+        #: Null where either line is not long; the fourth quarter is what is left of all words' parities.
+        quarters = [f"bit_count(a.odd.p{i} ^ b.odd.p{i})" for i in (1, 2, 3)] + ["bit_count(a.sig ^ a.odd.p1 ^ a.odd.p2 ^ a.odd.p3 ^ b.sig ^ b.odd.p1 ^ b.odd.p2 ^ b.odd.p3)"]
+        near = f"bit_count(a.sig ^ b.sig) <= {differing} and coalesce({' + '.join(quarters)} <= {differing}, true)"
+        return f"least(a.n, b.n) >= {self.least('greatest(a.n, b.n)')} and {places} and {near}"
 
 
 def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
-    """(c1, c2, first, n, copies, sig, words): words being the prefix and WORDS - 1 more."""
+    """(c1, c2, first, n, copies, sig, odd, words): words being the prefix and WORDS - 1 more; sig: the
+    parities of all words; odd: those of three quarters of the words apart, for long lines alone."""
     one = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
-    rows = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), one.alias("sig"), _by_rarity("words", levels).alias("words"))
+    quarter = [F.expr(f"aggregate(words, 0L, (a, w) -> if((w & 192) = {64 * i}, a ^ shiftleft(1L, cast(w & 63 as int)), a))").alias(f"p{i}") for i in (1, 2, 3)]
+    odd = F.when(F.size("words") > LONG, F.struct(*quarter)).alias("odd")
+    rows = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), one.alias("sig"), odd, _by_rarity("words", levels).alias("words"))
     rows = rows.withColumn("words", F.expr(f"slice(words, 1, {sim.prefix('n')} + {WORDS - 1})"))
     #: Rows of one class differ in their place alone.
-    return rows.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "words")])
+    return rows.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "odd", "words")])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -133,15 +142,15 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, c1, n, at, depth, home, o, copies, sig): a row for each (word of the prefix, band); o is
+    """(key, c1, n, at, depth, home, o, copies, sig, odd): a row for each (word of the prefix, band); o is
     the number of a class's first document.  home: in its own band, and among the few words in which
     the smaller of two similar sets has the first shared one."""
     order = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("o")
-    own = able.select("c1", "n", order, "copies", "sig", F.expr(f"slice(words, 1, {sim.prefix('n')})").alias("words"))
-    own = own.select("c1", "n", "o", "copies", "sig", F.posexplode("words").alias("at", "w"))
+    own = able.select("c1", "n", order, "copies", "sig", "odd", F.expr(f"slice(words, 1, {sim.prefix('n')})").alias("words"))
+    own = own.select("c1", "n", "o", "copies", "sig", "odd", F.posexplode("words").alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
     rows = own.select("*", F.explode(F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")).alias("band"))
-    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')} and at <= n - {sim.overlap('n', 'n')}").alias("home"), "o", "copies", "sig")
+    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')} and at <= n - {sim.overlap('n', 'n')}").alias("home"), "o", "copies", "sig", "odd")
 
 
 def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
@@ -149,14 +158,14 @@ def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
     rows = hot.join(able.select("c1", "words"), "c1")
     later = F.posexplode(F.expr(f"slice(words, at + 2, greatest({sim.prefix('n')} + depth - at - 1, 0))")).alias("j", "v")
     rows = rows.select("*", later)
-    return rows.select(F.xxhash64("key", "v").alias("key"), "c1", "n", (F.col("at") + 1 + F.col("j")).alias("at"), (F.col("depth") + 1).alias("depth"), "home", "o", "copies", "sig")
+    return rows.select(F.xxhash64("key", "v").alias("key"), "c1", "n", (F.col("at") + 1 + F.col("j")).alias("at"), (F.col("depth") + 1).alias("depth"), "home", "o", "copies", "sig", "odd")
 
 
 def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity, once: bool = False) -> DataFrame:
     """(c1, d1): classes under one key that pass all filters, d1 not in a later document; once: where
     no key has many rows, which needs no sort."""
     #: The same columns on either side, so that a table joined with itself is shuffled once.
-    own = ["key", "c1", "n", "at", "depth", "home", "o", "sig"]
+    own = ["key", "c1", "n", "at", "depth", "home", "o", "sig", "odd"]
     met = asking.select(*own).alias("a").join(told.select(*own).hint("shuffle_hash").alias("b") if once else told.select(*own).alias("b"), F.expr("a.key = b.key"))
     met = met.where(F.expr("a.c1 <> b.c1 and b.o <= a.o and a.depth <= b.depth and (a.home or b.home)") & F.expr(sim.fits()))
     return met.select(F.col("a.c1").alias("c1"), F.col("b.c1").alias("d1"))
@@ -164,8 +173,8 @@ def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity, once: bool = Fal
 
 def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
     """(c1, d1): each class with the earliest under its key, and with the one that has most copies."""
-    own = ["c1", "n", "at", "sig", "o"]
-    anchors = told.groupBy("key").agg(F.min(F.struct("o", "c1", "n", "at", "sig")).alias("e"), F.max(F.struct("copies", *own)).alias("f"))
+    own = ["c1", "n", "at", "sig", "odd", "o"]
+    anchors = told.groupBy("key").agg(F.min(F.struct("o", "c1", "n", "at", "sig", "odd")).alias("e"), F.max(F.struct("copies", *own)).alias("f"))
     anchors = anchors.select("key", F.explode(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own]) for x in ("e", "f")])).alias("x"))
     anchors = anchors.select("key", *[F.col(f"x.{c}").alias(c) for c in own], F.lit(1).alias("depth"), F.lit(True).alias("home"))
     return _pairs(told, anchors, sim)

@@ -198,6 +198,24 @@ def test_line_dedup_of_many_near_copies_of_one_line(spark, monkeypatch):
     assert got == want and 5 < len(want) < 85
 
 
+def test_line_dedup_of_long_lines(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(60):
+        w = rnd.sample(words, rnd.choice([150, 162, 260, 400]))
+        if i % 3:  # on both sides of the similarity, and of the size from which more parities are kept
+            w = list(rnd.choice(rows[: 3 * (i // 3) + 1])[1].split())
+            for k in rnd.sample(range(len(w)), int(len(w) * rnd.uniform(0.0, 0.09))):
+                w[k] = f"n{rnd.randint(0, 10**6)}"
+            w = w[rnd.randint(0, len(w) // 25) :]
+        rows.append((i, " ".join(w)))
+    sets = [set(t.split()) for _, t in rows]
+    want = {i for i in range(60) if any(10 * len(sets[i] & s) >= 9 * len(sets[i] | s) for s in sets[:i])}
+    got = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("size(gone) > 0").collect()}
+    assert got == want and 5 < len(want) < 40
+
+
 def test_line_dedup_takes_repeats_of_short_lines(spark):
     lines = ["Read more", "", "---", "buy", " ", "read  MORE read", "buy buy", "---", "", "a " * 9000, "Read", "more read", "A a", "--- x", "\t"]
     rows = [(0, "\n".join(lines)), (1, "buy"), (2, ""), (3, "sell\n\n\nsell")]
