@@ -43,7 +43,7 @@ ROUNDS, PAIRS_A_ROW = 6, 512
 #: Shares of the signatures that are shuffled one after another: each takes as much less of the disk.
 PASSES = 2
 #: 64-bit words of a set's parities: of two sets, no more bits differ than elements.  A few of them
-#: serve within groups, the others for pairs.
+#: serve within groups, the others for pairs: a power of two, and a bit an element where sets are larger.
 PARITIES, MORE_PARITIES = 8, 32
 #: Ids of candidates up to which they go to all tasks (some 50 bytes each); more are joined by shuffle.
 FEW_IDS = 200_000
@@ -191,7 +191,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                     n.append(len(s))
                     hashes.append(_class_hashes(s))
                     odd.append(_parities(s, PARITIES).view(np.int64))
-                    more.append(_parities(s, MORE_PARITIES).tobytes())
+                    more.append(_parities(s, max(MORE_PARITIES, 1 << (len(s) // 64).bit_length())).tobytes())
                 both = np.array(hashes, dtype=np.uint64).view(np.int64)
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
                 cols += [*(pa.array(x) for x in np.array(odd).T), pa.array(more, pa.binary())]
@@ -235,6 +235,12 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(_named(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(work, "doc_id long, own binary")
 
 
+def _folded(column: pa.Array, words: int) -> np.ndarray:
+    """Parities (as bytes, of one length) as so many 64-bit words a row: places that fall together are added up."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1, words)
+    return np.bitwise_xor.reduce(x, axis=1)
+
+
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose parities don't differ in more bits than similar sets do in elements."""
 
@@ -242,9 +248,16 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
                 least = -(-(n + m) * num // (num + den))
-                near = np.bitwise_count(x ^ y).sum(axis=1) <= n + m - 2 * least
+                differing = np.zeros(batch.num_rows, dtype=np.int64)
+                words = [np.array([len(x) // 8 for x in batch.column(c).to_pylist()]) for c in (4, 5)]
+                #: Rows whose parities have the same lengths go together.
+                lengths, which = np.unique(np.stack(words, axis=1), axis=0, return_inverse=True)
+                for i, length in enumerate(lengths.tolist()):
+                    at = np.flatnonzero(which == i)
+                    x, y = (_folded(batch.column(c).take(pa.array(at)), min(length)) for c in (4, 5))
+                    differing[at] = np.bitwise_count(x ^ y).sum(axis=1)
+                near = differing <= n + m - 2 * least
                 yield batch.select([0, 1]).filter(pa.array(near))
 
     #: Ids that stand for several sets (rows that share an id) are compared by each of them.

@@ -91,6 +91,27 @@ def test_ngram_join_of_random_near_sets_at_other_thresholds(spark):
         assert got == want, num
 
 
+def test_ngram_join_of_large_sets_with_parities_of_different_lengths(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i, n in enumerate([1900, 4000, 9000]):
+        base = [f"b{rnd.randint(0, 10**6)}" for _ in range(n)]
+        for j, (edits, more) in enumerate([(0, 0), (n // 200, n // 12), (n // 20, 0), (n // 400, 0)]):
+            w = list(base)
+            for k in rnd.sample(range(n), edits):
+                w[k] = f"e{rnd.randint(0, 10**6)}"
+            rows.append((10 * i + j, " ".join(w + [f"m{rnd.randint(0, 10**6)}" for _ in range(more)])))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    assert len({max(32, 1 << (len(s) // 64).bit_length()) for s in sets.values()}) > 2
+    comp = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in (b for b in sorted(sets) if b > a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])):
+            x, y = sorted((comp[a], comp[b]))
+            comp = {i: x if c == y else c for i, c in comp.items()}
+    got = {r.doc_id: r.component_id for r in partenum.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=5, num=80).collect()}
+    assert got == comp and len(set(comp.values())) < len(comp) - 3
+
+
 def test_partenum_plans_and_signatures_keep_every_similar_pair():
     import numpy as np
 
