@@ -10,12 +10,13 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: ASCII white space of the word contracts, as a Java / RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -91,6 +92,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def add_columns(docs: DataFrame, text: str, fields: list[tuple[str, str]], work: Callable[[pa.Array], Iterator[list[pa.Array]]]) -> DataFrame:
+    """Each row with the columns ``fields`` that ``work`` gives for runs of its text column, in order.
+
+    Columns travel under names of our own, so the caller's may be any; one of ``fields`` that exists already is replaced.
+    """
+    new = [n for n, _ in fields]
+    inner = docs.toDF(*[f"in_{i}" for i in range(len(docs.columns))])
+    kept = [i for i, c in enumerate(docs.columns) if c not in new]
+    at = f"in_{docs.columns.index(text)}"
+    names = [f"in_{i}" for i in kept] + [f"out_{i}" for i in range(len(fields))]
+    schema = StructType([StructField(f"in_{i}", docs.schema[i].dataType) for i in kept] + [StructField(f"out_{i}", _parse_datatype_string(t)) for i, (_, t) in enumerate(fields)])
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            columns, begin = [batch.column(batch.schema.get_field_index(f"in_{i}")) for i in kept], 0
+            for got in work(batch.column(batch.schema.get_field_index(at))):
+                yield pa.RecordBatch.from_arrays([c.slice(begin, len(got[0])) for c in columns] + got, names)
+                begin += len(got[0])
+
+    return inner.mapInArrow(batches, schema).toDF(*[docs.columns[i] for i in kept], *new)
+
+
 # --- vectorised words -------------------------------------------------------------------------
 
 _U = np.uint64
@@ -121,7 +144,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW: list[np.ndarray] = []
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base, and of its inverse, modulo 2**64."""
     if not _POW or len(_POW[0]) < n:
         _POW[:] = [_powers(_BASE, max(n, CHUNK + 1)), _powers(_INVERSE, max(n, CHUNK + 1))]
     return _POW[0], _POW[1]
@@ -178,7 +202,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tu
         inner = cuts[cuts > 0]
         last[inner - 1] |= mask[inner - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, inverse = _tables(len(piece) + 1)
+        power, inverse = power_tables(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum(_SEEDS[piece] * power[: len(piece)], dtype=np.uint64, out=sums[1:])
         h = (sums[e] - sums[s]) * inverse[s]

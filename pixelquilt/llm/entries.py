@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm import bpe, chats, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
+from pixelquilt.llm import ball_kmeans, bpe, chats, decontaminate, importance, licenses, line_dedup, lm_score, partenum, pieces, quality_rules, url_filters, warc
 from pixelquilt.llm.common import materialize, read_table
 
 
@@ -72,6 +72,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, shown.join(good, "doc_id").select("page_id", "good"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=None, digests=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_index": op1_warc_index,
@@ -84,11 +98,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_chats": op9_chats,
         "op10_url_filters": op10_url_filters,
+        "op11_ball_kmeans": op11_ball_kmeans,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL, "op9_chats": OP9_SQL, "op10_url_filters": _op10_sql()}
+    return {"op1_warc_index": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_partenum": OP6_SQL, "op9_chats": OP9_SQL, "op10_url_filters": _op10_sql(), "op11_ball_kmeans": _op11_sql(), "op13_importance": OP13_SQL}
 
 
 def _op10_sql() -> str:
@@ -144,6 +161,74 @@ FROM r JOIN f USING (host, template) JOIN w USING (host, into_)"""
     return "WITH " + ",\n".join(own)
 
 
+def _op11_sql() -> str:
+    """Three rounds written out; a table of (centroid, component) a round."""
+    own = [
+        """v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), x AS MATERIALIZED (SELECT rid, unnest(range(1, 65)) AS i, unnest(q) AS a FROM v),
+c0 AS (
+  SELECT c, unnest(range(1, 65)) AS i, unnest(q) AS b
+  FROM (SELECT q, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), q) - 1 AS c FROM v QUALIFY c < 16)
+)"""
+    ]
+    for r in range(4):
+        own.append(
+            f"""d{r} AS (SELECT rid, c, sum((a - b) * (a - b)) AS dist FROM x JOIN c{r} USING (i) GROUP BY rid, c),
+a{r} AS MATERIALIZED (SELECT rid, min((dist, c)) AS best FROM d{r} GROUP BY rid)"""
+        )
+        if r < 3:
+            own.append(
+                f"""s{r} AS (SELECT best[2] AS c, i, sum(a) AS s, count(*) AS n FROM x JOIN a{r} USING (rid) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN b ELSE (s - ((s % n) + n) % n) // n END AS b FROM c{r} LEFT JOIN s{r} USING (c, i))"""
+            )
+    return "WITH " + ",\n".join(own) + """
+, h AS (SELECT c, sha256(string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+       CAST(sum(best[1]) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM v JOIN (SELECT *, best[2] AS c FROM a3) USING (rid) JOIN h USING (c)
+"""
+
+
+OP13_SQL = r"""
+WITH RECURSIVE step0 AS (SELECT i AS k, i AS v, 0 AS n FROM range(256) t(i)),
+steps AS (
+  SELECT k, v, n FROM step0 UNION ALL
+  SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8
+), tab AS (SELECT k, v FROM steps WHERE n = 8),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), x AS (SELECT rid, unnest(w) AS word FROM d),
+words AS (SELECT word, hex(word) AS h FROM (SELECT word FROM x UNION SELECT word FROM b)),
+reg AS (
+  SELECT word, h, 1 AS i, CAST(4294967295 AS BIGINT) AS r FROM words UNION ALL
+  SELECT word, h, i + 2, xor(v, r >> 8) FROM reg JOIN tab ON k = xor(r & 255, CAST('0x' || substr(h, i, 2) AS BIGINT)) WHERE i < length(h)
+), crc AS (SELECT word, xor(r, 4294967295) % 10000 AS bucket FROM reg WHERE i > length(h)),
+xs AS (SELECT rid, bucket FROM x JOIN crc USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM xs GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (word) GROUP BY bucket),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS all_s, (SELECT coalesce(sum(t), 0) FROM t) AS all_t),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), tot
+), y AS (SELECT rid, sum(gain) AS total, count(*) AS n FROM xs JOIN g USING (bucket) GROUP BY rid),
+z AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN y USING (rid)
+), q AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM q WHERE n_features >= 20) THEN CAST(place AS BIGINT) END AS rank
+FROM r
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
