@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from pixelquilt.plans.raster import Raster
 
 #: Daylight, the range of temperatures, and linear sRGB from XYZ under D65.
@@ -42,29 +48,60 @@ def relative_gains(r: Raster, kelvin: float, tint: float) -> list[float]:
 
 
 def as_shot(r: Raster) -> tuple[float, float]:
-    """(kelvin, tint) that the camera's own gains stand for; zeros without a daylight reference.
-
-    The two are found in turn by bisection: the temperature on red against blue, the tint on green.
-    """
+    """(kelvin, tint) that the camera's own gains stand for; zeros without a daylight reference."""
     if not r.has_daylight_wb:
         return 0.0, 0.0
-    red, blue = (r.cam_mul[i] / max(r.pre_mul[i], 1e-6) for i in (0, 2))
-    day = kelvin_gains(D65, 0.0)
-    kelvin, tint = D65, 0.0
+    red, blue = (np.array([r.cam_mul[i] / max(r.pre_mul[i], 1e-6)]) for i in (0, 2))
+    kelvin, tint = as_shot_of(red, blue)
+    return float(kelvin[0]), float(tint[0])
+
+
+def _gains_of(kelvin: np.ndarray, tint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Red and blue gains of ``kelvin_gains`` for many lights."""
+    t = np.clip(kelvin, 1667.0, HOTTEST)
+    x = np.where(t <= 4000, _poly(X_BELOW_4000, 1 / t), _poly(X_ABOVE, 1 / t))
+    y = np.where(t <= 2222, _poly(Y_BELOW_2222, x), np.where(t <= 4000, _poly(Y_BELOW_4000, x), _poly(Y_ABOVE, x)))
+    y = np.clip(y - tint * 0.05, 0.05, 0.95)
+    light = x / y, np.ones_like(y), (1 - x - y) / y
+    r, g, b = (np.maximum(row[0] * light[0] + row[1] * light[1] + row[2] * light[2], 0.02) for row in XYZ_TO_SRGB)
+    return g / r, g / b
 
-    def gains() -> tuple[float, float]:
-        g = kelvin_gains(kelvin, tint)
-        return g[0] / day[0], g[2] / day[2]
 
+def as_shot_of(red: np.ndarray, blue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kelvin, tint) for many pairs of gains relative to daylight, by bisections in step: the
+    temperature on red against blue, the tint on green, which is the mean of what both leave over."""
+    day_red, _, day_blue = kelvin_gains(D65, 0.0)
+    red, blue = np.maximum(red, 1e-6), np.maximum(blue, 1e-6)
+    kelvin, tint = np.full(len(red), D65), np.zeros(len(red))
     for _ in range(8):
-        low, high = COLDEST, HOTTEST
+        low, high = np.full(len(red), COLDEST), np.full(len(red), HOTTEST)
         for _ in range(32):
             kelvin = (low + high) / 2
-            gr, gb = gains()
-            low, high = (kelvin, high) if gr / gb < red / blue else (low, kelvin)
-        low, high = -1.0, 1.0
+            r, b = _gains_of(kelvin, tint)
+            up = r / day_red / np.maximum(b / day_blue, 1e-6) < red / blue
+            low, high = np.where(up, kelvin, low), np.where(up, high, kelvin)
+        kelvin = (low + high) / 2
+        low, high = np.full(len(red), -1.0), np.ones(len(red))
         for _ in range(32):
             tint = (low + high) / 2
-            gr, gb = gains()
-            low, high = (low, tint) if gr + gb < red + blue else (tint, high)
+            r, b = _gains_of(kelvin, tint)
+            up = 0.5 * (r / day_red / red + b / day_blue / blue) > 1
+            low, high = np.where(up, tint, low), np.where(up, high, tint)
+        tint = (low + high) / 2
     return kelvin, tint
+
+
+def as_shot_table(descriptors: DataFrame) -> DataFrame:
+    """(image_id, kelvin, tint) of each descriptor; zeros without a daylight reference.  A map over Arrow batches."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+            kelvin, tint = np.zeros(len(has)), np.zeros(len(has))
+            if has.any():
+                gain = lambda i, j: np.array([v[j] for v, h in zip(batch.column(i).to_pylist(), has) if h], dtype=float)
+                red, blue = (gain(1, j) / np.maximum(gain(2, j), 1e-6) for j in (0, 2))
+                kelvin[has], tint[has] = as_shot_of(red, blue)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kelvin), pa.array(tint)], ["image_id", "kelvin", "tint"])
+
+    return descriptors.select("image_id", "cam_mul", "pre_mul", "has_daylight_wb").mapInArrow(work, "image_id long, kelvin double, tint double")

@@ -21,8 +21,7 @@ def binned(r: Raster, value: Column | None = None) -> DataFrame:
     else:
         span = px.groupBy("image_id").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
         px = px.join(span.withColumn("hi", F.expr("if(hi - lo < 1e-12, lo + 1, hi)")), "image_id")
-    at = F.expr("cast(greatest(0, least(255, floor((v - lo) / (hi - lo) * 255 + 0.5))) as int)")
-    return px.groupBy("image_id", at.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    return px.groupBy("image_id", _bin().alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _arrays(hist: DataFrame) -> DataFrame:
@@ -153,3 +152,62 @@ def diff_image(a: Raster, b: Raster, amplify: float = 16.0) -> Raster:
     v = F.least(F.lit(255.0), worst * scale * amplify)
     px = both.withColumns({"v": v}).select("image_id", "x", "y", "w", "h", F.floor("v").cast("double").alias("c0"), F.floor(F.col("v") * 0.25).cast("double").alias("c1"), F.floor(F.col("v") * 0.25).cast("double").alias("c2"), F.lit(255.0).alias("c3"))
     return Raster(px, "RGBA8")
+
+
+#: Side of the squares that points and pixels meet by.
+SQUARE = 32
+
+
+def _near(r: Raster, points: DataFrame, radius: int, value: Column) -> DataFrame:
+    """(point_id, image_id, v, n) for each pixel of each point's window; n: how often it counts, as
+    places beyond the image repeat the edge.
+
+    Points and pixels meet by the squares that a window reaches, so no point sees a far pixel; a
+    point is at most ((2 * radius) div SQUARE + 2) squared rows.
+    """
+    sizes = r.pixels.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
+    p = points.select("point_id", F.col("image_id").cast("long").alias("image_id"), F.col("x").cast("long").alias("cx"), F.col("y").cast("long").alias("cy")).join(sizes, "image_id")
+    ends = lambda c, n: (clamped(F.col(c) - radius, n), clamped(F.col(c) + radius, n))
+    clamped = lambda v, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, v))
+    (x0, x1), (y0, y1) = ends("cx", "w"), ends("cy", "h")
+    reach = lambda a, b: F.sequence(F.floor(a / SQUARE), F.floor(b / SQUARE))
+    p = p.select("point_id", "image_id", "cx", "cy", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.explode(reach(x0, x1)).alias("sx"), "w", "h").select("*", F.explode(reach(F.col("y0"), F.col("y1"))).alias("sy")).drop("w", "h")
+    px = r.pixels.select("image_id", "x", "y", "w", "h", value.alias("v"), F.floor(F.col("x") / SQUARE).alias("sx"), F.floor(F.col("y") / SQUARE).alias("sy"))
+    both = p.join(px, ["image_id", "sx", "sy"]).where("x between x0 and x1 and y between y0 and y1")
+    times = lambda at, n, c: F.greatest(F.lit(1), F.when(F.col(n) == 1, F.lit(2 * radius + 1)).when(F.col(at) == 0, F.least(F.lit(2 * radius + 1), radius - F.col(c) + 1)).when(F.col(at) == F.col(n) - 1, F.least(F.lit(2 * radius + 1), F.col(c) + radius - F.col(n) + 2)).otherwise(1))
+    return both.select("point_id", "image_id", "v", (times("x", "w", "cx") * times("y", "h", "cy")).cast("long").alias("n"))
+
+
+def _channel(r: Raster, channel: int) -> Column:
+    """A channel's value, or the luma for -1 and in one-channel images."""
+    return luma(r) if channel < 0 or len(r.channels) == 1 else F.col(f"c{min(channel, 3)}")
+
+
+def window_stats(r: Raster, points: DataFrame, radius: int, channel: int = -1) -> DataFrame:
+    """(point_id, image_id, n, mean, sd, least, most) of the square window around each point.
+
+    points: (point_id, image_id, x, y), anywhere, also outside their image; ids repeat only for
+    the same point.  A negative radius, or an image that isn't there, gives zeros.
+    """
+    own = points.select("point_id", F.col("image_id").cast("long").alias("image_id")).distinct()
+    if radius < 0:
+        return own.select("*", F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("mean", "sd", "least", "most")])
+    total, v = F.sum("n"), F.col("v")
+    got = _near(r, points.dropDuplicates(["point_id"]), radius, _channel(r, channel)).groupBy("point_id").agg(total.alias("n"), (F.sum(v * F.col("n")) / total).alias("mean"), (F.sum(v * v * F.col("n")) / total).alias("square"), F.min("v").alias("least"), F.max("v").alias("most"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
+    return own.join(got, "point_id", "left").select("point_id", "image_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in ((F.col("mean"), "mean"), (sd, "sd"), (F.col("least"), "least"), (F.col("most"), "most"))])
+
+
+def window_histogram(r: Raster, points: DataFrame, radius: int, channel: int = -1) -> DataFrame:
+    """(point_id, image_id, bin, n): the filled bins of each point's window; bins span what the image's own histogram spans."""
+    near = _near(r, points.dropDuplicates(["point_id"]), radius, _channel(r, channel))
+    if r.fmt == "RGBA8":
+        near = near.withColumns({"lo": F.lit(0.0), "hi": F.lit(255.0)})
+    else:
+        span = r.pixels.groupBy("image_id").agg(F.min(luma(r)).alias("lo"), F.max(luma(r)).alias("hi"))
+        near = near.join(span.withColumn("hi", F.expr("if(hi - lo < 1e-12, lo + 1, hi)")), "image_id")
+    return near.groupBy("point_id", "image_id", _bin().alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def _bin() -> Column:
+    return F.expr("cast(greatest(0, least(255, floor((v - lo) / (hi - lo) * 255 + 0.5))) as int)")

@@ -151,6 +151,81 @@ f AS (SELECT image_id, x, y, {', '.join(f'{e} AS {c}' for c, e in mixed.items())
     return out(body, {c: half(c) for c in RGB} | {"c3": "1.0"}, "f")
 
 
+#: Frames of the sensor readouts: each camera's data with its problem, and the pixels of sound frames in levels.
+FRAMES = f"""em AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e, label FROM embeddings),
+ca AS (
+  SELECT vec_id AS image_id, e, CAST(vec_id % 3 AS INT) + CASE WHEN vec_id % 50 = 17 THEN 5 - CAST(vec_id % 3 AS INT) ELSE 0 END AS lf, CAST(vec_id // 3 % 2 AS INT) AS tp,
+    CAST(CASE WHEN vec_id % 50 = 19 THEN 0 ELSE 8 - vec_id % 3 - vec_id % 2 END AS INT) AS w, CAST(8 - vec_id // 3 % 2 AS INT) AS h,
+    CASE WHEN vec_id % 50 = 11 THEN [0, 0, 1, 2] ELSE [[0, 1, 1, 2], [2, 1, 1, 0], [1, 0, 2, 1], [1, 2, 0, 1]][CAST(vec_id % 4 + 1 AS INT)] END AS t,
+    80.0 + label + (vec_id % 5 + 1 + 2 + vec_id % 7) / 4.0 AS black, CASE WHEN vec_id % 50 = 23 THEN 10 ELSE 1100 END AS mx, 1.0 + vec_id % 2 AS g,
+    vec_id % 6 <> 0 AS day, vec_id % 8 = 0 AS bare, label
+  FROM em
+), de AS (
+  SELECT image_id, e, lf, tp, w, h, CAST(black AS DOUBLE) AS black, CAST(CASE WHEN mx <= black THEN black + 1 ELSE mx END AS DOUBLE) AS white, (1.2::DOUBLE + abs(e[2]) * 6) / g AS ar, (1.1::DOUBLE + abs(e[3]) * 6) / g AS ab,
+    day, CASE WHEN day THEN 2.2::DOUBLE ELSE 1 END AS pr, CASE WHEN day THEN 1.4::DOUBLE + CAST(label AS DOUBLE) / 20 ELSE 1 END AS pb, bare,
+    [[t[1 + 2 * (tp % 2) + lf % 2], t[1 + 2 * (tp % 2) + (lf + 1) % 2]], [t[1 + 2 * ((tp + 1) % 2) + lf % 2], t[1 + 2 * ((tp + 1) % 2) + (lf + 1) % 2]]] AS tile,
+    CASE WHEN image_id % 50 = 7 THEN 'no mosaic' WHEN image_id % 50 = 11 THEN 'unknown colour pattern' WHEN w <= 0 THEN 'no visible frame' WHEN lf + w > 8 THEN 'lines are short' END AS problem,
+    image_id % 50 = 13 AS xt
+  FROM ca
+), fr AS (
+  SELECT image_id, CAST(i % w AS INT) AS x, CAST(i // w AS INT) AS y, w, h, black, white, ar, ab, bare, tile, xt, (e[CAST((i // w + tp) * 8 + i % w + lf + 1 AS INT)] + 0.6::DOUBLE) * 1000 AS c
+  FROM (SELECT *, unnest(range(w * h)) AS i FROM de WHERE problem IS NULL AND w > 0)
+), px AS (SELECT *, {clamp('(c - black) / (white - black)', 0, 4)} AS s FROM fr)"""
+
+
+def _mixed_demosaic(alpha: float, beta: float, gamma: float) -> str:
+    """CTEs up to ``dm`` (image_id, x, y, c0, c1, c2, c3): every sound frame by its own descriptor."""
+    pick = lambda c: f"sum(s) FILTER ({c})"
+    own, side = "tile[y % 2 + 1][x % 2 + 1]", "tile[y % 2 + 1][(x + 1) % 2 + 1]"
+    other = lambda k: f"CASE WHEN {own} = {k} THEN c WHEN {own} = 1 THEN CASE WHEN {side} = {k} THEN lv ELSE up END ELSE co END"
+    matrix = (0.9, 0.1, 0.0, 0.05, 0.9, 0.05, 0.0, 0.2, 0.8)
+    mix = lambda i: f"greatest(0, CASE WHEN bare THEN r{i} ELSE r0 * {matrix[3 * i]} + r1 * {matrix[3 * i + 1]} + r2 * {matrix[3 * i + 2]} END)"
+    return f"""{FRAMES}, {near('nb', 'px', 2, ('s',))},
+k AS (SELECT image_id, x, y, {pick('dx = 0 AND dy = 0')} AS c, {pick('abs(dx) = 1 AND dy = 0')} AS h, {pick('dx = 0 AND abs(dy) = 1')} AS v, {pick('abs(dx) = 1 AND abs(dy) = 1')} AS d,
+  {pick('abs(dx) = 2 AND dy = 0')} AS h2, {pick('dx = 0 AND abs(dy) = 2')} AS v2 FROM nb GROUP BY image_id, x, y),
+l AS (SELECT image_id, x, y, c, 0.5 * h + {gamma} * (5 * (2 * c - h2) - (2 * c - v2)) AS lv, 0.5 * v + {gamma} * (5 * (2 * c - v2) - (2 * c - h2)) AS up,
+  0.25 * (h + v) + {alpha} * (4 * c - h2 - v2) AS ed, 0.25 * d + {beta} * (4 * c - h2 - v2) AS co FROM k),
+r AS (SELECT image_id, x, y, xt, bare, p.c AS raw, ({other(0)}) * ar AS r0, CASE WHEN {own} = 1 THEN l.c ELSE ed END AS r1, ({other(2)}) * ab AS r2 FROM l JOIN px p USING (image_id, x, y)),
+f AS (SELECT image_id, x, y, xt, raw, {', '.join(f'{mix(i)} AS m{i}' for i in range(3))} FROM r),
+dm AS (SELECT image_id, x, y, {', '.join(f'CASE WHEN xt THEN {half("raw")} ELSE {half(f"m{i}")} END AS c{i}' for i in range(3))}, 1.0 AS c3 FROM f)""".replace(other(0), other(0).replace("THEN c ", "THEN l.c ")).replace(other(2), other(2).replace("THEN c ", "THEN l.c "))
+
+
+def _as_shot() -> str:
+    """The bisections one step a row: 8 passes of 32 on the temperature and 32 on the tint."""
+    def gains(k: str, t: str) -> str:
+        """A struct of red and blue gains, as nested selections."""
+        poly = lambda c, v: f"((({c[0]!r}::DOUBLE * {v} + {c[1]!r}::DOUBLE) * {v} + {c[2]!r}::DOUBLE) * {v} + {c[3]!r}::DOUBLE)"
+        t1 = f"SELECT *, {t} AS ti, greatest(1667.0::DOUBLE, least(25000.0::DOUBLE, {k})) AS kk"
+        x = f"CASE WHEN kk <= 4000 THEN {poly((-0.2661239e9, -0.2343589e6, 0.8776956e3, 0.179910), '(1 / kk)')} ELSE {poly((-3.0258469e9, 2.1070379e6, 0.2226347e3, 0.240390), '(1 / kk)')} END"
+        y = f"CASE WHEN kk <= 2222 THEN {poly((-1.1063814, -1.34811020, 2.18555832, -0.20219683), 'cx')} WHEN kk <= 4000 THEN {poly((-0.9549476, -1.37418593, 2.09137015, -0.16748867), 'cx')} ELSE {poly((3.0817580, -5.87338670, 3.75112997, -0.37001483), 'cx')} END"
+        row = lambda a, b, c: f"greatest({a}::DOUBLE * (cx / cy) + {b}::DOUBLE + {c}::DOUBLE * ((1 - cx - cy) / cy), 0.02::DOUBLE)"
+        return f"""SELECT *, vg / vr AS gr, vg / vb AS gb FROM (SELECT *, {row(3.2404542, -1.5371385, -0.4985314)} AS vr, {row(-0.9692660, 1.8760108, 0.0415560)} AS vg, {row(0.0556434, -0.2040259, 1.0572252)} AS vb FROM (
+  SELECT *, greatest(0.05::DOUBLE, least(0.95::DOUBLE, {y} - ti * 0.05::DOUBLE)) AS cy FROM (SELECT *, {x} AS cx FROM ({t1} FROM {{0}}))))"""
+    day = gains("6504.0::DOUBLE", "0.0::DOUBLE").format("(SELECT 1 AS one)")
+    warm = "i % 64 < 32"
+    step = gains(f"CASE WHEN {warm} THEN (lo + hi) / 2 ELSE k END", f"CASE WHEN {warm} THEN t ELSE (lo + hi) / 2 END").format("b")
+    up = f"CASE WHEN {warm} THEN gr / dr / greatest(gb / db, 1e-6) < red / blue ELSE 0.5::DOUBLE * (gr / dr / red + gb / db / blue) > 1 END"
+    mid = "(lo + hi) / 2"
+    low, high = f"CASE WHEN {up} THEN {mid} ELSE lo END", f"CASE WHEN {up} THEN hi ELSE {mid} END"
+    return f"""WITH RECURSIVE {FRAMES}, dl AS (SELECT gr AS dr, gb AS db FROM ({day})),
+b AS (SELECT image_id, greatest(ar / pr, 1e-6) AS red, greatest(ab / pb, 1e-6) AS blue, dr, db, 0 AS i, 2000.0::DOUBLE AS lo, 25000.0::DOUBLE AS hi, 6504.0::DOUBLE AS k, 0.0::DOUBLE AS t FROM de, dl WHERE day
+  UNION ALL
+  SELECT image_id, red, blue, dr, db, i + 1, CASE WHEN i % 64 = 31 THEN -1.0::DOUBLE WHEN i % 64 = 63 THEN 2000.0::DOUBLE ELSE nlo END, CASE WHEN i % 64 = 31 THEN 1.0::DOUBLE WHEN i % 64 = 63 THEN 25000.0::DOUBLE ELSE nhi END,
+    CASE WHEN i % 64 = 31 THEN (nlo + nhi) / 2 ELSE k END, CASE WHEN i % 64 = 63 THEN (nlo + nhi) / 2 ELSE t END
+  FROM (SELECT *, {low} AS nlo, {high} AS nhi FROM ({step})) WHERE i < 512)
+SELECT image_id, coalesce(round(k, 1), 0) AS kelvin, coalesce(round(t, 5), 0) AS tint FROM (SELECT image_id FROM de) LEFT JOIN (SELECT * FROM b WHERE i = 512) USING (image_id)"""
+
+
+PLACES = "pt AS (SELECT vec_id * 2 + k AS point_id, vec_id AS image_id, CAST(label + k * 3 - 2 AS INT) AS cx, CAST(vec_id % 14 - 3 AS INT) AS cy FROM embeddings, range(2) r(k))"
+
+
+def _window(radius: int) -> str:
+    """CTEs up to ``wi``: a row a place of each point's window, the edge's value for those beyond it."""
+    return f"""{VECTORS}, {PLACES},
+wi AS (SELECT point_id, image_id, c0 FROM (SELECT point_id, pt.image_id, greatest(0, least(z.w - 1, cx + dx)) AS x, greatest(0, least(z.h - 1, cy + dy)) AS y
+  FROM pt JOIN (SELECT DISTINCT image_id, w, h FROM px) z USING (image_id), range(-{radius}, {radius} + 1) a(dx), range(-{radius}, {radius} + 1) b(dy)) JOIN px USING (image_id, x, y))"""
+
+
 def oracle_sql() -> dict[str, str]:
     d2 = "(dx * dx + dy * dy)"
     q: dict[str, str] = {}
@@ -275,4 +350,17 @@ SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(v) // count(*
     q["region"] = out(EVENTS, {c: c for c in RGBA}, "px WHERE x BETWEEN 0 AND 14 AND y BETWEEN 0 AND 14")
     q["png_round_trip"] = out(f"{VECTORS}, k AS (SELECT *, CAST(c0 > 0 AS INT) AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM k GROUP BY image_id)", {c: "CAST((v - lo) * 255 AS DOUBLE)" for c in RGB} | {"c3": "255.0"}, "k JOIN m USING (image_id)")
     q["latest_control"] = "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id"
+    seen = ", ".join(f"round({e}, 6) AS {n}" for n, e in {"black": "black", "white": "white", "cam_mul_1": "ar", "cam_mul_3": "ab", "pre_mul_1": "pr", "pre_mul_3": "pb", "rgb_cam_1": "CASE WHEN bare THEN 1 ELSE 0.9::DOUBLE END", "rgb_cam_2": "CASE WHEN bare THEN 0 ELSE 0.1::DOUBLE END", "rgb_cam_9": "CASE WHEN bare THEN 1 ELSE 0.8::DOUBLE END"}.items())
+    named = "CASE WHEN image_id % 50 IN (7, 11) THEN 'None' WHEN xt THEN 'XTrans' WHEN tile = [[0, 1], [1, 2]] THEN 'RGGB' WHEN tile = [[2, 1], [1, 0]] THEN 'BGGR' WHEN tile = [[1, 0], [2, 1]] THEN 'GRBG' ELSE 'GBRG' END"
+    q["sensor_descriptors"] = f"WITH {FRAMES} SELECT image_id, w, h, {named} AS cfa, {seen}, day AS has_daylight_wb, problem FROM de"
+    q["sensor_demosaic"] = out(_mixed_demosaic(0.125, 0.1875, 0.0625), {c: c for c in RGBA}, "dm")
+    q["as_shot_balance"] = _as_shot()
+    shade = f"floor({clamp('(e[i + 1] + 0.6::DOUBLE) / 1.2::DOUBLE', 0, 1)} * 255)"
+    q["resolved_sources"] = f"""WITH {_mixed_demosaic(0, 0, 0)}
+SELECT image_id, x, y, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3, 'frame-' || image_id AS name, 'RGBA16F' AS fmt, true AS linear FROM dm
+UNION ALL SELECT -vec_id - 1, CAST(i % 8 AS INT), CAST(i // 8 AS INT), {shade}, {shade}, {shade}, 255.0, 'picture-' || (-vec_id - 1), 'RGBA8', false FROM (SELECT vec_id, e, unnest(range(len(e))) AS i FROM em WHERE vec_id % 4 = 0)"""
+    q["window_stats"] = f"""WITH {_window(3)} SELECT point_id, image_id, count(*) AS n, round(avg(c0), 6) AS mean, round(sqrt(greatest(0, avg(c0 * c0) - avg(c0) * avg(c0))), 6) AS sd, round(min(c0), 6) AS least, round(max(c0), 6) AS most
+FROM wi GROUP BY point_id, image_id"""
+    q["window_histogram"] = f"""WITH {_window(2)}, sp AS (SELECT image_id, min(c0) AS lo, CASE WHEN max(c0) - min(c0) < 1e-12 THEN min(c0) + 1 ELSE max(c0) END AS hi FROM px GROUP BY image_id)
+SELECT point_id, image_id, CAST(greatest(0, least(255, floor((c0 - lo) / (hi - lo) * 255 + 0.5))) AS INT) AS bin, count(*) AS n FROM wi JOIN sp USING (image_id) GROUP BY ALL"""
     return q

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelquilt.functions.white_balance import as_shot_table
 from pixelquilt.operators import display, statistics
+from pixelquilt.operators.demosaic import demosaic
 from pixelquilt.operators.threshold import threshold
-from pixelquilt.plans import registry
+from pixelquilt.plans import registry, sources
+from pixelquilt.plans.batch import Batch, from_raster
 from pixelquilt.plans.raster import Raster
-from pixelquilt.sources import rasters
+from pixelquilt.sources import rasters, sensors
 from pixelquilt.streaming import controls
 
 
@@ -143,6 +146,72 @@ def latest_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.latest(e.select("user_id", "value", "event_id"), "user_id", "value", "event_id")
 
 
+def readouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sensor lines, camera data): each embedding as an 8 x 8 readout of one of many cameras, some of them broken."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    counts = e.select("vec_id", F.expr("transform(embedding, v -> (cast(v as double) + 0.6) * 1000)").alias("counts"))
+    one = lambda i: f"cast(embedding[{i}] as double)"
+    cameras = e.selectExpr(
+        "vec_id as image_id", "concat('frame-', vec_id) as name",
+        "case when vec_id % 50 = 7 then null when vec_id % 50 = 11 then array(0, 0, 1, 2) when vec_id % 50 = 13 then array_repeat(1, 36) else element_at(array(array(0, 1, 3, 2), array(2, 1, 3, 0), array(1, 0, 2, 3), array(1, 2, 0, 3)), cast(pmod(vec_id, 4) + 1 as int)) end as colours",
+        "cast(if(vec_id % 50 = 17, 5, vec_id % 3) as int) as left", "cast(vec_id div 3 % 2 as int) as top", "cast(if(vec_id % 50 = 19, 0, 8 - vec_id % 3 - vec_id % 2) as int) as width", "cast(8 - vec_id div 3 % 2 as int) as height",
+        "80.0d + label as black", "array(vec_id % 5, 1, 2, vec_id % 7, 99) as cblack", "if(vec_id % 50 = 23, 10, 1100) as maximum",
+        f"array(1.2d + abs({one(1)}) * 6, 1.0d + vec_id % 2, 1.1d + abs({one(2)}) * 6, 0.0d) as cam_mul", "if(vec_id % 6 = 0, array(0.0d, 0.0d, 0.0d, 0.0d), array(2.2d, 1.0d, 1.4d + label / 20, 0.0d)) as pre_mul",
+        "if(vec_id % 8 = 0, array_repeat(0.0d, 9), array(0.9d, 0.1d, 0.0d, 0.05d, 0.9d, 0.05d, 0.0d, 0.2d, 0.8d)) as rgb_cam",
+    )
+    return sensors.sensor_lines(counts, "vec_id", "counts", 8), cameras
+
+
+def sensor_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the frames' descriptors say, and why some give no mosaic."""
+    lines, cameras = readouts(spark, sf_dir)
+    _, told = sensors.load(lines, cameras)
+    part = lambda c, *at: [F.element_at(c, i).alias(f"{c}_{i}") for i in at]
+    d = sensors.descriptors(cameras).select("image_id", "w", "h", "cfa", "black", "white", *part("cam_mul", 1, 3), *part("pre_mul", 1, 3), *part("rgb_cam", 1, 2, 9), "has_daylight_wb")
+    return rounded(d.join(told.select("image_id", "problem"), "image_id"))
+
+
+def sensor_demosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of many cameras in colour, in one plan."""
+    frames, _ = sensors.load(*readouts(spark, sf_dir))
+    return rounded(demosaic(frames).pixels.select("image_id", "x", "y", "c0", "c1", "c2", "c3"))
+
+
+def as_shot_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cameras = readouts(spark, sf_dir)
+    return as_shot_table(sensors.descriptors(cameras)).select("image_id", F.round("kelvin", 1).alias("kelvin"), F.round("tint", 5).alias("tint"))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> Batch:
+    """Sensor frames, and every fourth vector as a picture in bytes besides, its number negative."""
+    frames, _ = sensors.load(*readouts(spark, sf_dir))
+    v = vectors(spark, sf_dir).pixels.where("image_id % 4 = 0")
+    byte = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("c0") + 0.6) / 1.2)) * 255).cast("double")
+    px = v.select((-F.col("image_id") - 1).alias("image_id"), "x", "y", "w", "h", *[byte.alias(c) for c in ("c0", "c1", "c2")], F.lit(255.0).alias("c3"))
+    return frames.union(from_raster(Raster(px, "RGBA8"), "picture"))
+
+
+def resolved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All images of a mixed batch, only the mosaics demosaiced."""
+    out = sources.image(mixed(spark, sf_dir), method="demosaic_bilinear")
+    told = out.descriptors.select("image_id", "name", "fmt", "linear")
+    return rounded(out.pixels.select("image_id", "x", "y", "c0", "c1", "c2", "c3").join(told, "image_id"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two points a vector's image, some of them outside it."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    return e.selectExpr("vec_id as image_id", "label", "explode(array(0, 1)) as k").selectExpr("image_id * 2 + k as point_id", "image_id", "cast(label + k * 3 - 2 as int) as x", "cast(image_id % 14 - 3 as int) as y")
+
+
+def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.window_stats(vectors(spark, sf_dir), places(spark, sf_dir), 3))
+
+
+def window_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.window_histogram(vectors(spark, sf_dir), places(spark, sf_dir), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, latest_control]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}
