@@ -28,7 +28,8 @@ def display(r: Raster, fixed_range: bool = False) -> Raster:
 
 
 def thumbnail(r: Raster, side: int = 64) -> DataFrame:
-    """(image_id, x, y, c0..c3): RGBA8 means of whole blocks, in whole numbers; partial last blocks are left out.
+    """(image_id, x, y, c0..c3): RGBA8 means of whole blocks, in whole numbers; partial last blocks are left
+    out, but for one along an axis that has no whole one.
 
     Floats go from 0..1, a single channel from the sensor's black to its white.
     """
@@ -39,7 +40,7 @@ def thumbnail(r: Raster, side: int = 64) -> DataFrame:
         px = px.select(*KEYS, v.alias("c0"), v.alias("c1"), v.alias("c2"), F.lit(255).alias("c3"))
     elif r.fmt != "RGBA8":
         px = px.withColumns({c: byte(F.col(c)) for c in r.channels})
-    px = px.withColumn("step", F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / side)).cast("int")).where("x div step < w div step and y div step < h div step")
+    px = px.withColumn("step", F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / side)).cast("int")).where("x div step < greatest(1, w div step) and y div step < greatest(1, h div step)")
     keys = ["image_id", F.expr("cast(x div step as int)").alias("x"), F.expr("cast(y div step as int)").alias("y")]
     return px.groupBy(*keys).agg(*[F.expr(f"sum(cast({c} as bigint)) div count(1)").alias(c) for c in ("c0", "c1", "c2", "c3")])
 

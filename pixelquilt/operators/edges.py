@@ -15,7 +15,7 @@ LOW = Param("low", 0.1, 0, 4, 0.01, help="least strength of an edge pixel that t
 HIGH = Param("high", 0.3, 0, 4, 0.01, help="strength of a strong edge pixel")
 
 
-def _gradients(r: Raster, scale: float):
+def gradients(r: Raster, scale: float = 1.0):
     """Rows with gx, gy, mag: 3 x 3, the luma going to 1 for full white."""
     rows = r.pixels.withColumn("l", luma(r) if r.fmt == "R32F" else luma(r) / 255.0)
     rows = rows.withColumns({"dx": tap("l", "x", 1) - tap("l", "x", -1), "sx": tap("l", "x", -1) + 2 * F.col("l") + tap("l", "x", 1)})
@@ -26,7 +26,7 @@ def _gradients(r: Raster, scale: float):
 
 @operator("sobel", "edge", Param("scale", 1, 0, 8, 0.05, help="factor of all three results"))
 def sobel(r: Raster, scale: float) -> tuple[Raster, Raster, Raster]:
-    rows = _gradients(r, scale)
+    rows = gradients(r, scale)
     return tuple(r.with_pixels(rows.select(*KEYS, F.col(c).alias("c0")), "R32F") for c in ("gx", "gy", "mag"))
 
 
@@ -71,5 +71,5 @@ def hysteresis(r: Raster, low: float, high: float) -> Raster:
 @operator("canny", "edge", Param("sigma", 1.4, 0.1, 20, 0.1, help="width of the blur before"), LOW, HIGH)
 def canny(r: Raster, sigma: float, low: float, high: float) -> Raster:
     smooth = get("gaussian_blur").build(r, sigma=sigma)
-    thin = r.with_pixels(_thin(_gradients(smooth, 1.0)), "R32F")
+    thin = r.with_pixels(_thin(gradients(smooth, 1.0)), "R32F")
     return hysteresis.build(thin, low=low, high=high)

@@ -61,8 +61,9 @@ def kuwahara(r: Raster, radius: float) -> Raster:
     rows = rows.withColumns({f"{c}_{s}": line_sum(c, "x", *spans[s]) for c in names for s in spans})
     corners = [("a", "a"), ("b", "a"), ("a", "b"), ("b", "b")]
     rows = rows.withColumns({f"{c}_{i}": line_sum(f"{c}_{x}", "y", *spans[y]) for c in names for i, (x, y) in enumerate(corners)})
-    #: Rounded, as the variances of equal squares may differ in their last digits.
-    calm = [F.struct(F.round(F.greatest(F.lit(0.0), F.col(f"q_{i}") / n - (F.col(f"l_{i}") / n) * (F.col(f"l_{i}") / n)), 6).alias("v"), F.lit(i).alias("i"), *[(F.col(f"{c}_{i}") / n).alias(c) for c in r.colours]) for i in range(4)]
+    #: Rounded far below what matters at the format's scale, as the variances of equal squares may differ in their last digits.
+    digits = 6 if r.fmt == "RGBA8" else 12
+    calm = [F.struct(F.round(F.greatest(F.lit(0.0), F.col(f"q_{i}") / n - (F.col(f"l_{i}") / n) * (F.col(f"l_{i}") / n)), digits).alias("v"), F.lit(i).alias("i"), *[(F.col(f"{c}_{i}") / n).alias(c) for c in r.colours]) for i in range(4)]
     rows = rows.withColumn("best", F.least(*calm))
     return _packed(r, rows.withColumns({c: F.col(f"best.{c}") for c in r.colours}), r.colours)
 

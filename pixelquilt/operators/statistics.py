@@ -101,47 +101,82 @@ def sample_step(w: Column, h: Column) -> Column:
     return F.element_at(fits, 1)
 
 
-def image_stats(r: Raster) -> DataFrame:
-    """One row an image: count, mean, median and sd of the luma over the subsample, the shares of its end
-    bins, the tallest interior bin over the colours, the end of the luma's range, and whether it is a float beyond 1."""
+def _sampled(r: Raster) -> Raster:
+    """Every step-th pixel of every step-th row, from the first on, in whole steps."""
     step = sample_step(F.col("w"), F.col("h"))
     px = r.pixels.withColumn("step", step).where("x % step = 0 and y % step = 0 and x div step < greatest(1, w div step) and y div step < greatest(1, h div step)")
-    part = r.with_pixels(px)
-    hist = binned(part)
-    ends = hist.groupBy("image_id").agg((F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("clip_low"), (F.sum(F.when(F.col("bin") == 255, F.col("n")).otherwise(0)) / F.sum("n")).alias("clip_high"))
-    tall = None
-    for c in r.colours:
-        own = binned(part, F.col(c)).where("bin between 1 and 254").select("image_id", "n")
-        tall = own if tall is None else tall.union(own)
-    peak = tall.groupBy("image_id").agg(F.max("n").alias("peak_count"))
-    most = hist.groupBy("image_id").agg(F.max("hi").alias("max_value"))
-    out = finish(hist).select("image_id", "count", "mean", "median", "sd").join(ends, "image_id").join(peak, "image_id", "left").join(most, "image_id")
-    return out.withColumn("headroom", F.lit(r.fmt != "RGBA8") & (F.col("max_value") > 1.0001))
+    return r.with_pixels(px)
 
 
-def compare(a: Raster, b: Raster, tolerance: float) -> DataFrame:
-    """(image_id, max_diff, mean_diff, rmse, diff_pixels, pixels) over the colours; formats must agree."""
+def image_histograms(r: Raster) -> DataFrame:
+    """(image_id, lo, hi, red, green, blue, luma): counts of 256 bins each over the subsample, the colours
+    null in one-channel images.
+
+    A pixel becomes one code for each histogram, (histogram, bin) in a number; tasks count codes
+    before the shuffle, and an image is at most 1024 counts after it.
+    """
+    px = _sampled(r).pixels.withColumn("l", luma(r))
+    if r.fmt == "RGBA8":
+        px = px.withColumns({"lo": F.lit(0.0), "hi": F.lit(255.0)})
+    else:
+        span = px.groupBy("image_id").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
+        px = px.join(span.withColumn("hi", F.expr("if(hi - lo < 1e-12, lo + 1, hi)")), "image_id")
+    names = ["luma"] if len(r.channels) == 1 else ["luma", "red", "green", "blue"]
+    code = lambda k, c: F.expr(f"cast(greatest(0, least(255, floor(({c} - lo) / (hi - lo) * 255 + 0.5))) as int) + {BINS * k}")
+    codes = px.select("image_id", "lo", "hi", F.explode(F.array(*[code(k, c) for k, c in enumerate(["l", "c0", "c1", "c2"][: len(names)])])).alias("code"))
+    counts = codes.groupBy("image_id", "lo", "hi", "code").agg(F.count(F.lit(1)).alias("n"))
+    own = counts.groupBy("image_id", "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("m"))
+    dense = lambda k: F.transform(F.sequence(F.lit(BINS * k), F.lit(BINS * k + BINS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")))
+    each = {n: dense(k) for k, n in enumerate(names)}
+    return own.select("image_id", "lo", "hi", *[each.get(n, F.lit(None).cast("array<bigint>")).alias(n) for n in ("red", "green", "blue", "luma")])
+
+
+def image_stats(r: Raster) -> DataFrame:
+    """One row an image: count, mean, median and sd of the luma over the subsample, the shares of its end
+    bins, the tallest interior bin over the colours, the end of the luma's range, and whether it is a float beyond 1."""
+    names = ["luma"] if len(r.channels) == 1 else ["red", "green", "blue"]
+    walk = """aggregate(luma, cast(struct(0 as i, 0 as n, 0 as s, 0 as q, null as median) as struct<i:int,n:bigint,s:double,q:double,median:double>),
+        (a, c) -> struct(a.i + 1 as i, a.n + c as n, a.s + c * (lo + a.i / 255d * (hi - lo)) as s, a.q + c * pow(lo + a.i / 255d * (hi - lo), 2) as q,
+            if(a.median is null and c > 0 and a.n + c >= 0.5d * total, lo + a.i / 255d * (hi - lo), a.median) as median))"""
+    d = image_histograms(r).withColumn("total", F.expr("aggregate(luma, 0L, (a, c) -> a + c)")).withColumn("x", F.expr(walk))
+    mean = F.col("x.s") / F.col("total")
+    tallest = F.greatest(*[F.array_max(F.slice(n, 2, BINS - 2)) for n in names]) if len(names) > 1 else F.array_max(F.slice("luma", 2, BINS - 2))
+    end = lambda i: F.element_at("luma", i) / F.col("total")
+    return d.select("image_id", F.col("total").alias("count"), mean.alias("mean"), F.col("x.median").alias("median"), F.sqrt(F.greatest(F.lit(0.0), F.col("x.q") / F.col("total") - mean * mean)).alias("sd"), end(1).alias("clip_low"), end(BINS).alias("clip_high"), F.when(tallest > 0, tallest).alias("peak_count"), F.col("hi").alias("max_value"), (F.lit(r.fmt != "RGBA8") & (F.col("hi") > 1.0001)).alias("headroom"))
+
+
+def _beside(a: Raster, b: Raster) -> tuple[DataFrame, list[Column]]:
+    """Pixels of images that both have, ``same`` where their sizes agree, and the colours' differences."""
     if a.fmt != b.fmt:
         raise ValueError(f"formats differ: {a.fmt} and {b.fmt}")
-    other = b.pixels.select("image_id", "x", "y", *[F.col(c).alias(f"o{c}") for c in b.colours])
-    both = a.pixels.join(other, ["image_id", "x", "y"])
-    diffs = [F.abs(F.col(c) - F.col(f"o{c}")) for c in a.colours]
+    other = b.pixels.select("image_id", "x", "y", F.col("w").alias("ow"), F.col("h").alias("oh"), *[F.col(c).alias(f"o{c}") for c in b.colours])
+    both = a.pixels.join(other, ["image_id", "x", "y"]).withColumn("same", (F.col("w") == F.col("ow")) & (F.col("h") == F.col("oh")))
+    return both, [F.abs(F.col(c) - F.col(f"o{c}")) for c in a.colours]
+
+
+def compare(a: Raster, b: Raster, tolerance: float) -> DataFrame:
+    """(image_id, max_diff, mean_diff, rmse, diff_pixels, pixels) over the colours of images that both have.
+
+    Formats must agree; where sizes differ all numbers are 0, as nothing was compared.
+    """
+    both, diffs = _beside(a, b)
     n = len(diffs)
     worst = F.greatest(*diffs) if n > 1 else diffs[0]
+    counted = F.count(F.when(F.col("same"), 1))
+    mean = lambda total: F.coalesce(F.sum(F.when(F.col("same"), total)) / F.nullif(counted * n, F.lit(0)), F.lit(0.0))
     return both.groupBy("image_id").agg(
-        F.max(worst).alias("max_diff"),
-        (F.sum(sum(diffs[1:], diffs[0])) / (F.count(F.lit(1)) * n)).alias("mean_diff"),
-        F.sqrt(F.sum(sum((d * d for d in diffs[1:]), diffs[0] * diffs[0])) / (F.count(F.lit(1)) * n)).alias("rmse"),
-        F.count(F.when(worst > tolerance, 1)).alias("diff_pixels"),
-        F.count(F.lit(1)).alias("pixels"),
+        F.coalesce(F.max(F.when(F.col("same"), worst)), F.lit(0.0)).alias("max_diff"),
+        mean(sum(diffs[1:], diffs[0])).alias("mean_diff"),
+        F.sqrt(mean(sum((d * d for d in diffs[1:]), diffs[0] * diffs[0]))).alias("rmse"),
+        F.count(F.when(F.col("same") & (worst > tolerance), 1)).alias("diff_pixels"),
+        counted.alias("pixels"),
     )
 
 
 def diff_image(a: Raster, b: Raster, amplify: float = 16.0) -> Raster:
-    """The worst channel's difference, amplified, as an RGBA8 picture in warm colours."""
-    other = b.pixels.select("image_id", "x", "y", *[F.col(c).alias(f"o{c}") for c in b.colours])
-    both = a.pixels.join(other, ["image_id", "x", "y"])
-    diffs = [F.abs(F.col(c) - F.col(f"o{c}")) for c in a.colours]
+    """The worst channel's difference, amplified, as an RGBA8 picture in warm colours; none where sizes differ."""
+    both, diffs = _beside(a, b)
+    both = both.where("same")
     worst = F.greatest(*diffs) if len(diffs) > 1 else diffs[0]
     scale = F.lit(1.0)
     if a.fmt != "RGBA8":

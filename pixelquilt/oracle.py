@@ -343,16 +343,45 @@ SELECT image_id, round(max(greatest(d0, d1, d2)), 6) AS max_diff, round(sum(d0 +
     shade = "floor(round((c0 - lo) / CASE WHEN hi - lo <= 1e-8 THEN 1 ELSE hi - lo END * 255, 9))"
     q["display_normalise"] = out(f"{VECTORS}, m AS (SELECT image_id, min(c0) AS lo, max(c0) AS hi FROM px GROUP BY image_id)", {c: shade for c in RGB} | {"c3": "255.0"}, "px JOIN m USING (image_id)")
     q["thumbnail"] = f"""WITH {EVENTS}, s AS (SELECT *, CAST(greatest(1, ceil(greatest(w, h) / 32.0)) AS INT) AS st FROM px)
-SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(CAST({c} AS BIGINT)) // count(*) AS BIGINT) AS {c}' for c in RGBA)} FROM s WHERE x // st < w // st AND y // st < h // st GROUP BY image_id, x // st, y // st"""
+SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(CAST({c} AS BIGINT)) // count(*) AS BIGINT) AS {c}' for c in RGBA)} FROM s WHERE x // st < greatest(1, w // st) AND y // st < greatest(1, h // st) GROUP BY image_id, x // st, y // st"""
     grey = "CAST(floor(greatest(0.0, least(1.0, c0)) * 255) AS BIGINT)"
     q["thumbnail_float"] = f"""WITH {VECTORS}, s AS (SELECT *, {grey} AS v, CAST(greatest(1, ceil(greatest(w, h) / 4.0)) AS INT) AS st FROM px)
-SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(v) // count(*) AS BIGINT) AS c{i}' for i in range(3))}, CAST(255 AS BIGINT) AS c3 FROM s WHERE x // st < w // st AND y // st < h // st GROUP BY image_id, x // st, y // st"""
+SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(v) // count(*) AS BIGINT) AS c{i}' for i in range(3))}, CAST(255 AS BIGINT) AS c3 FROM s WHERE x // st < greatest(1, w // st) AND y // st < greatest(1, h // st) GROUP BY image_id, x // st, y // st"""
     q["region"] = out(EVENTS, {c: c for c in RGBA}, "px WHERE x BETWEEN 0 AND 14 AND y BETWEEN 0 AND 14")
     q["png_round_trip"] = out(f"{VECTORS}, k AS (SELECT *, CAST(c0 > 0 AS INT) AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM k GROUP BY image_id)", {c: "CAST((v - lo) * 255 AS DOUBLE)" for c in RGB} | {"c3": "255.0"}, "k JOIN m USING (image_id)")
     q["latest_control"] = "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id"
     seen = ", ".join(f"round({e}, 6) AS {n}" for n, e in {"black": "black", "white": "white", "cam_mul_1": "ar", "cam_mul_3": "ab", "pre_mul_1": "pr", "pre_mul_3": "pb", "rgb_cam_1": "CASE WHEN bare THEN 1 ELSE 0.9::DOUBLE END", "rgb_cam_2": "CASE WHEN bare THEN 0 ELSE 0.1::DOUBLE END", "rgb_cam_9": "CASE WHEN bare THEN 1 ELSE 0.8::DOUBLE END"}.items())
     named = "CASE WHEN image_id % 50 IN (7, 11) THEN 'None' WHEN xt THEN 'XTrans' WHEN tile = [[0, 1], [1, 2]] THEN 'RGGB' WHEN tile = [[2, 1], [1, 0]] THEN 'BGGR' WHEN tile = [[1, 0], [2, 1]] THEN 'GRBG' ELSE 'GBRG' END"
     q["sensor_descriptors"] = f"WITH {FRAMES} SELECT image_id, w, h, {named} AS cfa, {seen}, day AS has_daylight_wb, problem FROM de"
+    q["plans_compared"] = f"""WITH {VECTORS} SELECT operator, count(DISTINCT image_id) AS images, CAST(count(*) AS BIGINT) AS pixels, CAST(0 AS BIGINT) AS diff_pixels, true AS close
+FROM px, (VALUES ('box_blur'), ('gaussian_blur'), ('kuwahara')) v(operator) GROUP BY operator"""
+    q["catalog_upsert"] = """WITH l AS (SELECT 'slot-' || (vec_id * 7 % 97) AS name, vec_id, embedding, max((label % 2, vec_id)) OVER (PARTITION BY vec_id * 7 % 97) AS last, count(*) OVER (PARTITION BY vec_id * 7 % 97) AS loads FROM embeddings)
+SELECT name, loads - 1 AS version, CAST(len(embedding) AS BIGINT) AS pixels, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM l WHERE last[2] = vec_id"""
+    numbered = "e AS (SELECT user_id, ts, event_id * 7919 % 100003 AS seq, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+    q["debounced_controls"] = f"""WITH {numbered}, g AS (SELECT *, ts - coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts - INTERVAL 1 DAY) > INTERVAL 2 HOUR AS fresh FROM e),
+b AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
+SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 2 HOUR AS fired, max((seq, value))[1] AS seq, round(max((seq, value))[2], 6) AS value, count(*) AS changes FROM b GROUP BY user_id, burst"""
+    q["fresh_results"] = f"""WITH {numbered} SELECT user_id, ts, seq, round(value, 6) AS value FROM (SELECT *, max(seq) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM e) WHERE shown IS NULL OR seq > shown"""
+    block = ", ".join(f"({c} + bx * {k} + yy) % 256 AS {c}" for c, k in (("c0", 1), ("c1", 2), ("c2", 3)))
+    large = f"""{EVENTS}, wd AS (SELECT image_id, x * 8 + bx AS x, y * 8 + yy AS y, w * 8 AS w, h * 8 AS h, {block} FROM px, range(8) a(bx), range(8) b(yy)),
+st AS (SELECT min(s) AS s FROM (SELECT DISTINCT w, h FROM wd) d, range(1, 5000) r(s) WHERE (w // (s + 1)) * (h // (s + 1)) <= 262144),
+sm AS (SELECT wd.* FROM wd, st WHERE x % s = 0 AND y % s = 0 AND x // s < greatest(1, w // s) AND y // s < greatest(1, h // s)),
+cd AS (SELECT image_id, unnest(['red', 'green', 'blue', 'luma']) AS channel, unnest([c0, c1, c2, {LUMA}]) AS v FROM sm),
+hs AS (SELECT image_id, channel, CAST(floor(v + 0.5) AS INT) AS bin, count(*) AS n FROM cd GROUP BY ALL)"""
+    q["image_histograms"] = f"WITH {large} SELECT image_id, channel, bin, n FROM hs"
+    q["image_stats_large"] = f"""WITH {large}, u AS (SELECT *, sum(n) OVER (PARTITION BY image_id, channel ORDER BY bin) AS up, sum(n) OVER (PARTITION BY image_id, channel) AS al FROM hs)
+SELECT image_id, CAST(sum(n) FILTER (channel = 'luma') AS BIGINT) AS count, round(sum(n * bin) FILTER (channel = 'luma') / max(al), 6) AS mean, CAST(min(bin) FILTER (channel = 'luma' AND up >= 0.5 * al) AS DOUBLE) AS median,
+  round(sqrt(sum(n * bin * bin) FILTER (channel = 'luma') / max(al) - pow(sum(n * bin) FILTER (channel = 'luma') / max(al), 2)), 6) AS sd, round(coalesce(sum(n) FILTER (channel = 'luma' AND bin = 0), 0) / max(al), 6) AS clip_low,
+  round(coalesce(sum(n) FILTER (channel = 'luma' AND bin = 255), 0) / max(al), 6) AS clip_high, max(n) FILTER (channel <> 'luma' AND bin BETWEEN 1 AND 254) AS peak_count, 255.0 AS max_value, false AS headroom FROM u GROUP BY image_id"""
+    q["thumbnail_slim"] = f"""WITH {EVENTS}, s AS (SELECT *, CAST(greatest(1, ceil(greatest(2, h) / 32.0)) AS INT) AS st FROM px WHERE x < 2)
+SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(CAST({c} AS BIGINT)) // count(*) AS BIGINT) AS {c}' for c in RGBA)} FROM s WHERE x // st < greatest(1, 2 // st) AND y // st < greatest(1, h // st) GROUP BY image_id, x // st, y // st"""
+    q["compare_sizes"] = f"""WITH {VECTORS} SELECT image_id, round(CASE WHEN image_id % 2 = 0 THEN max(abs(c0) / 2) ELSE 0 END, 6) AS max_diff, round(CASE WHEN image_id % 2 = 0 THEN avg(abs(c0) / 2) ELSE 0 END, 6) AS mean_diff,
+  round(CASE WHEN image_id % 2 = 0 THEN sqrt(avg(c0 * c0 / 4)) ELSE 0 END, 6) AS rmse, CASE WHEN image_id % 2 = 0 THEN count(*) FILTER (abs(c0) / 2 > 0.01) ELSE 0 END AS diff_pixels, CASE WHEN image_id % 2 = 0 THEN count(*) ELSE 0 END AS pixels FROM px GROUP BY image_id"""
+    q["kuwahara_float"] = out(
+        f"""{VECTORS}, {near('nb', 'px', 2, ('c0',))}, s AS (SELECT image_id, x, y, i, avg(c0) AS c0, greatest(0, avg(c0 * c0) - avg(c0) * avg(c0)) AS v
+  FROM nb JOIN {quad} ON dx BETWEEN xa AND xb AND dy BETWEEN ya AND yb GROUP BY image_id, x, y, i), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY v, i) = 1)""",
+        {"c0": "c0"}, "b",
+    )
     q["sensor_demosaic"] = out(_mixed_demosaic(0.125, 0.1875, 0.0625), {c: c for c in RGBA}, "dm")
     q["as_shot_balance"] = _as_shot()
     shade = f"floor({clamp('(e[i + 1] + 0.6::DOUBLE) / 1.2::DOUBLE', 0, 1)} * 255)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pixelquilt.plans.raster import Raster
 
@@ -56,6 +56,8 @@ class Operator:
 
 
 _REGISTRY: dict[str, Operator] = {}
+#: A second physical plan of an operator, with the same parameters: what the first is compared with.
+_SECOND: dict[str, Callable] = {}
 
 
 def operator(name: str, category: str, *params: Param, inputs: int = 1) -> Callable:
@@ -70,6 +72,31 @@ def operator(name: str, category: str, *params: Param, inputs: int = 1) -> Calla
     return add
 
 
+def second_plan(name: str) -> Callable:
+    """Register another way to the same result; an operator has one at most."""
+
+    def add(build: Callable) -> Callable:
+        if name in _SECOND:
+            raise ValueError(f"operator '{name}' has a second plan already")
+        _SECOND[name] = build
+        return build
+
+    return add
+
+
+def has_second_plan(name: str) -> bool:
+    _load()
+    return name in _SECOND
+
+
+def get_second(name: str) -> Operator:
+    """The operator with its second plan."""
+    first = get(name)
+    if name not in _SECOND:
+        raise ValueError(f"'{name}' has no second plan")
+    return replace(first, build=_SECOND[name])
+
+
 def get(name: str) -> Operator:
     _load()
     if name not in _REGISTRY:
@@ -91,4 +118,4 @@ def run(raster: Raster, *steps: tuple[str, dict] | str):
 
 
 def _load() -> None:
-    from pixelquilt.operators import demosaic, edges, filters, point, threshold  # noqa: F401
+    from pixelquilt.operators import demosaic, edges, filters, point, second, threshold  # noqa: F401

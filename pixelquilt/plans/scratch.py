@@ -6,21 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back; a folder of our own serves only where the setting is unset, in local mode."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path; a place of our own serves only where the setting is unset, in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="raster-")) if app not in _own else _own[app]
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch folder and read it back."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

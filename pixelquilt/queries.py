@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquilt.functions.white_balance import as_shot_table
-from pixelquilt.operators import display, statistics
+from pixelquilt.operators import display, edges, statistics
 from pixelquilt.operators.demosaic import demosaic
+from pixelquilt.operators.second import compare_plans
 from pixelquilt.operators.threshold import threshold
 from pixelquilt.plans import registry, sources
 from pixelquilt.plans.batch import Batch, from_raster
 from pixelquilt.plans.raster import Raster
+from pixelquilt.plans.scratch import folder
 from pixelquilt.sources import rasters, sensors
+from pixelquilt.sources.catalog import Catalog
 from pixelquilt.streaming import controls
 
 
@@ -69,6 +72,7 @@ CHAINS: dict[str, tuple[Callable, str, dict]] = {
     "guided_filter": (vectors, "guided_filter", {"radius": 2}),
     "anisotropic_diffusion": (vectors, "anisotropic_diffusion", {"iterations": 3}),
     "kuwahara": (events, "kuwahara", {"radius": 2}),
+    "kuwahara_float": (vectors, "kuwahara", {"radius": 2}),
     "kuwahara_generalized": (vectors, "kuwahara_generalized", {"radius": 2}),
     "symmetric_nearest": (events, "symmetric_nearest", {"radius": 2}),
     "nonlocal_means": (vectors, "nonlocal_means", {"patch": 1, "search": 2, "strength": 0.3}),
@@ -85,10 +89,8 @@ def _chain(source: Callable, name: str, params: dict) -> Callable[[SparkSession,
 
 
 def sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three results beside each other."""
-    at = ["image_id", "x", "y"]
-    gx, gy, mag = (r.pixels.select(*at, F.col("c0").alias(n)) for n, r in zip(("gx", "gy", "mag"), registry.get("sobel")(events(spark, sf_dir))))
-    return rounded(gx.join(gy, at).join(mag, at))
+    """The three results beside each other, in one pass."""
+    return rounded(edges.gradients(events(spark, sf_dir)).select("image_id", "x", "y", "gx", "gy", "mag"))
 
 
 def non_max_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +214,78 @@ def window_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.window_histogram(vectors(spark, sf_dir), places(spark, sf_dir), 2)
 
 
+def plans_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three filters by windows and by tiles: how many pixels differ, of how many, in all images."""
+    r, out = vectors(spark, sf_dir), None
+    for step in (("box_blur", {"radius": 2}), ("gaussian_blur", {"sigma": 1.0}), ("kuwahara", {"radius": 2})):
+        name, told, _ = compare_plans(r, step)
+        whole = told.agg(F.lit(name).alias("operator"), F.count("*").alias("images"), F.sum("pixels").alias("pixels"), F.sum("diff_pixels").alias("diff_pixels"), (F.max("max_diff") < 1e-9).alias("close"))
+        out = whole if out is None else out.union(whole)
+    return out
+
+
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of images under 97 names into a new catalog: who is there at last, in which version."""
+    catalog = Catalog(spark, folder(spark, "catalog"))
+    label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label")
+    batch = from_raster(vectors(spark, sf_dir))
+    told = batch.descriptors.withColumn("name", F.expr("concat('slot-', image_id * 7 % 97)")).withColumn("at", F.col("image_id")).join(label, "image_id")
+    for odd in (0, 1):
+        d = told.where(F.col("label") % 2 == odd)
+        catalog.install(Batch(batch.pixels.join(d.select("image_id"), "image_id", "left_semi"), d), order="at")
+    got = catalog.batch()
+    sums = got.pixels.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("c0").alias("total"))
+    return rounded(got.descriptors.select("image_id", "name", "version").join(sums, "image_id").select("name", "version", "pixels", "total"))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as control changes, numbered out of order."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("user_id", "ts", F.expr("event_id * 7919 % 100003").alias("seq"), "value")
+
+
+def debounced_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of a user's changes that have settled for two hours."""
+    return rounded(controls.debounce(changes(spark, sf_dir), "user_id", gap="2 hours"))
+
+
+def fresh_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that are newer than all of their user before them."""
+    return rounded(controls.drop_stale(changes(spark, sf_dir), "user_id"))
+
+
+def image_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled bins of all four histograms of one large picture, a subsample of it from 262,144 pixels on."""
+    h = statistics.image_histograms(wide(spark, sf_dir))
+    each = h.select("image_id", F.explode(F.expr("map('red', red, 'green', green, 'blue', blue, 'luma', luma)")).alias("channel", "counts"))
+    return each.select("image_id", "channel", F.posexplode("counts").alias("bin", "n")).where("n > 0")
+
+
+def wide(spark: SparkSession, sf_dir: str) -> Raster:
+    """The events' picture with each pixel as a block of 8 x 8."""
+    r = events(spark, sf_dir)
+    px = r.pixels.withColumns({"bx": F.explode(F.sequence(F.lit(0), F.lit(7)))}).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    at = lambda s: F.expr(f"cast({s} as int)")
+    return Raster(px.select("image_id", at("x * 8 + bx").alias("x"), at("y * 8 + by").alias("y"), at("w * 8").alias("w"), at("h * 8").alias("h"), *[((F.col(c) + F.col("bx") * k + F.col("by")) % 256).alias(c) for c, k in (("c0", 1), ("c1", 2), ("c2", 3))], "c3"), "RGBA8")
+
+
+def image_stats_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.image_stats(wide(spark, sf_dir)))
+
+
+def thumbnail_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a picture of two columns, which are less than a block."""
+    r = events(spark, sf_dir)
+    return display.thumbnail(Raster(r.pixels.where("x < 2").withColumn("w", F.lit(2)), "RGBA8"), 32)
+
+
+def compare_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors against themselves, every second one cut by a row."""
+    r = vectors(spark, sf_dir)
+    cut = r.pixels.withColumn("h", F.expr("if(image_id % 2 = 0, h, h - 1)")).where("y < h").withColumn("c0", F.col("c0") * 0.5)
+    return rounded(statistics.compare(r, Raster(cut, "R32F"), 0.01))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}
