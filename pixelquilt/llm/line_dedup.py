@@ -30,12 +30,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType, StringType
 
-from pixelquilt.llm.common import NOT_SPACE, Scratch
+from pixelquilt.llm.common import NOT_SPACE, Scratch, quoted
 
 #: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
 BUCKETS = 1 << 18
-#: Bits of a word's hash; a level stands above them.
+#: Bits of a word's hash that its place in the order has; a level stands above them.
 BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
 FEW, HOT = 32, 2048
@@ -56,8 +57,7 @@ def _lines(text: str) -> Column:
 
 def _hashes(line: Column) -> Column:
     """Hashes of a line's distinct words."""
-    hashed = F.transform(F.split(line, " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
-    return F.array_remove(F.array_distinct(hashed), F.shiftrightunsigned(F.xxhash64(F.lit("")), 64 - BITS))
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _word_sets(docs: DataFrame) -> DataFrame:
@@ -83,9 +83,9 @@ def rarity_levels(lines: DataFrame) -> list[int]:
 def _by_rarity(words: str, levels: list[int]) -> Column:
     """Words, rarest first: numbers made of a word's level and its hash."""
     table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)")
+    level = lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
     #: Never null, so that the array is sorted as plain numbers.
-    level = lambda w: F.coalesce(F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
-    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.shiftleft(level(w), BITS).bitwiseOR(w), F.lit(0).cast("long"))))
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.shiftleft(level(w), BITS).bitwiseOR(w.bitwiseAND((1 << BITS) - 1)), F.lit(0).cast("long"))))
 
 
 class Similarity:
@@ -129,7 +129,9 @@ def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
     one = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     quarter = [F.expr(f"aggregate(words, 0L, (a, w) -> if((w & 192) = {64 * i}, a ^ shiftleft(1L, cast(w & 63 as int)), a))").alias(f"p{i}") for i in (1, 2, 3)]
     odd = F.when(F.size("words") > LONG, F.struct(*quarter)).alias("odd")
-    rows = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), one.alias("sig"), odd, _by_rarity("words", levels).alias("words"))
+    #: Smaller classes have no other set that is similar, and need neither.
+    able = F.expr(f"size(words) * {sim.den} >= (size(words) + 1) * {sim.num}")
+    rows = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), F.when(able, one).otherwise(F.lit(0).cast("long")).alias("sig"), odd, F.when(able, _by_rarity("words", levels)).otherwise(F.array().cast("array<bigint>")).alias("words"))
     rows = rows.withColumn("words", F.expr(f"slice(words, 1, {sim.prefix('n')} + {WORDS - 1})"))
     #: Rows of one class differ in their place alone.
     return rows.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "odd", "words")])
@@ -141,11 +143,21 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.hint("shuffle_hash"), "key")
 
 
+def _order(kind: DataType) -> Column:
+    """A number that is no smaller for a later document: whole numbers themselves, of texts the first
+    seven bytes; others are told apart by the exact comparison at the end alone."""
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return F.col("first.doc_id").cast("long")
+    if isinstance(kind, StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode("first.doc_id", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.when(F.col("first.doc_id").isNotNull(), F.lit(0).cast("long"))
+
+
 def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
     """(key, c1, n, at, depth, home, o, copies, sig, odd): a row for each (word of the prefix, band); o is
     the number of a class's first document.  home: in its own band, and among the few words in which
     the smaller of two similar sets has the first shared one."""
-    order = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(1 << 63))).alias("o")
+    order = F.coalesce(_order(able.schema["first"].dataType["doc_id"].dataType), F.lit(-(1 << 63))).alias("o")
     own = able.select("c1", "n", order, "copies", "sig", "odd", F.expr(f"slice(words, 1, {sim.prefix('n')})").alias("words"))
     own = own.select("c1", "n", "o", "copies", "sig", "odd", F.posexplode("words").alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
@@ -252,8 +264,8 @@ def dedup(docs: DataFrame, num: int = 9, den: int = 10, doc_id: str = "doc_id",
     empty table gives an empty one.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "gone")]
-    gone = removed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), num, den)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)], F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_h"))
+    gone = removed(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")), num, den)
+    rows = docs.select(*[F.col(quoted(c)).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(quoted(doc_id)).alias("own_id"), F.xxhash64(F.col(quoted(text))).alias("own_h"))
     rows = rows.join(gone.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left")
     body = F.col(f"in_{keep.index(text)}")
     lines = F.split(body, "\n")
@@ -270,4 +282,4 @@ def clean(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     ``n_chars`` follows the text; all else is as in ``dedup``.
     """
     out = dedup(docs, num, den).where((F.size("gone") == 0) | F.col("text").rlike(NOT_SPACE))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[quoted(c) for c in docs.columns])
