@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import Scratch
+from pixelquilt.llm.common import Scratch, quoted
 
 #: Components saturate here, so that a squared distance of 64 of them has 63 bits.
 MOST = 1 << 27
@@ -97,7 +97,7 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def integers(vectors: DataFrame, vec_id: str, embedding: str, dims: int, scale: int) -> DataFrame:
     """(vec_id, q) of the vectors with ``dims`` finite components; q: floor(scale * x), saturated."""
-    e = vectors.select(vectors[f"`{vec_id}`"].alias("vec_id"), vectors[f"`{embedding}`"].cast("array<double>").alias("e"))
+    e = vectors.select(vectors[quoted(vec_id)].alias("vec_id"), vectors[quoted(embedding)].cast("array<double>").alias("e"))
     # a bound of 1e300 is true of finite values alone (of NaN and infinity it isn't, NaN being the largest)
     sound = (F.size("e") == dims) & F.forall("e", lambda x: x.isNotNull() & (F.abs(x) <= 1.7976931348623157e308))
     q = F.transform("e", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(float(MOST))), F.lit(float(-MOST)))).cast("int"))

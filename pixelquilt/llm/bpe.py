@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from pixelquilt.llm.common import add_columns
+
 #: Texts taken together, in characters, and words remembered: bounds on a worker's memory.
 RUN, MEMO = 6 << 20, 400_000
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -219,38 +221,27 @@ def runs(column: pa.Array, most: int = RUN) -> Iterator[list[str]]:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str | None = "token_ids", decoded: str | None = None, digests: bool = False) -> DataFrame:
     """Each row with its token ids, and where named its decoded text or the digests of both.
 
-    Null and empty texts have no tokens; repeated rows, null ids and further columns pass
-    through; a result column that exists already is replaced.  An empty table gives an empty
+    Null and empty texts have no tokens; repeated rows, null ids and further columns of any name
+    pass through; a result column that exists already is replaced.  An empty table gives an empty
     one.  Texts of any length are taken whole.
     """
-    keep = [c for c in docs.columns if c not in {ids, decoded, "n_tokens", "ids_sha256", "decoded_sha256"}]
-    fields = [(f"`{c}`", docs.schema[c].dataType.simpleString()) for c in keep] + [("n_tokens", "bigint")]
-    if ids:
-        fields.append((f"`{ids}`", "array<int>"))
-    if decoded:
-        fields.append((f"`{decoded}`", "string"))
-    if digests:
-        fields += [("ids_sha256", "string"), ("decoded_sha256", "string")]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [("n_tokens", "bigint")] + [(ids, "array<int>")] * bool(ids) + [(decoded, "string")] * bool(decoded)
+    fields += [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
+
+    def work(column: pa.Array) -> Iterator[list[pa.Array]]:
         bpe = coder(path)
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            at = 0
-            for texts in runs(batch.column(batch.schema.get_field_index(text))):
-                got = bpe.encode_run(texts)
-                out = [c.slice(at, len(texts)) for c in columns]
-                at += len(texts)
-                sizes = np.array([len(g[0]) // 4 for g in got], dtype=np.int64)
-                out.append(pa.array(sizes))
-                if ids:
-                    flat = np.frombuffer(b"".join([g[0] for g in got]), dtype="<i4")
-                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)))
-                if decoded:
-                    out.append(pa.array([g[1] for g in got], pa.string()))
-                if digests:
-                    out.append(pa.array([hashlib.sha256(g[0]).hexdigest() for g in got]))
-                    out.append(pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got]))
-                yield pa.RecordBatch.from_arrays(out, [f[0].strip("`") for f in fields])
-
-    return docs.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in fields))
+        for texts in runs(column):
+            got = bpe.encode_run(texts)
+            sizes = np.array([len(g[0]) // 4 for g in got], dtype=np.int64)
+            out: list[pa.Array] = [pa.array(sizes)]
+            if ids:
+                flat = np.frombuffer(b"".join([g[0] for g in got]), dtype="<i4")
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)))
+            if decoded:
+                out.append(pa.array([g[1] for g in got], pa.string()))
+            if digests:
+                out.append(pa.array([hashlib.sha256(g[0]).hexdigest() for g in got]))
+                out.append(pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got]))
+            yield out
+
+    return add_columns(docs, text, fields, work)

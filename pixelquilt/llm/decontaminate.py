@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pixelquilt.llm.common import quoted
+
 WINDOW, PART = 10, 500_000
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -86,17 +88,16 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 def _parts(benchmark: DataFrame, item: str, text: str, size: int, most: int) -> Iterator[list[tuple[tuple[bytes, ...], list[str]]]]:
     """The benchmark's distinct windows with the items they occur in, in parts of ``most`` windows."""
-    own: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-    rows = benchmark.where(benchmark[item].isNotNull()).select(benchmark[item].cast("string"), text).toLocalIterator()
+    own: dict[tuple[bytes, ...], dict[str, None]] = defaultdict(dict)
+    rows = benchmark.where(benchmark[quoted(item)].isNotNull()).select(benchmark[quoted(item)].cast("string"), quoted(text)).toLocalIterator()
     for i, t in rows:  # one partition at a time
         for w in windows(words_of(t), size):
-            if i not in own[w]:
-                own[w].append(i)
+            own[w][i] = None
         if len(own) >= most:
-            yield list(own.items())
+            yield [(w, list(items)) for w, items in own.items()]
             own.clear()
     if own:
-        yield list(own.items())
+        yield [(w, list(items)) for w, items in own.items()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, most: int = PART) -> DataFrame:
@@ -105,13 +106,17 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
     Null and empty texts have no words; items without words or without id have no windows; an
     empty benchmark hits nothing.  Repeated rows and ids pass through, one row each.  Items that
-    share a window all count.  Result columns replace columns of the same name.
+    share a window all count.  Texts of any length are taken whole.  Result columns replace columns
+    of the same name; further columns may have any name.
     """
     spark = docs.sparkSession
     own = ["hit_spans", "hit_items", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.drop(*own)
+    callers = docs.columns
+    #: Columns travel under names of our own.
+    docs, text = docs.toDF(*[f"in_{i}" for i in range(len(callers))]), f"in_{callers.index(text)}"
     kept_columns = docs.columns
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(df: DataFrame, part, first: bool) -> DataFrame:
@@ -152,10 +157,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     out, first = docs, True
     for part in _parts(benchmark, item, item_text, size, most):
         out, first = scan(out, part, first), False
-    return scan(out, [], True) if first else out
+    return (scan(out, [], True) if first else out).toDF(*callers, *own)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with their own columns."""
     found = find(docs, benchmark, **options)
-    return found.where(~found.contaminated).select(*[f"`{c}`" for c in docs.columns])
+    return found.where(~found.contaminated).select(*[quoted(c) for c in docs.columns])

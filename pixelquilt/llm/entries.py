@@ -366,42 +366,41 @@ base AS (
          CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN rep USING (rid)
-), m AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+), lines AS (SELECT rid, line, count(*) AS times FROM (SELECT rid, unnest(l) AS line FROM d) GROUP BY rid, line HAVING count(*) = 2),
+echo AS (SELECT rid, any_value(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS echo_words FROM lines GROUP BY rid),
+m AS (
+  SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          word_chars * 100 // greatest(n_words, 1) AS word_length, n_symbols * 10000 // greatest(n_words, 1) AS symbol_rate,
-         n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_rate, n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_rate
-  FROM base
+         n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_rate, n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_rate,
+         CASE WHEN n_dup_lines = 1 THEN 0 ELSE n_dup_lines * 10000 // greatest(n_lines, 1) END AS dup_tested,
+         greatest(n_repeat_words - greatest(2 * CASE WHEN n_dup_lines = 1 THEN coalesce(echo_words, 0) ELSE 0 END, 6), 0) * 10000 // greatest(n_words, 1) AS repeat_tested
+  FROM base LEFT JOIN echo USING (rid)
 ), v AS (
-  SELECT lang, source, metric, v, greatest(length(bin(v)) - 6, 0) AS s FROM (
-    SELECT lang, source, 'word_length' AS metric, word_length AS v FROM m WHERE NOT base_failed UNION ALL
-    SELECT lang, source, 'symbol_rate', symbol_rate FROM m WHERE NOT base_failed UNION ALL
-    SELECT lang, source, 'dup_line_rate', dup_line_rate FROM m WHERE NOT base_failed UNION ALL
-    SELECT lang, source, 'repeat_rate', repeat_rate FROM m WHERE NOT base_failed)
-), k AS (SELECT lang, source, metric, (v >> CAST(s AS BIGINT)) << CAST(s AS BIGINT) AS bucket FROM v),
+  SELECT lang, source, unnest(['word_length', 'symbol_rate', 'dup_line_rate', 'repeat_rate']) AS metric, unnest([word_length, symbol_rate, dup_line_rate, repeat_rate]) AS v
+  FROM m WHERE NOT base_failed
+), k AS (SELECT lang, source, metric, CASE WHEN v < 64 THEN v ELSE v - v % CAST(pow(2, floor(log2(v)) - 5) AS BIGINT) END AS bucket FROM v),
 lv AS (
-  SELECT 2 AS level, lang, source, metric, bucket FROM k UNION ALL
-  SELECT 1, lang, NULL, metric, bucket FROM k UNION ALL SELECT 0, NULL, NULL, metric, bucket FROM k
-), q AS (
-  SELECT level, lang, source, metric, count(*) AS docs,
-         quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75
-  FROM lv GROUP BY level, lang, source, metric
+  SELECT 2 AS level, lang, source, metric, bucket, count(*) AS n FROM k GROUP BY ALL UNION ALL
+  SELECT 1, lang, NULL, metric, bucket, count(*) FROM k GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, metric, bucket, count(*) FROM k GROUP BY ALL
+), cu AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM lv),
+q AS (
+  SELECT level, lang, source, metric, any_value(docs) AS docs, min(bucket) FILTER (100 * upto >= 25 * docs) AS q25, min(bucket) FILTER (100 * upto >= 75 * docs) AS q75,
+         min(bucket) FILTER (100 * upto >= 98 * docs) AS q98, min(bucket) FILTER (100 * upto >= 95 * docs) AS q95
+  FROM cu GROUP BY level, lang, source, metric
 ), lim AS (
-  SELECT keys.lang, keys.source, x.metric,
-         CASE WHEN f.docs >= 200 THEN f.q25 WHEN n.docs >= 200 THEN n.q25 ELSE x.q25 END AS q25,
-         CASE WHEN f.docs >= 200 THEN f.q75 WHEN n.docs >= 200 THEN n.q75 ELSE x.q75 END AS q75
-  FROM (SELECT DISTINCT lang, source FROM m) keys CROSS JOIN (SELECT * FROM q WHERE level = 0) x
-  LEFT JOIN q f ON f.level = 2 AND f.lang = keys.lang AND f.source = keys.source AND f.metric = x.metric
-  LEFT JOIN q n ON n.level = 1 AND n.lang = keys.lang AND n.metric = x.metric
+  SELECT keys.lang, keys.source, metric, q25, q75, q98, q95
+  FROM (SELECT DISTINCT lang, source FROM m) keys JOIN q ON level = 0 OR docs >= 200 AND q.lang = keys.lang AND (level = 1 OR q.source = keys.source)
+  QUALIFY row_number() OVER (PARTITION BY keys.lang, keys.source, metric ORDER BY level DESC) = 1
 ), wide AS (
   SELECT lang, source,
          max(q75 + 3 * (q75 - q25) + 150) FILTER (metric = 'word_length') AS wl_hi,
          max(q25 - 3 * (q75 - q25) - 150) FILTER (metric = 'word_length') AS wl_lo,
          max(q75 + 3 * (q75 - q25) + 1000) FILTER (metric = 'symbol_rate') AS sy_hi,
-         max(q75 + 3 * (q75 - q25) + 5000) FILTER (metric = 'dup_line_rate') AS du_hi,
-         max(q75 + 3 * (q75 - q25) + 4000) FILTER (metric = 'repeat_rate') AS re_hi
+         max(q98 + q98 // 8 + 500) FILTER (metric = 'dup_line_rate') AS du_hi,
+         max(q95 + q95 // 8 + 500) FILTER (metric = 'repeat_rate') AS re_hi
   FROM lim GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(word_length BETWEEN wl_lo AND wl_hi AND symbol_rate <= sy_hi AND dup_line_rate <= du_hi AND repeat_rate <= re_hi, true) AS kept
+       NOT base_failed AND coalesce(word_length BETWEEN wl_lo AND wl_hi AND symbol_rate <= sy_hi AND dup_tested <= du_hi AND repeat_tested <= re_hi, true) AS kept
 FROM m LEFT JOIN wide USING (lang, source)
 """

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import LOWER, Scratch, add_columns, release, text_slices
+from pixelquilt.llm.common import LOWER, Scratch, add_columns, quoted, release, text_slices
 
 #: The CRC's reflected polynomial; a fixed value of the format.
 POLYNOMIAL = 0xEDB88320
@@ -189,7 +189,7 @@ def bucket_counts(docs: DataFrame, text: str, most: int, buckets: int) -> DataFr
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    only = docs.select(docs[f"`{text}`"].alias("in_text"))
+    only = docs.select(docs[quoted(text)].alias("in_text"))
     return only.mapInArrow(work, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -219,10 +219,10 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     are taken whole.  Further columns, of any name, are left aside: see ``draw``.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "importance")
-    slim = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"))
+    slim = docs.select(docs[quoted(doc_id)].alias("doc_id"), docs[quoted(text)].alias("text"))
     # one number a bucket: bounded by the parameter, whatever the input
     gain = np.zeros(buckets, dtype=np.int64)
-    for row in gains(slim, target.select(target[f"`{text}`"].alias("text")), "text", most, buckets).toLocalIterator():
+    for row in gains(slim, target.select(target[quoted(text)].alias("text")), "text", most, buckets).toLocalIterator():
         gain[row["bucket"]] = row["gain"]
     release(spark)
 
@@ -258,4 +258,4 @@ def _ranked(scored: DataFrame, percent: int, least_words: int) -> DataFrame:
 def draw(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The drawn rows of ``docs``, with all their columns; rows of one id stay or go together, null ids go."""
     drawn = resample(docs, target, doc_id, **options).where("rank is not null").select(F.col("doc_id").alias("importance_drawn_id")).distinct()
-    return docs.join(drawn, docs[f"`{doc_id}`"] == F.col("importance_drawn_id"), "left_semi")
+    return docs.join(drawn, docs[quoted(doc_id)] == F.col("importance_drawn_id"), "left_semi")

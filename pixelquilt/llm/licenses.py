@@ -162,13 +162,36 @@ class Scanner:
         tried = sorted(tried.union(*(own for k, own in self.strings.items() if k in text)))
         found = [Detection(m.start(), m.end(), self.ordered[i]) for i in tried for m in self.compiled[i].finditer(text)]
         found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
-        kept: list[Detection] = []
+        reach, kept = Reach({d.start for d in found}), []
         for d in found:
-            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            if reach.upto(d.start) < d.end:
                 kept.append(d)
+                reach.add(d.start, d.end)
         return sorted(kept, key=lambda d: (d.start, d.end))
 
 
+class Reach:
+    """The farthest end of all intervals that begin at a place or before it, in a tree over the starts:
+    n intervals take n log n steps, however they overlap."""
+
+    def __init__(self, starts: set[int]):
+        self.at = {s: i for i, s in enumerate(sorted(starts), 1)}
+        self.best = [-1] * (len(self.at) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = self.at[start]
+        while i < len(self.best):
+            self.best[i] = max(self.best[i], end)
+            i += i & -i
+
+    def upto(self, start: int) -> int:
+        i, out = self.at[start], -1
+        while i:
+            out = max(out, self.best[i])
+            i -= i & -i
+        return out
+
+
 def base_places(text: bytes) -> list[tuple[int, str]]:
     """(word number, label) of every base phrase in a text of lower-cased words between blanks."""
     out, at, n = [], 0, 0
@@ -185,12 +208,16 @@ def scan(docs: DataFrame, text: str = "text", detections: bool = True) -> DataFr
 
     score is the largest weight of what was found, base phrases counting as 0.6, and 0 without
     any.  Null reads as empty: no words, no places, empty labels.  Further columns and repeated
-    rows pass through; result columns replace columns of the same name.
+    rows pass through, columns of any name; result columns replace columns of the same name.  Texts
+    of any length are taken whole; an empty table gives an empty one.
     """
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] + ["detections"] * detections
     docs = docs.drop(*own)
+    callers = docs.columns
+    #: Columns travel under names of our own.
+    docs, text = docs.toDF(*[f"in_{i}" for i in range(len(callers))]), f"in_{callers.index(text)}"
     kept_columns = docs.columns
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     lower = {i: i + 32 for i in range(65, 91)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +243,4 @@ def scan(docs: DataFrame, text: str = "text", detections: bool = True) -> DataFr
 
     schema = f"{base}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
     schema += ", detections array<struct<label:string,start:int,end:int,priority:int>>" * detections
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, schema).toDF(*callers, *own)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import LOWER, WHITE, Scratch, materialize, mix64, text_slices, word_hashes
+from pixelquilt.llm.common import LOWER, WHITE, Scratch, materialize, mix64, quoted, text_slices, word_hashes
 from pixelquilt.llm.components import components
 
 _U = np.uint64
@@ -293,7 +293,7 @@ def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id:
     names, are left out.  An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "partenum")
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     odd = [f"p{i}" for i in range(PARITIES)]
     described = scratch.keep(scratch.write(_describe(docs, size), "described"))
     known = described.where("n > 0 and doc_id is not null")
@@ -370,4 +370,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     grouped = materialize(link(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "grouped")
     key = options.get("doc_id", "doc_id")
-    return docs.join(grouped, docs[f"`{key}`"] == grouped["gone_id"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(grouped, docs[quoted(key)] == grouped["gone_id"], "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import NOT_SPACE, SPACE, materialize
+from pixelquilt.llm.common import NOT_SPACE, SPACE, materialize, quoted
 
 #: Documents that a group must have for thresholds of its own; groups small enough to send to all workers.
 LEAST_DOCS, MOST_GROUPS = 200, 200_000
@@ -147,7 +147,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     thresholds, one row a group, are sent to all workers only while there are few groups.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c not in {*BASE, "base_failed", "kept"}]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)], F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"))
+    rows = docs.select(*[F.col(quoted(c)).alias(f"in_{i}") for i, c in enumerate(keep)], F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"))
     measured = materialize(base_metrics(rows).drop("text"), "measured")
     limits = materialize(thresholds(measured, least), "thresholds")
     if limits.count() <= MOST_GROUPS:
@@ -162,4 +162,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The kept rows, with their own columns."""
-    return judge(docs, **options).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return judge(docs, **options).where("kept").select(*[quoted(c) for c in docs.columns])

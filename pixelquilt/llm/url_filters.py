@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import lower_ascii, materialize
+from pixelquilt.llm.common import lower_ascii, materialize, quoted
 
 #: Levels that the SQL expands; the tree itself has no limit.
 DEPTH = 4
@@ -149,7 +149,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[Rule,
     empty host and path and the template '/'.  Templates without labels have the prior's purity.
     Repeated rows count each; further columns are left out; an empty table gives an empty one.
     """
-    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    rows = pages.select(F.col(quoted(page_id)).alias("page_id"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"))
     if labels is None:
         rows = rows.withColumn("good", F.lit(None).cast("boolean"))
     else:

@@ -1,5 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
+import dataclasses
+import datetime
 import hashlib
 import math
 import random
@@ -466,3 +468,121 @@ def test_the_pipeline_on_its_own_documents(spark, docs, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {r.doc_id: r.token_ids for r in at.collect()} == {i: t.encode(x, add_special_tokens=False).ids for i, x in before.items()}
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == seen[5]
+
+
+# --- any columns, any ids -----------------------------------------------------------------------
+
+ODD = "`a.b` string, `c``d` int, in_0 int, in_text string, out_0 long, h long, gone int, place string, words string, doc_id long, text string, lang string, source string, n_chars long, component_id long"
+
+
+def odd_rows(n=40):
+    rnd = random.Random(12)
+    body = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    rows = [("x", i, 1, "t", 2, 3, 4, "p", "w", i, body(), "en", "s", 5, 6) for i in range(n)]
+    return rows + [rows[3], rows[3]] + [("x", 0, 1, "t", 2, 3, 4, "p", "w", None, None, None, None, None, 6)]
+
+
+@pytest.mark.parametrize("name", ["bpe", "decontaminate", "decontaminate_clean", "licenses", "quality", "quality_clean", "lines", "lines_clean", "near_clean"])
+def test_operators_pass_columns_of_any_name_through(spark, name):
+    df = spark.createDataFrame(odd_rows(), ODD).repartition(2)
+    bench = spark.createDataFrame([("i1", " ".join(odd_rows()[5][10].split()[3:20]))], "`item.id` string, `its text` string")
+    bench_of = {"item": "item.id", "item_text": "its text"}
+    run = {
+        "bpe": lambda: bpe.encode(df, public_tokenizers.path("word_bpe_49k.json")),
+        "decontaminate": lambda: decontaminate.find(df, bench, **bench_of),
+        "decontaminate_clean": lambda: decontaminate.clean(df, bench, **bench_of),
+        "licenses": lambda: licenses.scan(df),
+        "quality": lambda: quality_rules.judge(df),
+        "quality_clean": lambda: quality_rules.clean(df),
+        "lines": lambda: line_dedup.dedup(df),
+        "lines_clean": lambda: line_dedup.clean(df),
+        "near_clean": lambda: partenum.keep_one(df, size=5, num=80, den=100),
+    }[name]
+    out = run()
+    kept = [c for c in df.columns if c in out.columns]
+    assert set(df.columns) - set(kept) <= {"gone"} and (not name.endswith("clean") or out.columns == df.columns)
+    rows = out.select(*[f"`{c.replace('`', '``')}`" for c in kept]).collect()
+    known = {r[9]: r for r in odd_rows() if r[9] is not None}
+    place = {c: i for i, c in enumerate(df.columns)}
+    same = [c for c in kept if c not in ("gone", "n_chars", "text")]
+    assert len(rows) == {"quality_clean": 42, "lines_clean": 43, "decontaminate_clean": 42}.get(name, len(rows)) and len(rows) >= 40
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert all(r[c] == known[r["doc_id"]][place[c]] for c in same)
+
+
+def test_lines_of_documents_with_ids_of_any_type(spark):
+    rnd = random.Random(3)
+    line = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(20)) for _ in range(12)]
+    near = [" ".join([*x.split()[:19], "other"]) for x in line]
+    texts_ = [line[i] if i < 12 else near[i - 12] for i in range(24)]
+    for kind, name in (("string", lambda i: f"doc-{i:03}"), ("string", lambda i: "ü" * (i + 1)), ("double", lambda i: i / 2), ("date", None), ("long", lambda i: i)):
+        ids = [datetime.date.fromordinal(700_000 + i) if name is None else name(i) for i in range(24)]
+        df = spark.createDataFrame(list(zip(ids, texts_)), f"doc_id {kind}, text string").repartition(3)
+        got = {r["doc_id"]: r["gone"] for r in line_dedup.dedup(df).collect()}
+        assert [got[i] for i in ids] == [[]] * 12 + [[0]] * 12, kind
+
+
+# --- thresholds, overlaps -------------------------------------------------------------------------
+
+
+def test_what_the_quality_rules_keep_against_plain_thresholds(spark):
+    """The method spelled out in Python: buckets, quantiles of each group, fences, what is tested."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    rows = []
+    for i in range(260):
+        group = rnd.choice([("en", "a"), ("en", "b"), ("de", "a"), ("fr", None), (None, "z")])
+        lines = [" ".join(word() for _ in range(rnd.randint(4, 12))) for _ in range(rnd.randint(4, 14))]
+        lines += [rnd.choice(lines) for _ in range(rnd.choice([0, 0, 0, 1, 2, 4]))]
+        if rnd.random() < 0.3:
+            lines.append("# $ | " * rnd.randint(1, 25))
+        rows.append((i, "\n".join(lines), *group, 1))
+    bucket = lambda v: v if v < 64 else v >> v.bit_length() - 6 << v.bit_length() - 6
+    measured = {}
+    for i, t, lang, source, _ in rows:
+        w, ls = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        places = {}
+        for k in range(len(w) - 2):
+            places.setdefault(tuple(w[k : k + 3]), []).append(k)
+        repeat = len({x for ks in places.values() if len(ks) > 1 for k in ks for x in (k, k + 1, k + 2)})
+        dup = len(ls) - len(set(ls))
+        echo = len(WORD.findall(next(x for x in ls if ls.count(x) > 1))) if dup == 1 else 0
+        n = len(w)
+        values = [sum(map(len, w)) * 100 // n, sum(c in "#*$%&|<>" for c in t) * 10000 // n, dup * 10000 // len(ls), repeat * 10000 // n]
+        tested = [*values[:2], 0 if dup == 1 else values[2], max(repeat - max(2 * echo, 6), 0) * 10000 // n]
+        measured[i] = (lang or "", source or "", n < 50 or 100 * repeat > 50 * n, values, tested)
+    at = lambda xs, q: next(x for k, x in enumerate(xs, 1) if 100 * k >= q * len(xs))
+    for least in (30, 200, 1000):
+        want = {}
+        for i, (lang, source, failed, _, tested) in measured.items():
+            pools = [[m[3] for m in measured.values() if not m[2] and test(m)] for test in (lambda m: m[:2] == (lang, source), lambda m: m[0] == lang, lambda m: True)]
+            pool = next(p for k, p in enumerate(pools) if len(p) >= least or k == 2)
+            s = [sorted(bucket(v[k]) for v in pool) for k in range(4)]
+            quart = lambda k: (at(s[k], 25), at(s[k], 75))
+            (a, b), (c, d), x, y = quart(0), quart(1), at(s[2], 98), at(s[3], 95)
+            ok = a - 3 * (b - a) - 150 <= tested[0] <= b + 3 * (b - a) + 150 and tested[1] <= d + 3 * (d - c) + 1000 and tested[2] <= x + x // 8 + 500 and tested[3] <= y + y // 8 + 500
+            want[i] = not failed and ok
+        got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, DOCS), least=least).collect()}
+        assert got == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_overlapping_licence_detections_against_all_pairs():
+    like = licenses.rules()[0]
+    rule = lambda p, label: dataclasses.replace(like, priority=p, label=label)
+    rnd = random.Random(4)
+    for _ in range(300):
+        found = []
+        for _ in range(rnd.randint(0, 25)):
+            a = rnd.randrange(20)
+            found.append(licenses.Detection(a, a + rnd.randint(1, 8), rule(rnd.randrange(3), rnd.choice("xyz"))))
+        found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
+        plain, quick, reach = [], [], licenses.Reach({d.start for d in found})
+        for d in found:
+            if not any(k.start <= d.start and d.end <= k.end for k in plain):
+                plain.append(d)
+            if reach.upto(d.start) < d.end:
+                quick.append(d)
+                reach.add(d.start, d.end)
+        assert plain == quick
