@@ -4,7 +4,7 @@ Each task walks its partition in runs of texts.  The distinct words a run adds a
 together: an index maps every adjacent symbol pair to all its positions in these words, the
 pairs' ranks are applied in ascending order to all their positions at once, and the positions
 of pairs that appear or vanish beside a merge are added or skipped.  A text is then the
-concatenation of its words' ids.  Words are kept between runs up to ``MEMO`` of them.
+concatenation of its words' ids.  Words are kept between runs up to ``MEMO`` bytes.
 
 Only a map over documents: no shuffle, so one hot source or group of copies costs nothing extra.
 """
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from pixelquilt.llm.common import add_columns
 
-#: Texts taken together, in characters, and words remembered: bounds on a worker's memory.
-RUN, MEMO = 6 << 20, 400_000
+#: Texts taken together, in characters, and what words remembered take, in bytes: bounds on a worker's memory.
+RUN, MEMO = 6 << 20, 64 << 20
+#: Bytes of a remembered word besides its own and its tokens'.
+WORD_COSTS = 240
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+")
 #: White space to Python's own patterns and not to the vocabulary's: such texts take the general pattern.
@@ -70,6 +72,7 @@ class PairIndexBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it is no merge."""
@@ -176,14 +179,16 @@ class PairIndexBpe:
                 known[w] = (np.array([self.special[w]], dtype="<u4").tobytes(), w)
         names = self.names
         for w, ids in zip(plain, self.encode_words(plain)):
-            known[w] = (ids.astype("<u4").tobytes(), " ".join([names[i] for i in ids.tolist()]))
+            got = known[w] = (ids.astype("<u4").tobytes(), " ".join([names[i] for i in ids.tolist()]))
+            self.held += WORD_COSTS + len(w) + len(got[0]) + len(got[1])
 
     def encode_run(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         each = [self.pieces(t) for t in texts]
         new = set().union(*each) if each else set()
-        if len(self.known) + len(new) > MEMO:
+        if self.held > MEMO:
             self.known.clear()
+            self.held = 0
         self.learn(new)
         known, out = self.known, []
         for ws in each:
