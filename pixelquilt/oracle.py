@@ -349,6 +349,11 @@ SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(CAST({c} AS B
 SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(v) // count(*) AS BIGINT) AS c{i}' for i in range(3))}, CAST(255 AS BIGINT) AS c3 FROM s WHERE x // st < greatest(1, w // st) AND y // st < greatest(1, h // st) GROUP BY image_id, x // st, y // st"""
     q["region"] = out(EVENTS, {c: c for c in RGBA}, "px WHERE x BETWEEN 0 AND 14 AND y BETWEEN 0 AND 14")
     q["png_round_trip"] = out(f"{VECTORS}, k AS (SELECT *, CAST(c0 > 0 AS INT) AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM k GROUP BY image_id)", {c: "CAST((v - lo) * 255 AS DOUBLE)" for c in RGB} | {"c3": "255.0"}, "k JOIN m USING (image_id)")
+    files = f"{VECTORS}, bt AS (SELECT image_id, image_id % 8 AS k, x, y, w, h, CAST(floor({clamp('floor((c0 + 0.6) * 200)', 0, 255)}) AS INT) AS v FROM px)"
+    seen = {"c0": "CASE k WHEN 2 THEN v // 16 ELSE v END", "c1": "CASE k WHEN 1 THEN v WHEN 2 THEN v // 16 * 3 ELSE 255 - v END", "c2": "CASE k WHEN 1 THEN v WHEN 2 THEN v // 16 * 5 ELSE v // 2 END", "c3": "CASE k WHEN 1 THEN 255 WHEN 4 THEN 255 WHEN 2 THEN v // 16 * 16 ELSE v | 1 END"}
+    q["pictures_decoded"] = out(files, {c: f"CAST({e} AS DOUBLE)" for c, e in seen.items()}, "bt WHERE k NOT IN (5, 6)")
+    q["picture_status"] = f"""WITH {files} SELECT image_id, CASE k WHEN 4 THEN 'bmp' WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE 'png' END AS kind, CASE WHEN k IN (5, 6) THEN 0 ELSE w END AS w, CASE WHEN k IN (5, 6) THEN 0 ELSE h END AS h,
+  CASE k WHEN 5 THEN 'damaged' WHEN 6 THEN 'unsupported' ELSE 'ok' END AS status, CASE k WHEN 5 THEN 'picture ends early' WHEN 6 THEN 'unknown format' END AS problem FROM bt GROUP BY ALL"""
     q["latest_control"] = "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id"
     seen = ", ".join(f"round({e}, 6) AS {n}" for n, e in {"black": "black", "white": "white", "cam_mul_1": "ar", "cam_mul_3": "ab", "pre_mul_1": "pr", "pre_mul_3": "pb", "rgb_cam_1": "CASE WHEN bare THEN 1 ELSE 0.9::DOUBLE END", "rgb_cam_2": "CASE WHEN bare THEN 0 ELSE 0.1::DOUBLE END", "rgb_cam_9": "CASE WHEN bare THEN 1 ELSE 0.8::DOUBLE END"}.items())
     named = "CASE WHEN image_id % 50 IN (7, 11) THEN 'None' WHEN xt THEN 'XTrans' WHEN tile = [[0, 1], [1, 2]] THEN 'RGGB' WHEN tile = [[2, 1], [1, 0]] THEN 'BGGR' WHEN tile = [[1, 0], [2, 1]] THEN 'GRBG' ELSE 'GBRG' END"

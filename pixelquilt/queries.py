@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from pixelquilt.plans import registry, sources
 from pixelquilt.plans.batch import Batch, from_raster
 from pixelquilt.plans.raster import Raster
 from pixelquilt.plans.scratch import folder
-from pixelquilt.sources import rasters, sensors
+from pixelquilt.sources import pictures, rasters, sensors
 from pixelquilt.sources.catalog import Catalog
 from pixelquilt.streaming import controls
 
@@ -142,6 +143,38 @@ def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(Raster(rasters.decoded(rasters.png_bytes(mask)), "RGBA8"))
 
 
+def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, content): each vector's image, in bytes, as a file: PNG in colour, of 16 bits, with a palette of
+    sixteen and interlaced, BMP, a file that ends early, and one of no known format."""
+
+    def write(number: int, values: np.ndarray) -> bytes:
+        px = np.clip(np.floor((values[..., 0] + 0.6) * 200), 0, 255).astype(np.uint8)
+        colour = np.stack([px, 255 - px, px // 2, px | 1], axis=2)
+        palette = np.stack([np.arange(16) * c for c in (1, 3, 5, 16)], axis=1).astype(np.uint8)
+        every, kind = (4, 3, 2, 1, 0), number % 8
+        if kind == 1:
+            return pictures.encode_png(px.astype(np.uint16) * 256 + 77, depth=16, kinds=every)
+        if kind == 2:
+            return pictures.encode_png(px // 16, palette, 4, kinds=every)
+        if kind == 3:
+            return pictures.encode_png(colour, laced=True, kinds=every)
+        if kind == 4:
+            return pictures.encode_bmp(colour)
+        whole = pictures.encode_png(colour, kinds=every)
+        return whole[:60] if kind == 5 else b"GIF89a" + whole if kind == 6 else whole
+
+    return rasters.encoded(vectors(spark, sf_dir).pixels, write)
+
+
+def pictures_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(Raster(rasters.decoded(picture_files(spark, sf_dir)), "RGBA8"))
+
+
+def picture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file is, and why some give no picture."""
+    return rasters.examined(picture_files(spark, sf_dir)).where("status is not null").select("image_id", "kind", "w", "h", "status", "problem")
+
+
 def latest_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as control changes: a user's last value."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -287,5 +320,5 @@ def compare_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}

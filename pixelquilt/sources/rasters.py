@@ -1,19 +1,20 @@
-"""Rasters from tables, and from and to PNG files."""
+"""Rasters from tables, from picture files, and to PNG files."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquilt.plans.raster import Raster
+from pixelquilt.plans.scratch import materialize
+from pixelquilt.sources import pictures
+from pixelquilt.sources.pictures import SIGNATURE, encode_png  # noqa: F401
 
-SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Extensions of sensor files, which need a vendor's decoder and are told apart only.
 RAW = "3fr arw cr2 cr3 crw dcr dng erf iiq kdc mef mos mrw nef nrw orf pef raf raw rw2 rwl sr2 srf srw x3f".split()
 
@@ -30,57 +31,12 @@ def is_raw(path):
     return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1)).isin(RAW)
 
 
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + above
-    out = line.copy()
-    for i in range(len(out)):
-        a = int(out[i - step]) if i >= step else 0
-        b, c = int(above[i]), int(above[i - step]) if i >= step else 0
-        if kind == 1:
-            more = a
-        elif kind == 3:
-            more = (a + b) // 2
-        else:
-            p = a + b - c
-            more = min((a, b, c), key=lambda v: abs(p - v))
-        out[i] = (int(out[i]) + more) & 255
-    return out
-
-
 def decode_png(data: bytes) -> np.ndarray | None:
-    """(rows, columns, 4) bytes of an 8-bit grey, grey-alpha, RGB or RGBA picture; null for others."""
-    if data[:8] != SIGNATURE:
-        return None
-    at, body, head = 8, b"", None
-    while at + 8 <= len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
-        elif kind == b"IDAT":
-            body += data[at + 8 : at + 8 + size]
-        at += 12 + size
-    if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
+    """(rows, columns, 4) bytes of a PNG; null for what is none, or damaged."""
+    try:
+        return pictures.decode_png(data) if data[:8] == SIGNATURE else None
+    except pictures.Unreadable:
         return None
-    w, h, n = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
-    raw = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(h, 1 + w * n)
-    rows, above = [], np.zeros(w * n, dtype=np.uint8)
-    for line in raw:
-        above = _unfilter(int(line[0]), line[1:], above, n)
-        rows.append(above)
-    px = np.stack(rows).reshape(h, w, n)
-    colour = px[..., :1].repeat(3, axis=2) if n < 3 else px[..., :3]
-    alpha = px[..., -1:] if n in (2, 4) else np.full((h, w, 1), 255, np.uint8)
-    return np.concatenate([colour, alpha], axis=2)
-
-
-def encode_png(px: np.ndarray) -> bytes:
-    h, w = px.shape[:2]
-    raw = np.concatenate([np.zeros((h, 1), np.uint8), px.astype(np.uint8).reshape(h, w * 4)], axis=1).tobytes()
-    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
 def read_png(spark: SparkSession, path: str) -> Raster:
@@ -89,40 +45,70 @@ def read_png(spark: SparkSession, path: str) -> Raster:
     return Raster(decoded(files), "RGBA8")
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """(image_id, content) as pixels; what is no readable PNG gives no pixels."""
+PIXELS = "image_id long, x int, y int, w int, h int, c0 double, c1 double, c2 double, c3 double"
+
+
+def examined(files: DataFrame) -> DataFrame:
+    """(image_id, content) as pixels, and for each file a row more, without a place, that tells its kind,
+    status (ok, damaged or unsupported) and problem; a null content is an empty file."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
+            for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                kind, px, status, problem = None, np.zeros((0, 0, 4), np.uint8), "ok", None
                 try:
-                    px = decode_png(batch.column(1)[i].as_py() or b"")
-                except (zlib.error, struct.error, ValueError):  # damaged
-                    px = None
-                if px is None:
-                    continue
+                    kind, px = pictures.decode(content.as_py() or b"")
+                except pictures.Unreadable as e:
+                    status, problem = e.status, e.problem
                 h, w = px.shape[:2]
-                for top in range(0, h, max(1, 1_000_000 // w)):  # some rows at a time
+                told = [[number], [None], [None], [w], [h], *[[None]] * 4, [kind], [status], [problem]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(told, types)], names)
+                for top in range(0, h, max(1, 1_000_000 // max(1, w))):  # some rows at a time
                     part = px[top : top + max(1, 1_000_000 // w)]
                     y, x = np.divmod(np.arange(part.shape[0] * w), w)
-                    cols = [np.full(len(x), batch.column(0)[i].as_py(), np.int64), x.astype(np.int32), (y + top).astype(np.int32), np.full(len(x), w, np.int32), np.full(len(x), h, np.int32)]
-                    cols += [part[..., c].ravel().astype(float) for c in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["image_id", "x", "y", "w", "h", "c0", "c1", "c2", "c3"])
+                    n = len(x)
+                    cols = [np.full(n, number, np.int64) if number is not None else pa.nulls(n, pa.int64()), x.astype(np.int32), (y + top).astype(np.int32), np.full(n, w, np.int32), np.full(n, h, np.int32)]
+                    cols += [part[..., c].ravel().astype(float) for c in range(4)] + [pa.nulls(n, pa.string())] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names)
+
+    names = [c.split()[0] for c in PIXELS.split(", ")] + ["kind", "status", "problem"]
+    types = [pa.int64(), *[pa.int32()] * 4, *[pa.float64()] * 4, *[pa.string()] * 3]
+    return files.select("image_id", "content").mapInArrow(work, PIXELS + ", kind string, status string, problem string")
+
 
-    return files.mapInArrow(work, "image_id long, x int, y int, w int, h int, c0 double, c1 double, c2 double, c3 double")
+def decoded(files: DataFrame) -> DataFrame:
+    """(image_id, content) as pixels; what is no readable picture gives no pixels."""
+    return examined(files).where("status is null").drop("kind", "status", "problem")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Raster, DataFrame]:
+    """Every file under a path: the pictures as one RGBA8 batch, and (image_id, path, kind, w, h, status,
+    problem) of all files.  Sensor files have status ``sensor`` and aren't opened: their readouts go
+    through ``sources.sensors``.  Spark lists no files without bytes.  Files are decoded once, into a scratch table that both results read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.xxhash64("path").alias("image_id"), "path", "content")
+    sensor = files.where(is_raw("path")).select("image_id", "path", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("w"), F.lit(0).alias("h"), F.lit("sensor").alias("status"), F.lit("a sensor's readout, not a picture").alias("problem"))
+    rows = materialize(examined(files.where(~is_raw("path"))), "pictures")
+    names = files.select("image_id", "path")
+    told = rows.where("status is not null").join(names, "image_id").select(sensor.columns)
+    return Raster(rows.where("status is null").drop("kind", "status", "problem"), "RGBA8"), told.union(sensor)
+
+
+def encoded(r: DataFrame, fn) -> DataFrame:
+    """(image_id, content): fn(image_id, (rows, columns, channels) values) of each image's pixels; those of
+    an unfinished last row are left out."""
+    channels = [c for c in ("c0", "c1", "c2", "c3") if c in r.columns]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, w, h = (int(pdf[c].iloc[0]) for c in ("image_id", "w", "h"))
+        px = np.zeros((h, w, len(channels)))
+        px[pdf["y"], pdf["x"]] = pdf[channels].to_numpy()
+        return pd.DataFrame({"image_id": [number], "content": [fn(number, px)]})
+
+    return r.where("x < w and y < h").groupBy("image_id").applyInPandas(work, "image_id long, content binary")
 
 
 def png_bytes(r: Raster) -> DataFrame:
     """(image_id, content): each RGBA8 image as a PNG file."""
     if r.fmt != "RGBA8":
         raise ValueError("only RGBA8 can be written as PNG")
-
-    def work(pdf):
-        import pandas as pd
-
-        w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
-        px = np.zeros((h, w, 4), np.uint8)
-        px[pdf["y"], pdf["x"]] = pdf[["c0", "c1", "c2", "c3"]].to_numpy()
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [encode_png(px)]})
-
-    return r.pixels.groupBy("image_id").applyInPandas(work, "image_id long, content binary")
+    return encoded(r.pixels, lambda _, px: pictures.encode_png(px.astype(np.uint8)))
