@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquilt.plans.raster import KEYS
+from pixelquilt.plans.scratch import materialize
 
 TILE = 256
 _AXES = {"x": ("y", "w"), "y": ("x", "h")}
@@ -54,9 +55,10 @@ def box_sums(df: DataFrame, columns: list[str], x: tuple[int, int], y: tuple[int
     return out.withColumns({c: line_sum(c, "y", *y, clamped) for c in columns})
 
 
-def tiled(df: DataFrame, channels: list[str], radius: int, fn: Callable[[np.ndarray, tuple], np.ndarray], tile: int = TILE) -> DataFrame:
+def tiled(df: DataFrame, channels: list[str], radius: int, fn: Callable[[np.ndarray, tuple], np.ndarray], tile: int = TILE, results: list[str] | None = None) -> DataFrame:
     """fn over tiles of images: it gets (channels, rows, columns) with ``radius`` more on each side, edge
-    values beyond the image, and how many of these there are on each side; it returns the tile alone.
+    values beyond the image, and how many of these there are on each side; it returns the tile alone, in
+    as many channels or, where named, ``results``.
 
     A pixel goes to its own tile and to those that need it as surroundings, 1 + O(radius / tile)
     rows each; a group is one tile.
@@ -79,9 +81,86 @@ def tiled(df: DataFrame, channels: list[str], radius: int, fn: Callable[[np.ndar
         got = fn(np.pad(block, pad, mode="edge"), pad)
         own = pdf[(pdf["x"] >= x0) & (pdf["x"] < x1) & (pdf["y"] >= y0) & (pdf["y"] < y1)][list(KEYS)].reset_index(drop=True)
         xs, ys = own["x"].to_numpy() - x0, own["y"].to_numpy() - y0
-        for i, c in enumerate(channels):
+        for i, c in enumerate(results or channels):
             own[c] = got[i, ys, xs]
         return own
 
-    schema = "image_id long, x int, y int, w int, h int, " + ", ".join(f"{c} double" for c in channels)
+    schema = "image_id long, x int, y int, w int, h int, " + ", ".join(f"{c} double" for c in results or channels)
     return rows.groupBy("image_id", "tx", "ty").applyInPandas(work, schema)
+
+
+def summed(a: np.ndarray) -> np.ndarray:
+    """The summed-area table of the last two axes, with a row and a column of zeros before it."""
+    out = np.zeros((*a.shape[:-2], a.shape[-2] + 1, a.shape[-1] + 1))
+    out[..., 1:, 1:] = a.cumsum(-2).cumsum(-1)
+    return out
+
+
+def moments(df: DataFrame, c: str, k: int) -> DataFrame:
+    """(c, mean, sd) of the square of 2k + 1 around each pixel, as far as it lies inside the image.
+
+    A tile's own summed-area table gives each square by four corners, whatever k; its values are
+    relative to the tile's first pixel, so sums stay small and flat tiles have no deviation at all.
+    """
+
+    def fn(a: np.ndarray, pad: tuple) -> np.ndarray:
+        (top, bottom), (left, right) = pad[1:]
+        inner = a[0, top : a.shape[1] - bottom, left : a.shape[2] - right]
+        v = inner - inner[0, 0]
+        table = summed(np.stack([v, v * v]))
+        span = lambda n, before, size: (np.clip(np.arange(n) - before, 0, size), np.clip(np.arange(n) - before + 2 * k + 1, 0, size))
+        (y0, y1), (x0, x1) = span(a.shape[1] - 2 * k, top, v.shape[0]), span(a.shape[2] - 2 * k, left, v.shape[1])
+        lines = table[:, y1] - table[:, y0]
+        total = (lines[:, :, x1] - lines[:, :, x0]) / ((y1 - y0)[:, None] * (x1 - x0)[None, :])
+        sd = np.sqrt(np.maximum(0.0, total[1] - total[0] ** 2))
+        return np.stack([a[0, k : a.shape[1] - k, k : a.shape[2] - k], total[0] + inner[0, 0], sd])
+
+    return tiled(df, [c], k, fn, results=[c, "mean", "sd"])
+
+
+def _least(a: np.ndarray, n: int, axis: int) -> np.ndarray:
+    """The least of each n values in a row along an axis: running ones from both ends of blocks of n."""
+    a = np.moveaxis(a, axis, -1)
+    size = a.shape[-1]
+    blocks = np.full((*a.shape[:-1], -(-size // n) * n), np.inf)
+    blocks[..., :size] = a
+    blocks = blocks.reshape(*a.shape[:-1], -1, n)
+    before = np.minimum.accumulate(blocks, -1).reshape(*a.shape[:-1], -1)[..., n - 1 : size]
+    after = np.minimum.accumulate(blocks[..., ::-1], -1)[..., ::-1].reshape(*a.shape[:-1], -1)[..., : size - n + 1]
+    return np.moveaxis(np.minimum(before, after), -1, axis)
+
+
+def extremes(df: DataFrame, c: str, k: int) -> DataFrame:
+    """(c, lo, hi) of the square around each pixel: edge values beyond the image add none."""
+
+    def fn(a: np.ndarray, pad: tuple) -> np.ndarray:
+        both = np.stack([a[0], -a[0]])
+        lo, hi = _least(_least(both, 2 * k + 1, 1), 2 * k + 1, 2)
+        return np.stack([a[0, k : a.shape[1] - k, k : a.shape[2] - k], lo, -hi])
+
+    return tiled(df, [c], k, fn, results=[c, "lo", "hi"])
+
+
+def integral(df: DataFrame, channels: list[str], tile: int = TILE) -> DataFrame:
+    """Each channel's sum over all pixels of its image from the first to this one: a summed-area table of
+    images of any size.
+
+    Tiles are summed on their own; then a tile's last column and row carry over to the tiles right of it
+    and below.  Carries are one number for each line of a tile and meet their tile as two arrays, so
+    pixels are shuffled twice, and no group is more than a tile or a line of carries.
+    """
+    own = tiled(df, channels, 0, lambda a, pad: summed(a)[:, 1:, 1:], tile)
+    own = materialize(own.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)}), "tiles")
+    before = lambda *by, order: Window.partitionBy("image_id", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    carried = lambda names, over: F.struct(*[F.coalesce(F.sum(n).over(over), zero).alias(c) for n, c in zip(names, channels)])
+    #: From the left, for each row of a tile; what is left of the tile and above it is the left part of the last row above.
+    right = own.where(f"x = least(w, (tx + 1) * {tile}) - 1").select("image_id", "tx", "ty", "y", "h", carried(channels, before("y", order="tx")).alias("left"))
+    last = right.where(f"y = least(h, (ty + 1) * {tile}) - 1")
+    corner = last.select("image_id", "tx", "ty", carried([f"left.{c}" for c in channels], before("tx", order="ty")).alias("corner"))
+    bottom = own.where(f"y = least(h, (ty + 1) * {tile}) - 1").select("image_id", "tx", "ty", "x", carried(channels, before("x", order="ty")).alias("above"))
+    keys = ["image_id", "tx", "ty"]
+    in_order = lambda at, what: F.expr(f"transform(array_sort(collect_list(struct({at}, {what}))), v -> v.{what})")
+    carries = right.groupBy(*keys).agg(in_order("y", "left").alias("left")).join(bottom.groupBy(*keys).agg(in_order("x", "above").alias("above")), keys).join(corner, keys)
+    rows = own.join(carries, keys).withColumn("l", F.expr(f"left[y - ty * {tile}]")).withColumn("a", F.expr(f"above[x - tx * {tile}]"))
+    return rows.select(*KEYS, *[(F.col(c) + F.col(f"l.{c}") + F.col(f"a.{c}") + F.col(f"corner.{c}")).alias(c) for c in channels])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pixelquilt.functions.neighbours import line, line_sum, tap
+from pixelquilt.functions.neighbours import extremes, moments, tap
 from pixelquilt.functions.pixels import luma
 from pixelquilt.operators import statistics
 from pixelquilt.plans.raster import KEYS, Raster
@@ -17,8 +17,8 @@ INVERT = Param("invert", 0, kind="bool", help="swap 0 and 1")
 WINDOW = Param("window", 15, 3, 201, 2, "int", "side of the square around a pixel")
 
 
-def _mask(r: Raster, rows, t: Column, invert: float) -> Raster:
-    above = luma(r) > t
+def _mask(r: Raster, rows, t: Column, invert: float, value: Column | None = None) -> Raster:
+    above = (luma(r) if value is None else value) > t
     mask = (~above if invert else above).cast("double")
     return r.with_pixels(rows.select(*KEYS, mask.alias("c0")), "R32F")
 
@@ -44,43 +44,34 @@ _by_histogram("threshold_triangle", statistics.triangle)
 _by_histogram("threshold_isodata", statistics.isodata)
 
 
-def _moments(r: Raster, window: float):
-    """Rows with the mean and sd of the luma in the window, which shrinks at borders."""
-    k = _radius(window)
-    rows = r.pixels.withColumns({"l": luma(r), "ll": luma(r) * luma(r)})
-    rows = rows.withColumns({c: line_sum(c, "x", -k, k, False) for c in ("l", "ll")})
-    rows = rows.withColumns({c: line_sum(c, "y", -k, k, False) for c in ("l", "ll")})
-    n = F.expr(f"(least(x + {k}, w - 1) - greatest(x - {k}, 0) + 1) * (least(y + {k}, h - 1) - greatest(y - {k}, 0) + 1)")
-    rows = rows.withColumn("mean", F.col("l") / n).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("ll") / n - F.col("mean") * F.col("mean"))))
-    return rows
+def _by_moments(r: Raster, window: float, t: Column, invert: float) -> Raster:
+    """Against the mean and sd of the luma in the window, which shrinks at borders."""
+    rows = moments(r.pixels.select(*KEYS, luma(r).alias("l")), "l", _radius(window))
+    return _mask(r, rows, t, invert, F.col("l"))
 
 
 @operator("threshold_niblack", "threshold", WINDOW, INVERT, Param("k", -0.2, -1, 1, 0.01, help="weight of the deviation"))
 def niblack(r: Raster, window: float, invert: float, k: float) -> Raster:
-    return _mask(r, _moments(r, window), F.col("mean") + k * F.col("sd"), invert)
+    return _by_moments(r, window, F.col("mean") + k * F.col("sd"), invert)
 
 
 @operator("threshold_sauvola", "threshold", WINDOW, INVERT, Param("k", 0.2, 0, 1, 0.01, help="weight of the deviation"), Param("r", 128, 1, 255, 1, help="deviation of full contrast"))
 def sauvola(r_: Raster, window: float, invert: float, k: float, r: float) -> Raster:
     t = F.col("mean") * (1 + k * (F.col("sd") / max(r, 1e-6) - 1))
-    return _mask(r_, _moments(r_, window), t, invert)
+    return _by_moments(r_, window, t, invert)
 
 
 @operator("threshold_adaptive_mean", "threshold", WINDOW, INVERT, Param("c", 5, -64, 64, 1, help="what the level lies below the mean"))
 def adaptive_mean(r: Raster, window: float, invert: float, c: float) -> Raster:
-    return _mask(r, _moments(r, window), F.col("mean") - c, invert)
+    return _by_moments(r, window, F.col("mean") - c, invert)
 
 
 @operator("threshold_bernsen", "threshold", WINDOW, INVERT, Param("contrast_min", 15, 0, 128, 1, help="contrast below which a window is uniform"), Param("uniform_level", 128, 0, 255, 1, help="level for uniform windows"))
 def bernsen(r: Raster, window: float, invert: float, contrast_min: float, uniform_level: float) -> Raster:
-    k = _radius(window)
-    rows = r.pixels.withColumns({"lo": luma(r), "hi": luma(r)})
-    for axis in ("x", "y"):
-        near = line(axis).rowsBetween(-k, k)
-        rows = rows.withColumns({"lo": F.min("lo").over(near), "hi": F.max("hi").over(near)})
+    rows = extremes(r.pixels.select(*KEYS, luma(r).alias("l")), "l", _radius(window))
     mid = (F.col("lo") + F.col("hi")) / 2
     t = F.when(F.col("hi") - F.col("lo") < contrast_min, F.when(mid >= uniform_level, -1e30).otherwise(1e30)).otherwise(mid)
-    return _mask(r, rows, t, invert)
+    return _mask(r, rows, t, invert, F.col("l"))
 
 
 def gauss(sigma: float, radius: int) -> list[float]:

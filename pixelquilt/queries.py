@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelquilt.functions.neighbours import integral
 from pixelquilt.functions.white_balance import as_shot_table
 from pixelquilt.operators import display, edges, statistics
 from pixelquilt.operators.demosaic import demosaic
@@ -15,7 +16,7 @@ from pixelquilt.operators.second import compare_plans
 from pixelquilt.operators.threshold import threshold
 from pixelquilt.plans import registry, sources
 from pixelquilt.plans.batch import Batch, from_raster
-from pixelquilt.plans.raster import Raster
+from pixelquilt.plans.raster import KEYS, Raster
 from pixelquilt.plans.scratch import folder
 from pixelquilt.sources import pictures, rasters, sensors
 from pixelquilt.sources.catalog import Catalog
@@ -143,6 +144,12 @@ def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(Raster(rasters.decoded(rasters.png_bytes(mask)), "RGBA8"))
 
 
+def integral_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of values and of their squares from the first pixel on, by tiles of 64."""
+    px = events(spark, sf_dir).pixels.select(*KEYS, F.col("c0").alias("total"), (F.col("c0") * F.col("c0")).alias("squares"))
+    return integral(px, ["total", "squares"], 64).select("image_id", "x", "y", "total", "squares")
+
+
 def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, content): each vector's image, in bytes, as a file: PNG in colour, of 16 bits, with a palette of
     sixteen and interlaced, BMP, a file that ends early, and one of no known format."""
@@ -320,5 +327,5 @@ def compare_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, integral_image, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}
