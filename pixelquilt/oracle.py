@@ -351,6 +351,10 @@ SELECT image_id, x // st AS x, y // st AS y, {', '.join(f'CAST(sum(v) // count(*
     q["png_round_trip"] = out(f"{VECTORS}, k AS (SELECT *, CAST(c0 > 0 AS INT) AS v FROM px), m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM k GROUP BY image_id)", {c: "CAST((v - lo) * 255 AS DOUBLE)" for c in RGB} | {"c3": "255.0"}, "k JOIN m USING (image_id)")
     q["integral_image"] = f"""WITH {EVENTS}, li AS (SELECT image_id, x, y, sum(c0) OVER a AS t, sum(c0 * c0) OVER a AS s FROM px WINDOW a AS (PARTITION BY image_id, y ORDER BY x))
 SELECT image_id, x, y, sum(t) OVER b AS total, sum(s) OVER b AS squares FROM li WINDOW b AS (PARTITION BY image_id, x ORDER BY y)"""
+    branch = lambda name, same, users, test, source: f"SELECT '{name}' AS chain, '{same}' AS same_as, {users} AS users, count(*) AS pixels, CAST(count(*) FILTER ({test}) AS BIGINT) AS bright FROM {source}"
+    blurred = f"{EVENTS}, {near('nb', 'px', 2, RGB)}, b5 AS (SELECT image_id, x, y, {', '.join(f'floor(round(sum({c}) / 25.0, 9)) AS {c}' for c in RGB)} FROM nb GROUP BY image_id, x, y)"
+    bright, dark = f"{LUMA} > 100", f"NOT {LUMA} > 120"
+    q["shared_branches"] = f"WITH {blurred} " + " UNION ALL ".join([branch("a", "a", 4, bright, "b5"), branch("b", "b", 4, dark, "b5"), branch("c", "b", 4, dark, "b5"), branch("d", "d", 4, bright, "b5"), branch("e", "e", 1, dark, "px")])
     files = f"{VECTORS}, bt AS (SELECT image_id, image_id % 8 AS k, x, y, w, h, CAST(floor({clamp('floor((c0 + 0.6) * 200)', 0, 255)}) AS INT) AS v FROM px)"
     seen = {"c0": "CASE k WHEN 2 THEN v // 16 ELSE v END", "c1": "CASE k WHEN 1 THEN v WHEN 2 THEN v // 16 * 3 ELSE 255 - v END", "c2": "CASE k WHEN 1 THEN v WHEN 2 THEN v // 16 * 5 ELSE v // 2 END", "c3": "CASE k WHEN 1 THEN 255 WHEN 4 THEN 255 WHEN 2 THEN v // 16 * 16 ELSE v | 1 END"}
     q["pictures_decoded"] = out(files, {c: f"CAST({e} AS DOUBLE)" for c, e in seen.items()}, "bt WHERE k NOT IN (5, 6)")

@@ -47,12 +47,23 @@ class Operator:
     def __call__(self, *rasters: Raster, **given: float):
         if len(rasters) != self.inputs:
             raise TypeError(f"'{self.name}' takes {self.inputs} image(s), not {len(rasters)}")
+        return self.build(*rasters, **self.values(**given))
+
+    def _known(self, given: dict) -> dict[str, Param]:
         known = {p.name: p for p in self.params}
         if odd := sorted(set(given) - set(known)):
             raise TypeError(f"'{self.name}' has no parameter '{odd[0]}'")
-        #: Only values that are given are snapped.
-        values = {n: known[n].value(given[n]) if n in given else p.default for n, p in known.items()}
-        return self.build(*rasters, **values)
+        return known
+
+    def values(self, **given: float) -> dict[str, float]:
+        """All parameters' values; only those that are given are snapped."""
+        return {n: p.value(given[n]) if n in given else p.default for n, p in self._known(given).items()}
+
+    def with_defaults(self, **defaults: float) -> Operator:
+        """The operator with other defaults, such as an image suggests: clamped but not snapped.  They
+        hold where no value is given."""
+        self._known(defaults)
+        return replace(self, params=tuple(replace(p, default=min(max(float(defaults[p.name]), p.low), p.high)) if p.name in defaults else p for p in self.params))
 
 
 _REGISTRY: dict[str, Operator] = {}

@@ -14,7 +14,7 @@ from pixelquilt.operators import display, edges, statistics
 from pixelquilt.operators.demosaic import demosaic
 from pixelquilt.operators.second import compare_plans
 from pixelquilt.operators.threshold import threshold
-from pixelquilt.plans import registry, sources
+from pixelquilt.plans import branches, registry, sources
 from pixelquilt.plans.batch import Batch, from_raster
 from pixelquilt.plans.raster import KEYS, Raster
 from pixelquilt.plans.scratch import folder
@@ -150,6 +150,28 @@ def integral_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integral(px, ["total", "squares"], 64).select("image_id", "x", "y", "total", "squares")
 
 
+#: Chains with equal beginnings: c says b's parameters in other words, d is a but for its last step.
+BRANCHES = {
+    "a": [("box_blur", {"radius": 2}), ("threshold", {"level": 100}), "grayscale"],
+    "b": [("box_blur", {"radius": 2}), ("threshold", {"level": 120, "invert": True})],
+    "c": [("box_blur", {"radius": 2.7}), ("threshold", {"invert": 1, "level": 120.4})],
+    "d": [("box_blur", {"radius": 2}), ("threshold", {"level": 100})],
+    "e": [("threshold", {"level": 120, "invert": True})],
+}
+
+
+def shared_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chain's bright pixels, the first chain that is equal to it, and how many chains share its first step."""
+    prints = {n: branches.fingerprints(c) for n, c in BRANCHES.items()}
+    out = None
+    for name, r in branches.run_all(events(spark, sf_dir), BRANCHES).items():
+        same = min(n for n, own in prints.items() if own == prints[name])
+        users = sum(own[0] == prints[name][0] for own in prints.values())
+        one = r.pixels.agg(F.count("*").alias("pixels"), F.sum(F.expr("cast(c0 > 0 as long)")).alias("bright")).select(F.lit(name).alias("chain"), F.lit(same).alias("same_as"), F.lit(users).alias("users"), "pixels", "bright")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, content): each vector's image, in bytes, as a file: PNG in colour, of 16 bits, with a palette of
     sixteen and interlaced, BMP, a file that ends early, and one of no known format."""
@@ -327,5 +349,5 @@ def compare_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, integral_image, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, integral_image, shared_branches, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}
