@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquilt.functions.pixels import clamp
+from pixelquilt.operators.statistics import image_stats
 from pixelquilt.plans.raster import KEYS, Raster
 
 
@@ -50,3 +51,26 @@ def region(r: Raster, x: int, y: int, size: int = 15) -> Raster:
     low = lambda at, n: F.greatest(F.lit(0), F.least(F.lit(at - size // 2), F.col(n) - size))
     near = (F.col("x") >= low(x, "w")) & (F.col("x") < low(x, "w") + size) & (F.col("y") >= low(y, "h")) & (F.col("y") < low(y, "h") + size)
     return r.with_pixels(r.pixels.where(near))
+
+
+#: Bytes a pixel.
+_BYTES = {"RGBA8": 4, "R32F": 4, "RGBA16F": 8, "RGBA32F": 16}
+
+
+def info(r: Raster) -> DataFrame:
+    """What a viewer says about each image, as text: size, storage, statistics of the luma, and where
+    they matter (more than 1 % of the pixels, floats beyond white) clipped shares and headroom, else null."""
+    sizes = r.pixels.groupBy("image_id").agg(F.first("w").cast("long").alias("w"), F.first("h").cast("long").alias("h"))
+    d = image_stats(r).join(sizes, "image_id")
+    digits = 1 if r.fmt == "RGBA8" else 3
+    #: Half to even, and with the sign of what rounds to zero.
+    text = lambda c, n=digits: F.concat(F.when((c < 0) & (F.bround(c, n) == 0), "-").otherwise(""), F.format_string(f"%.{n}f", F.bround(c, n)))
+    area = F.col("w") * F.col("h")
+    said = {
+        "size": F.concat(F.col("w"), F.lit(" x "), F.col("h"), F.lit("  ("), text(area / 1e6, 1), F.lit(" MP)")),
+        "storage": F.concat(F.lit(f"{r.fmt}   "), text(area * _BYTES[r.fmt] / 1e6, 1), F.lit(" MB")),
+        "stats": F.concat(F.lit("mean "), text(F.col("mean")), F.lit("   median "), text(F.col("median")), F.lit("   stddev "), text(F.col("sd"))),
+        "clipped": F.when((F.col("clip_low") > 0.01) | (F.col("clip_high") > 0.01), F.concat(F.lit("clipped: "), text(F.col("clip_low") * 100, 1), F.lit("% black, "), text(F.col("clip_high") * 100, 1), F.lit("% white"))),
+        "headroom": F.when(F.col("headroom"), F.concat(F.lit("headroom to "), text(F.col("max_value"), 2), F.lit(" ("), text(F.log2(F.col("max_value")), 1), F.lit(" stops above white)"))),
+    }
+    return d.select("image_id", *[e.alias(n) for n, e in said.items()])

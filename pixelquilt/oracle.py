@@ -355,6 +355,13 @@ SELECT image_id, x, y, sum(t) OVER b AS total, sum(s) OVER b AS squares FROM li
     blurred = f"{EVENTS}, {near('nb', 'px', 2, RGB)}, b5 AS (SELECT image_id, x, y, {', '.join(f'floor(round(sum({c}) / 25.0, 9)) AS {c}' for c in RGB)} FROM nb GROUP BY image_id, x, y)"
     bright, dark = f"{LUMA} > 100", f"NOT {LUMA} > 120"
     q["shared_branches"] = f"WITH {blurred} " + " UNION ALL ".join([branch("a", "a", 4, bright, "b5"), branch("b", "b", 4, dark, "b5"), branch("c", "b", 4, dark, "b5"), branch("d", "d", 4, bright, "b5"), branch("e", "e", 1, dark, "px")])
+    stretched = VECTORS.replace("CAST(embedding[i + 1] AS DOUBLE) AS c0", "CAST(embedding[i + 1] AS DOUBLE) * 4 AS c0")
+    q["image_info"] = f"""WITH {_hist(stretched, 'c0', False)}, v AS (SELECT image_id, bin, n, hi, {value('bin')} AS v, sum(n) {cum} AS up, sum(n) {own} AS al FROM hi),
+g AS (SELECT image_id, sum(n * v) / sum(n) AS mean, min(v) FILTER (up >= 0.5 * al) AS median, sqrt(greatest(0, sum(n * v * v) / sum(n) - pow(sum(n * v) / sum(n), 2))) AS sd,
+  coalesce(sum(n) FILTER (bin = 0), 0) / sum(n) AS lo, coalesce(sum(n) FILTER (bin = 255), 0) / sum(n) AS up, max(hi) AS most FROM v GROUP BY image_id),
+z AS (SELECT image_id, max(w) AS w, max(h) AS h FROM px GROUP BY image_id)
+SELECT image_id, printf('%d x %d  (%.1f MP)', w, h, w * h / 1e6) AS size, printf('R32F   %.1f MB', w * h * 4 / 1e6) AS storage, printf('mean %.3f   median %.3f   stddev %.3f', mean, median, sd) AS stats,
+  CASE WHEN lo > 0.01 OR up > 0.01 THEN printf('clipped: %.1f%% black, %.1f%% white', lo * 100, up * 100) END AS clipped, CASE WHEN most > 1.0001 THEN printf('headroom to %.2f (%.1f stops above white)', most, log2(most)) END AS headroom FROM g JOIN z USING (image_id)"""
     files = f"{VECTORS}, bt AS (SELECT image_id, image_id % 8 AS k, x, y, w, h, CAST(floor({clamp('floor((c0 + 0.6) * 200)', 0, 255)}) AS INT) AS v FROM px)"
     seen = {"c0": "CASE k WHEN 2 THEN v // 16 ELSE v END", "c1": "CASE k WHEN 1 THEN v WHEN 2 THEN v // 16 * 3 ELSE 255 - v END", "c2": "CASE k WHEN 1 THEN v WHEN 2 THEN v // 16 * 5 ELSE v // 2 END", "c3": "CASE k WHEN 1 THEN 255 WHEN 4 THEN 255 WHEN 2 THEN v // 16 * 16 ELSE v | 1 END"}
     q["pictures_decoded"] = out(files, {c: f"CAST({e} AS DOUBLE)" for c, e in seen.items()}, "bt WHERE k NOT IN (5, 6)")

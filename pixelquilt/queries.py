@@ -150,6 +150,12 @@ def integral_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integral(px, ["total", "squares"], 64).select("image_id", "x", "y", "total", "squares")
 
 
+def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the vectors' images, stretched so that some go beyond white."""
+    r = vectors(spark, sf_dir)
+    return display.info(Raster(r.pixels.withColumn("c0", F.col("c0") * 4), "R32F"))
+
+
 #: Chains with equal beginnings: c says b's parameters in other words, d is a but for its last step.
 BRANCHES = {
     "a": [("box_blur", {"radius": 2}), ("threshold", {"level": 100}), "grayscale"],
@@ -349,5 +355,5 @@ def compare_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, integral_image, shared_branches, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
+    own = [sobel, non_max_suppression, histogram, histogram_finish, image_stats, compare, diff_image, display_normalise, thumbnail, thumbnail_float, region, png_round_trip, integral_image, shared_branches, image_info, pictures_decoded, picture_status, latest_control, sensor_descriptors, sensor_demosaic, as_shot_balance, resolved_sources, window_stats, window_histogram, plans_compared, catalog_upsert, debounced_controls, fresh_results, image_histograms, image_stats_large, thumbnail_slim, compare_sizes]
     return {n: _chain(*c) for n, c in CHAINS.items()} | {f.__name__: f for f in own}

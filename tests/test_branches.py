@@ -55,3 +55,13 @@ def test_shared_steps_are_computed_once(spark, monkeypatch):
     for name, chain in chains.items():
         want = registry.run(Raster(px, "R32F"), *chain).pixels
         assert sorted(map(tuple, got[name].pixels.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_info(spark):
+    from pixelquilt.operators.display import info
+
+    px = spark.range(800).selectExpr("1L as image_id", "cast(id % 40 as int) as x", "cast(id div 40 as int) as y", "40 as w", "20 as h", "if(id < 80, 0d, 255d) as c0")
+    px = px.withColumns({"c1": F.col("c0"), "c2": F.col("c0"), "c3": F.lit(255.0)})
+    got = info(Raster(px, "RGBA8")).first()
+    assert tuple(got) == (1, "40 x 20  (0.0 MP)", "RGBA8   0.0 MB", "mean 229.5   median 255.0   stddev 76.5", "clipped: 10.0% black, 90.0% white", None)
+    assert info(Raster(px.where("x < 0"), "RGBA8")).count() == 0
