@@ -109,8 +109,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _op10_sql() -> str:
-    """The template tree level by level, then the merging level by level."""
-    u = url_filters
+    """The template tree level by level, then all pairs of a node's branches and its clusters one by one; four levels, as the pages need."""
     own = [
         r"""u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -120,45 +119,55 @@ def _op10_sql() -> str:
     FROM pages JOIN labels ON TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) = doc_id GROUP BY page_id) ON pid = page_id
 ), r0 AS (SELECT row_number() OVER () AS rid, page_id, host, path, good, string_split(substr(path, 2), '/') AS segs, '' AS t FROM u)"""
     ]
-    for i in range(1, u.DEPTH + 1):
+    for i in (1, 2, 3, 4):
         own.append(
             rf"""s{i} AS (SELECT *, segs[{i}] AS seg, CASE WHEN segs[{i}] IS NULL THEN NULL WHEN regexp_matches(segs[{i}], '^[0-9]+$') THEN '<n>'
   WHEN regexp_matches(segs[{i}], '^[0-9]+[.][A-Za-z0-9]+$') THEN '<n.>' WHEN regexp_matches(segs[{i}], '[0-9]') THEN '<mixed>' ELSE '<word>' END AS shape FROM r{i - 1}),
 v{i} AS (SELECT host, t FROM s{i} WHERE seg IS NOT NULL AND shape NOT IN ('<n>', '<n.>') GROUP BY host, t
-  HAVING count(DISTINCT seg) > {u.MANY} OR count(DISTINCT seg) >= {u.SOME} AND 4 * count(DISTINCT seg) > count(*)),
-r{i} AS (SELECT rid, page_id, host, path, good, segs, s.t || CASE WHEN seg IS NULL THEN '' WHEN shape IN ('<n>', '<n.>') OR v.t IS NOT NULL THEN '/' || shape ELSE '/' || seg END AS t
+  HAVING count(DISTINCT seg) > 64 OR count(DISTINCT seg) >= 8 AND 4 * count(DISTINCT seg) > count(*)),
+r{i} AS MATERIALIZED (SELECT rid, page_id, host, path, good, segs, s.t || CASE WHEN seg IS NULL THEN '' WHEN shape IN ('<n>', '<n.>') OR v.t IS NOT NULL THEN '/' || shape ELSE '/' || seg END AS t
   FROM s{i} s LEFT JOIN v{i} v USING (host, t))"""
         )
-    n = u.DEPTH
     own.append(
-        f"""r AS (SELECT rid, page_id, host, path, good, t || CASE WHEN len(segs) > {n} THEN '/<deep>' ELSE '' END AS template FROM r{n}),
-m{n + 1} AS (SELECT host, template, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, string_split(substr(template, 2), '/') AS t FROM r GROUP BY host, template)"""
+        """r AS (SELECT rid, page_id, host, path, good, t AS template FROM r4),
+m5 AS (SELECT host, template, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, string_split(substr(template, 2), '/') AS t FROM r GROUP BY host, template)"""
     )
-    for d in range(n, 0, -1):
+    for d in (4, 3, 2, 1):
         own.append(
-            f"""b{d} AS (SELECT *, array_to_string(t[1:{d - 1}], '/') AS prefix, CASE WHEN t[{d}] NOT LIKE '<%' THEN t[{d}] END AS b,
-  CASE WHEN len(t) > {d} THEN array_to_string(t[{d + 1}:], '/') ELSE chr(1) END AS child FROM m{d + 1}),
+            f"""b{d} AS MATERIALIZED (SELECT *, array_to_string(t[1:{d - 1}], '/') AS prefix, CASE WHEN t[{d}] NOT LIKE '<%' THEN t[{d}] END AS b,
+  CASE WHEN len(t) <= {d} THEN chr(1) WHEN t[{d + 1}] LIKE '{{%}}' THEN '{{*}}' ELSE t[{d + 1}] END AS nx FROM m{d + 1}),
 g{d} AS (SELECT host, prefix, b, sum(n) AS nb, CASE WHEN sum(good) + sum(bad) = 0 THEN 'none' WHEN sum(good) >= sum(bad) THEN 'good' ELSE 'bad' END AS lean
   FROM b{d} WHERE b IS NOT NULL GROUP BY host, prefix, b),
-p{d} AS (SELECT host, prefix, lean, sum(nb) AS pool FROM g{d} GROUP BY ALL HAVING count(*) > 1),
-l{d} AS (SELECT host, prefix, b, lean, child, nb, sum(n) AS nc FROM b{d} JOIN g{d} USING (host, prefix, b) GROUP BY ALL),
-c{d} AS (SELECT host, prefix, lean, child, sum(nc) AS pc FROM l{d} GROUP BY ALL),
-a{d} AS (SELECT host, prefix, b, true AS alike FROM l{d} JOIN c{d} USING (host, prefix, lean, child) JOIN p{d} USING (host, prefix, lean)
-  GROUP BY host, prefix, b HAVING sum(greatest(0.0, CAST(nc AS DOUBLE) / nb - CAST(pc AS DOUBLE) / pool)) <= {u.TOLERANCE} + 1 / sqrt(any_value(nb))),
-m{d} AS (SELECT host, template, n, good, bad, CASE WHEN alike THEN list_concat(t[1:{d - 1}], ['{u.ANY}'], t[{d + 1}:]) ELSE t END AS t FROM b{d} LEFT JOIN a{d} USING (host, prefix, b))"""
+k{d} AS (SELECT host, prefix, b, lean, nb, nx, CAST(sum(n) AS DOUBLE) AS c, count(*) OVER (PARTITION BY host, prefix, b) AS kinds FROM b{d} JOIN g{d} USING (host, prefix, b) GROUP BY host, prefix, b, lean, nb, nx),
+p{d} AS (SELECT x.host, x.prefix, x.b AS early, y.b AS late, x.nb AS m, y.nb AS n, x.kinds + y.kinds - count(*) - 1 AS free,
+    sum((y.nb * x.c - x.nb * y.c) ^ 2 / (x.c + y.c)) AS shared, sum(x.c) AS xc, sum(y.c) AS yc, sum(least(x.c / x.nb, y.c / y.nb)) AS common
+  FROM k{d} x JOIN k{d} y ON x.host = y.host AND x.prefix = y.prefix AND x.lean = y.lean AND x.nx = y.nx AND (x.nb > y.nb OR x.nb = y.nb AND x.b < y.b) GROUP BY x.host, x.prefix, x.b, y.b, x.nb, y.nb, x.kinds, y.kinds),
+q{d} AS (SELECT host, prefix, late AS b, list(early) AS alike FROM p{d}
+  WHERE common >= 0.5 - 1e-9 AND (shared + CAST(n AS DOUBLE) ^ 2 * (m - xc) + CAST(m AS DOUBLE) ^ 2 * (n - yc)) / m / n <= free + 3 * sqrt(2 * free) + 0.04 * m * n / (m + n) + 1e-9 GROUP BY ALL),
+o{d} AS MATERIALIZED (SELECT host, prefix, b, coalesce(alike, []) AS alike, row_number() OVER (PARTITION BY host, prefix ORDER BY nb DESC, b) AS rk FROM g{d} LEFT JOIN q{d} USING (host, prefix, b)),
+z{d} AS (SELECT host, prefix, rk, b, b AS lead, [b] AS leaders FROM o{d} WHERE rk = 1
+  UNION ALL SELECT host, prefix, rk, b, coalesce(l, b), CASE WHEN l IS NULL THEN list_append(leaders, b) ELSE leaders END
+  FROM (SELECT o.host, o.prefix, o.rk, o.b, z.leaders, list_filter(z.leaders, lambda v: list_contains(o.alike, v))[1] AS l
+        FROM z{d} z JOIN o{d} o ON o.host = z.host AND o.prefix = z.prefix AND o.rk = z.rk + 1)),
+a{d} AS (SELECT host, prefix, b, lead FROM z{d} QUALIFY count(*) OVER (PARTITION BY host, prefix, lead) > 1),
+m{d} AS (SELECT host, template, n, good, bad, CASE WHEN lead IS NOT NULL THEN list_concat(t[1:{d - 1}], ['{{' || lead || '}}'], t[{d + 1}:]) ELSE t END AS t FROM b{d} LEFT JOIN a{d} USING (host, prefix, b))"""
         )
-    cases = [(f"host = '{r.host}' OR host LIKE '%.{r.host}'", r) for r in sorted(u.RULES, key=lambda r: (-len(r.name), r.name))]
-    when = lambda x: "CASE " + " ".join(f"WHEN ({fits}) AND starts_with(path, '{r.path}') THEN '{x(r)}'" for fits, r in cases) + " END"
+    rule = """CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END"""
     own.append(
         f"""f AS (SELECT *, '/' || array_to_string(t, '/') AS into_ FROM m1),
 tot AS (SELECT coalesce(sum(good), 0) AS ag, coalesce(sum(bad), 0) AS ab FROM f),
 z AS (SELECT host, into_, CAST(sum(good) AS BIGINT) AS n_good, CAST(sum(bad) AS BIGINT) AS n_bad FROM f GROUP BY ALL),
-w AS (SELECT *, (1000 * n_good + {u.PRIOR_WEIGHT} * CASE WHEN ag + ab = 0 THEN 1000 ELSE 1000 * ag // (ag + ab) END) // (n_good + n_bad + {u.PRIOR_WEIGHT}) AS purity FROM z, tot)
-SELECT page_id, host, path, {when(lambda r: r.name)} AS rule,
-       coalesce({when(lambda r: r.verdict)}, CASE WHEN purity < {u.LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, into_ AS template, n_good, n_bad
-FROM r JOIN f USING (host, template) JOIN w USING (host, into_)"""
+w AS (SELECT *, (1000 * n_good + 10 * CASE WHEN ag + ab = 0 THEN 1000 ELSE 1000 * ag // (ag + ab) END) // (n_good + n_bad + 10) AS purity FROM z, tot),
+j AS (SELECT page_id, host, path, {rule} AS rule, purity, into_, n_good, n_bad FROM r JOIN f USING (host, template) JOIN w USING (host, into_))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR purity < 500 THEN 'block' ELSE 'allow' END AS verdict,
+       into_ AS template, n_good, n_bad
+FROM j"""
     )
-    return "WITH " + ",\n".join(own)
+    return "WITH RECURSIVE " + ",\n".join(own)
 
 
 def _op11_sql() -> str:

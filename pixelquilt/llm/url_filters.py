@@ -1,14 +1,18 @@
 """URL filters: listed rules first, then the purity of a URL's path template.
 
 Per host, paths form a tree of segments, as deep as the longest path.  Number segments, and all segments of a node that has
-too many different ones, become wildcards.  Then branches of one node whose children are spread
-alike (within sampling error of what the branches like it have together), and whose labels lean
-the same way, are merged.  A template's purity is its share of good labels, smoothed with the
-share of all labels; below ``LEAST_PURITY`` its URLs are blocked.
+too many different ones, become wildcards.  Then, deepest nodes first, the branches of a node are
+clustered: from the largest to the smallest, each joins the first cluster whose leader has labels
+that lean the same way and next segments that a two-sample test can't tell from its own, or leads
+a new one.  A cluster of several is named after its leader, ``{leader}``.  A template's purity is
+its share of good labels, smoothed with the share of all labels; below ``LEAST_PURITY`` its URLs
+are blocked.
 
 Everything is joins and sums by (host, template): a host that has a third of all URLs is summed
 up before each shuffle, and only the skewed joins of rows with their tree nodes see it, which
-Spark splits.
+Spark splits.  A node has at most ``MANY`` named branches, and a branch about as many different
+next segments, as more would have made them wildcards: the clustering of a node, one expression
+over its counts, is bounded whatever the number of its URLs.
 """
 
 from __future__ import annotations
@@ -21,15 +25,13 @@ from pyspark.sql import functions as F
 
 from pixelquilt.llm.common import lower_ascii, materialize, quoted
 
-#: Levels that the SQL expands; the tree itself has no limit.
-DEPTH = 4
 #: A node with MANY different segments, or with SOME that hold more than a quarter of its URLs, is variable.
 MANY, SOME = 64, 8
-#: Share by which a branch's children may differ from the others', besides sampling error.
-TOLERANCE = 0.1
+#: The divergence that two branches may have besides sampling error (0.04: half and half against 0.6 and 0.4), and the
+#: least share of their next segments that must be common, so that a few URLs that have nothing in common don't pass.
+EFFECT, COMMON = 0.04, 0.5
 #: Weight of the prior in labels, and the purity below which a template is rejected, in per mille.
 PRIOR_WEIGHT, LEAST_PURITY = 10, 500
-ANY = "{*}"
 
 
 @dataclass(frozen=True)
@@ -118,26 +120,50 @@ def _branching(stats: DataFrame) -> list[int]:
     return sorted((r.at + 1 for r in node.where("lo < hi").select("at").distinct().collect()), reverse=True)
 
 
+#: A branch (b, lean, n URLs) with its URLs by next segment; ``lead`` names its cluster.
+_BRANCH = "struct<b: string, lead: string, lean: string, n: bigint, nexts: map<string, bigint>>"
+
+
+def _same_law(x: str, y: str) -> str:
+    """The two-sample chi-square test of the next segments of branches x and y, and their common share."""
+    a, b = f"coalesce(try_element_at({x}.nexts, k), 0)", f"coalesce(try_element_at({y}.nexts, k), 0)"
+    keys = f"array_union(map_keys({x}.nexts), map_keys({y}.nexts))"
+    over = lambda term: f"aggregate({keys}, cast(0 as double), (s, k) -> s + {term})"
+    free = f"(size({keys}) - 1)"
+    apart = over(f"pow({y}.n * cast({a} as double) - {x}.n * cast({b} as double), 2) / ({a} + {b})") + f" / {x}.n / {y}.n"
+    most = f"{free} + 3 * sqrt(2 * {free}) + {EFFECT} * {x}.n * cast({y}.n as double) / ({x}.n + {y}.n)"
+    common = over(f"least({a} / cast({x}.n as double), {b} / cast({y}.n as double))")
+    return f"({apart} <= {most} + 1e-9 and {common} >= {COMMON} - 1e-9)"
+
+
+def _clusters(leaves: DataFrame) -> DataFrame:
+    """(host, prefix, b, lead) of the branches that share a cluster; leaves: (host, prefix, b, next, nc, g, k)."""
+    node = ["host", "prefix"]
+    nexts = F.map_from_entries(F.sort_array(F.collect_list(F.struct("next", "nc"))))
+    branches = leaves.groupBy(*node, "b").agg(F.sum("nc").alias("n"), F.sum("g").alias("g"), F.sum("k").alias("k"), nexts.alias("nexts"))
+    lean = F.expr("case when g + k = 0 then 'none' when g >= k then 'good' else 'bad' end")
+    branches = branches.select(*node, F.struct("b", F.col("b").alias("lead"), lean.alias("lean"), "n", "nexts").cast(_BRANCH).alias("x"))
+    nodes = branches.groupBy(*node).agg(F.collect_list("x").alias("xs")).where("size(xs) > 1")
+    first = "case when l.n <> r.n then if(l.n > r.n, -1, 1) when l.b < r.b then -1 else 1 end"
+    leader = f"get(filter(done, y -> y.b = y.lead and y.lean = x.lean and {_same_law('y', 'x')}), 0).b"
+    led = f"named_struct('b', x.b, 'lead', coalesce({leader}, x.b), 'lean', x.lean, 'n', x.n, 'nexts', x.nexts)"
+    grown = f"cast(concat(done, array({led})) as array<{_BRANCH}>)"
+    nodes = nodes.withColumn("xs", F.expr(f"aggregate(array_sort(xs, (l, r) -> {first}), cast(array() as array<{_BRANCH}>), (done, x) -> {grown})"))
+    members = nodes.select(*node, F.explode(F.expr("filter(xs, x -> size(filter(xs, y -> y.lead = x.lead)) > 1)")).alias("x"))
+    return members.select(*node, "x.b", "x.lead")
+
+
 def merged(stats: DataFrame) -> DataFrame:
-    """(host, template, into): stats (host, template, n, good, bad) with similar branches merged."""
+    """(host, template, into, n, good, bad): stats (host, template, n, good, bad) with similar branches merged."""
     rows = stats.withColumn("t", F.split(F.expr("substring(template, 2)"), "/"))
     for d in _branching(stats):
         seg = f"get(t, {d - 1})"
         rows = rows.withColumn("prefix", F.expr(f"array_join(slice(t, 1, {d - 1}), '/')")).withColumn("b", F.expr(f"case when {seg} not like '<%' then {seg} end"))
-        rows = materialize(rows.withColumn("child", F.expr(f"case when size(t) > {d} then array_join(slice(t, {d + 1}, size(t)), '/') end")), "url-branches")
-        known = rows.where("b is not null")
-        node = ["host", "prefix"]
-        branches = known.groupBy(*node, "b").agg(F.sum("n").alias("nb"), F.sum("good").alias("g"), F.sum("bad").alias("k"))
-        branches = branches.withColumn("lean", F.expr("case when g + k = 0 then 'none' when g >= k then 'good' else 'bad' end")).drop("g", "k")
-        leaves = known.groupBy(*node, "b", F.coalesce("child", F.lit("\0")).alias("child")).agg(F.sum("n").alias("nc")).join(branches, [*node, "b"])
-        pools = branches.groupBy(*node, "lean").agg(F.sum("nb").alias("pool"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        shares = leaves.groupBy(*node, "lean", "child").agg(F.sum("nc").alias("pc"))
-        apart = leaves.join(shares, [*node, "lean", "child"]).join(pools, [*node, "lean"])
-        over = F.expr("greatest(cast(0 as double), cast(nc as double) / nb - cast(pc as double) / pool)")
-        alike = apart.groupBy(*node, "b").agg(F.sum(over).alias("distance"), F.first("nb").alias("nb"))
-        alike = alike.where(f"distance <= {TOLERANCE} + 1 / sqrt(nb)").select(*node, "b", F.lit(True).alias("alike"))
-        rows = rows.join(alike, [*node, "b"], "left")
-        rows = rows.withColumn("t", F.expr(f"case when alike then transform(t, (x, i) -> if(i = {d - 1}, '{ANY}', x)) else t end")).drop("alike", "prefix", "b", "child")
+        #: Segments below are clusters already, named after other leaders under each branch: all count as one here.
+        rows = materialize(rows.withColumn("next", F.expr(f"case when size(t) <= {d} then chr(1) when get(t, {d}) like '{{%}}' then '{{*}}' else get(t, {d}) end")), "url-branches")
+        leaves = rows.where("b is not null").groupBy("host", "prefix", "b", "next").agg(F.sum("n").alias("nc"), F.sum("good").alias("g"), F.sum("bad").alias("k"))
+        rows = rows.join(_clusters(leaves), ["host", "prefix", "b"], "left")
+        rows = rows.withColumn("t", F.expr(f"case when lead is not null then transform(t, (x, i) -> if(i = {d - 1}, concat('{{', lead, '}}'), x)) else t end")).drop("lead", "prefix", "b", "next")
     return rows.select("host", "template", F.concat(F.lit("/"), F.array_join("t", "/")).alias("into"), "n", "good", "bad")
 
 
@@ -147,7 +173,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[Rule,
     labels: (page_id, good boolean), a row for each labelled page; of several, one bad label
     makes a page bad; null labels and ids are left out.  A null url, or one without ``://``, has
     empty host and path and the template '/'.  Templates without labels have the prior's purity.
-    Repeated rows count each; further columns are left out; an empty table gives an empty one.
+    A path may have any length; branches of equal size are taken by name.  Repeated rows count each; further columns are left out; an empty table gives an empty one.
     """
     rows = pages.select(F.col(quoted(page_id)).alias("page_id"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"))
     if labels is None:

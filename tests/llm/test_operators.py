@@ -431,7 +431,7 @@ def test_url_rules_and_purity(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
     assert {r.template for r in got} == {"/spam/<mixed>/<n>", "/good/<mixed>/<n>"}
     pages = spark.createDataFrame([(i, f"http://h.org/{'abc'[i % 3]}/item-{i}x/{i}") for i in range(300)], "page_id long, url string")
-    assert {r.template for r in url_filters.judge(pages).collect()} == {"/{*}/<mixed>/<n>"}
+    assert {r.template for r in url_filters.judge(pages).collect()} == {"/{a}/<mixed>/<n>"}
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
@@ -445,7 +445,72 @@ def test_url_templates_go_to_the_last_segment(spark):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(120))
     assert got[0].template == "/blog/<n>/<n>/<n>/report/<n>" and got[1].template == "/blog/<n>/<n>/<n>/spam-offer/a/<n>"
     assert {got[1000 + i].template for i in range(12)} == {"/x/y/z/u/v/w/<word>"} and got[2000].template == "/p/q/r/s/<n>/t/u/<n.>"
-    assert {got[3000 + i].template for i in range(80)} == {"/<n>/<n>/<n>/<n>/<n>/{*}/{*}"}
+    assert {got[3000 + i].template for i in range(80)} == {"/<n>/<n>/<n>/<n>/<n>/{a}/{c}"}
+
+
+def plain_clusters(branches):
+    """{b: leader} of one node's branches {b: (lean, Counter of next segments)}, from the definition."""
+    lead = {}
+    for b in sorted(branches, key=lambda b: (-sum(branches[b][1].values()), b)):
+        lean, own = branches[b]
+        n, lead[b] = sum(own.values()), b
+        for first in [x for x in lead if lead[x] == x and x != b]:
+            other = branches[first][1]
+            m, keys = sum(other.values()), own.keys() | other.keys()
+            x2 = sum((m * own[k] - n * other[k]) ** 2 / (own[k] + other[k]) for k in keys) / m / n
+            free = len(keys) - 1
+            near = x2 <= free + 3 * math.sqrt(2 * free) + 0.04 * m * n / (m + n) and sum(min(own[k] / n, other[k] / m) for k in keys) >= 0.5
+            if near and branches[first][0] == lean:
+                lead[b] = first
+                break
+    return lead
+
+
+def test_url_branches_merge_with_their_like_alone(spark):
+    """Two pairs of twins under one node merge as two pairs, whatever else stands there; other leanings and few URLs stay apart."""
+    urls = [f"http://h.org/{b}/{x}/{i}" for b, x in [("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")] for i in range(100)]
+    urls += [f"http://h.org/e/{'xy'[i % 2]}/{i}" for i in range(100)] + ["http://h.org/f/z/1", "http://h.org/g/w/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {re.sub("[0-9]+$", "", u): r.template for u, r in zip(urls, url_filters.judge(pages).orderBy("page_id").collect())}
+    assert got["http://h.org/a/x/"] == got["http://h.org/b/x/"] == "/{a}/x/<n>" and got["http://h.org/c/y/"] == got["http://h.org/d/y/"] == "/{c}/y/<n>"
+    assert got["http://h.org/f/z/"] == "/f/z/<n>" and got["http://h.org/g/w/"] == "/g/w/<n>"
+    assert len({got["http://h.org/e/x/"], got["http://h.org/e/y/"]} & {"/{a}/x/<n>", "/{c}/y/<n>"}) == 0
+    labels = spark.createDataFrame([(i, i < 100 or i >= 300) for i in range(400)], "page_id long, good boolean")
+    got = {r.page_id: (r.template, r.verdict) for r in url_filters.judge(pages, labels).collect()}
+    assert got[0][0] == "/a/x/<n>" and got[100] == ("/b/x/<n>", "block") and got[200] == ("/c/y/<n>", "block") and got[300] == ("/d/y/<n>", "allow")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_clusters_of_random_trees_against_their_definition(spark, seed):
+    rnd = random.Random(seed)
+    kinds = [[rnd.random() ** 3 for _ in range(4)] for _ in range(3)]
+    paths = Counter()
+    for _ in range(3000):
+        host, depth = rnd.choice("hhk"), rnd.choice([2, 3, 5, 6])
+        path = []
+        for at in range(depth):
+            path.append(rnd.choices("abcd", kinds[(ord(path[-1][0]) if path else 0) % 3])[0] + "xyzuvw"[at])
+        paths[host, "/" + "/".join(path)] += rnd.choice([1, 1, 1, 30])
+    rows = [(h, p, n, rnd.choice([0, n]), 0) for (h, p), n in sorted(paths.items())]
+    rows = [(h, p, n, g, n - g) for h, p, n, g, _ in rows]
+    want = {(h, p): p[1:].split("/") for h, p, *_ in rows}
+    for d in range(6, 0, -1):
+        nodes = {}
+        for h, p, n, g, k in rows:
+            t = want[h, p]
+            if len(t) >= d:
+                node = nodes.setdefault((h, *t[: d - 1]), {}).setdefault(t[d - 1], [0, 0, Counter()])
+                node[0], node[1] = node[0] + g, node[1] + k
+                node[2]["" if len(t) == d else "{*}" if t[d][0] == "{" else t[d]] += n
+        for node, branches in nodes.items():
+            lead = plain_clusters({b: (g >= k, c) for b, (g, k, c) in branches.items()})
+            several = {x for x, n in Counter(lead.values()).items() if n > 1}
+            for h, p, *_ in rows:
+                t = want[h, p]
+                if len(t) >= d and (h, *t[: d - 1]) == node and lead[t[d - 1]] in several:
+                    t[d - 1] = "{" + lead[t[d - 1]] + "}"
+    got = {(r.host, r.template): r.into for r in url_filters.merged(spark.createDataFrame(rows, "host string, template string, n long, good long, bad long")).collect()}
+    assert got == {k: "/" + "/".join(t) for k, t in want.items()} and any("{" in x for x in got.values())
 
 
 def test_the_pipeline_on_its_own_documents(spark, docs, tmp_path):
