@@ -5,9 +5,9 @@ empty line pair that ends a WARC record, so archives land in any store Spark wri
 equal payloads one record carries it (response), the others point there (revisit).
 
 Index: every archive gives one run of captures, sorted by URL key and time.  Runs are cut at
-common split points; a task gets the pieces of one key range from all runs and merges them
-with a loser tree.  The whole key (URL key, time, page) sets the split points, so the captures
-of one URL may spread over many ranges.
+common split points into sorted pieces; a task gets the pieces of one key range from all runs
+and merges them with a loser tree.  The whole key (URL key, time, page, archive, offset) sets
+the split points, so the captures of one URL may spread over many ranges.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from pixelquilt.llm.common import lower_ascii, materialize, scratch_root
 
 #: Most records of one archive, which one task reads back at once.
 ARCHIVE_RECORDS = 20_000
+#: Captures of one key range, which one task merges; and captures a range in the sample that sets the split points.
+RANGE_ROWS, SAMPLES = 100_000, 32
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 
@@ -140,7 +143,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     got = files.mapInArrow(work, "page_id long, url string, captured string, offset long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string")
     got = got.withColumn("url_key", url_key(F.col("url")))
-    return got.select(*names).sortWithinPartitions("run", "url_key", "captured", "page_id")
+    return got.select(*names).sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first(), "offset")
 
 
 class LoserTree:
@@ -177,29 +180,83 @@ class LoserTree:
             self.tree[0] = w
 
 
+_KEY = ("url_key", "captured", "page_id", "run", "offset")
+
+
+def _order(url_key: str, captured: str, page: int | None, run: str, offset: int) -> tuple:
+    """The place of a capture: null ids before all others, equal captures by archive and offset."""
+    return (url_key, captured, page is not None, page or 0, run, offset)
+
+
+def _split_points(captures: DataFrame, parts: int, rows: int) -> list[tuple]:
+    """``parts`` - 1 places that cut the captures into even ranges, from a sample of about ``SAMPLES`` a range."""
+    share = parts * SAMPLES / max(1, rows)
+    sample = captures.select(*_KEY) if share >= 1 else captures.select(*_KEY).sample(share, seed=0)
+    places = sorted(_order(*r) for r in sample.collect())
+    return [places[len(places) * i // parts] for i in range(1, parts)] if places else []
+
+
+def _pieces(captures: DataFrame, splits: list[tuple]) -> DataFrame:
+    """(part, piece): every sorted stretch of captures, cut at the split points and packed as one Arrow value."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [_order(*r) for r in zip(*(batch.column(c).to_pylist() for c in _KEY))]
+            parts, out, begin = [], [], 0
+            while begin < len(places):
+                end = begin + 1
+                while end < len(places) and places[end][4] == places[begin][4] and places[end - 1] < places[end]:
+                    end += 1
+                while begin < end:
+                    part = bisect_right(splits, places[begin])
+                    stop = bisect_left(places, splits[part], begin, end) if part < len(splits) else end
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as writer:
+                        writer.write_batch(batch.slice(begin, stop - begin))
+                    parts.append(part)
+                    out.append(sink.getvalue().to_pybytes())
+                    begin = stop
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "piece"])
+
+    return captures.mapInArrow(work, "part int, piece binary")
+
+
 def merge_index(captures: DataFrame, parts: int | None = None) -> DataFrame:
     """Captures in global order of (URL key, time, page), partition after partition.
 
-    The rows of a key range arrive by run, each run's rows in its order, and are merged as
-    columns of indices; a task holds one range, whose size the number of parts bounds.  Null ids
-    come before all others; equal keys go by run.
+    ``captures`` are runs in their own order, as ``read`` gives them.  Each run is cut at common
+    split points and travels to the ranges in sorted pieces; a range's task merges its pieces
+    with a loser tree and sorts nothing.  Rows that aren't in order only make more pieces.  A
+    task holds one range, of about ``RANGE_ROWS`` captures however many there are: split points
+    go down to archive and offset, so repeated captures are cut as well.  Null ids come before
+    all others; equal captures go by archive and offset.
     """
-    spark = captures.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = captures.repartitionByRange(parts, "url_key", "captured", F.col("page_id").asc_nulls_first())
-    by_run = ranged.sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first())
+    rows = captures.count()
+    parts = parts or max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    pieces = _pieces(captures, _split_points(captures, parts, rows)).repartitionById(parts, "part")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        held = []
+        for batch in batches:
+            for piece in batch.column("piece"):
+                table = pa.ipc.open_stream(piece.as_py()).read_all()
+                held.append((table["run"][0].as_py(), [_order(*r) for r in zip(*(table[c].to_pylist() for c in _KEY))], table))
+        if not held:
             return
-        keys, times, pages, run = (table[c].to_pylist() for c in ("url_key", "captured", "page_id", "run"))
-        cuts = [0, *(i for i in range(1, len(run)) if run[i] != run[i - 1]), len(run)]
-        order = LoserTree([iter(range(a, b)) for a, b in zip(cuts, cuts[1:])], lambda i: (keys[i], times[i], pages[i] is not None, pages[i] or 0))
-        merged = table.take(pa.array(np.fromiter(order, dtype=np.int64, count=len(run))))
-        yield from merged.to_batches(max_chunksize=10_000)
-
-    return by_run.mapInArrow(work, captures.schema)
+        held.sort(key=lambda h: (h[0], h[1][0]))
+        places, cuts = [], []
+        for run, own, _ in held:
+            if not places or places[-1][4] != run or places[-1] > own[0]:
+                cuts.append(len(places))
+            places += own
+        table = pa.concat_tables([t for _, _, t in held])
+        held.clear()
+        runs = [iter(range(a, b)) for a, b in zip(cuts, [*cuts[1:], len(places)])]
+        order = LoserTree(runs, places.__getitem__)
+        merged = table.take(pa.array(np.fromiter(order, dtype=np.int64, count=len(places))))
+        yield from merged.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return pieces.mapInArrow(work, captures.schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -400,6 +400,27 @@ def test_warc_round_trip_and_order(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("runs, parts", [(1, 3), (7, 4), (40, 1)])
+def test_index_of_sorted_runs_with_ties_and_a_hot_url(spark, runs, parts, monkeypatch):
+    """Runs in order, one with its order broken, a URL of a third of all captures, repeated captures and null ids."""
+    monkeypatch.setattr(warc, "SAMPLES", 5)
+    rnd = random.Random(runs)
+    rows = []
+    for i in range(2000):
+        url = "org,hot)/" if i % 3 == 0 else f"org,{rnd.randint(0, 50)})/é{rnd.randint(0, 9)}"
+        page = None if i % 41 == 0 else rnd.randint(0, 300)
+        rows.append((page, url, f"2024-01-{rnd.randint(1, 9):02d}", f"part-{rnd.randrange(runs)}", i, 1, "D", "response", None))
+    key = lambda r: (r[1], r[2], r[0] is not None, r[0] or 0, r[3], r[4])
+    sorted_runs = sorted(rows, key=lambda r: (r[3], key(r)))
+    sorted_runs[3:9] = reversed(sorted_runs[3:9])
+    out = warc.merge_index(spark.createDataFrame(sorted_runs, warc._CAPTURE).coalesce(2), parts)
+    got = [tuple(r) for r in out.collect()]
+    assert got == sorted(rows, key=key) and out.rdd.getNumPartitions() == parts
+    sizes = [n for n in out.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()]
+    assert max(sizes) < 2 * 2000 / parts + 1
+    assert warc.merge_index(spark.createDataFrame([], warc._CAPTURE)).count() == 0
+
+
 def test_loser_tree():
     rnd = random.Random(6)
     for k in (0, 1, 2, 3, 7):
