@@ -297,6 +297,31 @@ def test_base_scores_of_the_model(spark, docs, none):
     assert lm_score.score(none).count() == 0
 
 
+@pytest.mark.parametrize("bits", [lm_score.BITS_AN_ENTRY, 4096])
+def test_scores_against_counted_bigrams(spark, docs, monkeypatch, bits):
+    """With room for no false probe the filter's scores are those of counted bigrams; with the usual room errors only raise them, and little."""
+    monkeypatch.setattr(lm_score, "BITS_AN_ENTRY", bits)
+    own = [(i, t) for i, t in enumerate(texts())] + [(None, "no id here at all")]
+    own = [(i, [*WORD.findall(lower(t or "")), "\0end"]) for i, t in own]
+    train = [ws for i, ws in own if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    words = Counter(w for ws in train for w in ws)
+    pairs = Counter(p for ws in train for p in zip(["\0start", *ws], ws))
+    n, v = sum(words.values()), len(words)
+
+    def log_p(before, w):
+        unigram = (words[w] + 0.1) / (n + 0.1 * (v + 1))
+        c, seen = pairs[before, w], len(train) if before == "\0start" else words[before]
+        level = c.bit_length()
+        middle = 0 if c == 0 else 1 if c == 1 else 2 ** (level - 0.585)
+        return math.log10(0.6 * min(1, middle / seen if seen else 0) + 0.4 * unigram)
+
+    got = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    want = {i: sum(log_p(*p) for p in zip(["\0start", *ws], ws)) for i, ws in own}
+    tokens = sum(len(ws) for _, ws in own)
+    assert got.keys() == want.keys() and all(got[i] >= want[i] - 1e-9 * abs(want[i]) for i in want)
+    assert sum(got[i] - want[i] for i in want) < (0.1 * tokens if bits < 4096 else 1e-6)
+
+
 def test_the_model_prefers_word_order_it_has_seen(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(60)]
@@ -330,6 +355,23 @@ def test_licenses(spark, none):
     assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] and a[2] > b[2] for a in spans for b in spans)
 
 
+def test_base_license_phrases_of_random_texts_against_every_place(spark):
+    rnd = random.Random(8)
+    parts = ["mit", "MIT", "license", "License", "licenses", "apache", "general", "public", "GENERAL Public License", "mit license", "mitlicense", "é", "mité", "0", "_", "\x00", "\u2028", "license\u00a0mit"]
+    rows = ["".join(rnd.choice(parts) + rnd.choice([" ", "\n * ", "-", "", ", ", "  "]) for _ in range(rnd.choice([0, 3, 30, 300]))) for _ in range(120)]
+    rows += [rows[7], "general public license " * 20000, None]
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(rows[r.doc_id] or ""))
+        places = [(i, label) for i in range(len(ws)) for phrase, label in phrases.items() if tuple(ws[i : i + len(phrase)]) == phrase]
+        labels = {label for _, label in places}
+        want = (len(ws), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(labels)))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want, rows[r.doc_id]
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score >= 0.6 or not labels)
+
+
 def test_license_keywords_let_every_match_through():
     scanner = licenses.Scanner()
     rows = ["distributed under the gnu gpl.", "released under cc0", "all rights\n * reserved", "all  rights  reserved", "the public\n// domain", "creative  commons zero", "boost software\n# license", "gnu free  documentation license 1.2", "do what the fuck you want to public license", "\u201cmpl-2.0\u201d", "all\u00a0rights\u00a0reserved", "the gnu lgpl", "gnu agpl", "xspdx-license-identifier: mit", "the gnu lesser general\n *  public license, version 2.1", "nothing of the kind", ""]
