@@ -6,8 +6,11 @@ levels: of the first-level parts, more than ``spare`` see at most ``errors`` of
 elements; in each of them the subsets that leave out ``errors`` second-level parts are
 enumerated, and every subset's content is a signature.  So at least one signature of a similar
 pair is the same.  Sets near a band's lower end also sign for the next band, so every similar pair
-shares a signature in the band of its larger set.  A signature without elements is left out if
-no more than ``spare`` first-level parts have one.  Candidates of one signature whose sizes or
+shares a signature in the band of its larger set.  Signatures of few elements would be those of
+many sets that are not similar, and their number of pairs would grow with its square: a set leaves
+out all that have fewer than it can do without.  A set of its size and any similar one agree in so
+many first-level parts at least; it may have a weaker signature in one part less.  That holds for
+the stricter set of a pair as well, so a part stays that both sign.  Candidates of one signature whose sizes or
 parities of hashed elements differ too much are no pairs; the others are verified on the whole sets.
 
 Groups of equal sets are one node from the start.  In a signature's group every node is first
@@ -136,6 +139,11 @@ class Bands:
         """The most elements in which a similar pair differs whose larger set is in this band."""
         return 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
 
+    def agreeing(self, band: int, size: int) -> int:
+        """The first-level parts at least in which a set of this size agrees with a similar one, the larger of them in this band."""
+        p, largest = self.plan(band), min(self.high[band], size * self.den // self.num)
+        return p.first - (size + largest) * (self.den - self.num) // (self.den + self.num) // (p.errors + 1)
+
     def plan(self, band: int) -> Plan | None:
         """None where only equal sets are similar enough (those are one node)."""
         k = self.differing(band)
@@ -161,11 +169,12 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         at = np.concatenate([[0], np.searchsorted(s, _edges(p.first * p.second)), [len(s)]])
         subsets = p.subsets
         content = (sums[at[1:]] - sums[at[:-1]]).reshape(p.first, p.second)
-        filled = ((at[1:] - at[:-1]).reshape(p.first, p.second).astype(np.uint64) @ subsets.T) > 0
+        filled = (at[1:] - at[:-1]).reshape(p.first, p.second).astype(np.uint64) @ subsets.T
         sig = content @ subsets.T
         place = np.arange(p.count, dtype=np.uint64).reshape(p.first, -1)
         sig = mix64(sig + mix64(place + _U(band << 40)))
-        out.append(sig[filled] if int((~filled).any(axis=1).sum()) <= p.spare else sig.ravel())
+        least, agreeing = filled.min(axis=1), bands.agreeing(band, len(s))
+        out.append(sig[filled >= np.partition(least, agreeing - 1)[agreeing - 1]])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 

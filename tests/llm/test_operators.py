@@ -134,6 +134,35 @@ def test_partenum_plans_and_signatures_keep_every_similar_pair():
         assert p.first - k // (p.errors + 1) >= 1 + p.spare
 
 
+def test_partenum_sets_that_are_not_similar_share_no_weak_signature():
+    import numpy as np
+
+    rnd = np.random.default_rng(11)
+    fresh = lambda n: np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+    for num in (80, 85):
+        bands = partenum.Bands(num, 100)
+        for n in (400, 1323, 2100, 3300):
+            common = fresh(1)  # one frequent shingle, and else nothing in common
+            sigs = np.concatenate([np.unique(partenum.signatures(np.union1d(fresh(n), common), bands)) for _ in range(60)])
+            assert len(np.unique(sigs)) == len(sigs), (num, n)
+
+
+def test_partenum_signatures_keep_pairs_that_are_barely_similar():
+    import numpy as np
+
+    rnd = np.random.default_rng(12)
+    fresh = lambda n: rnd.integers(0, 2**64, n, dtype=np.uint64)
+    for num in (80, 85):
+        bands = partenum.Bands(num, 100)
+        for n in (6, 9, 20, 23, 45, 46, 70, 72, 112, 277, 432, 1323, 1654, 2067, 2584):
+            for m in sorted({n, min(n + 1, n * 100 // num), n * (100 + num) // (2 * num), n * 100 // num}):
+                both = -(-(n + m) * num // (100 + num))
+                for _ in range(4):
+                    shared = fresh(both)
+                    s, t = (np.sort(np.concatenate([shared, fresh(k - both)])) for k in (n, m))
+                    assert np.array_equal(s, t) or np.intersect1d(partenum.signatures(s, bands), partenum.signatures(t, bands)).size, (num, n, m)
+
+
 def test_ngram_join_where_rounds_end_early(spark, monkeypatch):
     monkeypatch.setattr(partenum, "ROUNDS", 0)
     monkeypatch.setattr(partenum, "FEW_IDS", 0)
