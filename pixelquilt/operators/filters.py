@@ -201,7 +201,7 @@ def anisotropic_diffusion(r: Raster, iterations: float, lambda_: float, k: float
     def fn(a: np.ndarray, pad: tuple) -> np.ndarray:
         inside = tuple(slice(p, size - q) for (p, q), size in zip(pad, a.shape))
         for _ in range(n):
-            b = np.pad(a, ((0, 0), (1, 1), (1, 1)), mode="edge")
+            b = np.pad(a, ((0, 0), (0, 0), (1, 1), (1, 1)), mode="edge")
             flow = 0.0
             for dx, dy in ((0, -1), (0, 1), (1, 0), (-1, 0)):
                 d = _shift(b, 1, dx, dy) - a

@@ -22,8 +22,8 @@ def _separable(r: Raster, weights: list[float], channels: list[str]) -> DataFram
     k = len(weights) // 2
 
     def fn(a: np.ndarray, pad: tuple) -> np.ndarray:
-        a = sum(g * a[:, :, i : a.shape[2] - 2 * k + i] for i, g in enumerate(weights))
-        return sum(g * a[:, i : a.shape[1] - 2 * k + i, :] for i, g in enumerate(weights))
+        a = sum(g * a[..., i : a.shape[-1] - 2 * k + i] for i, g in enumerate(weights))
+        return sum(g * a[..., i : a.shape[-2] - 2 * k + i, :] for i, g in enumerate(weights))
 
     return tiled(r.pixels, channels, k, fn)
 
@@ -47,7 +47,7 @@ def kuwahara(r: Raster, radius: float) -> Raster:
 
     def fn(a: np.ndarray, pad: tuple) -> np.ndarray:
         l = a[0] if len(a) == 1 else 0.299 * a[0] + 0.587 * a[1] + 0.114 * a[2]
-        h, w = a.shape[1] - 2 * k, a.shape[2] - 2 * k
+        h, w = a.shape[-2] - 2 * k, a.shape[-1] - 2 * k
         square = lambda v, x, y: sum(v[..., y + j : y + j + h, x + i : x + i + w] for j in range(k + 1) for i in range(k + 1)) / (k + 1) ** 2
         corners = [(0, 0), (k, 0), (0, k), (k, k)]
         calm = np.stack([np.round(np.maximum(0.0, square(l * l, *c) - square(l, *c) ** 2), digits) for c in corners])

@@ -103,6 +103,27 @@ def test_tiles_give_what_one_tile_gives(spark, monkeypatch):
         assert (grid(registry.get(n)(r, **p), image_id=1) == whole[n]).all()
 
 
+def test_small_tiles_are_computed_together_and_come_out_alike(spark, monkeypatch):
+    from pixelquilt.functions import neighbours
+
+    sizes = "case when image_id % 3 = 0 then 5 when image_id % 3 = 1 then 8 else 11 end"
+    px = spark.range(30).selectExpr("nullif(id, 29) as image_id", "explode(sequence(0, 10)) as x").selectExpr("*", "explode(sequence(0, 6)) as y")
+    px = px.selectExpr("image_id", "x", "y", f"coalesce({sizes}, 11) as w", "7 as h", "coalesce(image_id, 29) * 1000.0D + x * 10 + y as c0").where("x < w")
+    for tile, at_once in ((256, 1 << 16), (4, 300), (4, 1)):
+        monkeypatch.setattr(neighbours, "AT_ONCE", at_once)
+        calls = spark.sparkContext.accumulator(0)
+
+        def left(a, pad):
+            calls.add(1)
+            return a[..., 1:-1, :-2]
+
+        got = neighbours.tiled(px, ["c0"], 1, left, tile=tile).collect()
+        assert len(got) == px.count()
+        assert all(r.c0 == (29 if r.image_id is None else r.image_id) * 1000 + max(0, r.x - 1) * 10 + r.y for r in got)
+        calls_by = {(256, 1 << 16): lambda n: n < 30, (4, 300): lambda n: n < 150, (4, 1): lambda n: n >= 140}
+        assert calls_by[tile, at_once](calls.value), calls.value
+
+
 def test_box_blur_repeats_the_edge_value(spark):
     r = image(spark, 5, 1, "x * 10", fmt="R32F")
     assert grid(registry.get("box_blur")(r, radius=1))[0] == pytest.approx([10 / 3, 10, 20, 30, 110 / 3])
