@@ -25,9 +25,10 @@ def binned(r: Raster, value: Column | None = None) -> DataFrame:
 
 
 def _arrays(hist: DataFrame) -> DataFrame:
-    """(image_id, lo, hi, h): one array of 256 counts an image."""
-    got = hist.groupBy("image_id", "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
-    return got.select("image_id", "lo", "hi", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")).cast("double")).alias("h"))
+    """(image_id, lo, hi, h): one array of 256 counts an image, its filled bins with as many zeros before each as are empty."""
+    got = hist.groupBy("image_id", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("bin", F.col("n").cast("double").alias("n")))).alias("b"))
+    each = "transform(b, (x, i) -> concat(array_repeat(0.0D, x.bin - if(i = 0, 0, b[i - 1].bin + 1)), array(x.n)))"
+    return got.select("image_id", "lo", "hi", F.expr(f"flatten(concat({each}, array(array_repeat(0.0D, {BINS - 1} - element_at(b, -1).bin))))").alias("h"))
 
 
 def _dense(hist: DataFrame) -> DataFrame:
@@ -66,14 +67,21 @@ def triangle(hist: DataFrame) -> DataFrame:
 
 
 def isodata(hist: DataFrame) -> DataFrame:
-    """(image_id, t): halfway between the means of both classes, from 128 on, 128 times at most."""
-    low = "aggregate(sequence(0, t), cast(struct(0 as s, 0 as n) as struct<s:double,n:double>), (a, i) -> struct(a.s + i * h[i] as s, a.n + h[i] as n))"
-    high = "aggregate(h, cast(struct(0 as s, 0 as n, 0 as i) as struct<s:double,n:double,i:int>), (a, c) -> struct(a.s + a.i * c as s, a.n + c as n, a.i + 1 as i))"
-    step = f"""aggregate(sequence(1, 128), 128, (t, i) -> aggregate(array(struct({low} as lo, whole as al)), t, (u, x) ->
-        case when x.lo.n = 0 or x.al.n - x.lo.n = 0 then u
-             else cast(floor((x.lo.s / x.lo.n + (x.al.s - x.lo.s) / (x.al.n - x.lo.n)) * 0.5 + 0.5) as int) end))"""
-    d = _arrays(hist).withColumn("whole", F.expr(high))
-    return d.select("image_id", _value(F.expr(step).cast("double")).alias("t"))
+    """(image_id, t): halfway between the means of both classes, from 128 on, 128 times at most.
+
+    Counts and sums are added up along the filled bins, once; a step looks its bin's up.
+    """
+    up = Window.partitionBy("image_id").orderBy("bin")
+    total = lambda v: F.sum(F.expr(v)).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    d = hist.withColumns({"cnt": total("cast(n as double)"), "sum": total("cast(n * bin as double)"), "next": F.coalesce(F.lead("bin").over(up), F.lit(BINS))})
+    d = d.groupBy("image_id", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("bin", "next", F.struct("cnt", "sum").alias("up")))).alias("b"))
+    none = "named_struct('cnt', 0.0D, 'sum', 0.0D)"
+    each = f"flatten(concat(array(array_repeat({none}, b[0].bin)), transform(b, x -> array_repeat(x.up, x.next - x.bin))))"
+    step = f"""aggregate(sequence(1, 128), 128, (t, i) ->
+        case when c[t].cnt = 0 or c[{BINS - 1}].cnt - c[t].cnt = 0 then t
+             else cast(floor((c[t].sum / c[t].cnt + (c[{BINS - 1}].sum - c[t].sum) / (c[{BINS - 1}].cnt - c[t].cnt)) * 0.5 + 0.5) as int) end)"""
+    #: An array of one, so that its value is made once and not at every step.
+    return d.select("image_id", _value(F.expr(f"transform(array({each}), c -> {step})[0]").cast("double")).alias("t"))
 
 
 def finish(hist: DataFrame, fraction: float = 0.5) -> DataFrame:

@@ -124,6 +124,29 @@ def test_small_tiles_are_computed_together_and_come_out_alike(spark, monkeypatch
         assert calls_by[tile, at_once](calls.value), calls.value
 
 
+def test_isodata_steps_look_sums_up(spark):
+    from pixelquilt.operators import statistics
+
+    rows, rnd = [], np.random.default_rng(4)
+    for i in range(40):
+        bins = rnd.choice(256, rnd.integers(1, 60), replace=False)
+        rows += [(i, int(b), int(rnd.integers(1, 9)), 0.0, 255.0) for b in bins]
+    hist = spark.createDataFrame(rows, "image_id long, bin int, n long, lo double, hi double")
+    assert "try_element_at" not in statistics._arrays(hist)._jdf.queryExecution().toString()
+    dense = {r.image_id: r.h for r in statistics._arrays(hist).collect()}
+    for r in statistics.isodata(hist).collect():
+        h = np.zeros(256)
+        for i, b, n, _, _ in rows:
+            h[b] += n if i == r.image_id else 0
+        assert dense[r.image_id] == h.tolist()
+        t, at = 128, np.arange(256)
+        for _ in range(128):
+            low, high = h[: t + 1].sum(), h[t + 1 :].sum()
+            if low and high:
+                t = int(((h * at)[: t + 1].sum() / low + (h * at)[t + 1 :].sum() / high) * 0.5 + 0.5)
+        assert r.t == t
+
+
 def test_box_blur_repeats_the_edge_value(spark):
     r = image(spark, 5, 1, "x * 10", fmt="R32F")
     assert grid(registry.get("box_blur")(r, radius=1))[0] == pytest.approx([10 / 3, 10, 20, 30, 110 / 3])
