@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import LOWER, WHITE, Scratch, materialize, mix64, quoted, text_slices, word_hashes
+from pixelquilt.llm.common import LOWER, WHITE, Scratch, materialize, mix64, quoted, text_slices, tidy, word_hashes
 from pixelquilt.llm.components import components
 
 _U = np.uint64
@@ -48,30 +48,50 @@ PASSES = 2
 #: 64-bit words of a set's parities: of two sets, no more bits differ than elements.  A few of them
 #: serve within groups, the others for pairs: a power of two, and a bit an element where sets are larger.
 PARITIES, MORE_PARITIES = 8, 32
+#: Parts or bits of sets that are counted at once.
+CELLS = 1 << 18
 #: Ids of candidates up to which they go to all tasks (some 50 bytes each); more are joined by shuffle.
 FEW_IDS = 200_000
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles of ``size`` words; the whole text where it has fewer."""
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, at): the sorted distinct 64-bit hashes of each text's shingles of ``size`` words, one text after
+    another, and the offset of each text's first (n+1 values); a text of fewer words is one shingle."""
     h, first = word_hashes(LOWER[data], bounds, WHITE)
     n = max(0, len(h) - size + 1)
     mixed = np.zeros(n, dtype=np.uint64)
     for j in range(size):
         mixed = mix64(mixed * _U(0x9E3779B97F4A7C15) + h[j : j + n])
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= size:
-            s = np.sort(mixed[a : b - size + 1])
-            if len(s) > 1:
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield s
-        elif b > a:
-            x = np.full(1, b - a, dtype=np.uint64)
-            for w in h[a:b]:
-                x = mix64(x * _U(0xD1342543DE82EF95) + w)
-            yield x
-        else:
-            yield np.zeros(0, dtype=np.uint64)
+    words = np.diff(first)
+    counts = np.where(words >= size, words - size + 1, np.minimum(words, 1))
+    at = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(at[-1], dtype=np.uint64)
+    few = np.flatnonzero((words > 0) & (words < size))
+    x = words[few].astype(np.uint64)
+    for j in range(size - 1):
+        on = words[few] > j
+        x[on] = mix64(x[on] * _U(0xD1342543DE82EF95) + h[first[few[on]] + j])
+    if n:
+        out[:] = mixed[np.minimum(_places(first[:-1], counts), n - 1)]
+    out[at[few]] = x
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        out[a:b].sort()
+    fresh = np.ones(len(out), dtype=bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[at[:-1][counts > 0]] = True
+    return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+
+
+def _places(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1... for each of so many places, one run after another."""
+    return np.arange(counts.sum()) + np.repeat(begin - np.cumsum(counts) + counts, counts)
+
+
+def _run_sums(x: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of the runs of x that end there."""
+    sums = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x, dtype=np.uint64, out=sums[1:])
+    return sums[ends] - sums[ends - counts]
 
 
 @dataclass(frozen=True)
@@ -150,42 +170,63 @@ class Bands:
         return plan(k, max(1, self.low[band] * self.num // self.den)) if k else None
 
 
-@lru_cache(maxsize=4096)
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(j << 64) // parts for j in range(1, parts)], dtype=np.uint64)
+def set_signatures(elements: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures of many sets, and for each signature the number of its set."""
+    n = np.diff(at)
+    sizes, kind = np.unique(n, return_inverse=True)
+    members: dict[int, list[int]] = {}
+    for i, size in enumerate(sizes.tolist()):
+        for band in bands.of(size) if size else ():
+            members.setdefault(band, []).append(i)
+    mixed = mix64(elements ^ _U(0xA0761D6478BD642F))
+    out, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for band, mine in members.items():
+        p = bands.plan(band)
+        if p is None:
+            continue
+        agreeing = np.zeros(len(sizes), dtype=np.int64)
+        agreeing[mine] = [bands.agreeing(band, s) for s in sizes[mine].tolist()]
+        sets, parts, subsets = np.flatnonzero(agreeing[kind]), p.first * p.second, p.subsets
+        place = mix64(np.arange(p.count, dtype=np.uint64).reshape(p.first, -1) + _U(band << 40))
+        step = max(1, CELLS // p.count)
+        for some in (sets[i : i + step] for i in range(0, len(sets), step)):
+            own = _places(at[some], n[some])
+            cell = ((elements[own] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64) + np.repeat(np.arange(len(some)) * parts, n[some])
+            counts = np.bincount(cell, minlength=len(some) * parts)
+            content = _run_sums(mixed[own], np.cumsum(counts), counts).reshape(-1, p.first, p.second) @ subsets.T
+            filled = counts.astype(np.uint64).reshape(-1, p.first, p.second) @ subsets.T
+            least = np.sort(filled.min(axis=2), axis=1)[np.arange(len(some)), agreeing[kind[some]] - 1]
+            strong = filled >= least[:, None, None]
+            out.append(mix64(content + place)[strong])
+            owners.append(np.repeat(some, strong.sum(axis=(1, 2))))
+    return np.concatenate(out), np.concatenate(owners)
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """64-bit signatures of a set."""
-    if not len(s):
-        return s
-    sums = np.zeros(len(s) + 1, dtype=np.uint64)
-    np.cumsum(mix64(s ^ _U(0xA0761D6478BD642F)), dtype=np.uint64, out=sums[1:])
-    out = []
-    for band in bands.of(len(s)):
-        p = bands.plan(band)
-        if p is None:
-            continue
-        at = np.concatenate([[0], np.searchsorted(s, _edges(p.first * p.second)), [len(s)]])
-        subsets = p.subsets
-        content = (sums[at[1:]] - sums[at[:-1]]).reshape(p.first, p.second)
-        filled = (at[1:] - at[:-1]).reshape(p.first, p.second).astype(np.uint64) @ subsets.T
-        sig = content @ subsets.T
-        place = np.arange(p.count, dtype=np.uint64).reshape(p.first, -1)
-        sig = mix64(sig + mix64(place + _U(band << 40)))
-        least, agreeing = filled.min(axis=1), bands.agreeing(band, len(s))
-        out.append(sig[filled >= np.partition(least, agreeing - 1)[agreeing - 1]])
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+    return set_signatures(s, np.array([0, len(s)]), bands)[0]
 
 
-def _class_hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    return mix64(s ^ _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64), mix64(s ^ _U(0x589965CC75374CC3)).sum(dtype=np.uint64)
+def _class_hashes(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    return tuple(_run_sums(mix64(elements ^ _U(salt)), at[1:], np.diff(at)) for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
-def _parities(s: np.ndarray, words: int) -> np.ndarray:
-    """Bit i: whether an odd number of elements has i as its place, in bytes."""
-    at = (s & _U(64 * words - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8))
+def _parities(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of each set, PARITIES words and the bytes of as many more as it is large.  Bit i: whether an odd
+    number of elements has i as its place."""
+    n = np.diff(at)
+    words = np.array([max(MORE_PARITIES, 1 << (size // 64).bit_length()) for size in n.tolist()], dtype=np.int64)
+    few, more = np.zeros((len(n), PARITIES), dtype=np.uint64), [b""] * len(n)
+    for w in np.unique(words).tolist():
+        sets, step = np.flatnonzero(words == w), max(1, CELLS // (64 * w))
+        for some in (sets[i : i + step] for i in range(0, len(sets), step)):
+            place = (elements[_places(at[some], n[some])] & _U(64 * w - 1)).astype(np.int64) + np.repeat(np.arange(len(some)) * (64 * w), n[some])
+            odd = np.packbits((np.bincount(place, minlength=len(some) * 64 * w) & 1).astype(np.uint8)).reshape(len(some), -1)
+            few[some] = np.bitwise_xor.reduce(odd.view(np.uint64).reshape(len(some), -1, PARITIES), axis=1)
+            for i, x in zip(some.tolist(), odd):
+                more[i] = x.tobytes()
+    return few, more
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
@@ -195,18 +236,13 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in text_slices(batch.column(1)):
-                n, hashes, odd, more = [], [], [], []
-                for s in shingle_sets(data, bounds, size):
-                    n.append(len(s))
-                    hashes.append(_class_hashes(s))
-                    odd.append(_parities(s, PARITIES).view(np.int64))
-                    more.append(_parities(s, max(MORE_PARITIES, 1 << (len(s) // 64).bit_length())).tobytes())
-                both = np.array(hashes, dtype=np.uint64).view(np.int64)
-                cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-                cols += [*(pa.array(x) for x in np.array(odd).T), pa.array(more, pa.binary())]
+                elements, at = shingle_sets(data, bounds, size)
+                few, more = _parities(elements, at)
+                cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *(pa.array(x.view(np.int64)) for x in _class_hashes(elements, at))]
+                cols += [*(pa.array(x) for x in few.view(np.int64).T), pa.array(more, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2", *names, "odd"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{p} long" for p in names) + ", odd binary")
+    return docs.mapInArrow(tidy(work), "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{p} long" for p in names) + ", odd binary")
 
 
 def _sign(docs: DataFrame, size: int, num: int, den: int, turn: int = 0, passes: int = 1) -> DataFrame:
@@ -216,15 +252,13 @@ def _sign(docs: DataFrame, size: int, num: int, den: int, turn: int = 0, passes:
         bands = Bands(num, den)
         for batch in batches:
             for _, _, data, bounds in text_slices(batch.column(0)):
-                sigs, own = [], []
-                for s in shingle_sets(data, bounds, size):
-                    x = signatures(s, bands)
-                    sigs.append(x[x % _U(passes) == turn] if passes > 1 else x)
-                    own.append(_class_hashes(s)[0])
-                c1 = np.repeat(np.array(own, dtype=np.uint64), [len(x) for x in sigs])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(c1.view(np.int64))], ["sig", "c1"])
+                elements, at = shingle_sets(data, bounds, size)
+                sigs, owners = set_signatures(elements, at, bands)
+                mine = sigs % _U(passes) == turn
+                c1 = _class_hashes(elements, at)[0][owners[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[mine].view(np.int64)), pa.array(c1.view(np.int64))], ["sig", "c1"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(work, "sig long, c1 long")
+    return docs.where("doc_id is not null").select("text").mapInArrow(tidy(work), "sig long, c1 long")
 
 
 def _named(ids: DataFrame) -> DataFrame:
@@ -238,10 +272,11 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in text_slices(batch.column(1)):
-                own = [s.tobytes() for s in shingle_sets(data, bounds, size)]
+                elements, at = shingle_sets(data, bounds, size)
+                own = [elements[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["doc_id", "own"])
 
-    return docs.join(_named(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(work, "doc_id long, own binary")
+    return docs.join(_named(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, own binary")
 
 
 def _folded(column: pa.Array, words: int) -> np.ndarray:
@@ -272,7 +307,7 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     #: Ids that stand for several sets (rows that share an id) are compared by each of them.
     own = classes.select(F.col("rep").alias("a"), "n", "odd")
     other = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("odd").alias("even"))
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "n", "m", "odd", "even").mapInArrow(work, "a long, b long").distinct()
+    return pairs.join(own, "a").join(other, "b").select("a", "b", "n", "m", "odd", "even").mapInArrow(tidy(work), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -290,7 +325,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("set_b")), "b")
-    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(tidy(work), "a long, b long")
 
 
 def link(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

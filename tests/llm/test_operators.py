@@ -9,12 +9,15 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pixelquilt.llm import bpe, chats, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
+from pixelquilt.llm import bpe, chats, common, decontaminate, licenses, line_dedup, lm_score, partenum, quality_rules, url_filters, warc
 from pixelquilt.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -134,6 +137,50 @@ def test_partenum_plans_and_signatures_keep_every_similar_pair():
         assert p.first - k // (p.errors + 1) >= 1 + p.spare
 
 
+def test_partenum_sets_of_a_run_go_together_and_get_their_own_signatures(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [None, "", "a", "a B c", " ".join(map(str, range(5000))), *(" ".join(map(str, rng.integers(0, 99, n))) for n in rng.integers(1, 400, 60))]
+    each = lambda col: [(d, b) for _, _, d, b in common.text_slices(pa.array(col, pa.string()))]
+    elements, at = partenum.shingle_sets(*each(texts)[0], 4)
+    for cells in (1 << 18, 1000):
+        monkeypatch.setattr(partenum, "CELLS", cells)
+        sigs, owners = partenum.set_signatures(elements, at, partenum.Bands(85, 100))
+        hashes, parities = partenum._class_hashes(elements, at), partenum._parities(elements, at)
+        for i, t in enumerate(texts):
+            alone, ends = partenum.shingle_sets(*each([t])[0], 4)
+            words = (t or "").lower().split()
+            assert np.array_equal(alone, elements[at[i] : at[i + 1]]) and len(alone) == len({tuple(words[j : j + 4]) for j in range(max(1, len(words) - 3))} if words else ())
+            assert np.array_equal(np.sort(sigs[owners == i]), np.sort(partenum.signatures(alone, partenum.Bands(85, 100))))
+            assert [h[i] for h in hashes] == [h[0] for h in partenum._class_hashes(alone, ends)]
+            odd = [sum(int(x) % 512 == j for x in alone) % 2 for j in range(512)]
+            assert np.array_equal(parities[0][i], np.packbits(odd).view(np.uint64)) and parities[1][i] == partenum._parities(alone, ends)[1][0]
+
+
+def test_python_workers_give_memory_back_and_hold_few_texts_at_once():
+    import tracemalloc
+
+    pss = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+    held = []
+
+    def work(source):
+        for b in source:
+            many = [bytes(1000) for _ in range(150_000)]
+            held.append(bytes(1000))
+            yield b
+            del many
+
+    before = pss()
+    assert list(common.tidy(work)([1])) == [1] and pss() - before < 60
+    column = pa.array([" ".join(f"word{i % 50}" for i in range(5000))] * 250)
+    encoder = bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
+    tracemalloc.start()
+    for texts in bpe.runs(column):
+        encoder.encode_run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+
+
 def test_partenum_sets_that_are_not_similar_share_no_weak_signature():
     import numpy as np
 
