@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pixelquilt.llm.common import add_columns
 
 #: Texts taken together, in characters, and what words remembered take, in bytes: bounds on a worker's memory.
-RUN, MEMO = 6 << 20, 64 << 20
+RUN, MEMO = 2 << 20, 32 << 20
 #: Bytes of a remembered word besides its own and its tokens'.
 WORD_COSTS = 240
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
