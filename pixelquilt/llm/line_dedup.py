@@ -13,8 +13,8 @@ A line goes if its class was seen before, or if a similar class was seen before
 this whether or not the earlier line stays itself.
 
 Words are hashed once, into a scratch table that serves counts and classes and is dropped then;
-verification hashes the words of asked lines again.  A word's rarity is read from a table of ``BUCKETS`` counts over all
-lines: its size is fixed, and any one order of words gives the same result.
+verification hashes the words of asked lines again.  A word's rarity is read from a table of ``ROWS`` times
+``SLOTS`` counts over all lines: its size is fixed, and any one order of words gives the same result.
 
 Candidates are looked for by (word, size band).  Where more than ``FEW`` classes share a key they
 are first compared with two of them, the earliest and the one with most copies; only those
@@ -34,8 +34,10 @@ from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortTy
 
 from pixelquilt.llm.common import NOT_SPACE, Scratch, quoted
 
-#: Buckets of the rarity table, whatever the input; it is the one thing that goes to all tasks.
-BUCKETS = 1 << 18
+#: The rarity table, whatever the input; it is the one thing that goes to all tasks.  Counted as rows of
+#: so many slots, as a task's map of no more than ROWS keys stays in the fast part of Spark's aggregation.
+ROWS, SLOTS = 1 << 16, 1 << 3
+BUCKETS = ROWS * SLOTS
 #: Bits of a word's hash that its place in the order has; a level stands above them.
 BITS = 48
 #: Classes under one key up to which all pairs are compared at once, and beyond which the key is split.
@@ -49,15 +51,15 @@ ASKED = 200_000
 
 
 def _lines(text: str) -> Column:
-    """A text's lines in lower case, with blanks for other white space."""
+    """A text's lines, with blanks for other white space."""
     body = F.coalesce(text, F.lit(""))
     other = body.contains("\t") | body.contains("\x0b") | body.contains("\x0c") | body.contains("\r")
-    return F.split(F.lower(F.when(other, F.regexp_replace(body, r"[\x09\x0B-\x0D]", " ")).otherwise(body)), "\n")
+    return F.split(F.when(other, F.regexp_replace(body, r"[\x09\x0B-\x0D]", " ")).otherwise(body), "\n")
 
 
 def _hashes(line: Column) -> Column:
-    """Hashes of a line's distinct words."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """Hashes of a line's distinct words in lower case, made so a line at a time: those in ASCII alone cost little."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _word_sets(docs: DataFrame) -> DataFrame:
@@ -70,20 +72,22 @@ def _word_sets(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "line", F.xxhash64("words", F.lit(1)).alias("c1"), F.xxhash64(F.lit(2), "words").alias("c2"), "words")
 
 
-def rarity_levels(lines: DataFrame) -> list[int]:
+def rarity_levels(lines: DataFrame) -> list[str]:
     """For each bucket of word hashes a level from 0 to 127 that grows with the words' count over all lines."""
     words = lines.select(F.explode("words").alias("w"))
-    counts = words.groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    out = [0] * BUCKETS
-    for b, n in counts.collect():  # BUCKETS rows at most
-        out[b] = min(127, int(3 * math.log2(1 + n)))
+    words = words.select(F.col("w").bitwiseAND(ROWS - 1).cast("int").alias("b"), F.col("w").bitwiseAND(BUCKETS - ROWS).cast("int").alias("slot"))
+    counts = words.groupBy("b").agg(*[F.count(F.when(F.col("slot") == i * ROWS, 1)).alias(f"n{i}") for i in range(SLOTS)])
+    levels = F.concat_ws(",", *[F.least(F.lit(127), (3 * F.log2(1 + F.col(f"n{i}"))).cast("int")) for i in range(SLOTS)])
+    out = ["0"] * BUCKETS
+    for b, of in counts.select("b", levels).collect():  # ROWS rows at most
+        out[b::ROWS] = of.split(",")
     return out
 
 
-def _by_rarity(words: str, levels: list[int]) -> Column:
+def _by_rarity(words: str, levels: list[str]) -> Column:
     """Words, rarest first: numbers made of a word's level and its hash."""
-    table = F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)")
-    level = lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
+    table = F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
+    level = lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1))
     #: Never null, so that the array is sorted as plain numbers.
     return F.sort_array(F.transform(words, lambda w: F.coalesce(F.shiftleft(level(w), BITS).bitwiseOR(w.bitwiseAND((1 << BITS) - 1)), F.lit(0).cast("long"))))
 
@@ -111,19 +115,33 @@ class Similarity:
         """Sizes by powers of (den/num)^4: a set's similar smaller ones lie in its band or the next below."""
         return f"cast(floor(ln({n}) / {4 * math.log(self.den / self.num)!r}) as int)"
 
-    def fits(self) -> str:
+    def fits(self, depth: int) -> str:
         """Of rows a and b: length filter, positional filter for a last shared word of the key at these
         positions (from 0; it is the ``depth``-th shared word), and the filter by parities."""
-        bound = self.overlap("a.n", "b.n")
-        places = f"least(a.n - a.at, b.n - b.at) + a.depth - 1 >= {bound}"
-        differing = f"a.n + b.n - 2 * ({bound})"
+        n, m, both = _n("a"), _n("b"), self.num + self.den
+        least = f"({n} + {m}) * {self.num}"
+        #: Products in place of quotients, as pairs are many; sets of these sizes that differ in x words share (n + m - x) / 2.
+        near = lambda x: f"({n} + {m} - ({x})) * {both} >= 2 * {least}"
+        places = f"(least({n} - {_at('a')}, {m} - {_at('b')}) + {depth - 1}) * {both} >= {least}"
         #: Null where either line is not long; the fourth quarter is what is left of all words' parities.
         quarters = [f"bit_count(a.odd.p{i} ^ b.odd.p{i})" for i in (1, 2, 3)] + ["bit_count(a.sig ^ a.odd.p1 ^ a.odd.p2 ^ a.odd.p3 ^ b.sig ^ b.odd.p1 ^ b.odd.p2 ^ b.odd.p3)"]
-        near = f"bit_count(a.sig ^ b.sig) <= {differing} and coalesce({' + '.join(quarters)} <= {differing}, true)"
-        return f"least(a.n, b.n) >= {self.least('greatest(a.n, b.n)')} and {places} and {near}"
+        return f"{near('bit_count(a.sig ^ b.sig)')} and least({n}, {m}) * {self.den} >= greatest({n}, {m}) * {self.num} and {places} and coalesce({near(' + '.join(quarters))}, true)"
 
 
-def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
+def _spot(n: str, at: str, home: str) -> Column:
+    """Size of a set, position of a word in it and the bit ``home`` as one number, as rows are many."""
+    return F.expr(f"shiftleft(cast({n} as bigint), 32) | shiftleft(cast({at} as bigint), 1) | cast({home} as bigint)")
+
+
+def _n(row: str) -> str:
+    return f"shiftright({row}.spot, 32)"
+
+
+def _at(row: str) -> str:
+    return f"shiftright({row}.spot & 4294967295, 1)"
+
+
+def _classes(lines: DataFrame, levels: list[str], sim: Similarity) -> DataFrame:
     """(c1, c2, first, n, copies, sig, odd, words): words being the prefix and WORDS - 1 more; sig: the
     parities of all words; odd: those of three quarters of the words apart, for long lines alone."""
     one = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
@@ -139,7 +157,7 @@ def _classes(lines: DataFrame, levels: list[int], sim: Similarity) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows of keys that more than one class has, one of them in its own band; k: how many."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("homes")).where("k > 1 and homes").select("key", "k")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.expr("spot & 1")).alias("homes")).where("k > 1 and homes = 1").select("key", "k")
     return rows.join(sizes.hint("shuffle_hash"), "key")
 
 
@@ -154,41 +172,43 @@ def _order(kind: DataType) -> Column:
 
 
 def _keyed(able: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, c1, n, at, depth, home, o, copies, sig, odd): a row for each (word of the prefix, band); o is
-    the number of a class's first document.  home: in its own band, and among the few words in which
-    the smaller of two similar sets has the first shared one."""
+    """(key, c1, spot, o, copies, sig, odd): a row for each (word of the prefix, band); o is the number
+    of a class's first document.  spot's home: in its own band, and among the few words in which the
+    smaller of two similar sets has the first shared one."""
     order = F.coalesce(_order(able.schema["first"].dataType["doc_id"].dataType), F.lit(-(1 << 63))).alias("o")
-    own = able.select("c1", "n", order, "copies", "sig", "odd", F.expr(f"slice(words, 1, {sim.prefix('n')})").alias("words"))
-    own = own.select("c1", "n", "o", "copies", "sig", "odd", F.posexplode("words").alias("at", "w"))
     #: A class asks for the smaller ones in its own band and in the one below, if that has sizes large enough.
-    rows = own.select("*", F.explode(F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")).alias("band"))
-    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", "n", "at", F.lit(1).alias("depth"), F.expr(f"band = {sim.band('n')} and at <= n - {sim.overlap('n', 'n')}").alias("home"), "o", "copies", "sig", "odd")
+    bands = F.expr(f"sequence({sim.band(sim.least('n'))}, {sim.band('n')})")
+    own = able.select("c1", "n", order, "copies", "sig", "odd", F.expr(f"slice(words, 1, {sim.prefix('n')})").alias("words"), F.explode(bands).alias("band"))
+    #: What all words of a class have in common is worked out once.
+    own = own.withColumn("homes", F.expr(f"if(band = {sim.band('n')}, n - {sim.overlap('n', 'n')}, -1)"))
+    rows = own.select("c1", "n", "o", "copies", "sig", "odd", "band", "homes", F.posexplode("words").alias("at", "w"))
+    return rows.select(F.xxhash64("w", "band").alias("key"), "c1", _spot("n", "at", "(at <= homes)").alias("spot"), "o", "copies", "sig", "odd")
 
 
-def _split(hot: DataFrame, able: DataFrame, sim: Similarity) -> DataFrame:
-    """The rows again under keys of one word more."""
-    rows = hot.join(able.select("c1", "words"), "c1")
-    later = F.posexplode(F.expr(f"slice(words, at + 2, greatest({sim.prefix('n')} + depth - at - 1, 0))")).alias("j", "v")
-    rows = rows.select("*", later)
-    return rows.select(F.xxhash64("key", "v").alias("key"), "c1", "n", (F.col("at") + 1 + F.col("j")).alias("at"), (F.col("depth") + 1).alias("depth"), "home", "o", "copies", "sig", "odd")
+def _split(hot: DataFrame, able: DataFrame, sim: Similarity, depth: int) -> DataFrame:
+    """The rows again under keys of one word more than ``depth``."""
+    rows = hot.alias("hot").join(able.select("c1", "words"), "c1").select("hot.*", "words", F.expr(f"cast({_n('hot')} as int)").alias("n"), F.expr(f"cast({_at('hot')} as int)").alias("at"))
+    later = F.posexplode(F.expr(f"slice(words, at + 2, greatest({sim.prefix('n')} + {depth} - at - 1, 0))")).alias("j", "v")
+    return rows.select("*", later).select(F.xxhash64("key", "v").alias("key"), "c1", _spot("n", "at + 1 + j", "(spot & 1)").alias("spot"), "o", "copies", "sig", "odd")
 
 
-def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity, once: bool = False) -> DataFrame:
-    """(c1, d1): classes under one key that pass all filters, d1 not in a later document; once: where
-    no key has many rows, which needs no sort."""
+def _pairs(asking: DataFrame, told: DataFrame, sim: Similarity, depth: int = 1, once: bool = False) -> DataFrame:
+    """(c1, d1): classes under one key of ``depth`` words that pass all filters, d1 not in a later
+    document; once: where no key has many rows, which needs no sort."""
     #: The same columns on either side, so that a table joined with itself is shuffled once.
-    own = ["key", "c1", "n", "at", "depth", "home", "o", "sig", "odd"]
+    own = ["key", "c1", "spot", "o", "sig", "odd"]
     met = asking.select(*own).alias("a").join(told.select(*own).hint("shuffle_hash").alias("b") if once else told.select(*own).alias("b"), F.expr("a.key = b.key"))
-    met = met.where(F.expr("a.c1 <> b.c1 and b.o <= a.o and a.depth <= b.depth and (a.home or b.home)") & F.expr(sim.fits()))
+    met = met.where(F.expr("a.c1 <> b.c1 and b.o <= a.o and (a.spot | b.spot) & 1 = 1") & F.expr(sim.fits(depth)))
     return met.select(F.col("a.c1").alias("c1"), F.col("b.c1").alias("d1"))
 
 
 def _to_anchors(told: DataFrame, sim: Similarity) -> DataFrame:
     """(c1, d1): each class with the earliest under its key, and with the one that has most copies."""
-    own = ["c1", "n", "at", "sig", "odd", "o"]
-    anchors = told.groupBy("key").agg(F.min(F.struct("o", "c1", "n", "at", "sig", "odd")).alias("e"), F.max(F.struct("copies", *own)).alias("f"))
+    own = ["c1", "spot", "sig", "odd", "o"]
+    anchors = told.groupBy("key").agg(F.min(F.struct("o", "c1", "spot", "sig", "odd")).alias("e"), F.max(F.struct("copies", *own)).alias("f"))
     anchors = anchors.select("key", F.explode(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own]) for x in ("e", "f")])).alias("x"))
-    anchors = anchors.select("key", *[F.col(f"x.{c}").alias(c) for c in own], F.lit(1).alias("depth"), F.lit(True).alias("home"))
+    #: An anchor answers wherever it stands.
+    anchors = anchors.select("key", *[F.col(f"x.{c}").alias(c) for c in own]).withColumn("spot", F.expr("spot | 1"))
     return _pairs(told, anchors, sim)
 
 
@@ -233,11 +253,11 @@ def removed(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     hot = many.where(f"k > {HOT}").select("key").distinct()
     for depth in range(1, WORDS + 1):
         if depth >= min(WORDS, sim.shared) or hot.isEmpty():
-            parts.append(_pairs(asking, answering, sim))
+            parts.append(_pairs(asking, answering, sim, depth))
             break
-        parts.append(_pairs(asking.join(hot, "key", "left_anti"), answering, sim))
-        asking = scratch.write(_split(asking.join(hot, "key", "left_semi"), able, sim), "asking")
-        answering = _split(answering.drop("k").join(hot, "key", "left_semi"), able, sim)
+        parts.append(_pairs(asking.join(hot, "key", "left_anti"), answering, sim, depth))
+        asking = scratch.write(_split(asking.join(hot, "key", "left_semi"), able, sim, depth), "asking")
+        answering = _split(answering.drop("k").join(hot, "key", "left_semi"), able, sim, depth)
         #: Keys under which nobody asks are done with.
         answering = scratch.write(answering.join(asking.select("key").distinct(), "key", "left_semi"), "answering")
         hot = answering.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(f"k > {HOT}").select("key")

@@ -329,6 +329,24 @@ def test_line_dedup_takes_repeats_of_short_lines(spark):
     assert {i: g for i, g in got.items() if g} == gone == {0: [5, 6, 7, 11, 12], 1: [0], 3: [3]}
 
 
+def test_rarity_of_words_and_packed_prefix_rows(spark):
+    """A word of one line doesn't pass for the frequent one 2^18 further; a row's size, position and bit come back."""
+    lines = spark.createDataFrame([([5, 5 + (1 << 18), -1],)] + [([5 + (1 << 18), 7 - (1 << 62)],)] * 99, "words array<long>")
+    levels = line_dedup.rarity_levels(lines)
+    assert [levels[w % len(levels)] for w in (5, 5 + (1 << 18), -1, 7, 8)] == ["3", "19", "3", "19", "0"]
+    top = (1 << 31) - 1
+    rows = spark.createDataFrame([(n, at, home) for n in (9, top) for at in (0, n - 1) for home in (False, True)], "n int, at int, home boolean")
+    rows = rows.withColumn("spot", line_dedup._spot("n", "at", "home")).alias("a")
+    back = rows.selectExpr("n", "at", "home", f"{line_dedup._n('a')} as n2", f"{line_dedup._at('a')} as at2", "spot & 1 as home2").collect()
+    assert len(back) == 8 and all((r.n, r["at"], int(r.home)) == (r.n2, r.at2, r.home2) for r in back)
+    #: Pairs by products are those by the least overlap, rounded up.
+    sim = line_dedup.Similarity(9, 10)
+    cases = [(n, m, x) for n in range(1, 45) for m in range(1, 45) for x in range(abs(n - m), min(n + m, 10) + 1, 2)]
+    sides = [F.struct(line_dedup._spot(n, "0", "true").alias("spot"), F.expr(sig).alias("sig"), F.expr("cast(null as struct<p1:bigint,p2:bigint,p3:bigint>)").alias("odd")).alias(side) for side, n, sig in (("a", "n", "shiftleft(1L, x) - 1"), ("b", "m", "0L"))]
+    got = {(r.n, r.m, r.x) for r in spark.createDataFrame(cases, "n int, m int, x int").select("n", "m", "x", *sides).where(sim.fits(1)).collect()}
+    assert got == {(n, m, x) for n, m, x in cases if 10 * min(n, m) >= 9 * max(n, m) and 19 * (n + m - x) // 2 >= 9 * (n + m)} and len(got) > 200
+
+
 def test_decontamination_and_its_parts(spark, docs, none):
     bench = spark.createDataFrame([(1, texts()[10][:600]), (2, "ONE two; three"), (3, None), (4, ""), (10, "one two three"), (None, "x")], "item_id long, text string")
     for most in (500_000, 7):
