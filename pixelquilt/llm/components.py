@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import materialize
+from pixelquilt.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,6 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     label = None
     while True:
+        #: A round is some ten small jobs; what they leave on the driver goes before the next.
+        release(links.sparkSession)
         both = links.union(links.select("b", "a"))
         tree = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
         tree = materialize(tree, "tree")

@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType, StringType
 
@@ -84,12 +84,18 @@ def rarity_levels(lines: DataFrame) -> list[str]:
     return out
 
 
-def _by_rarity(words: str, levels: list[str]) -> Column:
+def _level_table(spark: SparkSession, levels: list[str]) -> Column:
+    """The levels above their place in the order, an array by bucket.  A subquery, whose value is no part of
+    the plan: as a literal the driver would fold it, and write it out with each description of a plan."""
+    table = spark.createDataFrame([(",".join(levels),)], "levels string").select(F.split("levels", ",").cast("array<bigint>").alias("levels"))
+    return table.select(F.transform("levels", lambda x: F.shiftleft(x, BITS))).scalar()
+
+
+def _by_rarity(words: str, levels: str) -> Column:
     """Words, rarest first: numbers made of a word's level and its hash."""
-    table = F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
-    level = lambda w: F.get(table, w.bitwiseAND(BUCKETS - 1))
+    level = lambda w: F.get(levels, w.bitwiseAND(BUCKETS - 1))
     #: Never null, so that the array is sorted as plain numbers.
-    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.shiftleft(level(w), BITS).bitwiseOR(w.bitwiseAND((1 << BITS) - 1)), F.lit(0).cast("long"))))
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(level(w).bitwiseOR(w.bitwiseAND((1 << BITS) - 1)), F.lit(0).cast("long"))))
 
 
 class Similarity:
@@ -149,7 +155,9 @@ def _classes(lines: DataFrame, levels: list[str], sim: Similarity) -> DataFrame:
     odd = F.when(F.size("words") > LONG, F.struct(*quarter)).alias("odd")
     #: Smaller classes have no other set that is similar, and need neither.
     able = F.expr(f"size(words) * {sim.den} >= (size(words) + 1) * {sim.num}")
-    rows = lines.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), F.when(able, one).otherwise(F.lit(0).cast("long")).alias("sig"), odd, F.when(able, _by_rarity("words", levels)).otherwise(F.array().cast("array<bigint>")).alias("words"))
+    #: The table has a name as lambdas take no subquery; Spark puts it where it is used, once, so no row carries it.
+    rows = lines.select("*", _level_table(lines.sparkSession, levels).alias("levels"))
+    rows = rows.select("c1", "c2", F.struct("doc_id", "h", "line").alias("place"), F.size("words").alias("n"), F.when(able, one).otherwise(F.lit(0).cast("long")).alias("sig"), odd, F.when(able, _by_rarity("words", "levels")).otherwise(F.array().cast("array<bigint>")).alias("words"))
     rows = rows.withColumn("words", F.expr(f"slice(words, 1, {sim.prefix('n')} + {WORDS - 1})"))
     #: Rows of one class differ in their place alone.
     return rows.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig", "odd", "words")])

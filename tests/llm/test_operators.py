@@ -347,6 +347,32 @@ def test_rarity_of_words_and_packed_prefix_rows(spark):
     assert got == {(n, m, x) for n, m, x in cases if 10 * min(n, m) >= 9 * max(n, m) and 19 * (n + m - x) // 2 >= 9 * (n + m)} and len(got) > 200
 
 
+def test_rarity_levels_are_no_part_of_a_plan(spark):
+    """Plans stay short whatever the table, no row carries it, and words come in the order of their levels."""
+    rows = [(0, 1, 0, 1, 1, [-1, 5, 6, 9]), (0, 1, 1, 2, 2, [7 - (1 << 62)]), (1, 1, 0, 2, 2, [7 - (1 << 62)])]
+    lines = spark.createDataFrame(rows, "doc_id long, h long, line int, c1 long, c2 long, words array<long>")
+    levels = ["0"] * line_dedup.BUCKETS
+    levels[5], levels[6], levels[line_dedup.BUCKETS - 1] = "127", "3", "7"
+    classes = line_dedup._classes(lines, levels, line_dedup.Similarity(1, 10))
+    plan = classes._jdf.queryExecution()
+    assert len(plan.toString()) < 50_000
+    assert plan.optimizedPlan().toString().count("AS levels") == 0
+    low = (1 << line_dedup.BITS) - 1
+    got = {r.c1: [(w >> line_dedup.BITS, w & low) for w in r.words] for r in classes.collect()}
+    assert got == {1: [(0, 9), (3, 6), (7, low), (127, 5)], 2: [(0, 7)]}
+
+
+def test_component_rounds_release_what_they_leave(spark, monkeypatch):
+    from pixelquilt.llm import components as module
+
+    calls = []
+    monkeypatch.setattr(module, "release", lambda session: calls.append(1))
+    n = 40
+    order = [(k * 17) % n for k in range(n)]
+    got = module.components(spark.createDataFrame([*zip(order[:-1], order[1:])], "a long, b long")).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(n)} and len(calls) >= 2
+
+
 def test_decontamination_and_its_parts(spark, docs, none):
     bench = spark.createDataFrame([(1, texts()[10][:600]), (2, "ONE two; three"), (3, None), (4, ""), (10, "one two three"), (None, "x")], "item_id long, text string")
     for most in (500_000, 7):
